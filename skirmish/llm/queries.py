@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing
+from . import language, media, mixing, packing, quality, secrets
 from .common import documents
 
 
+def op4_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.train(language.training_rows(docs)))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_quality(spark, sf_dir):
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return quality.judge(documents(spark, sf_dir), trusted)
+
+
 def op9_media(spark, sf_dir):
     return media.digest_stored(media.store_text(documents(spark, sf_dir)))
 
@@ -20,7 +34,10 @@ def op10_mixing(spark, sf_dir):
 
 def queries():
     return {
+        "op4_language": op4_language,
+        "op5_secrets": op5_secrets,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
     }
