@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import language, media, mixing, packing, quality, secrets
+from . import jaccard, language, lines, media, mixing, packing, quality, secrets
 from .common import documents
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.link_documents(documents(spark, sf_dir))
+
+
+def op2_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(documents(spark, sf_dir))
+
+
 def op4_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return language.predict(docs, language.train(language.training_rows(docs)))
@@ -34,6 +42,8 @@ def op10_mixing(spark, sf_dir):
 
 def queries():
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_line_dedup": op2_line_dedup,
         "op4_language": op4_language,
         "op5_secrets": op5_secrets,
         "op6_packing": op6_packing,
