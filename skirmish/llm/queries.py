@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mixing, packing, quality, secrets
+from . import jaccard, language, lines, media, mixing, packing, quality, secrets, substring, tokens
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return lines.dedup_lines(documents(spark, sf_dir))
 
 
+def op3_tokens(spark, sf_dir):
+    return tokens.digest(tokens.shards(documents(spark, sf_dir)))
+
+
 def op4_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return language.predict(docs, language.train(language.training_rows(docs)))
@@ -32,6 +36,10 @@ def op7_quality(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), trusted)
 
 
+def op8_substring(spark, sf_dir):
+    return substring.repeated_spans(documents(spark, sf_dir))
+
+
 def op9_media(spark, sf_dir):
     return media.digest_stored(media.store_text(documents(spark, sf_dir)))
 
@@ -44,10 +52,12 @@ def queries():
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_line_dedup": op2_line_dedup,
+        "op3_tokens": op3_tokens,
         "op4_language": op4_language,
         "op5_secrets": op5_secrets,
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
+        "op8_substring": op8_substring,
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
     }
