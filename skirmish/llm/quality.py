@@ -60,18 +60,18 @@ def base_measures(docs: DataFrame) -> DataFrame:
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
             lines.alias("lines"),
-            F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.col("grams")).alias("grams"),
+            # Only where a window repeats: equal windows side by side.
+            F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("at"))))).alias("placed"),
         )
-        .select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("grams"), window).alias("n_repeat_words"))
+        .select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("placed"), window).alias("n_repeat_words"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 
 
-def _repeated(grams: Column, window: int) -> Column:
-    """Words in windows whose hash occurs twice or more.  Sorting brings equal
-    windows together; sorting their places again gives the words they cover."""
-    placed = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+def _repeated(placed: Column, window: int) -> Column:
+    """Words in windows whose hash occurs twice or more.  placed: the windows'
+    hashes and places, sorted; null if no hash repeats."""
     n = F.size(placed)
     # A window counts if a neighbour in that order has its hash: pair each with the one before and the one after.
     none = F.lit(None).cast("struct<g:bigint,at:int>")
@@ -86,7 +86,7 @@ def _repeated(grams: Column, window: int) -> Column:
         lambda acc, at: F.struct((acc.sum + F.least(F.lit(window), at - acc.last)).alias("sum"), at.alias("last")),
         lambda acc: acc.sum,
     )
-    return F.when(grams.isNotNull(), covered).otherwise(F.lit(0).cast("long"))
+    return F.when(placed.isNotNull(), covered).otherwise(F.lit(0).cast("long"))
 
 
 def _grams(docs: DataFrame, *keep: str) -> DataFrame:
