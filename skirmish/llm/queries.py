@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mixing, packing, quality, secrets, substring, tokens
+from . import jaccard, language, lines, media, mixing, oracle, packing, quality, secrets, substring, tokens
 from .common import documents
 
 
@@ -64,4 +64,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_secrets": oracle.SECRETS}

@@ -68,3 +68,20 @@ def test_empty_and_repeated(spark):
     assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, "token=abcdefg", None, None, None)] * 3 + [(None, "token=abcdefg", None, None, None)]
     assert [r["n_assign"] for r in secrets.find_secrets(frame(spark, rows)).collect()] == [1] * 4
+
+
+def test_plain_sql_gives_the_same(spark):
+    import duckdb
+
+    from skirmish.llm import oracle
+
+    rows = awkward()
+    for t in [*TEXTS, "-----BEGIN RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_1 password=abcdef"]:
+        rows.append((len(rows), t, None, None, None))
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    want = con.sql(oracle.SECRETS)
+    names = want.columns
+    got = secrets.find_secrets(frame(spark, rows)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
