@@ -16,6 +16,32 @@ ARCHETYPES = {
     "Mage": ("Wizard", "Warlock", "Illusionist", "Coercer", "Conjuror", "Necromancer"),
 }
 
+#: The effect behind a status word, how it is called out, and the
+#: schools that a class can't strike with.
+CONTROL = {"stun": ("stunned", "stupified"), "stifle": ("silenced",), "mez": ("mesmerized", "dazzled"), "fear": ("terrified", "afraid", "feared"), "root": ("frozen", "rooted"), "snare": ("snared",), "daze": ("dazed",)}
+CALLED = {"stun": "stunned", "stifle": "stifled", "mez": "mesmerized", "fear": "feared", "root": "rooted", "snare": "snared", "daze": "dazed", "charm": "charmed", "knockup": "knocked up"}
+BLUNT = ("Templar", "Inquisitor")
+NEVER_SLASH = BLUNT + ("Mystic", "Defiler", "Wizard", "Warlock", "Illusionist", "Coercer", "Necromancer", "Conjuror")
+
+
+def _named(key: Column, names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]
+
+
+def canonical_control(word: Column) -> Column:
+    """The control effect of a status word; null if it is none."""
+    return _named(word, {w: effect for effect, words in CONTROL.items() for w in words})
+
+
+def callout_word(effect: Column) -> Column:
+    return F.coalesce(_named(effect, CALLED), effect)
+
+
+def impossible_school(cls: Column, school: Column) -> Column:
+    """No weapon of the class does such damage."""
+    among = lambda classes: F.lower(cls).isin(*[c.lower() for c in classes])
+    return F.coalesce(F.when(F.lower(school) == "slashing", among(NEVER_SLASH)).when(F.lower(school) == "piercing", among(BLUNT)), F.lit(False))
+
 
 def same(a: Column, b: Column) -> Column:
     """Equal but for case."""

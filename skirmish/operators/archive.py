@@ -30,6 +30,12 @@ def dedupe_encounters(encounters: DataFrame, id_column: str = "id") -> DataFrame
     return encounters.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def find_encounter(encounters: DataFrame, identities: DataFrame) -> DataFrame:
+    """The encounters of these identities; a missing title equals a missing one."""
+    wanted = identities.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY]).distinct()
+    return encounters.join(wanted, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY], "left_semi")
+
+
 def upsert_encounters(held: DataFrame, new: DataFrame) -> DataFrame:
     """A fight parsed again replaces the old row only with more swings."""
     both = held.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))

@@ -107,9 +107,15 @@ def bucket_fill(rows: DataFrame, window: DataFrame) -> DataFrame:
     return r.select(*FIGHT, "combatant", "confirmed", player.alias("player"))
 
 
-def is_pet_name(name, known: tuple[str, ...] = ()):
-    """Blank, Unknown, a space in it, or one of the known pet names."""
-    return name.isNull() | (F.trim(name) == "") | (name == "Unknown") | name.contains(" ") | F.lower(name).isin(*[k.lower() for k in known] or [""])
+# The shape of generated pet names, and names that it misses.
+AUTO_PET = r"(?i)^(?:[gkjxzv]i|[gkjxzv]e|[gkjxzv]a|[gkjxzv]o|je|jo|ja|ze|zo|ke|gi)(?:ba|be|bo|na|ne|ti|an)?(?:b|bn|ber|bekn|btik|tik|ntik|ner|sn|kn|n)$"
+KNOWN_PETS = ("Gibab", "Zosn", "Kebn", "Zebekn", "Jentik")
+
+
+def is_pet_name(name, known: tuple[str, ...] = KNOWN_PETS):
+    """Blank, Unknown, a space in it, generated, or one of the known pet names."""
+    trimmed = F.trim(name)
+    return name.isNull() | (trimmed == "") | (trimmed == "Unknown") | trimmed.contains(" ") | trimmed.rlike(AUTO_PET) | F.lower(trimmed).isin(*[k.lower() for k in known] or [""])
 
 
 def pet_owner(name):

@@ -85,4 +85,4 @@ def merged_fight(members: DataFrame, fights: DataFrame) -> DataFrame:
     """Window, and title and zone of the longest member."""
     rows = fights.join(members, ["source_id", "encounter_id"])
     longest = F.max_by(F.struct("source_id", "encounter_id", "title", "zone"), F.struct(F.col("duration_s"), F.col("source_id"), F.col("encounter_id")))
-    return rows.groupBy("fight_id").agg(longest.alias("p"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("logs"), F.min(F.when(F.col("success") > 0, F.col("success"))).alias("success")).select("fight_id", F.col("p.source_id").alias("primary_source"), "p.title", "p.zone", "start_ts", "end_ts", "logs", "success")
+    return rows.groupBy("fight_id").agg(longest.alias("p"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("logs"), F.min(F.when(F.col("success") > 0, F.col("success"))).alias("success")).select("fight_id", F.col("p.source_id").alias("primary_source"), F.col("p.encounter_id").alias("primary_encounter"), "p.title", "p.zone", "start_ts", "end_ts", "logs", "success")

@@ -84,3 +84,10 @@ def class_votes(used: DataFrame, class_map: DataFrame) -> DataFrame:
     counts = votes.groupBy("combatant", "class").agg(F.count("*").alias("votes"))
     best = F.row_number().over(Window.partitionBy("combatant").orderBy(F.desc("votes"), "class"))
     return counts.withColumn("_r", best).where("_r = 1 and votes >= 2").join(mapped, "combatant").select("combatant", "class", "votes", (F.col("votes").cast("double") / F.col("mapped").cast("double")).alias("confidence"))
+
+
+def infer_caster(hits: DataFrame, fights: DataFrame) -> DataFrame:
+    """Hits of an unknown attacker count as the title's of their fight, marked inferred."""
+    unknown = (F.col("attacker") == "Unknown") & F.col("title").isNotNull()
+    named = hits.join(fights.select("source_id", "encounter_id", "title"), ["source_id", "encounter_id"], "left")
+    return named.withColumns({"inferred": unknown, "attacker": F.when(unknown, F.col("title")).otherwise(F.col("attacker"))}).drop("title")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import archetype_of, per_second
+from ..functions.scalars import amount_class, archetype_of, avoid_actor, per_second
 from .sessions import encounter_window, encounter_zone
 from .stats import FIGHT, combatant_stats, count_if, encounter_title, share_of, success_level, sum_if
 
@@ -163,3 +163,20 @@ def rollup_fights(fight_rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 def zero_rows_dropped(stats: DataFrame) -> DataFrame:
     return stats.where("damage + healed + damage_taken + heals_taken + cures > 0")
+
+
+def fight_metric_columns(fight_rows: DataFrame, metric: str = "damage") -> DataFrame:
+    """A metric of each fight beside the average of its source and zone."""
+    w = Window.partitionBy("source_id", "zone")
+    return fight_rows.select("source_id", "zone", "encounter_id", metric, (F.sum(metric).over(w).cast("double") / F.count("*").over(w)).alias("average"))
+
+
+def avoidance_by_actor(kept: DataFrame, is_enemy) -> DataFrame:
+    """How and by whom the attacks on each combatant were turned aside."""
+    tried = kept.where(F.col("category").isin(1, 2) & (F.col("ability") != "Killing") & is_enemy(F.col("attacker")))
+    kind, actor = amount_class(F.col("amount")), avoid_actor(F.col("extra"), F.col("victim"))
+    counted = tried.groupBy(*FIGHT, F.col("victim").alias("combatant"), kind.alias("kind"), actor.alias("actor")).agg(F.count("*").alias("n"))
+    avoided = F.col("kind").isin("miss", "resist", "parry", "riposte", "block")
+    w = Window.partitionBy(*FIGHT, "combatant")
+    shares = {"of_swings": F.col("n").cast("double") / F.sum("n").over(w), "of_avoids": F.col("n").cast("double") / F.sum(F.when(avoided, F.col("n"))).over(w)}
+    return counted.withColumns(shares).where(avoided)

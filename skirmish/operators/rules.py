@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+from .sessions import islands
+
 #: Up to this many rules the table is broadcast to the lines.
 BROADCAST_RULES = 20_000
 
@@ -60,23 +63,27 @@ def accept_spaced(stamps, least: float, last: float | None = None) -> tuple[list
 
 
 def rate_limit(matches: DataFrame, cooldown_s: float = 1.0) -> DataFrame:
-    """Every match, with fires: whether its rule may announce again."""
+    """Every match, with fires: whether its rule may announce again.  After a
+    pause beyond the cooldown the past doesn't matter: a group is a stretch
+    between pauses."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         return pdf.assign(fires=accept_spaced(pdf["ts"], cooldown_s)[0])
 
-    return matches.groupBy("source_id", "rule").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
+    stretches = islands(stored(matches.select("source_id", "seq", "ts", "rule", "message")), cooldown_s, keys=("source_id", "rule"))
+    return stretches.groupBy("source_id", "rule", "island").applyInPandas(lambda pdf: group(pdf.drop(columns="island")), "source_id string, seq long, ts long, rule string, message string, fires boolean")
 
 
 def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
     """The same rule and text from several logs announces once."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "source_id", "seq"])
+        pdf = pdf.drop(columns="island").sort_values(["ts", "source_id", "seq"])
         return pdf[accept_spaced(pdf["ts"], within_s)[0]]
 
-    return fired.select("source_id", "seq", "ts", "rule", "message").groupBy("rule", "message").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string")
+    stretches = islands(stored(fired.select("source_id", "seq", "ts", "rule", "message")), within_s, keys=("rule", "message"), order=("ts", "source_id", "seq"))
+    return stretches.groupBy("rule", "message", "island").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string")
 
 
 def callouts(rows, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0):
@@ -104,8 +111,9 @@ def callouts(rows, least: int = 3, within: float = 4.0, hold: float = 0.9, coold
     return out
 
 
-def status_callouts(applied: DataFrame, **options) -> DataFrame:
+def status_callouts(applied: DataFrame, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0) -> DataFrame:
     """applied(source_id, seq, ts, victim, ability)."""
+    options = {"least": least, "within": within, "hold": hold, "cooldown": cooldown}
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -113,7 +121,8 @@ def status_callouts(applied: DataFrame, **options) -> DataFrame:
         rows = [(pdf["source_id"].iloc[0], pdf["ability"].iloc[0], float(t), n) for t, n in told]
         return pd.DataFrame(rows, columns=["source_id", "ability", "at_ts", "victims"], dtype=object)
 
-    return applied.select("source_id", "seq", "ts", "victim", "ability").groupBy("source_id", "ability").applyInPandas(group, "source_id string, ability string, at_ts double, victims long")
+    stretches = islands(stored(applied.select("source_id", "seq", "ts", "victim", "ability")), max(within, cooldown) + hold, keys=("source_id", "ability"))
+    return stretches.groupBy("source_id", "ability", "island").applyInPandas(group, "source_id string, ability string, at_ts double, victims long")
 
 
 def uses(rows, same_use: float = 2.0):
@@ -129,15 +138,19 @@ def uses(rows, same_use: float = 2.0):
 
 
 def ability_frequency(hits: DataFrame, longest: int = 300) -> DataFrame:
-    """The mean gap between uses of an ability; gaps up to 300 s count."""
+    """The mean gap between uses of an ability; gaps up to 300 s count, so
+    stretches between longer ones are summed apart."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         starts = uses(zip(pdf["ts"], pdf["victim"]))
         gaps = [b - a for a, b in zip(starts, starts[1:]) if 0 < b - a <= longest]
-        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "attacker": [pdf["attacker"].iloc[0]], "ability": [pdf["ability"].iloc[0]], "uses": [len(starts)], "mean_gap_s": [sum(gaps) / len(gaps) if gaps else 0.0]})
+        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "attacker": [pdf["attacker"].iloc[0]], "ability": [pdf["ability"].iloc[0]], "uses": [len(starts)], "gaps": [len(gaps)], "gap_s": [sum(gaps)]})
 
-    return hits.select("source_id", "seq", "ts", "attacker", "ability", "victim").groupBy("source_id", "attacker", "ability").applyInPandas(group, "source_id string, attacker string, ability string, uses long, mean_gap_s double")
+    stretches = islands(stored(hits.select("source_id", "seq", "ts", "attacker", "ability", "victim")), longest, keys=("source_id", "attacker", "ability"))
+    parts = stretches.groupBy("source_id", "attacker", "ability", "island").applyInPandas(group, "source_id string, attacker string, ability string, uses long, gaps long, gap_s long")
+    mean = F.when(F.sum("gaps") > 0, F.sum("gap_s") / F.sum("gaps")).otherwise(0.0)
+    return parts.groupBy("source_id", "attacker", "ability").agg(F.sum("uses").alias("uses"), mean.alias("mean_gap_s"))
 
 
 def pair_status(rows):

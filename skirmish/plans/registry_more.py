@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import grammar, scalars
 from ..operators import allies, archive, correlate, mining, reports, rules, sessions, stats
 from ..sources import adapter
 from . import sql
-from .registry import ally, enemy, kept, on_kept, on_swings, parsed, register, window
+from .registry import ally, enemy, kept, on_kept, on_swings, register, window
 
 # --- mining -----------------------------------------------------------------
 _HITS = ", mh as (select * from k where category in (1,2) and not a_ally and ability<>'Killing'), v1 as (select *, (lag(ts) over p is null or ts-lag(ts) over p>2)::int as nv from mh window p as (partition by source_id, encounter_id, attacker, ability order by ts, seq)), v2 as (select *, sum(nv) over (partition by source_id, encounter_id, attacker, ability order by ts, seq)::bigint as volley from v1), v3 as (select source_id, encounter_id, attacker, ability, volley, min(ts) as volley_ts, count(*) as hits, count(distinct victim) as targets, coalesce(sum(amount) filter (amount>0),0)::bigint as damage from v2 group by 1,2,3,4,5), v4 as (select *, (lag(volley_ts) over p is null or volley_ts-lag(volley_ts) over p>12)::int as nc from v3 window p as (partition by source_id, encounter_id, attacker, ability order by volley_ts)), vo as (select * exclude (nc), sum(nc) over (partition by source_id, encounter_id, attacker, ability order by volley_ts)::bigint as \"cast\" from v4), ca as (select source_id, encounter_id, attacker, ability, \"cast\", min(volley_ts) as cast_ts, count(*) as volleys, sum(hits)::bigint as hits, max(targets) as targets, sum(damage)::bigint as damage from vo group by 1,2,3,4,5)"
@@ -147,7 +147,7 @@ def rule_table(spark):
 
 
 def rule_lines(spark, d):
-    lines = parsed(spark, d).select("source_id", "seq", "ts", "message")
+    lines = grammar.parse_header(adapter.lines(spark, d)).select("source_id", "seq", "ts", "message")
     return lines.join(adapter.swings(spark, d).select("source_id", "seq", "zone"), ["source_id", "seq"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: what several passes read is
+    computed once, and a lost executor costs no more than its own work."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _named(lines: DataFrame) -> DataFrame:
     """Owner from eq2log_<Owner>.txt; server from the folder, none for "logs"."""
     path = F.col("source_id")
@@ -71,11 +80,19 @@ def read_rule_pack(spark: SparkSession, path: str) -> DataFrame:
     return deep.where("trim(t.regex) <> ''").select("zone", F.coalesce(F.nullif("t.category", F.lit("")), "mob").alias("category"), F.col("t.regex").alias("regex"), F.greatest(F.lit(0.0), F.least(F.lit(3600.0), F.coalesce("t.cooldown", F.lit(1.0)))).alias("cooldown_s"), F.col("t.timer").alias("timer_name"))
 
 
+#: The attributes of a rule in the short and the long dialect.
+_DIALECTS = {"regex": ("R", "Regex"), "category": ("C", "Category"), "sound_type": ("ST", "SoundType"), "starts_timer": ("T", "Timer"), "timer_name": ("TN", "TimerName"), "restrict_zone": ("CR", "CategoryRestrict"), "zone": ("Z", "Zone"), "active": ("A", "Active")}
+RULE_ATTRIBUTES = ", ".join(f"_{n} string" for pair in _DIALECTS.values() for n in pair)
+
+
+def rule_columns(raw: DataFrame, *kept: str) -> DataFrame:
+    """Rules from the attributes of either dialect, with defaults; the columns
+    named stay.  A rule without a pattern is none."""
+    out = raw.select(*kept, *[F.coalesce(f"_{a}", f"_{b}").alias(k) for k, (a, b) in _DIALECTS.items()])
+    flag = lambda c, default: F.coalesce(F.upper(c).isin("T", "TRUE", "1"), F.lit(default))
+    return out.where("regex is not null and trim(regex) <> ''").select(*kept, "regex", F.coalesce("category", F.lit("General")).alias("category"), F.coalesce(F.expr("try_cast(sound_type as int)"), F.lit(0)).alias("sound_type"), flag("starts_timer", False).alias("starts_timer"), F.coalesce("timer_name", F.lit("")).alias("timer_name"), flag("restrict_zone", False).alias("restrict_zone"), F.coalesce("zone", F.lit("")).alias("zone"), flag("active", True).alias("enabled"))
+
+
 def read_rule_xml(spark: SparkSession, path: str) -> DataFrame:
     """Trigger definitions in either attribute dialect."""
-    names = {"regex": ("R", "Regex"), "category": ("C", "Category"), "sound_type": ("ST", "SoundType"), "starts_timer": ("T", "Timer"), "timer_name": ("TN", "TimerName"), "restrict_zone": ("CR", "CategoryRestrict"), "zone": ("Z", "Zone"), "active": ("A", "Active")}
-    schema = ", ".join(f"_{n} string" for pair in names.values() for n in pair)
-    raw = spark.read.format("xml").option("rowTag", "Trigger").schema(schema).load(path)
-    out = raw.select(*[F.coalesce(f"_{a}", f"_{b}").alias(k) for k, (a, b) in names.items()])
-    flag = lambda c, default: F.coalesce(F.upper(c).isin("T", "TRUE", "1"), F.lit(default))
-    return out.where("regex is not null and trim(regex) <> ''").select("regex", F.coalesce("category", F.lit("General")).alias("category"), F.coalesce(F.expr("try_cast(sound_type as int)"), F.lit(0)).alias("sound_type"), flag("starts_timer", False).alias("starts_timer"), F.coalesce("timer_name", F.lit("")).alias("timer_name"), flag("restrict_zone", False).alias("restrict_zone"), F.coalesce("zone", F.lit("")).alias("zone"), flag("active", True).alias("enabled"))
+    return rule_columns(spark.read.format("xml").option("rowTag", "Trigger").schema(RULE_ATTRIBUTES).load(path))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import timers
 from ..operators.rules import accept_spaced, match_rules
 from ..operators.sessions import IDLE
 
@@ -66,6 +69,20 @@ def stream_rate_limit(matches: DataFrame, cooldown_s: float = 1.0) -> DataFrame:
     return matches.groupBy("source_id", "rule").applyInPandasWithState(step, "source_id string, seq long, ts long, rule string", "last double", "append", "NoTimeout")
 
 
+def stream_recast_timers(steps: DataFrame, debuffs: dict = timers.DEBUFFS) -> DataFrame:
+    """Bars of a stream of timers.timer_steps, emitted when they are over.
+    State per source: its running bars and debuffs, as JSON."""
+
+    def step(key, batches, state):
+        held = json.loads(state.get[0]) if state.exists else {}
+        pdf = pd.concat(list(batches)).sort_values(["seq", "step"])
+        held, over = timers.advance(held, pdf.itertuples(index=False), debuffs)
+        state.update((json.dumps(held),))
+        yield timers.frame(key[0], over)
+
+    return steps.groupBy("source_id").applyInPandasWithState(step, timers.BARS, "held string", "append", "NoTimeout")
+
+
 def stream_mini_parse(swings: DataFrame) -> DataFrame:
     """Running damage by attacker and minute of a log, late lines up to a minute."""
     timed = swings.where("category in (1, 2) and amount > 0").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "1 minute")

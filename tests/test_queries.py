@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from skirmish.plans import registry, registry_more, registry_sources  # noqa: F401
+from skirmish.plans import registry, registry_more, registry_sources, registry_timers  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
