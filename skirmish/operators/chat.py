@@ -24,7 +24,7 @@ def chat_rule_shares(lines: DataFrame) -> DataFrame:
     name = F.regexp_extract(message, r"(?s)^\\aPC [^:]*:(.*?)\\/a ", 1)
     said = lines.where(message.contains("<Trigger") & (own | message.startswith(PLAYER)))
     said = said.select("source_id", "seq", "ts", own.alias("is_self"), F.when(own, "You").otherwise(name).alias("sharer"), snippet.alias("_s")).where("_s <> '' and sharer <> ''")
-    read = said.withColumn("_r", F.from_xml("_s", RULE_ATTRIBUTES, {"rowTag": "Trigger"})).select("source_id", "seq", "ts", "is_self", "sharer", "_r.*")
+    read = said.withColumn("_r", F.explode(F.array(F.from_xml("_s", RULE_ATTRIBUTES, {"rowTag": "Trigger"})))).select("source_id", "seq", "ts", "is_self", "sharer", "_r.*")
     return rule_columns(read, "source_id", "seq", "ts", "is_self", "sharer")
 
 

@@ -74,4 +74,6 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("A door creaks "), F.col("seq").cast("string"), F.lit(" times.")))
     )
     stamp = F.date_format(F.timestamp_seconds("ts"), "EEE MMM dd HH:mm:ss yyyy")
-    return s.select("source_id", "owner", "seq", F.concat(F.lit("("), F.col("ts").cast("string"), F.lit(")["), stamp, F.lit("] "), message).alias("raw"))
+    raw = F.concat(F.lit("("), F.col("ts").cast("string"), F.lit(")["), stamp, F.lit("] "), message)
+    # Through a generator the text is a plain value, not an expression copied into every use.
+    return s.select("source_id", "owner", "seq", F.explode(F.array(raw)).alias("raw"))
