@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+from .sessions import islands
+
 TOLERANCE = 30
 
 
@@ -55,11 +58,9 @@ def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """(source_id, encounter_id, fight_id).  Nothing merges across a stretch in
     which a zone is quiet for longer than the tolerance, so each stretch of a
     zone is replayed by itself."""
-    zone = seen.withColumn("_zone", F.lower("zone"))
-    order = Window.partitionBy("_zone").orderBy("start_ts", "source_id", "encounter_id")
-    reach = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col("start_ts") > reach + tolerance)).cast("int")
-    blocks = zone.withColumn("_new", new).withColumn("_block", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = ("source_id", "encounter_id", "start_ts", "end_ts", "names")
+    rows = stored(seen.select(F.lower("zone").alias("_zone"), F.col("start_ts").alias("ts"), *columns))
+    blocks = islands(rows, tolerance, keys=("_zone",), order=("start_ts", "source_id", "encounter_id"), until="end_ts")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end_ts", "source_id", "encounter_id"])
@@ -68,8 +69,7 @@ def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
         ids = (first["source_id"] + "/" + first["encounter_id"].astype(str)).to_dict()
         return pd.DataFrame({"source_id": pdf["source_id"], "encounter_id": pdf["encounter_id"], "fight_id": [ids[n] for n in joined]})
 
-    columns = ("_zone", "_block", "source_id", "encounter_id", "start_ts", "end_ts", "names")
-    return blocks.select(*columns).groupBy("_zone", "_block").applyInPandas(replay, "source_id string, encounter_id long, fight_id string")
+    return blocks.groupBy("_zone", "island").applyInPandas(replay, "source_id string, encounter_id long, fight_id string")
 
 
 def merge_combatants(members: DataFrame, stats: DataFrame, owners: DataFrame) -> DataFrame:

@@ -24,20 +24,21 @@ def _beside(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def islands(swings: DataFrame, idle: float = IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def islands(swings: DataFrame, idle: float = IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",), until: str = "ts") -> DataFrame:
     """Adds island: the seq of the last line at or before this one that comes
     more than `idle` after every earlier line of its source.  No encounter
     crosses an island, so one giant log is worked on in parallel.  Windows run
     over parts of a source; only a row a part runs over the whole source.
     Other keys and orders do for other machines with a bounded memory; rows
-    without a key keep to themselves, as in a group."""
+    without a key keep to themselves, as in a group.  Rows that last name the
+    column of their end in `until`."""
     s = swings.withColumn("_part", F.expr(f"{order[0]} div {int(part_rows)}"))
     by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
     by_source = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    tops = s.groupBy(*keys, "_part").agg(F.max("ts").alias("_top")).select(*keys, "_part", F.max("_top").over(by_source).alias("_earlier"))
+    tops = s.groupBy(*keys, "_part").agg(F.max(until).alias("_top")).select(*keys, "_part", F.max("_top").over(by_source).alias("_earlier"))
     s = _beside(s, tops, (*keys, "_part"))
-    latest = F.greatest(F.max("ts").over(before), F.col("_earlier"))
+    latest = F.greatest(F.max(until).over(before), F.col("_earlier"))
     s = s.withColumn("_cut", F.when(latest.isNull() | (F.col("ts") - latest > idle), F.col(order[0])))
     carried = s.groupBy(*keys, "_part").agg(F.max("_cut").alias("_c")).select(*keys, "_part", F.max("_c").over(by_source).alias("_carried"))
     within = F.max("_cut").over(by_part.rowsBetween(Window.unboundedPreceding, 0))
