@@ -1,9 +1,19 @@
 """Line dedup by content-defined line chunks.
 
-A text is split at \\n.  A rolling hash over the hashes of the last lines marks
-chunk ends, so boundaries follow the content and survive shifts.  Chunks of two
-or more lines that occur anywhere before (by doc_id, then place) are removed,
-after a comparison of their bytes.
+A text is split at \\n.  There are two forms.
+
+dedup_passages: every two neighbouring visible lines are a chunk, with the blank
+lines between them.  A chunk that occurs anywhere before (by doc_id, then place)
+is removed, so a repeated passage of two or more visible lines goes whole,
+whatever surrounds it.  Chunks are compared by 128-bit BLAKE2b digests.  The
+first place of every visible line stays: a chunk that covers it can't occur
+before.  Lines of the first copy itself stay where a later copy overlaps it.
+
+dedup_lines: a rolling hash over the hashes of the last lines marks chunk ends,
+so boundaries follow the content and survive shifts; of ends after neighbouring
+lines the one with the least hash counts, so that a chunk has two lines at
+least.  Chunks that occur before are removed, after a comparison of their bytes;
+what a repeated passage has outside whole chunks stays.
 
 Only digests are shuffled for all chunks; the texts of chunks travel only where
 the digest repeats.  Equal digests are brought together by pre-aggregation, and
@@ -19,6 +29,8 @@ kept as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +43,7 @@ from .common import small_batches, stored
 WINDOW_LINES = 2
 DIVISOR = 2
 SALTS = 32
+HOT_SHARE = 1000
 
 CHUNKS = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -43,7 +56,8 @@ CHUNKS = T.StructType([
 
 def chunk_bounds(lines: list[str], window: int = WINDOW_LINES, divisor: int = DIVISOR) -> list[tuple[int, int]]:
     """[start, end) of the chunks.  A chunk ends after a line where the hash of
-    the last `window` lines is 0 modulo divisor."""
+    the last `window` lines is 0 modulo divisor and less than at a neighbouring
+    line that qualifies as well; only a text of one line gives a chunk of one."""
     hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
     rolled = np.zeros(len(lines), np.uint64)
     for back in range(min(window, len(lines))):
@@ -51,6 +65,11 @@ def chunk_bounds(lines: list[str], window: int = WINDOW_LINES, divisor: int = DI
     rolled ^= rolled >> np.uint64(33)
     rolled *= np.uint64(0xFF51AFD7ED558CCD)
     ends = np.flatnonzero((rolled >> np.uint64(32)) % np.uint64(divisor) == 0) + 1
+    at = rolled[ends - 1]
+    apart, less = np.diff(ends) > 1, at[:-1] < at[1:]
+    after, before = np.ones(len(ends), bool), np.ones(len(ends), bool)
+    after[:-1], before[1:] = apart | less, apart | ~less
+    ends = ends[after & before & (ends > 1) & (ends != len(lines) - 1)]
     cuts = [0, *ends.tolist()]
     if cuts[-1] != len(lines):
         cuts.append(len(lines))
@@ -147,3 +166,83 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
+
+
+PAIRS = T.StructType([
+    T.StructField("doc_id", T.LongType()),
+    T.StructField("first_line", T.IntegerType()),
+    T.StructField("lines", T.IntegerType()),
+    T.StructField("high", T.LongType()),
+    T.StructField("low", T.LongType()),
+])
+
+
+def pair_digest(lines: list[str]) -> tuple[int, int]:
+    digest = hashlib.blake2b("\n".join(lines).encode(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """Places and digests of every two neighbouring visible lines."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = text.split("\n")
+                visible = [i for i, line in enumerate(lines) if line.strip()]
+                for a, b in zip(visible, visible[1:]):
+                    for column, x in zip(out, (doc, a, b - a + 1, *pair_digest(lines[a : b + 1])), strict=True):
+                        column.append(x)
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=PAIRS.names)
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, PAIRS)
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_id, first_line, lines, skip, low): every pair that occurs earlier;
+    its first skip lines belong to the first copy."""
+    pairs = stored(line_pairs(docs))
+    first = stored(pairs.groupBy("high", "low").agg(F.min(F.struct("doc_id", "first_line")).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.where(F.col("n") > total / HOT_SHARE).select("high", "low", "kept")  # fewer than HOT_SHARE rows
+    rest = first.where(F.col("n") <= total / HOT_SHARE).select("high", "low", "kept")
+    marked = pairs.join(F.broadcast(hot.withColumnRenamed("kept", "hot_kept")), ["high", "low"], "left")
+    keep = ("doc_id", "first_line", "lines", "low", "kept")
+    found = marked.where("hot_kept is not null").withColumnRenamed("hot_kept", "kept").select(*keep).unionByName(marked.where("hot_kept is null").join(rest, ["high", "low"]).select(*keep))
+    later = found.where("doc_id != kept.doc_id or first_line != kept.first_line")
+    skip = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.first_line") + F.col("lines") - F.col("first_line"))).otherwise(0)
+    return later.select("doc_id", "first_line", "lines", skip.alias("skip"), "low")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs with every repeated passage of two or more visible lines removed from
+    text; adds n_removed (lines)."""
+    gone = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("first_line", "lines", "skip", "low")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
+    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    at = joined.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts, counts = [], []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                out = set()
+                if text is not None and gone:
+                    lines = text.split("\n")
+                    for g in gone:
+                        a, b = g["first_line"], g["first_line"] + g["lines"]
+                        # A row with the same doc_id and another text isn't touched.
+                        if b <= len(lines) and pair_digest(lines[a:b])[1] == g["low"]:
+                            out.update(range(a + g["skip"], b))
+                    text = "\n".join(line for i, line in enumerate(lines) if i not in out)
+                texts.append(text)
+                counts.append(len(out))
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=schema.names)
+
+    return joined.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ def op1_ngram_jaccard(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return lines.dedup_lines(documents(spark, sf_dir))
+    return lines.dedup_passages(documents(spark, sf_dir))
 
 
 def op3_tokens(spark, sf_dir):

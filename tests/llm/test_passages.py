@@ -1,0 +1,56 @@
+from skirmish.llm import lines, queries
+
+from .helpers import SCHEMA, clashing, frame
+from .test_lines import make_rows
+
+
+def passages(rows):
+    """Sequential: of two neighbouring visible lines seen before, all lines go
+    that aren't part of the first copy."""
+    seen, out = {}, {}
+    for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
+        if text is None:
+            out[doc] = (None, 0)
+            continue
+        parts, gone = text.split("\n"), set()
+        visible = [i for i, x in enumerate(parts) if x.strip()]
+        for a, b in zip(visible, visible[1:]):
+            at = seen.setdefault("\n".join(parts[a : b + 1]), (doc, a))
+            if at != (doc, a):
+                gone |= {i for i in range(a, b + 1) if at[0] != doc or i > at[1] + b - a}
+        out[doc] = ("\n".join(x for i, x in enumerate(parts) if i not in gone), len(gone))
+    return out
+
+
+def test_whole_passages_go_whatever_surrounds_them(spark, tmp_path):
+    passage = [f"line {i} of the passage" for i in range(4)]
+    rows = [(i, "\n".join([f"a{i}", f"b{i}", *passage[: 2 + i % 3], f"c{i}", f"{'single' if i % 2 else 'd'}"]), "en", "s", 0) for i in range(30)]
+    rows[2] = (2, "\n".join(["a2", *passage, "", "c2"]), "en", "s", 0)
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"].split("\n") for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(x for t in got.values() for x in t if x in passage) == passage
+    assert all(sum(x.startswith(c) for x in got[i]) == 1 for i in got if i != 2 for c in "abc")
+    assert sum("single" in t for t in got.values()) == 15
+
+
+def test_passages_match_a_sequential_pass(spark, monkeypatch):
+    rows = make_rows()
+    rows += [(len(rows), "\n".join(["x", "x", "x", "x", "y", "", "x", "x"]), "en", "s", 0)]
+    want = passages(rows)
+    for share in (1, lines.HOT_SHARE):
+        monkeypatch.setattr(lines, "HOT_SHARE", share)
+        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_passages(clashing(frame(spark, rows))).collect()}
+        assert got == want
+    assert want[len(rows) - 1][0] == "x\nx\ny\n"
+    stay = {x for t, _ in want.values() if t for x in t.split("\n")}
+    assert {x for _, t, *_ in rows if t for x in t.split("\n") if x.strip()} <= stay
+    text = "\n".join(f"l{i}" for i in range(30))
+    odd = [(1, text, None, None, None)] * 2 + [(None, text, None, None, None), (1, "other\ntext", None, None, None)]
+    assert sorted(r["text"] for r in lines.dedup_passages(frame(spark, odd)).collect()) == sorted([text] * 3 + ["other\ntext"])
+    assert lines.dedup_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_no_chunk_of_one_line():
+    text = [f"line {i}" for i in range(500)]
+    assert all(b - a > 1 for n in range(2, 500) for a, b in lines.chunk_bounds(text[:n]))
+    assert lines.chunk_bounds(["a"]) == [(0, 1)]
