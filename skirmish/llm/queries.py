@@ -37,7 +37,7 @@ def op7_quality(spark, sf_dir):
 
 
 def op8_substring(spark, sf_dir):
-    return substring.repeated_spans(documents(spark, sf_dir))
+    return substring.decided_spans(documents(spark, sf_dir))
 
 
 def op9_media(spark, sf_dir):
