@@ -7,11 +7,11 @@ language, the logistic loss of the predicted margins against its codeword, each
 bit weighted by how reliable it is for that language, and takes the least loss.
 A small lead over the runner-up is flagged as ambiguous.
 
-Only training fits in memory by a bound: of each language about `sample`
-labelled documents, chosen by a hash of doc_id, are read whole.  Counts come
-back as one table of languages x buckets.
+Only training fits in memory by a bound: of each of the MAX_LANGUAGES most
+frequent languages about `sample` labelled documents, chosen by a hash of
+doc_id, are read whole.  Counts come back as one table of languages x buckets.
 
-Cases: a null text, or one without a letter, gets `und` and score 0; without
+Cases: a null text, or one without a letter (Unicode class L), gets `und` and score 0; without
 training rows every document does; null and repeated rows are predicted each for
 itself; an empty table gives an empty result; other columns are left out.
 """
@@ -33,9 +33,11 @@ from .common import small_batches
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE = 3000
+#: The most frequent languages, this many, are learned; bounds what training sends to the driver.
+MAX_LANGUAGES = 1000
 AMBIGUOUS_LEAD = 0.05
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _fold: list[np.ndarray] = []
 
 
@@ -46,6 +48,11 @@ def _letters() -> np.ndarray:
     return _fold[0]
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode class L; fractions, powers and number signs are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def ngram_counts(text: str) -> np.ndarray:
     """Counts of hashed character n-grams of the whole text."""
     out = np.zeros(BUCKETS, np.float32)
@@ -95,7 +102,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool, int]:
         """Language, score, ambiguous, wrong bits of the chosen codeword."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, True, 0
         margin = self.margins(text)
         losses = (self.reliability * np.logaddexp(0, -self.code * margin)).sum(1)
@@ -118,7 +125,7 @@ def held_out(doc_id):
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows(key, lang, text).  About `sample` documents a language are used."""
     small_batches(rows.sparkSession)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1)))

@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark):
 
 def test_texts_without_letters_and_awkward_rows(spark):
     model = language.train(language.training_rows(frame(spark, texts(80))))
-    rows = awkward() + [(900, "12 34 -- _", "aa", "s", 0), (None, "ung keit", None, None, None)]
+    rows = awkward() + [(900, "12 34 -- _", "aa", "s", 0), (901, "½ ² ① Ⅷ", "aa", "s", 0), (902, "½ ² ª", "aa", "s", 0), (None, "ung keit", None, None, None)]
     got = {r["doc_id"]: r for r in language.predict(frame(spark, rows), model).collect()}
     for doc, text, *_ in rows:
         letters = any(c.isalpha() for c in text or "")
@@ -77,3 +77,50 @@ def test_long_texts_count_like_short_ones(monkeypatch):
     text = "größe und weite " * 70_000
     whole = language.ngram_counts(text)
     assert whole.sum() == 3 * len(text) - 3
+
+
+def plain_counts(text):
+    """Hashed n-grams, one by one."""
+    fold = [ord(c) if ord(c) > 0xFFFF or c.isalpha() else 32 for c in text.lower()]
+    out = np.zeros(language.BUCKETS)
+    for n in (1, 2, 3):
+        for i in range(len(fold) - n + 1):
+            h = fold[i] * 2654435761 % (1 << 32)
+            for j, factor in zip(range(1, n), (2246822519, 3266489917)):
+                h = (h ^ (fold[i + j] + j + 1)) * factor % (1 << 32)
+            out[h >> (32 - language.BUCKET_BITS)] += 1
+    return out
+
+
+def test_training_and_decoding_against_a_plain_version(spark):
+    rows = [r for r in texts(60)]
+    model = language.train(language.training_rows(frame(spark, rows)))
+    train = [(t, lang) for d, t, lang, *_ in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    langs = sorted({lang for _, lang in train})
+    code = language.codewords(len(langs))
+    share = []
+    for lang in langs:
+        c = sum(plain_counts(t) for t, la in train if la == lang) + 0.5
+        share.append(c / c.sum())
+
+    def margins(text):
+        counts = plain_counts(text)
+        out = []
+        for bit in range(code.shape[1]):
+            one = np.mean([p for p, c in zip(share, code[:, bit]) if c > 0], 0)
+            other = np.mean([p for p, c in zip(share, code[:, bit]) if c < 0], 0)
+            out.append(float(counts @ np.log(one / other)) / max(1.0, counts.sum()) ** 0.5)
+        return out
+
+    worth = {}
+    for i, lang in enumerate(langs):
+        told = [margins(t) for t, la in train if la == lang]
+        good = [(sum(np.sign(m[b]) == code[i, b] for m in told) + 1) / (len(told) + 2) for b in range(code.shape[1])]
+        w = [max(g - 0.5, 0.01) for g in good]
+        worth[lang] = [x / sum(w) for x in w]
+    for _, text, *_ in rows:
+        m = margins(text)
+        loss = {lang: sum(w * np.log1p(np.exp(-code[i, b] * m[b])) for b, w in enumerate(worth[lang])) for i, lang in enumerate(langs)}
+        best = min(loss, key=loss.get)
+        got, score, *_ = model.predict(text)
+        assert got == best and abs(score - 1 / sum(np.exp(loss[best] - x) for x in loss.values())) < 1e-3
