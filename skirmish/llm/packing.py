@@ -8,7 +8,8 @@ combinations by non-negative least squares, rounds them down, and packs what is
 left greedily.  The plan is a list of runs "pieces of length l with ranks r to
 r + n go to sequences s to s + n"; the executors look their pieces up in it.
 
-Cases: a null text counts as empty and still has its end id; repeated rows are
+Cases: a null text counts as empty and still has its end id; a very long text
+is tokenized whole and gives as many windows as it fills; repeated rows are
 packed as often as they occur; an empty table gives an empty result; other
 columns are left out.
 """
@@ -35,17 +36,29 @@ DEPTH = 3
 _encoders: dict[str, object] = {}
 
 
+#: Fixed value: the special token of the vocabulary.  Where its string stands in a
+#: text the tokenizer gives its id, so this does too.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def encoder(path: str):
-    """Byte-level BPE from a file of ranks; the same vocabulary and the same ids
-    as the tokenizer file that lies beside it, at five times its speed.  Strings
-    that look like special tokens are ordinary text."""
+    """A function from a text to its ids: byte-level BPE from a file of ranks, the
+    same vocabulary and the same ids as the tokenizer file that lies beside it, at
+    five times its speed."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+        def encode(text: str) -> list[int]:
+            if any(s in text for s in SPECIAL):
+                return bpe.encode(text, allowed_special="all")
+            return bpe.encode_ordinary(text)
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -70,7 +83,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WIN
     where = vocabulary or default_vocabulary()
 
     def cut(batches):
-        encode = encoder(where).encode_ordinary
+        encode = encoder(where)
         for batch in batches:
             ids_, starts, lengths, crcs, totals = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

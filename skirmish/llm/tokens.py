@@ -74,7 +74,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     where = vocabulary or default_vocabulary()
 
     def run(batches):
-        encode, task, done = encoder(where).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, task, done = encoder(where), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(1).to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)

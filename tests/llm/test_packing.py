@@ -13,9 +13,7 @@ from .helpers import SCHEMA, awkward, clashing, frame
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def hold(rows, got, tokenizer):
@@ -42,7 +40,8 @@ def hold(rows, got, tokenizer):
 
 
 def test_awkward_rows(spark, tokenizer):
-    rows = awkward() + [(1000, "<|endoftext|> is text", None, None, None)]
+    special = ("<|endoftext|> is special", "a<|endoftext|><|endoftext|> b \n", "no <|endoftext| >", "end <|endoftext|>")
+    rows = awkward() + [(1000 + i, text, None, None, None) for i, text in enumerate(special)]
     hold(rows, packing.pack_documents(clashing(frame(spark, rows))).collect(), tokenizer)
 
 

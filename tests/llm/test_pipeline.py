@@ -54,7 +54,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
             by_sequence = defaultdict(int)
             for r in after:
                 by_sequence[r["sequence_id"]] += r["length"]
-            encode = packing.encoder(packing.default_vocabulary()).encode_ordinary
+            encode = packing.encoder(packing.default_vocabulary())
             assert sum(by_sequence.values()) == sum(len(encode(r[1] or "")) + 1 for r in before)
             assert max(by_sequence.values()) <= 2048
 

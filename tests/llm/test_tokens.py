@@ -25,7 +25,7 @@ def test_round_trip(spark, tmp_path):
     held = spark.read.parquet(str(tmp_path / "shards"))
     got = tokens.digest(held).collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    encode, by_doc = packing.encoder(packing.default_vocabulary()).encode_ordinary, defaultdict(list)
+    encode, by_doc = packing.encoder(packing.default_vocabulary()), defaultdict(list)
     for r in got:
         assert (r["shard"], r["offset"]) == (r["slot"] // 50, r["slot"] % 50 * 128)
         by_doc[r["doc_id"]].append(r)
