@@ -66,6 +66,41 @@ def test_shards_are_disjoint_equal_and_mixed(spark):
         assert all(abs(part[k] / n - whole[k] / len(draws)) < 0.12 for k in whole)
 
 
+def test_the_tree_decides(spark, monkeypatch):
+    rows = [(i, "w " * (50 + i % 90), "en", f"s{i % 4}", 0) for i in range(200)]
+    docs = frame(spark, rows)
+
+    def drawn():
+        return sorted(map(tuple, mixing.Mix(docs, block_words=8, shard_words=4000).draws.select("doc_id", "block", "epoch", "shard").collect()))
+
+    whole, tree = drawn(), mixing.splitting_tree
+    leaves = tree(spark.createDataFrame([(0, 1000), (1, 37), (2, 0)], "source_id int, quota long"), 3, 5).collect()
+    for source, quota in ((0, 1000), (1, 37)):
+        own = sorted((r["start"], r["quota"]) for r in leaves if r["source_id"] == source)
+        assert sum(q for _, q in own) == quota and all(a + q == b for (a, q), (b, _) in zip(own, own[1:]))
+    sums = Counter()
+    for r in leaves:
+        sums[r["shard"]] += r["quota"]
+    assert sorted(sums) == list(range(8)) and max(sums.values()) - min(sums.values()) <= 3
+    # Other splits move blocks to other shards; a shard without quotas draws nothing.
+    monkeypatch.setattr(mixing, "splitting_tree", lambda s, levels, seed: tree(s, levels, seed + 1))
+    other = drawn()
+    assert other != whole and [r[:3] for r in other] == [r[:3] for r in whole]
+    monkeypatch.setattr(mixing, "splitting_tree", lambda s, levels, seed: tree(s, levels, seed).where("shard <> 1"))
+    assert drawn() == [r for r in whole if r[3] != 1]
+
+
+def test_texts_of_one_doc_id(spark):
+    rows = [(1, f"a{i} b{i} c{i} d{i}", "en", "x", 5) for i in range(12)] + [(None, f"n{i} m{i}", "en", "x", 5) for i in range(6)] + [(2, "same text here", "en", "y", 3)] * 4
+    df = frame(spark, rows)
+    first = sorted(map(tuple, mixing.mix_documents(df, block_words=1).collect()), key=str)
+    for again in (df.repartition(5), df.orderBy("text"), df.orderBy(df.text.desc())):
+        assert sorted(map(tuple, mixing.mix_documents(again, block_words=1).collect()), key=str) == first
+    taken = mixing.Mix(df, block_words=1).taken()
+    assert taken.count() == len(rows) and taken.where("taken > 2 * size").count() == 0
+    assert sum(len(r[1].split()) for r in first) == sum(r["taken"] for r in taken.collect())
+
+
 def test_hypergeometric_moments(spark):
     from pyspark.sql import functions as F
 
