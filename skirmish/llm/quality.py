@@ -7,12 +7,14 @@ matter), and it is kept if the score reaches a fixed threshold.  Cheap base
 rules come before: very few words, or many words in repeated 5-word windows.
 
 Everything is DataFrame expressions.  N-grams are counted in their tasks before
-anything is shuffled; the table of ratios has a fixed number of rows.
+anything is shuffled; the table of ratios has a fixed number of entries and is
+sent as one array, so every row is scored where it is read.
 
 Cases: a null or wordless text has no words and fails the base rules; without
-trusted documents all ratios are 0 and the base rules decide; repeated rows are
-scored each for itself; an empty table gives an empty result; other columns are
-left out.
+trusted documents all ratios are 0 and the base rules decide; every row is
+scored for itself, also where rows repeat a doc_id or have none (if one of them
+is trusted by its doc_id, all of that doc_id are); a very long text is scored
+whole; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MIN_WORDS = 10
 REPEAT_WINDOW = 5
 REPEAT_PERCENT = 20
 #: Up to this many trusted ids (8 bytes each) they are broadcast, beyond it joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -38,32 +40,44 @@ def _words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, GAP)).otherwise(F.array().cast("array<string>"))
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, words)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _words(F.coalesce("text", F.lit(""))).alias("words"))
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, words, h): h has a hash for each word."""
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _words(F.coalesce("text", F.lit(""))).alias("words"))
+    return words.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed)."""
+def _after(h: str, i: Column, k: int) -> Column:
+    return F.get(F.col(h), i + k)
+
+
+def base_measures(docs: DataFrame, ratios: Column | None = None) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed); with ratios, an array by bucket, also llr, the mean log ratio
+    of the row's n-grams."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    window = REPEAT_WINDOW
-    # The hash of the window that starts at each word; `words` is used twice, so it is computed once.
-    grams = F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(1), F.size("words") - (window - 1)), lambda i: F.xxhash64(F.slice("words", i, window)))).otherwise(F.array().cast("array<bigint>"))
+    window, n = REPEAT_WINDOW, F.size("h")
+    # The hash of the window that starts at each word.
+    grams = F.when(n >= window, F.transform(F.slice("h", 1, n - (window - 1)), lambda x, i: F.xxhash64(x, *[_after("h", i, k) for k in range(1, window)]))).otherwise(F.array().cast("array<bigint>"))
+    score = []
+    if ratios is not None:
+        one = F.transform("h", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+        two = F.transform(F.slice("h", 1, F.greatest(n - 1, F.lit(0))), lambda x, i: (F.pmod(F.xxhash64(x, _after("h", i, 1)), F.lit(BUCKETS)) + BUCKETS).cast("int"))
+        score = [F.concat(one, two).alias("cells"), ratios.alias("ratios")]
     measured = (
-        with_row_key(docs)
-        .select("doc_id", "text", "words", grams.alias("grams"))
+        hashed_words(docs)
+        .select("doc_id", "text", "words", "h", grams.alias("grams"), *score)
         .select(
             "doc_id",
-            F.size("words").cast("long").alias("n_words"),
+            n.cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
             lines.alias("lines"),
             # Only where a window repeats: equal windows side by side.
             F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("at"))))).alias("placed"),
+            *([(F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.get(F.col("ratios"), c)) / F.greatest(F.size("cells"), F.lit(1))).alias("llr")] if score else []),
         )
-        .select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("placed"), window).alias("n_repeat_words"))
+        .select("doc_id", "n_words", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeated(F.col("placed"), window).alias("n_repeat_words"), *(["llr"] if score else []))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
@@ -89,26 +103,25 @@ def _repeated(placed: Column, window: int) -> Column:
     return F.when(placed.isNotNull(), covered).otherwise(F.lit(0).cast("long"))
 
 
-def _grams(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row a word: its bucket and that of the bigram it starts (null at the end)."""
-    pairs = F.arrays_zip(F.col("words"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))))
-    rows = docs.select(*keep, F.explode(pairs).alias("p"))
-    one = F.pmod(F.xxhash64("p.words"), F.lit(BUCKETS)).cast("int")
-    two = F.when(F.col("p.1").isNotNull(), (F.pmod(F.xxhash64("p.words", "p.1"), F.lit(BUCKETS)) + BUCKETS).cast("int"))
-    return rows.select(*keep, one.alias("u"), two.alias("b"))
+def _cells(docs: DataFrame, good: bool) -> DataFrame:
+    """(good, bucket): a row a word and a row a bigram of neighbours."""
+    pairs = F.arrays_zip(F.col("h").alias("a"), F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))).alias("b"))
+    rows = hashed_words(docs).select(F.explode(pairs).alias("p"))
+    one = F.pmod("p.a", F.lit(BUCKETS)).cast("int")
+    two = F.when(F.col("p.b").isNotNull(), (F.pmod(F.xxhash64("p.a", "p.b"), F.lit(BUCKETS)) + BUCKETS).cast("int"))
+    return rows.select(one.alias("u"), two.alias("v")).select(F.lit(good).alias("good"), F.explode(F.array("u", "v")).alias("bucket")).where("bucket is not null")
 
 
 def bucket_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, ratio): log of the trusted over the raw probability.  trusted:
     doc_id of trusted documents."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("t_id")).where("t_id is not null").distinct()
-    texts = with_row_key(docs).select("doc_id", "words")
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = texts.join(small, F.col("doc_id") == F.col("t_id"), "left").select("words", F.col("t_id").isNotNull().alias("good"))
+    best = docs.join(small, F.col("doc_id").cast("long") == F.col("t_id"), "left_semi")
     counts = (
-        _grams(marked, "good").select("good", F.explode(F.array("u", "b")).alias("bucket")).where("bucket is not null")
+        _cells(docs, False).unionByName(_cells(best, True))
         .groupBy("good", "bucket").count()
-        .groupBy("bucket").agg(F.sum("count").alias("raw"), F.coalesce(F.sum(F.when(F.col("good"), F.col("count"))), F.lit(0)).alias("target"))
+        .groupBy("bucket").agg(F.coalesce(F.sum(F.when(~F.col("good"), F.col("count"))), F.lit(0)).alias("raw"), F.coalesce(F.sum(F.when(F.col("good"), F.col("count"))), F.lit(0)).alias("target"))
     )
     table = Window.partitionBy((F.col("bucket") >= BUCKETS))
     smooth = lambda c: (F.col(c) + SMOOTHING) / (F.sum(c).over(table) + SMOOTHING * BUCKETS)
@@ -116,20 +129,15 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return counts.select("bucket", ratio.alias("ratio"))
 
 
-def scores(docs: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(doc_id, llr): mean log ratio of a document's n-grams.  ratios has at
-    most 2 x BUCKETS rows, which bounds the broadcast."""
-    one = F.broadcast(ratios.select(F.col("bucket").alias("u"), F.col("ratio").alias("ru")))
-    two = F.broadcast(ratios.select(F.col("bucket").alias("b"), F.col("ratio").alias("rb")))
-    rows = _grams(with_row_key(docs).where(F.size("words") > 0).select("doc_id", "words"), "doc_id").join(one, "u", "left").join(two, "b", "left")
-    total = F.sum(F.coalesce("ru", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)))
-    n = F.count("*") + F.count("b")
-    return rows.groupBy("doc_id").agg((total / n).alias("llr"))
+def ratio_array(ratios: DataFrame) -> Column:
+    """The ratios by bucket as one array, of fixed size; 0 where nothing fell."""
+    every = ratios.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(ratios, "bucket", "left")
+    cells = F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))))
+    return every.groupBy().agg(cells.alias("c")).select("c.ratio").scalar()
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every document with its measures, score and verdict."""
-    score = scores(docs, bucket_ratios(docs, trusted)).withColumnRenamed("doc_id", "s_id")
-    # Rounding makes the verdict independent of the order of the sum.
-    llr = F.round(F.coalesce("llr", F.lit(0.0)), 9)
-    return base_measures(docs).join(score, F.col("doc_id").eqNullSafe(F.col("s_id")), "left").drop("s_id").withColumn("llr", llr).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    measured = base_measures(docs, ratio_array(bucket_ratios(docs, trusted)))
+    # Rounding makes the verdict independent of the order of sums.
+    return measured.withColumn("llr", F.round("llr", 9)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
