@@ -14,20 +14,28 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.  Only
-    where it is unset (one machine, tests) a folder of our own is taken."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where
+    it is unset, a local session gets a folder of its own; on a cluster, where
+    executors wouldn't see that, it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="skirmish-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A folder of the shared one that nothing uses yet."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.  This cuts
     the lineage: a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = new_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import jaccard, language, lines, media, mixing, oracle, packing, quality, secrets, substring, tokens
-from .common import documents
+from .common import documents, new_path
 
 
 def op1_ngram_jaccard(spark, sf_dir):
@@ -15,7 +15,7 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def op3_tokens(spark, sf_dir):
-    return tokens.digest(tokens.shards(documents(spark, sf_dir)))
+    return tokens.digest(tokens.write_shards(tokens.shards(documents(spark, sf_dir)), new_path(spark, "shards")))
 
 
 def op4_language(spark, sf_dir):
@@ -45,7 +45,7 @@ def op9_media(spark, sf_dir):
 
 
 def op10_mixing(spark, sf_dir):
-    return mixing.Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken", "n_shards", "first_shard", "first_position")
 
 
 def queries():

@@ -8,18 +8,20 @@ size that needs no memory and is the same in every run.  Shard s holds slots
 [s R, (s + 1) R) as records of a fixed stride, so the record of slot t starts at
 (t mod R) x stride of shard t div R, and reading can resume anywhere.
 
+Documents are numbered in the order of a hash of doc_id and text, so slots follow
+from the documents and the key alone, however the input is split or ordered.
+Each task gets a range of shards and sorts its records by slot; padding is added
+there, so it doesn't travel.
+
 Cases: a null text counts as empty and still gives a sequence with the end id;
-repeated rows are numbered each for itself; an empty table gives no shard; other
-columns are left out.
+repeated rows are numbered each for itself; a very long text gives as many
+sequences as it fills; an empty table gives no shard; other columns are left out.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,12 @@ LENGTH = 512
 SHARD_RECORDS = 4096
 PAD_ID = 0xFFFF
 ROUNDS = 4
-#: Up to this many tasks, the table of their first numbers (a row each) is broadcast.
-BROADCAST_TASKS = 1_000_000
+#: Shards that one task assembles and writes.
+TASK_SHARDS = 8
+#: Records that leave a task's memory at a time.
+CUT_RECORDS = 10_000
+#: Documents that are numbered in one window.
+CELL_DOCUMENTS = 50_000
 KEY = 0x5EED
 
 
@@ -60,11 +66,9 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
-    T.StructField("n_tokens", T.LongType()),
+    T.StructField("sig", T.LongType()),  # of the text
     T.StructField("sequences", T.LongType()),
     T.StructField("ids", T.BinaryType()),
-    T.StructField("task", T.LongType()),
-    T.StructField("before", T.LongType()),  # sequences of the task's rows before this one
 ])
 
 
@@ -74,16 +78,26 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     where = vocabulary or default_vocabulary()
 
     def run(batches):
-        encode, task, done = encoder(where), TaskContext.get().partitionId(), 0
+        encode = encoder(where)
         for batch in batches:
-            ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(1).to_pylist()]
-            n = np.array([len(x) for x in ids], np.int64)
-            sequences = -(-n // length)
-            before = done + np.cumsum(sequences) - sequences
-            done += int(sequences.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sequences), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.full(len(n), task)), pa.array(before)], names=DOCUMENTS.names)
+            ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(2).to_pylist()]
+            sequences = -(-np.array([len(x) for x in ids], np.int64) // length)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequences), pa.array([x.tobytes() for x in ids], pa.binary())], names=DOCUMENTS.names)
+
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "xxhash64(text) as sig", "text").mapInArrow(run, DOCUMENTS)
+
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, DOCUMENTS)
+def numbered(held: DataFrame) -> DataFrame:
+    """(doc_id, sig, copies, first): the number of the first sequence of the rows
+    of each document and text; equal rows follow each other."""
+    rows = stored(held.groupBy("doc_id", "sig").agg(F.count("*").alias("copies"), F.sum("sequences").alias("own")))
+    cells = max(1, rows.count() // CELL_DOCUMENTS)
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "sig"), F.lit(cells)))
+    of_cells = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
+    before = rows.groupBy("cell").agg(F.sum("own").alias("n")).select("cell", F.coalesce(F.sum("n").over(of_cells), F.lit(0)).alias("before"))
+    within = Window.partitionBy("cell").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("ahead", F.coalesce(F.sum("own").over(within), F.lit(0))).join(before, "cell")
+    return ranked.select("doc_id", "sig", "copies", (F.col("ahead") + F.col("before")).cast("long").alias("first"))
 
 
 SHARDS = T.StructType([
@@ -97,50 +111,70 @@ SHARDS = T.StructType([
     T.StructField("lengths", T.ArrayType(T.LongType())),
 ])
 
-_RECORDS = "shard long, slot long, doc_id long, start long, length long, data binary"
+_RECORDS = "part int, slot long, doc_id long, start long, data binary"
 
 
 def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, per_shard: int = SHARD_RECORDS, key: int = KEY) -> DataFrame:
-    """One row a shard: its payload and, by record, where it comes from."""
+    """One row a shard: its payload and, by record, where it comes from.  Task k
+    holds the k-th range of shards, in order."""
     held = stored(tokenized(docs, vocabulary, length))
     total = held.agg(F.sum("sequences")).first()[0] or 0
-    # Global numbers: those within a task, which the stored table fixes, after the tasks before.
-    ahead = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(held.groupBy("task").agg(F.sum("sequences").alias("s")).select("task", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset")))
-    small = F.broadcast(offsets) if offsets.count() <= BROADCAST_TASKS else offsets
-    numbered = held.join(small, "task").select("doc_id", "ids", (F.col("before") + F.col("offset")).cast("long").alias("first"))
+    numbers = stored(numbered(held)).withColumnsRenamed({"doc_id": "n_doc", "sig": "n_sig"})
+    once = held if numbers.where("copies > 1").isEmpty() else held.dropDuplicates(["doc_id", "sig"])  # equal rows have equal ids
+    placed = once.join(numbers, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("sig") == F.col("n_sig"))).select("doc_id", "ids", "first", "copies")
+    parts = max(1, -(-total // (per_shard * TASK_SHARDS)))
 
     def cut(batches):
+        names = ["part", "slot", "doc_id", "start", "data"]
+        slots, ids_of, starts, data = [], [], [], []
+
+        def flush():
+            at = np.concatenate(slots)
+            columns = [pa.array((at // (per_shard * TASK_SHARDS)).astype(np.int32)), pa.array(at), pa.array(ids_of, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())]
+            for x in (slots, ids_of, starts, data):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            rows = [[], [], [], [], [], []]
-            for doc, ids, first in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                tokens = np.frombuffer(ids, "<u2")
-                n = -(-len(tokens) // length)
-                whole = np.full(n * length, PAD_ID, "<u2")
-                whole[: len(tokens)] = tokens
-                slots = permute(np.arange(first, first + n), total, key)
-                for k, slot in enumerate(slots.tolist()):
-                    values = (slot // per_shard, slot, doc, k * length, min(length, len(tokens) - k * length), whole[k * length : (k + 1) * length].tobytes())
-                    for column, x in zip(rows, values, strict=True):
-                        column.append(x)
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["shard", "slot", "doc_id", "start", "length", "data"])
-
-    def assemble(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
-        slots = table.column("slot").to_numpy()
-        if not np.array_equal(slots, np.arange(slots[0], slots[0] + len(slots))):
+            for doc, ids, first, copies in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                n = -(-len(ids) // (2 * length))
+                for copy in range(copies):
+                    slots.append(permute(np.arange(first + copy * n, first + copy * n + n), total, key))
+                    ids_of.extend([doc] * n)
+                    starts.extend(range(0, n * length, length))
+                    data.extend(ids[2 * length * k : 2 * length * (k + 1)] for k in range(n))
+                    if len(data) >= CUT_RECORDS:
+                        yield flush()
+        if data:
+            yield flush()
+
+    def shard(records: list[tuple]) -> pa.RecordBatch:
+        first = records[0][0]
+        if first % per_shard or [r[0] for r in records] != list(range(first, first + len(records))):
             raise ValueError("a shard lacks slots")
-        payload = b"".join(table.column("data").to_pylist())
-        lists = [pa.array([table.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "start", "length")]
-        return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in (int(slots[0]) // per_shard, int(slots[0]), len(slots), 2 * length)] + [pa.array([payload], pa.binary()), *lists], names=SHARDS.names)
+        pad = PAD_ID.to_bytes(2, "little")
+        payload = b"".join(r[3] + pad * (length - len(r[3]) // 2) for r in records)
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in ([r[1] for r in records], [r[2] for r in records], [len(r[3]) // 2 for r in records])]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (first // per_shard, first, len(records), 2 * length)] + [pa.array([payload], pa.binary()), *lists], names=SHARDS.names)
 
-    return numbered.mapInArrow(cut, _RECORDS).groupBy("shard").applyInArrow(assemble, SHARDS)
+    def assemble(batches):
+        records: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "start", "data")), strict=True):
+                if records and r[0] // per_shard != records[0][0] // per_shard:
+                    yield shard(records)
+                    records = []
+                records.append(r)
+        if records:
+            yield shard(records)
 
+    return placed.mapInArrow(cut, _RECORDS).repartitionById(parts, "part").sortWithinPartitions("slot").mapInArrow(assemble, SHARDS)
 
-def write_shards(shard_rows: DataFrame, path: str) -> None:
-    """Shards as Parquet, in ranges of shards, each file in shard order."""
-    shard_rows.repartitionByRange("shard").sortWithinPartitions("shard").write.parquet(path)
+
+def write_shards(shard_rows: DataFrame, path: str) -> DataFrame:
+    """The shards as Parquet, a file for each range of shards, read back."""
+    shard_rows.write.parquet(path)
+    return shard_rows.sparkSession.read.schema(SHARDS).parquet(path)
 
 
 def read_from(shard_rows: DataFrame, slot: int, per_shard: int = SHARD_RECORDS) -> DataFrame:
@@ -150,21 +184,10 @@ def read_from(shard_rows: DataFrame, slot: int, per_shard: int = SHARD_RECORDS)
     return records.select((F.col("first_slot") + F.col("k")).alias("slot"), F.substring("payload", (F.col("k") * F.col("stride") + 1).cast("int"), F.col("stride").cast("int")).alias("record")).where(F.col("slot") >= slot).orderBy("slot")
 
 
-DIGEST = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "slot", "shard", "offset", "ids_crc32")])
-
-
 def digest(shard_rows: DataFrame) -> DataFrame:
-    """A row a sequence, read back from the shards by slot and stride."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                n, stride = row["records"], row["stride"]
-                length = np.array(row["lengths"], np.int64)
-                offset = np.arange(n) * stride
-                crc = [zlib.crc32(row["payload"][a : a + 2 * b]) for a, b in zip(offset.tolist(), length.tolist())]
-                slots = row["first_slot"] + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["starts"], pa.int64()), pa.array(length), pa.array(slots), pa.array(np.full(n, row["shard"])), pa.array(offset), pa.array(crc, pa.int64())], names=DIGEST.names)
-
-    small_batches(shard_rows.sparkSession)
-    return shard_rows.mapInArrow(run, DIGEST)
+    """A row a sequence, read from the shards by slot and stride."""
+    of = F.posexplode(F.arrays_zip("doc_ids", "starts", "lengths")).alias("k", "r")
+    rows = shard_rows.select("shard", "first_slot", "stride", "payload", of)
+    offset = F.col("k") * F.col("stride")
+    ids = F.substring("payload", (offset + 1).cast("int"), (2 * F.col("r.lengths")).cast("int"))
+    return rows.select(F.col("r.doc_ids").alias("doc_id"), F.col("r.starts").alias("start"), F.col("r.lengths").alias("length"), (F.col("first_slot") + F.col("k")).alias("slot"), "shard", offset.cast("long").alias("offset"), F.crc32(ids).alias("ids_crc32"))
