@@ -11,7 +11,7 @@ size that needs no memory and is the same in every run.  Shard s holds slots
 Documents are numbered in the order of a hash of doc_id and text, so slots follow
 from the documents and the key alone, however the input is split or ordered.
 Each task gets a range of shards and sorts its records by slot; padding is added
-there, so it doesn't travel.
+there, so it doesn't travel.  Ids travel compressed.
 
 Cases: a null text counts as empty and still gives a sequence with the end id;
 repeated rows are numbered each for itself; a very long text gives as many
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("sig", T.LongType()),  # of the text
     T.StructField("sequences", T.LongType()),
-    T.StructField("ids", T.BinaryType()),
+    T.StructField("ids", T.BinaryType()),  # compressed
 ])
 
 
@@ -78,11 +79,11 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
     where = vocabulary or default_vocabulary()
 
     def run(batches):
-        encode = encoder(where)
+        encode, compress = encoder(where), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(2).to_pylist()]
             sequences = -(-np.array([len(x) for x in ids], np.int64) // length)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequences), pa.array([x.tobytes() for x in ids], pa.binary())], names=DOCUMENTS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequences), pa.array([compress(x.tobytes()) for x in ids], pa.binary())], names=DOCUMENTS.names)
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "xxhash64(text) as sig", "text").mapInArrow(run, DOCUMENTS)
 
@@ -126,6 +127,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
 
     def cut(batches):
         names = ["part", "slot", "doc_id", "start", "data"]
+        compress, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         slots, ids_of, starts, data = [], [], [], []
 
         def flush():
@@ -136,13 +138,14 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for doc, ids, first, copies in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for doc, packed, first, copies in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                ids = expand(packed)
                 n = -(-len(ids) // (2 * length))
                 for copy in range(copies):
                     slots.append(permute(np.arange(first + copy * n, first + copy * n + n), total, key))
                     ids_of.extend([doc] * n)
                     starts.extend(range(0, n * length, length))
-                    data.extend(ids[2 * length * k : 2 * length * (k + 1)] for k in range(n))
+                    data.extend(compress(ids[2 * length * k : 2 * length * (k + 1)]) for k in range(n))
                     if len(data) >= CUT_RECORDS:
                         yield flush()
         if data:
@@ -159,8 +162,10 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
 
     def assemble(batches):
         records: list[tuple] = []
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "start", "data")), strict=True):
+            for *place, packed in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "start", "data")), strict=True):
+                r = (*place, expand(packed))
                 if records and r[0] // per_shard != records[0][0] // per_shard:
                     yield shard(records)
                     records = []
@@ -173,7 +178,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
 
 def write_shards(shard_rows: DataFrame, path: str) -> DataFrame:
     """The shards as Parquet, a file for each range of shards, read back."""
-    shard_rows.write.parquet(path)
+    shard_rows.write.option("compression", "zstd").parquet(path)
     return shard_rows.sparkSession.read.schema(SHARDS).parquet(path)
 
 
