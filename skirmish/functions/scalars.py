@@ -129,3 +129,12 @@ def is_live(ts: Column, observed_ms: Column, fresh_s: int = 30) -> Column:
 def per_second(total: Column, seconds: Column) -> Column:
     """A rate over whole seconds, at least one."""
     return total.cast("double") / F.greatest(seconds, F.lit(1)).cast("double")
+
+
+def rounded_rate(total: Column, seconds: Column) -> Column:
+    """A rate to two places, halves to the even side; 0 without time."""
+    return F.when(seconds > 0, F.bround(total.cast("decimal(20,0)") / seconds.cast("decimal(20,0)"), 2).cast("double")).otherwise(0.0)
+
+
+def rounded_percent(part: Column, whole: Column) -> Column:
+    return rounded_rate(part * 100, whole)

@@ -48,3 +48,16 @@ def resolve_allies(kept: DataFrame, edges: DataFrame) -> DataFrame:
 def merged_ally_keys(allies: DataFrame, members: DataFrame) -> DataFrame:
     """The allies of a merged fight: those of any of its logs."""
     return allies.join(members, ["source_id", "encounter_id"]).select("fight_id", F.upper("ally").alias("ally")).distinct()
+
+
+def mark_by(kept: DataFrame, rule) -> DataFrame:
+    """kept with a_ally and v_ally by a rule on the name."""
+    return kept.withColumns({"a_ally": rule(F.col("attacker")), "v_ally": rule(F.col("victim"))})
+
+
+def mark(kept: DataFrame, allies: DataFrame) -> DataFrame:
+    """kept with a_ally and v_ally by a table of each fight's allies, as
+    resolve_allies gives it; a fight's allies are at most a few hundred names."""
+    sets = allies.groupBy("source_id", "encounter_id").agg(F.collect_set(F.upper("ally")).alias("_allies"))
+    told = lambda side: F.coalesce(F.array_contains("_allies", F.upper(side)), F.lit(False))
+    return kept.join(sets, ["source_id", "encounter_id"], "left").withColumns({"a_ally": told("attacker"), "v_ally": told("victim")}).drop("_allies")

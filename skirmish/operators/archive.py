@@ -4,24 +4,52 @@ Every change is a rewrite of rows, expressed as a filter or an anti join."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_boss_title
+from ..functions.scalars import is_boss_title, rounded_percent, rounded_rate
+from ..sources.files import stored
+from .stats import OUT_REF, stat_columns
 
 IDENTITY = ("source_id", "owner", "start_ts", "end_ts", "title")
 KEY = ("source_id", "encounter_id")
+TABLES = ("encounters", "combatants", "swings")
+
+
+def _stored_at(spark: SparkSession, path: str) -> tuple[DataFrame, ...] | None:
+    try:
+        return tuple(spark.read.parquet(f"{path}/{t}") for t in TABLES)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
 
 def write_archive(path: str, fights: DataFrame, combatants: DataFrame, swings: DataFrame) -> None:
-    fights.write.mode("overwrite").partitionBy("zone").parquet(f"{path}/encounters")
-    zoned = fights.select(*KEY, "zone")
-    combatants.join(zoned, list(KEY)).write.mode("overwrite").partitionBy("zone").parquet(f"{path}/combatants")
-    swings.drop("zone").join(zoned, list(KEY)).write.mode("overwrite").partitionBy("zone").parquet(f"{path}/swings")
+    """Add fights with their combatants and swings to the archive, by zone.  A fight
+    is a unit: one that is there stays, unless it now has more swings; then it is
+    added again and the older rows are passed over when read."""
+    counts = swings.groupBy(*KEY).agg(F.count("*").alias("n_swings"))
+    new = fights.join(counts, list(KEY))
+    old = _stored_at(fights.sparkSession, path)
+    if old is not None:
+        had = old[0].groupBy(*KEY).agg(F.max("n_swings").alias("_had"))
+        new = new.join(had, list(KEY), "left").where("_had is null or n_swings > _had").drop("_had")
+    new = stored(new)
+    unit = new.select(*KEY, "zone", "n_swings")
+    # The encounters come last: what was written of a unit before counts only with them.
+    swings.drop("zone").join(unit, list(KEY)).write.mode("append").partitionBy("zone").parquet(f"{path}/swings")
+    combatants.join(unit, list(KEY)).write.mode("append").partitionBy("zone").parquet(f"{path}/combatants")
+    new.write.mode("append").partitionBy("zone").parquet(f"{path}/encounters")
 
 
 def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("encounters", "combatants", "swings"))
+    """(encounters, combatants, swings), of each fight the fullest version."""
+    encounters, combatants, swings = _stored_at(spark, path)
+    best = encounters.groupBy(*KEY).agg(F.max("n_swings").alias("n_swings"))
+    full = lambda t: t.join(best, [*KEY, "n_swings"], "left_semi").drop("n_swings")
+    return encounters.join(best, [*KEY, "n_swings"], "left_semi"), full(combatants), full(swings)
 
 
 def dedupe_encounters(encounters: DataFrame, id_column: str = "id") -> DataFrame:
@@ -85,3 +113,86 @@ def recent_restore(encounters: DataFrame, boss_since: int, trash_since: int, cap
 def payload_id():
     """Eight hex digits that name an upload."""
     return F.substring(F.sha2(F.concat_ws("|", "owner", "zone", "title", "start_ts", "n_combatants"), 256), 1, 8)
+
+
+def _utc(ts):
+    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def payload_combatants(stats: DataFrame, fights: DataFrame) -> DataFrame:
+    """The combatants of each upload, those of most damage first."""
+    own = F.coalesce(F.col("last_ts") - F.col("first_ts"), F.lit(0))
+    # Who only suffers has no time of its own: the fight's start stands in.
+    start = F.coalesce("first_ts", "fight_ts")
+    s = stats.join(fights.select(*KEY, F.col("start_ts").alias("fight_ts"), "duration_s"), list(KEY))
+    d, h, n = F.col("damage"), F.col("healed"), F.col("duration_s")
+    whole = ("damage", "kills", "healed")
+    return s.select(
+        *KEY, F.struct((-d).alias("rank"), F.col("first_seen").alias("seen")).alias("_seen"), F.col("combatant").alias("name"), F.when(F.col("ally"), "T").otherwise("F").alias("ally"), _utc(start).alias("starttime"), _utc(F.coalesce("last_ts", start)).alias("endtime"), own.alias("duration"),
+        *whole, F.col("crit_heals").alias("critheals"), "heals", F.col("cures").alias("curedispels"), F.col("drained").alias("powerdrain"), F.col("replenished").alias("powerreplenish"),
+        rounded_rate(d, own).alias("dps"), rounded_rate(d, n).alias("encdps"), rounded_rate(h, n).alias("enchps"), "hits", F.col("crits").alias("crithits"), F.col("avoids").alias("blocked"), "misses", "swings", F.col("heals_taken").alias("healstaken"), F.col("damage_taken").alias("damagetaken"), "deaths", rounded_percent(F.col("hits"), F.col("swings")).alias("tohit"),
+    )
+
+
+def _figures(rows: DataFrame, keys: list[str], fights: DataFrame) -> DataFrame:
+    amounts = F.sort_array(F.collect_list(F.when(F.col("amount") >= 0, F.col("amount"))))
+    median = F.coalesce(F.get(amounts, F.floor(F.size(amounts) / 2).cast("int")), F.lit(0))
+    c = stat_columns()
+    out = rows.groupBy(*KEY, *keys).agg(*[x.alias(k) for k, x in c.items()], median.alias("median"), F.min(F.struct("seq", "category"))["category"].alias("swingtype"), F.min("seq").alias("_seen"))
+    out = out.join(fights.select(*KEY, "duration_s"), list(KEY))
+    return out.withColumns({"encdps": rounded_rate(F.col("damage"), F.col("duration_s")), "starttime": _utc("first_ts"), "endtime": _utc("last_ts")}).withColumnsRenamed({"min_hit": "minhit", "max_hit": "maxhit", "crits": "crithits", "avoids": "blocked"})
+
+
+_FIGURES = ("damage", "encdps", "median", "minhit", "maxhit", "hits", "crithits", "blocked", "misses", "swings")
+
+
+def payload_damage_types(fanned: DataFrame, fights: DataFrame) -> DataFrame:
+    """A row for each outgoing bucket of a combatant."""
+    rows = fanned.where((F.col("direction") == "out") & (F.col("bucket") != OUT_REF)).withColumn("ability", F.lit("All"))
+    out = _figures(rows, ["combatant", "bucket", "ability"], fights)
+    return out.select(*KEY, "_seen", "combatant", F.col("bucket").alias("type"), "starttime", "endtime", *_FIGURES)
+
+
+def payload_attack_types(fanned: DataFrame, fights: DataFrame) -> DataFrame:
+    """A row for each ability of a combatant, every action counted once."""
+    out = _figures(fanned.where(F.col("bucket") == OUT_REF), ["combatant", "ability"], fights)
+    return out.select(*KEY, "_seen", F.col("combatant").alias("attacker"), F.col("ability").alias("type"), "swingtype", *_FIGURES)
+
+
+def payloads(kept: DataFrame, fanned: DataFrame, fights: DataFrame, stats: DataFrame, server: str = "") -> DataFrame:
+    """One upload document for each titled fight: logger, encounter, combatants,
+    damage types and attack types."""
+    titled = fights.where("title is not null")
+    owners = kept.groupBy(*KEY).agg(F.first("owner").alias("owner"))
+    head = titled.join(owners, list(KEY))
+    n = F.col("duration_s")
+    rate = F.when(n > 0, F.col("damage").cast("double") / n.cast("double")).otherwise(0.0)
+    encounter = F.struct(payload_id().alias("encid"), "title", F.nullif("zone", F.lit("")).alias("zone"), _utc("start_ts").alias("starttime"), _utc("end_ts").alias("endtime"), n.alias("duration"), "damage", rate.alias("encdps"), "kills", "deaths", "success")
+    parts = [
+        _listed(payload_combatants(stats, titled), "combatants"),
+        _listed(payload_damage_types(fanned, titled), "damage_types"),
+        _listed(payload_attack_types(fanned, titled), "attack_types"),
+    ]
+    out = head.select(*KEY, F.col("owner").alias("logger_name"), F.lit(server).alias("logger_server"), encounter.alias("encounter"))
+    for part in parts:
+        out = out.join(part, list(KEY), "left")
+    return out
+
+
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of each fight as one array, as they first appear in it."""
+    fields = [c for c in rows.columns if c not in (*KEY, "_seen")]
+    listed = F.sort_array(F.collect_list(F.struct("_seen", *fields)))
+    return rows.groupBy(*KEY).agg(F.transform(listed, lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias(name))
+
+
+def write_payloads(documents: DataFrame, path: str) -> None:
+    """One JSON document a line; ids that are there already aren't written again."""
+    old = None
+    try:
+        old = documents.sparkSession.read.schema("encounter struct<encid:string>").json(path).select("encounter.encid").distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new = documents if old is None else documents.join(old, documents["encounter.encid"] == old["encid"], "left_anti")
+    new.drop(*KEY).write.mode("append").json(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import RULE_ATTRIBUTES, rule_columns
-from .rules import BROADCAST_RULES, cross_source_dedupe
+from .rules import cross_source_dedupe
 from .sessions import segment
 
 #: How chat marks who speaks.
@@ -38,13 +38,14 @@ def shared_rule_feed(shares: DataFrame, rules: DataFrame, within_s: float = 10.0
 
 
 def scripted_win_lines(lines: DataFrame, wins: DataFrame) -> DataFrame:
-    """Lines in which a speaker of wins(speakers, phrase) says the phrase."""
+    """Lines in which a speaker of wins(speakers, phrase) says the phrase.  Lines and
+    wins meet on the speaker's name."""
     each = wins.select(F.explode("speakers").alias("_speaker"), F.col("phrase").alias("_phrase")).distinct()
-    each = F.broadcast(each) if wins.count() <= BROADCAST_RULES else each
     says = F.instr("message", LINK_END + " says")
     talk = lines.where((F.length("message") <= 600) & F.col("message").startswith(SCRIPTED) & (says > 0))
-    hit = F.col("message").contains(F.concat(F.lit(":"), "_speaker", F.lit(LINK_END + " says"))) & F.substr("message", says).contains(F.col("_phrase"))
-    return talk.join(each, hit, "left_semi")
+    named = talk.withColumn("_who", F.regexp_extract("message", r":([^:]*?)\\/a says", 1))
+    hit = (F.col("_who") == F.col("_speaker")) & F.substr("message", says).contains(F.col("_phrase"))
+    return named.join(each, hit, "left_semi").drop("_who")
 
 
 def scripted_win_flag(swings: DataFrame, win_lines: DataFrame) -> DataFrame:

@@ -5,19 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_ability, per_second
+from ..functions.scalars import impossible_school, is_self_damage, normalize_ability
 from .stats import FIGHT
 
 #: Up to this many abilities the dimension is broadcast.
 BROADCAST_ABILITIES = 100_000
 #: The sources of damage.
 CLASS, RAID, ITEM, PET, SYSTEM = "class", "raid", "item", "pet", "system"
+SYSTEM_ABILITIES = ("Auto-Attack", "Killing")
 
 
 def _dim(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ABILITIES else df
 
 
+def detect_classes(kept: DataFrame, class_map: DataFrame) -> DataFrame:
+    """(fight, combatant, class, votes, mapped): the class of each combatant with
+    abilities in the map's spells.  Each distinct ability votes for its classes;
+    the winner needs two votes (else class is null), ties go by name."""
+    own = kept.where(~is_self_damage() & ~F.col("ability").isin(*SYSTEM_ABILITIES))
+    used = own.select(*FIGHT, F.col("attacker").alias("combatant"), "ability").distinct().withColumn("_key", normalize_ability(F.col("ability")))
+    voting = class_map.where("layer = 'spells'").select(F.col("ability").alias("_key"), "classes")
+    votes = used.join(_dim(voting), "_key").select(*FIGHT, "combatant", "ability", F.explode("classes").alias("class"))
+    key = [*FIGHT, "combatant"]
+    mapped = votes.groupBy(*key).agg(F.countDistinct("ability").alias("mapped"))
+    counts = votes.groupBy(*key, "class").agg(F.count("*").alias("votes"))
+    best = counts.groupBy(*key).agg(F.max("votes").alias("votes"), F.min(F.struct((-F.col("votes")).alias("v"), "class")).alias("_b"))
+    return best.join(mapped, key).select(*key, F.when(F.col("votes") >= 2, F.col("_b.class")).alias("class"), "votes", "mapped")
+
+
+def classify_combatants(stats: DataFrame, detected: DataFrame) -> DataFrame:
+    """(fight, combatant, kind, class, mapped, owner_name): who is who.
+
+    Unknown is `system`; others that aren't allies are an `enemy`, or a `bystander`
+    if nothing passed between them and anyone; allies with a pet's name are a `pet`;
+    of the rest, those with mapped abilities are confirmed players, and bucket_fill
+    decides who else is one."""
+    key = [*FIGHT, "combatant"]
+    fight = Window.partitionBy(*FIGHT)
+    pet = is_pet_name(F.col("combatant"))
+    fixed = F.when(F.col("combatant") == "Unknown", "system").when(~F.col("ally"), F.when(F.col("linked"), "enemy").otherwise("bystander")).when(pet, "pet")
+    seconds = F.max(F.col("damage_ts")).over(fight)  # only tells whether time has passed
+    rows = stats.join(detected.select(*key, "class", "mapped"), key, "left").withColumn("mapped", F.coalesce("mapped", F.lit(0)))
+    rows = rows.withColumns({"_fixed": fixed, "_total": F.sum(F.col("ally").cast("int")).over(fight), "_moving": F.coalesce(seconds > F.min("first_ts").over(fight), F.lit(False))})
+    open_ = rows.where("_fixed is null").select(*key, (F.col("mapped") > 0).alias("confirmed"), F.col("_total").alias("total"), F.when(F.col("_moving"), F.col("damage") + F.col("healed")).otherwise(0).alias("worth"))
+    filled = bucket_fill(open_).select(*key, "player")
+    owner = pet_owner(F.col("combatant"))
+    named = rows.join(filled, key, "left").withColumn("_owner", F.upper(owner))
+    present = stats.select(*FIGHT, F.upper("combatant").alias("_owner"), F.col("combatant").alias("owner_name"))
+    kind = F.coalesce("_fixed", F.when(F.col("player"), "player").otherwise("pet"))
+    owned = named.join(present, [*FIGHT, "_owner"], "left").withColumn("kind", kind)
+    # Auto-named pets and players have no owner.
+    return owned.select(*key, "kind", "class", "mapped", F.when(F.col("_fixed").isin("enemy", "bystander", "pet"), F.col("owner_name")).alias("owner_name"))
+
+
 def classify_source(used: DataFrame, class_map: DataFrame, overrides: DataFrame, system: DataFrame) -> DataFrame:
     """used(..., ability, class) with `source`.
 
@@ -61,10 +102,25 @@ def raid_buff_credit(raid_damage: DataFrame, granting: DataFrame, ally_classes:
     return found.select(*FIGHT, "ability", "granter", n.alias("granters"), F.expr("damage div count(1) over (partition by source_id, encounter_id, ability)").alias("credit"), (n > 1).alias("estimated"))
 
 
-def sources_report(tagged: DataFrame) -> DataFrame:
-    """tagged(fight, combatant, source, damage): damage by source per combatant."""
+def padded_attacks(kept: DataFrame, classes: DataFrame, least: int = 5) -> DataFrame:
+    """(fight, combatant, damage): landed auto-attacks, at least `least` of a school,
+    that no weapon of the combatant's class can deal: a renamed pet's."""
+    landed = kept.where("category = 1 and ability = 'Auto-Attack' and amount > 0 and damage_type <> ''")
+    by_school = landed.groupBy(*FIGHT, F.col("attacker").alias("combatant"), F.lower("damage_type").alias("school")).agg(F.sum("amount").cast("long").alias("damage"), F.count("*").alias("hits"))
+    wrong = by_school.join(classes.where("class is not null").select(*FIGHT, "combatant", "class"), [*FIGHT, "combatant"]).where(impossible_school(F.col("class"), F.col("school")) & (F.col("hits") >= least))
+    return wrong.groupBy(*FIGHT, "combatant").agg(F.sum("damage").cast("long").alias("damage"))
+
+
+def sources_report(tagged: DataFrame, padded: DataFrame | None = None) -> DataFrame:
+    """tagged(fight, combatant, class, source, damage): damage by source of each
+    combatant, those of unknown class marked; padded attacks (see above) move from
+    the system's to a pet's."""
+    rows = tagged.select(*FIGHT, "combatant", "class", "source", "damage")
+    if padded is not None:
+        none = F.lit(None).cast("string").alias("class")
+        rows = rows.unionByName(padded.select(*FIGHT, "combatant", none, F.lit(SYSTEM).alias("source"), (-F.col("damage")).alias("damage"))).unionByName(padded.select(*FIGHT, "combatant", none, F.lit(PET).alias("source"), "damage"))
     parts = [F.coalesce(F.sum(F.when(F.col("source") == s, F.col("damage"))), F.lit(0)).cast("long").alias(s) for s in (CLASS, RAID, ITEM, PET, SYSTEM)]
-    return tagged.groupBy(*FIGHT, "combatant").agg(*parts, F.sum("damage").cast("long").alias("total"))
+    return rows.groupBy(*FIGHT, "combatant").agg(*parts, F.sum("damage").cast("long").alias("total"), F.max("class").isNull().alias("undetected"))
 
 
 def top_sources(tagged: DataFrame, n: int = 6) -> DataFrame:
@@ -82,29 +138,24 @@ def combatant_sources(tagged: DataFrame) -> DataFrame:
     return sums.withColumn("share", F.when(total > 0, F.col("damage").cast("double") / total.cast("double")).otherwise(0.0))
 
 
-def padding_alarm(tagged: DataFrame, schools: DataFrame, impossible: DataFrame, least: int = 5) -> DataFrame:
-    """Combatants with abilities of a pet that isn't theirs, or at least `least`
-    auto-attacks of a school their class can't wield.  schools(fight, combatant,
-    class, school, hits), impossible(class, school)."""
-    pets = tagged.where(F.col("source") == PET).select(*FIGHT, "combatant", F.lit("pet ability").alias("reason"))
-    wrong = schools.join(impossible, ["class", "school"], "left_semi").where(F.col("hits") >= least).select(*FIGHT, "combatant", F.lit("impossible school").alias("reason"))
-    return pets.unionByName(wrong).distinct()
+def padding_alarm(tagged: DataFrame, padded: DataFrame) -> DataFrame:
+    """(fight, combatant, reason, damage): combatants with abilities of a pet that
+    isn't theirs, or with padded attacks."""
+    pets = tagged.where(F.col("source") == PET).groupBy(*FIGHT, "combatant").agg(F.sum("damage").cast("long").alias("damage")).withColumn("reason", F.lit("pet ability"))
+    return pets.unionByName(padded.withColumn("reason", F.lit("impossible school")).select(*FIGHT, "combatant", "damage", "reason"))
 
 
-def bucket_fill(rows: DataFrame, window: DataFrame) -> DataFrame:
-    """rows(fight, combatant, damage, healed, confirmed): who counts as a player.
+def bucket_fill(rows: DataFrame) -> DataFrame:
+    """rows(fight, combatant, confirmed, total, worth): who counts as a player.
 
-    With 7 to 10 allies a group of 6, with more a raid of 24: the most useful
-    unconfirmed fill up, the least useful confirmed fall out, ties by name."""
-    r = rows.join(window.select(*FIGHT, "duration_s"), list(FIGHT)).withColumn("rate", per_second(F.col("damage") + F.col("healed"), F.col("duration_s")))
-    fight = Window.partitionBy(*FIGHT)
-    total, sure = F.count("*").over(fight), F.sum(F.col("confirmed").cast("int")).over(fight)
-    r = r.withColumn("_cap", F.when(total <= 6, None).when(total <= 10, 6).otherwise(24)).withColumn("_sure", sure)
-    side = Window.partitionBy(*FIGHT, "confirmed")
-    up = F.row_number().over(side.orderBy(F.desc("rate"), "combatant"))
-    down = F.row_number().over(side.orderBy("rate", "combatant"))
+    With 7 to 10 allies in total a group of 6, with more a raid of 24: the most
+    useful unconfirmed fill up, the least useful confirmed fall out, ties by name."""
+    fight, side = Window.partitionBy(*FIGHT), Window.partitionBy(*FIGHT, "confirmed")
+    r = rows.withColumn("_cap", F.when(F.col("total") <= 6, None).when(F.col("total") <= 10, 6).otherwise(24)).withColumn("_sure", F.sum(F.col("confirmed").cast("int")).over(fight))
+    up = F.row_number().over(side.orderBy(F.desc("worth"), "combatant"))
+    down = F.row_number().over(side.orderBy("worth", "combatant"))
     player = F.when(F.col("_cap").isNull(), F.col("confirmed")).when(F.col("confirmed"), ~(down <= F.col("_sure") - F.col("_cap"))).otherwise(up <= F.col("_cap") - F.col("_sure"))
-    return r.select(*FIGHT, "combatant", "confirmed", player.alias("player"))
+    return r.withColumn("player", player).drop("_cap", "_sure")
 
 
 # The shape of generated pet names, and names that it misses.
@@ -119,6 +170,6 @@ def is_pet_name(name, known: tuple[str, ...] = KNOWN_PETS):
 
 
 def pet_owner(name):
-    """X of "X's pet" or "Xs' pet"."""
-    owner = F.regexp_extract(name, r"(?i)^(\S+?)(?:'s|') (?:pet|companion|warder)$", 1)
-    return F.nullif(owner, F.lit(""))
+    """X of "X's hawk" or "Xs' warder"; null for other names."""
+    at = F.when(F.instr(name, "'s ") > 1, F.instr(name, "'s ")).when(F.instr(name, "' ") > 1, F.instr(name, "' "))
+    return F.substr(name, F.lit(1), at - 1)

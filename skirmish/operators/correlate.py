@@ -81,8 +81,22 @@ def merge_combatants(members: DataFrame, stats: DataFrame, owners: DataFrame) ->
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("fight_id", "combatant", F.col("source_id").alias("from_source"), "damage", "healed", "damage_taken")
 
 
-def merged_fight(members: DataFrame, fights: DataFrame) -> DataFrame:
-    """Window, and title and zone of the longest member."""
+def merged_fight(members: DataFrame, fights: DataFrame, combatants: DataFrame | None = None, allies: DataFrame | None = None, scripted: DataFrame | None = None) -> DataFrame:
+    """A row a merged fight: title, zone and outcome of the longest member (a win if
+    any log saw a scripted one), the widest window, the first expiry that a log
+    knows, and the damage of the merged combatants(fight_id, combatant, damage) among
+    the merged allies(fight_id, ally)."""
     rows = fights.join(members, ["source_id", "encounter_id"])
-    longest = F.max_by(F.struct("source_id", "encounter_id", "title", "zone"), F.struct(F.col("duration_s"), F.col("source_id"), F.col("encounter_id")))
-    return rows.groupBy("fight_id").agg(longest.alias("p"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("logs"), F.min(F.when(F.col("success") > 0, F.col("success"))).alias("success")).select("fight_id", F.col("p.source_id").alias("primary_source"), F.col("p.encounter_id").alias("primary_encounter"), "p.title", "p.zone", "start_ts", "end_ts", "logs", "success")
+    if "instance_expiry" not in rows.columns:
+        rows = rows.withColumn("instance_expiry", F.lit(None).cast("long"))
+    key = ["source_id", "encounter_id"]
+    told = rows.withColumn("_won", F.lit(False)) if scripted is None else rows.join(scripted.select(*key, F.lit(True).alias("_won")).distinct(), key, "left").withColumn("_won", F.coalesce("_won", F.lit(False)))
+    longest = F.max_by(F.struct("source_id", "encounter_id", "title", "zone", "success"), F.struct("duration_s", (-F.col("end_ts")).alias("e"), "source_id", "encounter_id"))
+    known = F.min(F.when(F.col("instance_expiry").isNotNull(), F.struct("end_ts", "source_id", "instance_expiry")))
+    out = told.groupBy("fight_id").agg(longest.alias("p"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("logs"), F.max("_won").alias("_won"), known.alias("_k"))
+    out = out.select("fight_id", F.col("p.source_id").alias("primary_source"), F.col("p.encounter_id").alias("primary_encounter"), "p.title", "p.zone", "start_ts", "end_ts", "logs", F.when(F.col("_won"), 1).otherwise(F.col("p.success")).alias("success"), F.col("_k.instance_expiry").alias("instance_expiry"))
+    if combatants is None:
+        return out
+    friends = allies.select("fight_id", F.upper("ally").alias("_key"))
+    damage = combatants.withColumn("_key", F.upper("combatant")).join(friends, ["fight_id", "_key"], "left_semi").groupBy("fight_id").agg(F.sum("damage").cast("long").alias("damage"))
+    return out.join(damage, "fight_id", "left").withColumn("damage", F.coalesce("damage", F.lit(0)))

@@ -5,27 +5,113 @@ order, used per key by both batch and streaming jobs."""
 
 from __future__ import annotations
 
-from collections import deque
+import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import canonical_control
 from ..sources.files import stored
 from .sessions import islands
 
-#: Up to this many rules the table is broadcast to the lines.
+#: Rules are typed or imported by people; their patterns become part of the plan,
+#: so many at a time, and more than this are refused.
+MOST_RULES = 20_000
+#: Up to this many definitions of timers or rules are broadcast.
 BROADCAST_RULES = 20_000
+RULES_AT_ONCE = 100
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A rule's pattern with its named groups as plain ones: Java wants no
+    underscore in names, and groups are read by number."""
+
+    java: str
+    names: dict[str, int]  # number of each named group in java
+    numbers: list[int]  # java's number of $0, $1, ...: plain groups count before named ones
+
+    @staticmethod
+    def of(regex: str) -> Pattern:
+        out, names, plain, named, n, i, in_class = [], {}, [], [], 0, 0, False
+        while i < len(regex):
+            c = regex[i]
+            step = 1
+            if c == "\\":
+                step = 2
+            elif in_class:
+                in_class = c != "]"
+            elif c == "[":
+                in_class = True
+                step = 2 if regex[i + 1 : i + 2] == "]" else 3 if regex[i + 1 : i + 3] == "^]" else 1
+            elif c == "(":
+                found = re.match(r"\(\?(?:<([A-Za-z_]\w*)>|'([A-Za-z_]\w*)')", regex[i:])
+                if found:
+                    n += 1
+                    names[found[1] or found[2]] = n
+                    named.append(n)
+                    out.append("(")
+                    i += len(found[0])
+                    continue
+                if regex[i + 1 : i + 2] != "?":
+                    n += 1
+                    plain.append(n)
+            out.append(regex[i : i + step])
+            i += step
+        return Pattern("(?dU)" + "".join(out), names, [0, *plain, *named])
+
+
+def _expanded(template: str, pattern: Pattern, group):
+    """A template's text: $1, ${1} and ${name} stand for groups, $$ for a dollar."""
+    parts = []
+    for text, one, braced in re.findall(r"([^$]+|\$\$|\$(?![\d{]))|\$(\d+)|\$\{(\w+)\}", template):
+        ref = one or braced
+        if not ref:
+            parts.append(F.lit("$" if text == "$$" else text))
+            continue
+        at = pattern.names.get(ref, pattern.numbers[int(ref)] if ref.isdigit() and int(ref) < len(pattern.numbers) else None)
+        parts.append(F.lit(f"${{{braced}}}" if braced else f"${one}") if at is None else group(at))
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """lines(source_id, seq, ts, zone, message) x rules(rule, regex, literal,
-    zone, enabled): every match in the rule's zone.  The literal is looked for
-    before the pattern runs."""
-    r = rules.where("enabled").select("rule", "regex", F.coalesce("literal", F.lit("")).alias("literal"), F.lower(F.coalesce("zone", F.lit(""))).alias("rule_zone"))
-    small = F.broadcast(r) if rules.count() <= BROADCAST_RULES else r
-    hit = F.col("message").contains(F.col("literal")) & F.lower("zone").contains(F.col("rule_zone")) & F.expr("message rlike regex")
-    return lines.join(small, hit).select("source_id", "seq", "ts", "rule", "message")
+    """lines(source_id, seq, ts, zone, message, owner) x rules(rule, regex, literal,
+    zone, enabled; sound_type, sound_data, cooldown_s as far as given): every match
+    in the rule's zone, with attacker and victim (groups of these names, else
+    "None"), the sound's text with its groups filled in, and the cooldown.  A group
+    named YOU must hold the log's owner.
+
+    Patterns are compiled once, as literals of the plan; a rule's own literal is
+    looked for before its pattern runs.  Lines are read once for RULES_AT_ONCE rules."""
+    held = rules.where("enabled").limit(MOST_RULES + 1).collect()
+    if len(held) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    message, zone = F.col("message"), F.lower(F.coalesce("zone", F.lit("")))
+
+    def hit(r):
+        given, p = r.asDict(), Pattern.of(r["regex"])
+        group = lambda n: F.regexp_extract(message, p.java, n)
+        on = message.contains(r["literal"]) if given.get("literal") else F.lit(True)
+        if given.get("zone"):
+            on = on & zone.contains(r["zone"].lower())
+        on = on & message.rlike(p.java)
+        if "YOU" in p.names and "owner" in lines.columns:
+            you = group(p.names["YOU"])
+            on = on & ((you == "") | F.lower(you).contains(F.lower("owner")))
+        name = lambda g: F.coalesce(F.nullif(group(p.names[g]), F.lit("")), F.lit("None")) if g in p.names else F.lit("None")
+        text = _expanded(given["sound_data"], p, group) if given.get("sound_data") and given.get("sound_type") == 3 else F.lit(None).cast("string")
+        cooldown = float(given["cooldown_s"]) if given.get("cooldown_s") is not None else 1.0
+        return F.when(on, F.struct(F.lit(r["rule"]).alias("rule"), name("attacker").alias("attacker"), name("victim").alias("victim"), text.alias("text"), F.lit(cooldown).alias("cooldown_s")))
+
+    none = "rule string, attacker string, victim string, text string, cooldown_s double"
+    out = None
+    for i in range(0, max(1, len(held)), RULES_AT_ONCE):
+        hits = [hit(r) for r in held[i : i + RULES_AT_ONCE]] or [F.lit(None).cast(f"struct<{none.replace(' ', ':').replace(',:', ',')}>")]
+        found = lines.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))).select("source_id", "seq", "ts", "message", "_hit.*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def merge_rule_sets(pack: DataFrame, user: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -37,10 +123,12 @@ def merge_rule_sets(pack: DataFrame, user: DataFrame, overrides: DataFrame) -> D
 
 
 def missing_timers(mined: DataFrame, timers: DataFrame) -> DataFrame:
-    """Mined abilities without a definition of their name for their mob."""
-    defined = timers.select(F.lower("name").alias("ability_key"), F.explode(F.split("category", r"\|")).alias("mob")).select("ability_key", F.lower("mob").alias("mob_key")).distinct()
-    keyed = mined.withColumn("ability_key", F.lower("ability")).withColumn("mob_key", F.lower("attacker"))
-    return keyed.join(defined, ["ability_key", "mob_key"], "left_anti").drop("ability_key", "mob_key")
+    """Mined abilities without a definition of their name for their mob and zone;
+    a definition's category may list several mobs."""
+    defined = timers.select(F.lower("name").alias("_name"), F.explode(F.split("category", r"\|")).alias("_mob"), F.lower(F.coalesce("zone", F.lit(""))).alias("_zone"))
+    defined = defined.select("_name", F.lower(F.trim("_mob")).alias("_mob"), "_zone").distinct()
+    same = (F.lower("ability") == F.col("_name")) & (F.lower("attacker") == F.col("_mob")) & (F.lower("zone") == F.col("_zone"))
+    return mined.join(defined, same, "left_anti")
 
 
 def ensure_linked_timers(rules: DataFrame, timers: DataFrame) -> DataFrame:
@@ -62,17 +150,18 @@ def accept_spaced(stamps, least: float, last: float | None = None) -> tuple[list
     return out, last
 
 
-def rate_limit(matches: DataFrame, cooldown_s: float = 1.0) -> DataFrame:
-    """Every match, with fires: whether its rule may announce again.  After a
-    pause beyond the cooldown the past doesn't matter: a group is a stretch
-    between pauses."""
+def rate_limit(matches: DataFrame, cooldown_s: float | None = None) -> DataFrame:
+    """Every match, with fires: whether its rule may announce again, by the rule's
+    own cooldown_s or the one given.  After a pause beyond the cooldown the past
+    doesn't matter: a group is a stretch between pauses."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        return pdf.assign(fires=accept_spaced(pdf["ts"], cooldown_s)[0])
+        return pdf.assign(fires=accept_spaced(pdf["ts"], pdf["cooldown_s"].iloc[0])[0]).drop(columns=["island", "cooldown_s"])
 
-    stretches = islands(stored(matches.select("source_id", "seq", "ts", "rule", "message")), cooldown_s, keys=("source_id", "rule"))
-    return stretches.groupBy("source_id", "rule", "island").applyInPandas(lambda pdf: group(pdf.drop(columns="island")), "source_id string, seq long, ts long, rule string, message string, fires boolean")
+    cooldown = F.col("cooldown_s") if cooldown_s is None else F.lit(float(cooldown_s))
+    stretches = islands(stored(matches.select("source_id", "seq", "ts", "rule", "message", cooldown.alias("cooldown_s"))), F.col("cooldown_s"), keys=("source_id", "rule"))
+    return stretches.groupBy("source_id", "rule", "island").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
 
 
 def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
@@ -87,42 +176,56 @@ def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
 
 
 def callouts(rows, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0):
-    """rows (ts, victim) of one effect in order -> (ts, victims) of the alerts:
-    `least` different victims within `within` seconds, told after `hold`; a new
-    one only `cooldown` after the last."""
-    recent, pending, last, out = deque(), None, None, []
+    """rows (ts, victim) of one effect in order -> (ts, victims) of the alerts.
+
+    `least` different victims within `within` seconds make a wave; after `hold` it
+    is told, if enough victims are still within the window then.  A wave that has
+    ebbed away isn't told and costs nothing; one that is told keeps others quiet for
+    `cooldown`."""
+    recent: dict[str, float] = {}
+    pending, last, out = None, None, []
+
+    def prune(now):
+        for v in [v for v, at in recent.items() if now - at > within]:
+            del recent[v]
 
     def tell():
         nonlocal pending, last
-        out.append((pending, len({v for t, v in recent if t >= pending - hold - within})))
-        last, pending = pending, None
+        now, pending = pending + hold, None
+        prune(now)
+        if len(recent) >= least:
+            last = now
+            out.append((now, len(recent)))
 
     for ts, victim in rows:
-        if pending is not None and ts >= pending:
+        if pending is not None and ts >= pending + hold:
             tell()
-        recent.append((ts, victim))
-        while recent and recent[0][0] < ts - within:
-            recent.popleft()
-        ready = last is None or ts - last >= cooldown
-        if pending is None and ready and len({v for _, v in recent}) >= least:
-            pending = ts + hold
+        recent[victim.lower()] = ts
+        prune(ts)
+        if last is not None and ts - last < cooldown:
+            continue
+        if pending is None and len(recent) >= least:
+            pending = ts
     if pending is not None:
         tell()
     return out
 
 
 def status_callouts(applied: DataFrame, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0) -> DataFrame:
-    """applied(source_id, seq, ts, victim, ability)."""
+    """applied(source_id, seq, ts, victim, ability): waves of a control effect over
+    players (one word, capitalised), by the effect behind the status word."""
     options = {"least": least, "within": within, "hold": hold, "cooldown": cooldown}
+    player = (F.length("victim") > 1) & ~F.col("victim").contains(" ") & F.substring("victim", 1, 1).rlike(r"^\p{Lu}")
+    rows = applied.withColumn("effect", canonical_control(F.col("ability"))).where(F.col("effect").isNotNull() & player)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         told = callouts(zip(pdf["ts"], pdf["victim"]), **options)
-        rows = [(pdf["source_id"].iloc[0], pdf["ability"].iloc[0], float(t), n) for t, n in told]
-        return pd.DataFrame(rows, columns=["source_id", "ability", "at_ts", "victims"], dtype=object)
+        rows = [(pdf["source_id"].iloc[0], pdf["effect"].iloc[0], float(t), n) for t, n in told]
+        return pd.DataFrame(rows, columns=["source_id", "effect", "at_ts", "victims"], dtype=object)
 
-    stretches = islands(stored(applied.select("source_id", "seq", "ts", "victim", "ability")), max(within, cooldown) + hold, keys=("source_id", "ability"))
-    return stretches.groupBy("source_id", "ability", "island").applyInPandas(group, "source_id string, ability string, at_ts double, victims long")
+    stretches = islands(stored(rows.select("source_id", "seq", "ts", "victim", "effect")), max(within, cooldown) + hold, keys=("source_id", "effect"))
+    return stretches.groupBy("source_id", "effect", "island").applyInPandas(group, "source_id string, effect string, at_ts double, victims long")
 
 
 def uses(rows, same_use: float = 2.0):
@@ -154,29 +257,29 @@ def ability_frequency(hits: DataFrame, longest: int = 300) -> DataFrame:
 
 
 def pair_status(rows):
-    """rows (ts, effect, applied) on one victim in order -> (effect, from, to):
-    a release closes the latest open effect of its name, `any` the latest."""
-    open_, out = [], []
-    for ts, effect, applied in rows:
+    """rows (seq, ts, effect, applied) on one victim in the log's order -> (seq, ts,
+    effect, seconds) of every apply: each release, in order, closes the latest open
+    apply of its name (`any`: of any name) with a stamp at or before its own."""
+    applies = [[seq, ts, effect, None] for seq, ts, effect, applied in rows if applied]
+    for _, ts, effect, applied in rows:
         if applied:
-            open_.append((ts, effect))
             continue
-        for i in range(len(open_) - 1, -1, -1):
-            if effect in ("any", open_[i][1]):
-                start, name = open_.pop(i)
-                out.append((name, start, ts))
+        for a in reversed(applies):
+            if a[3] is None and a[1] <= ts and effect.lower() in ("any", a[2].lower()):
+                a[3] = ts - a[1]
                 break
-    return out
+    return [tuple(a) for a in applies]
 
 
 def status_pairing(status: DataFrame) -> DataFrame:
-    """status(source_id, encounter_id, seq, ts, victim, ability, damage_type)."""
+    """status(source_id, encounter_id, seq, ts, victim, ability, damage_type) ->
+    every apply with its seconds, null if nothing released it."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        found = pair_status(zip(pdf["ts"], pdf["ability"], pdf["damage_type"] == "applied"))
+        found = pair_status(list(zip(pdf["seq"], pdf["ts"], pdf["ability"], pdf["damage_type"] == "applied")))
         head = pdf.iloc[0]
         rows = [(head["source_id"], head["encounter_id"], head["victim"], *f) for f in found]
-        return pd.DataFrame(rows, columns=["source_id", "encounter_id", "victim", "effect", "from_ts", "to_ts"], dtype=object)
+        return pd.DataFrame(rows, columns=["source_id", "encounter_id", "victim", "seq", "ts", "effect", "duration_s"], dtype=object)
 
-    return status.select("source_id", "encounter_id", "seq", "ts", "victim", "ability", "damage_type").groupBy("source_id", "encounter_id", "victim").applyInPandas(group, "source_id string, encounter_id long, victim string, effect string, from_ts long, to_ts long")
+    return status.select("source_id", "encounter_id", "seq", "ts", "victim", "ability", "damage_type").groupBy("source_id", "encounter_id", "victim").applyInPandas(group, "source_id string, encounter_id long, victim string, seq long, ts long, effect string, duration_s long")

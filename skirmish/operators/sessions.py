@@ -24,14 +24,14 @@ def _beside(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def islands(swings: DataFrame, idle: float = IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",), until: str = "ts") -> DataFrame:
+def islands(swings: DataFrame, idle=IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",), until: str = "ts") -> DataFrame:
     """Adds island: the seq of the last line at or before this one that comes
     more than `idle` after every earlier line of its source.  No encounter
     crosses an island, so one giant log is worked on in parallel.  Windows run
     over parts of a source; only a row a part runs over the whole source.
     Other keys and orders do for other machines with a bounded memory; rows
     without a key keep to themselves, as in a group.  Rows that last name the
-    column of their end in `until`."""
+    column of their end in `until`.  idle may be a column that is constant by key."""
     s = swings.withColumn("_part", F.expr(f"{order[0]} div {int(part_rows)}"))
     by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
@@ -67,25 +67,92 @@ def encounter_zone(kept: DataFrame) -> DataFrame:
     return kept.groupBy("source_id", "encounter_id").agg(F.min_by("zone", "seq").alias("zone"))
 
 
-def encounter_window(kept: DataFrame, is_ally) -> DataFrame:
-    """start: first outgoing action; end: last damage of an ally (of anyone if
-    no ally acts), a kill included; never before the start."""
-    damage = F.col("category").isin(1, 2) & (F.upper("attacker") != F.upper("victim"))
-    ally_end = F.max(F.when(damage & is_ally, F.col("ts")))
-    allied = F.max(is_ally.cast("int"))
-    end = F.when(allied == 1, ally_end).otherwise(F.max(F.when(damage, F.col("ts"))))
-    start = F.min(F.when(~(F.col("category").isin(1, 2) & (F.upper("attacker") == F.upper("victim"))), F.col("ts")))
+def encounter_window(kept: DataFrame) -> DataFrame:
+    """start: first outgoing action; end: last damage of an ally (of anyone if no
+    ally takes part), a kill included; never before the start.  kept: actions with
+    a_ally and v_ally."""
+    own = F.col("category").isin(1, 2) & (F.upper("attacker") == F.upper("victim"))
+    damage = F.col("category").isin(1, 2) & ~own
+    ally_end = F.max(F.when(damage & F.col("a_ally"), F.col("ts")))
+    end = F.when(F.max(F.col("a_ally") | F.col("v_ally")), ally_end).otherwise(F.max(F.when(damage, F.col("ts"))))
+    start = F.min(F.when(~own, F.col("ts")))
     return kept.groupBy("source_id", "encounter_id").agg(start.alias("start_ts"), F.greatest(start, F.coalesce(end, start)).alias("end_ts")).withColumn("duration_s", F.col("end_ts") - F.col("start_ts"))
 
 
+EXPIRY_GAP_S = 90 * 60
+
+
 def zone_runs(fights: DataFrame) -> DataFrame:
     """fights(source_id, encounter_id, zone, start_ts): adds run, counting the
     stretches of one zone in a source's history."""
     order = Window.partitionBy("source_id").orderBy("start_ts", "encounter_id")
-    change = (~F.col("zone").eqNullSafe(F.lag("zone").over(order))).cast("int")
+    change = (~F.lower("zone").eqNullSafe(F.lower(F.lag("zone").over(order)))).cast("int")
     return fights.withColumn("_c", change).withColumn("run", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
+def instance_runs(runs: DataFrame) -> DataFrame:
+    """runs with instance_expiry: a run is split where another instance of the zone
+    begins; adds instance, its number in the run.  Only stretches of one expiry
+    (as told, they differ by an hour) go through the fold, in order."""
+    order = Window.partitionBy("source_id", "run").orderBy("start_ts", "encounter_id")
+    # The expiry in force: that of the fight, else of the one before.
+    r = runs.withColumn("_known", F.last("instance_expiry", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    new = (F.lag(F.lit(1)).over(order).isNull() | ~F.col("_known").eqNullSafe(F.lag("_known").over(order))).cast("int")
+    r = r.withColumn("_new", new).withColumn("_stretch", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = r.where("_new = 1").groupBy("source_id", "run").agg(F.sort_array(F.collect_list(F.struct("_stretch", "_known"))).alias("_s"))
+
+    def fold(acc, x):
+        other = (F.abs(x["_known"] - acc["known"]) > EXPIRY_GAP_S) & x["_known"].isNotNull() & acc["known"].isNotNull()
+        n = acc["n"] + F.coalesce(other, F.lit(False)).cast("int")
+        known = F.when(F.coalesce(other, F.lit(False)), x["_known"]).otherwise(F.coalesce(acc["known"], x["_known"]))
+        return F.struct(n.alias("n"), known.alias("known"), F.concat(acc["out"], F.array(F.struct(x["_stretch"].alias("_stretch"), n.alias("instance")))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("known"), F.array().cast("array<struct<_stretch:bigint,instance:int>>").alias("out"))
+    told = stretches.select("source_id", "run", F.explode(F.aggregate("_s", start, fold, lambda acc: acc["out"])).alias("_t")).select("source_id", "run", "_t.*")
+    return r.join(told, ["source_id", "run", "_stretch"]).drop("_known", "_new", "_stretch")
+
+
 def day_sections(runs: DataFrame) -> DataFrame:
     """Each run with the day of its latest fight."""
     return runs.groupBy("source_id", "run", "zone").agg(F.count("*").alias("fights"), F.to_date(F.timestamp_seconds(F.max("start_ts"))).cast("string").alias("day"))
+
+
+LOCKOUT_WITHIN_S = 10
+
+
+def carry_zones(parsed: DataFrame, seeds: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """parsed lines with the zone and the instance's expiry in force at each: the
+    last zone entered at or before it, and the end of the lockout told up to 10 s
+    after that entry.  seeds(source_id, zone, instance_expiry): what held before
+    the first line.  Windows run over parts of a source; only a row a part runs
+    over the whole source."""
+    s = parsed.withColumn("_part", F.expr(f"seq div {int(part_rows)}"))
+    entry = F.when(F.col("zone_entered").isNotNull(), F.struct("seq", "ts", F.col("zone_entered").alias("zone")))
+    last = _carried(s, entry, ("source_id",))
+    # A lockout counts for the entry before it; the last one that counts holds until the next entry.
+    in_time = F.col("lockout_s").isNotNull() & (F.col("ts") - F.col("_entry.ts")).between(0, LOCKOUT_WITHIN_S)
+    told = F.when(in_time, F.struct("seq", F.col("_entry.seq").alias("of"), (F.col("ts") + F.col("lockout_s")).alias("expiry")))
+    out = _carried(last.withColumnRenamed("_last", "_entry"), told, ("source_id",))
+    expiry = F.when(F.col("_last.of") == F.col("_entry.seq"), F.col("_last.expiry"))
+    zone = F.col("_entry.zone")
+    if seeds is not None:
+        seed = seeds.select(F.col("source_id").alias("_s"), F.col("zone").alias("_zone0"), F.col("instance_expiry").alias("_expiry0"))
+        out = out.join(seed, F.col("source_id") == F.col("_s"), "left")
+        expiry = F.when(F.col("_entry").isNull(), F.col("_expiry0")).otherwise(expiry)
+        zone = F.coalesce(zone, "_zone0")
+    return out.withColumns({"zone": F.coalesce(zone, F.lit("")), "instance_expiry": expiry}).drop("_part", "_entry", "_last", "_s", "_zone0", "_expiry0")
+
+
+def _carried(s: DataFrame, value, keys: tuple[str, ...]) -> DataFrame:
+    """Adds _last: the last value (a struct that starts with seq) at or before a row."""
+    s = s.withColumn("_value", value)
+    by_part = Window.partitionBy(*keys, "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    by_source = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = s.groupBy(*keys, "_part").agg(F.max("_value").alias("_top")).select(*keys, "_part", F.max("_top").over(by_source).alias("_before"))
+    rows = _beside(s.withColumn("_own", F.max("_value").over(by_part)), tops, (*keys, "_part"))
+    return rows.withColumn("_last", F.coalesce("_own", "_before")).drop("_value", "_own", "_before")
+
+
+def encounter_instance(kept: DataFrame) -> DataFrame:
+    """The zone and the instance's expiry at the start of each fight."""
+    return kept.groupBy("source_id", "encounter_id").agg(F.min(F.struct("seq", "zone", "instance_expiry")).alias("o")).select("source_id", "encounter_id", "o.zone", "o.instance_expiry")

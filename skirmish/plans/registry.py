@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import grammar, scalars
-from ..operators import reports, sessions, stats
+from ..operators import allies, reports, sessions, stats
 from ..sources import adapter
 from . import sql
 
@@ -24,11 +24,11 @@ def enemy(name):
 
 
 def kept(spark, sf_dir):
-    return sessions.segment(adapter.swings(spark, sf_dir))
+    return allies.mark_by(sessions.segment(adapter.swings(spark, sf_dir)), ally)
 
 
-def window(k):
-    return sessions.encounter_window(k, ally(F.col("attacker")))
+window = sessions.encounter_window
+combatants = stats.combatant_stats
 
 
 def register(name, run, prefix=None, body=None):
@@ -80,7 +80,7 @@ for _name, _family, _where in (
     ("parse_cure", "cure", "category=20"),
     ("parse_death", "death", "damage_type='death'"),
 ):
-    register(_name, lambda spark, d, f=_family: parsed(spark, d).where(F.col("family") == f).select(*PARSED), sql.SWINGS, f"select {_COLS} from s where {_where}")
+    register(_name, lambda spark, d, f=_family: parsed(spark, d).where(F.col("family") == f).select(*PARSED), sql.SWINGS, f"select {_COLS if _family != 'none' else _COLS.replace('critical', 'false as critical')} from s where {_where}")
 register("parse_status", lambda spark, d: parsed(spark, d).where("family in ('applied', 'released')").select("source_id", "seq", "ts", "category", "attacker", "ability", "victim", "damage_type"), sql.SWINGS, "select source_id, seq, ts, category, 'Unknown' as attacker, ability, victim, damage_type from s where category=30")
 register("mark_pet_death", lambda spark, d: parsed(spark, d).where("family = 'death'").select("source_id", "seq", "victim", F.coalesce(F.col("extra") == "pet-death", F.lit(False)).alias("pet")), sql.SWINGS, "select source_id, seq, victim, victim=owner as pet from s where damage_type='death'")
 register("grammar_coverage", lambda spark, d: grammar.grammar_coverage(parsed(spark, d)), sql.SWINGS, "select 'A door creaks N times.' as template, count(*) as n_lines from s where category in (0,10)")
@@ -90,54 +90,77 @@ on_kept("segment_encounters", lambda k: k.select("source_id", "seq", "encounter_
 on_kept("encounter_zone", sessions.encounter_zone, sql.TITLED, "select source_id, encounter_id, zone from z")
 on_kept("zone_asof", lambda k: k.join(sessions.encounter_zone(k).withColumnRenamed("zone", "fight_zone"), ["source_id", "encounter_id"]).where("zone <> fight_zone").select("source_id", "seq", "zone", "fight_zone"), sql.TITLED, "select k.source_id, seq, k.zone, z.zone as fight_zone from k join z using (source_id, encounter_id) where k.zone<>z.zone")
 on_kept("encounter_window", window, sql.WINDOW, "select * from w")
-on_kept("zone_runs", lambda k: sessions.zone_runs(reports.fights(k, ally)).select("source_id", "encounter_id", "zone", "run"), sql.TITLED, "select source_id, encounter_id, zone, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)")
-on_kept("day_sections", lambda k: sessions.day_sections(sessions.zone_runs(reports.fights(k, ally))), sql.TITLED, "select source_id, run, zone, count(*) as fights, strftime(make_timestamp(max(start_ts)*1000000), '%Y-%m-%d') as day from (select *, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)) group by 1,2,3")
-on_kept("discard_scraps", lambda k: reports.fights(k, ally).where("title is not null").select("source_id", "encounter_id", "title"), sql.TITLED, "select source_id, encounter_id, title from fights where title is not null")
+on_kept("zone_runs", lambda k: sessions.zone_runs(reports.fights(k)).select("source_id", "encounter_id", "zone", "run"), sql.TITLED, "select source_id, encounter_id, zone, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)")
+on_kept("day_sections", lambda k: sessions.day_sections(sessions.zone_runs(reports.fights(k))), sql.TITLED, "select source_id, run, zone, count(*) as fights, strftime(make_timestamp(max(start_ts)*1000000), '%Y-%m-%d') as day from (select *, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)) group by 1,2,3")
+on_kept("discard_scraps", lambda k: reports.fights(k).where("title is not null").select("source_id", "encounter_id", "title"), sql.TITLED, "select source_id, encounter_id, title from fights where title is not null")
 
 # --- rollups ----------------------------------------------------------------
-_STATS = "coalesce(sum(amount) filter (amount>0),0)::bigint as damage, count(*) filter (amount<>-10 {k}) as swings, count(*) filter (amount>=0) as hits, count(*) filter (critical and amount>=0) as crits, count(*) filter (amount=-1) as misses, count(*) filter (amount<-1 and amount<>-10) as avoids, count(*) filter (amount=-10) as deaths, coalesce(min(amount) filter (amount>0),0)::bigint as min_hit, coalesce(max(amount) filter (amount>0),0)::bigint as max_hit, min(ts) as first_ts, max(ts) as last_ts"
+_STATS = "coalesce(sum(amount) filter (amount>0),0)::bigint as damage, count(*) filter (amount<>-10 or ability='Killing') as swings, count(*) filter (amount>=0) as hits, count(*) filter (critical and amount>=0) as crits, count(*) filter (amount=-1) as misses, count(*) filter (amount<-1 and amount<>-10) as avoids, count(*) filter (amount=-10) as deaths, coalesce(min(amount) filter (amount>=0),0)::bigint as min_hit, coalesce(max(amount) filter (amount>0),0)::bigint as max_hit, min(ts) as first_ts, max(ts) as last_ts"
+_ALL = "fa as (select * exclude (ability), unnest([ability, 'All']) as ability from f)"
 on_kept("bucket_fanout", lambda k: stats.bucket_fanout(k).groupBy("source_id", "encounter_id", "combatant", "direction", "bucket").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs")), sql.FANNED, "select source_id, encounter_id, combatant, direction, bucket, count(*) as n, sum(seq)::bigint as seqs from f group by 1,2,3,4,5")
-on_kept("ability_stats", lambda k: stats.ability_stats(stats.bucket_fanout(k)), sql.FANNED, f"select source_id, encounter_id, combatant, bucket, ability, {_STATS.format(k="or ability='Killing'")} from f group by 1,2,3,4,5")
-on_kept("ability_stats_all", lambda k: stats.ability_stats_all(stats.bucket_fanout(k)), sql.FANNED, f"select source_id, encounter_id, combatant, bucket, coalesce(ability,'All') as ability, {_STATS.format(k='')} from f group by grouping sets ((source_id, encounter_id, combatant, bucket, ability), (source_id, encounter_id, combatant, bucket))")
+on_kept("ability_stats", lambda k: stats.ability_stats(stats.bucket_fanout(k)), sql.FANNED, f"select source_id, encounter_id, combatant, bucket, ability, {_STATS} from f group by 1,2,3,4,5")
+on_kept("ability_stats_all", lambda k: stats.ability_stats_all(stats.bucket_fanout(k)), sql.FANNED + ", " + _ALL, f"select source_id, encounter_id, combatant, bucket, ability, {_STATS} from fa group by 1,2,3,4,5")
 on_kept("upper_median", lambda k: stats.upper_median(stats.bucket_fanout(k), ("source_id", "encounter_id", "combatant", "bucket")), sql.FANNED, "select source_id, encounter_id, combatant, bucket, list_sort(list(amount))[count(*)//2+1] as median from f where amount>=0 group by 1,2,3,4")
-on_kept("combatant_stats", stats.combatant_stats, sql.COMBATANTS, "select * from c")
-on_kept("deaths", stats.death_counts, sql.KEPT, "select source_id, encounter_id, victim as combatant, count(*) as deaths, 0::bigint as pet_deaths from k where ability='Killing' and amount=-10 group by 1,2,3")
+on_kept("combatant_stats", lambda k: combatants(k).drop("opening"), sql.COMBATANTS, "select * from c")
+on_kept("deaths", lambda k: stats.death_counts(combatants(k)), sql.COMBATANTS, "select source_id, encounter_id, combatant, deaths, pet_deaths from c where deaths+pet_deaths>0")
 register("pet_deaths", lambda spark, d: parsed(spark, d).where("family='death'").groupBy("source_id", F.col("victim").alias("combatant")).agg(stats.count_if(F.coalesce(F.col("extra") == "pet-death", F.lit(False))).alias("pet_deaths")), sql.SWINGS, "select source_id, victim as combatant, count(*) filter (victim=owner) as pet_deaths from s where damage_type='death' group by 1,2")
-on_kept("kills", lambda k: stats.kill_counts(k, ally), sql.KEPT, "select source_id, encounter_id, attacker as combatant, count(*) as kills from k where amount=-10 and (a_ally or victim not like '% %') group by 1,2,3")
+on_kept("kills", lambda k: stats.kill_counts(combatants(k)), sql.COMBATANTS, "select source_id, encounter_id, combatant, kills from c where kills>0")
 on_kept("autoattack_by_school", stats.autoattack_by_school, sql.KEPT, "select source_id, encounter_id, attacker as combatant, lower(damage_type) as school, sum(amount)::bigint as damage, count(*) as hits from k where category=1 and ability='Auto-Attack' and amount>0 group by 1,2,3,4")
 on_kept("ally_edges", stats.ally_edges, sql.KEPT, "select source_id, encounter_id, src, dst, sum(v)::bigint as value from (select source_id, encounter_id, attacker as src, victim as dst, case when category in (3,13) then 1 else -1 end as v from k where upper(attacker)<>upper(victim) and category not in (20,30) union all select source_id, encounter_id, victim, attacker, case when category in (3,13) then 1 else -1 end from k where upper(attacker)<>upper(victim) and category not in (20,30)) group by 1,2,3,4")
-on_kept("encounter_title", lambda k: stats.encounter_title(k, ally), sql.TITLED, "select * from t")
-on_kept("success_level", lambda k: stats.success_level(k, ally), sql.TITLED, "select source_id, encounter_id, success from fights")
-on_kept("encounter_totals", lambda k: reports.fights(k, ally).select("source_id", "encounter_id", "damage", scalars.per_second(F.col("damage"), F.col("duration_s")).alias("enc_dps")), sql.TITLED, "select source_id, encounter_id, damage, damage::double/greatest(duration_s,1)::double as enc_dps from fights")
-on_kept("dps_family", lambda k: reports.rates(stats.combatant_stats(k), window(k)), sql.COMBATANTS, "select source_id, encounter_id, combatant, damage, healed, damage::double/greatest(duration_s,1)::double as enc_dps, damage::double/greatest(coalesce(last_ts-first_ts,0),1)::double as dps, healed::double/greatest(duration_s,1)::double as enc_hps from c join w using (source_id, encounter_id)")
-_SLOTS = ", sl as (select *, greatest(2, least(30, ceil(duration_s/60.0)))::bigint as slot_s from w), g as (select source_id, encounter_id, start_ts, slot_s, duration_s//slot_s+1 as n, unnest(range(0, duration_s//slot_s+1)) as slot from sl), hh as (select k.source_id, k.encounter_id, least((ts-start_ts)//slot_s, duration_s//slot_s) as slot, sum(amount)::bigint as damage from k join sl using (source_id, encounter_id) where category in (1,2) and amount>0 {x} and ts>=start_ts group by 1,2,3)"
-_SLOTTED = "select source_id, encounter_id, slot, coalesce(damage,0)::bigint as damage, coalesce(damage,0)::double/slot_s::double as rate from g left join hh using (source_id, encounter_id, slot)"
-on_kept("activity_series", lambda k: stats.activity_series(k, window(k)), sql.WINDOW + _SLOTS.format(x=""), _SLOTTED)
-on_kept("heat_series", lambda k: stats.activity_series(k.where("ability = 'Skill 1'"), window(k)), sql.WINDOW + _SLOTS.format(x="and ability='Skill 1'"), _SLOTTED)
+on_kept("encounter_title", lambda k: reports.fights(k).where("title is not null").select("source_id", "encounter_id", "title", "score"), sql.TITLED, "select source_id, encounter_id, title, score from t")
+on_kept("success_level", lambda k: reports.fights(k).select("source_id", "encounter_id", "success"), sql.TITLED, "select source_id, encounter_id, success from fights")
+on_kept("encounter_totals", lambda k: reports.fights(k).select("source_id", "encounter_id", "damage", "healed", "kills", "deaths", scalars.per_second(F.col("damage"), F.col("duration_s")).alias("enc_dps")), sql.TITLED, "select source_id, encounter_id, damage, healed, kills, deaths, damage::double/greatest(duration_s,1)::double as enc_dps from fights")
+# Two places, halves to the even side, in whole numbers.
+_TWO = "(case when {s}>0 then ((100*{n})//({s}) + case when 2*((100*{n})%({s}))>({s}) or (2*((100*{n})%({s}))=({s}) and ((100*{n})//({s}))%2=1) then 1 else 0 end)::double/100 else 0.0 end)"
+_OWN = "coalesce(last_ts-first_ts,0)"
+on_kept("dps_family", lambda k: reports.rates(combatants(k), window(k)), sql.COMBATANTS, f"select source_id, encounter_id, combatant, damage, healed, {_OWN} as personal_s, damage::double/greatest(duration_s,1)::double as enc_dps, damage::double/greatest({_OWN},1)::double as dps, healed::double/greatest(duration_s,1)::double as enc_hps, {_TWO.format(n='damage', s='duration_s')} as up_enc_dps, {_TWO.format(n='damage', s=_OWN)} as up_dps, {_TWO.format(n='healed', s='duration_s')} as up_enc_hps, {_TWO.format(n='100*hits', s='swings')} as to_hit from c join w using (source_id, encounter_id)")
+_SLOTTED = ", sl as (select source_id, encounter_id, start_ts, slot_s, greatest(1,duration_s)//slot_s+1 as n from (select *, greatest(2, least(30, ceil(greatest(1,duration_s)/60.0)))::bigint as slot_s from w)), hh as (select f.source_id, f.encounter_id, {by}, (ts-start_ts)//slot_s as slot, slot_s, n, amount from f join sl using (source_id, encounter_id) where amount>0 {x}), hs as (select source_id, encounter_id, {by}, slot, sum(amount)::bigint as total from hh where slot between 0 and n-1 group by all), g as (select distinct source_id, encounter_id, {by}, slot_s, unnest(range(0, n)) as slot from hh where slot between 0 and n-1) select source_id, encounter_id, {by}, slot, coalesce(total,0)::bigint as total, coalesce(total,0)::double/slot_s::double as rate from g left join hs using (source_id, encounter_id, {by}, slot)"
+_FANNED_WINDOW = sql.FANNED + sql.WINDOW[len(sql.KEPT):]
+
+
+def _series(name, run, by, where):
+    body = _SLOTTED.format(by=by, x=where)
+    at = body.index(" select source_id, encounter_id, " + by + ", slot, coalesce")
+    register(name, lambda spark, d: run(kept(spark, d)), _FANNED_WINDOW + body[:at], body[at:])
+
+
+_series("activity_series", lambda k: stats.activity_series(stats.bucket_fanout(k).where(F.col("bucket").isin(*stats.ACTIVE)), window(k)), "combatant, bucket", "and bucket in (" + ", ".join(f"'{b}'" for b in stats.ACTIVE) + ")")
+_series("heat_series", lambda k: stats.activity_series(stats.bucket_fanout(k).where("bucket = 'All Outgoing (Ref)' and ability = 'Skill 1'"), window(k), ("combatant",)), "combatant", "and bucket='All Outgoing (Ref)' and ability='Skill 1'")
 
 # --- drills and reports -------------------------------------------------------
-on_kept("drill_buckets", lambda k: stats.share_of(stats.bucket_fanout(k).groupBy("source_id", "encounter_id", "combatant", "bucket").agg(stats.sum_if(F.col("amount") > 0).alias("total"), F.count("*").alias("swings")), "total", ("source_id", "encounter_id", "bucket")), sql.FANNED, "select *, case when sum(total) over (partition by source_id, encounter_id, bucket)>0 then total::double/(sum(total) over (partition by source_id, encounter_id, bucket))::double else 0.0 end as share from (select source_id, encounter_id, combatant, bucket, coalesce(sum(amount) filter (amount>0),0)::bigint as total, count(*) as swings from f group by 1,2,3,4)")
+_ORDER = "[" + ", ".join(f"'{b}'" for b in reports.BUCKET_ORDER) + "]"
+on_kept("drill_buckets", lambda k: reports.drill_buckets(stats.bucket_fanout(k)), sql.FANNED, f"select *, case when sum(total) over (partition by source_id, encounter_id, bucket)>0 then total::double/(sum(total) over (partition by source_id, encounter_id, bucket))::double else 0.0 end as share, list_position({_ORDER}, bucket)::bigint as place from (select source_id, encounter_id, combatant, bucket, any_value(direction) as direction, coalesce(sum(amount) filter (amount>0),0)::bigint as total, count(*) as swings from f group by 1,2,3,4)")
 _DRILL = "count(*) filter (amount<>-10) as swings, count(*) filter (amount>=0) as hits, count(*) filter (critical and amount>=0) as crits, coalesce(max(amount) filter (amount>0),0)::bigint as max_hit, coalesce(sum(amount) filter (amount>0),0)::bigint as total"
 _SHARE = "case when sum(total) over ({w})>0 then total::double/(sum(total) over ({w}))::double else 0.0 end as share"
-on_kept("drill_abilities", lambda k: reports.drill_abilities(stats.bucket_fanout(k), "Outgoing Damage"), sql.FANNED, f"select *, {_SHARE.format(w='partition by source_id, encounter_id, combatant')} from (select source_id, encounter_id, combatant, ability, {_DRILL}, array_to_string(list_sort(list(distinct damage_type)), ',') as types from f where bucket='Outgoing Damage' group by 1,2,3,4)")
-on_kept("breakdown_by_other", lambda k: reports.breakdown_by_other(stats.bucket_fanout(k), window(k), "Outgoing Damage"), sql.FANNED + sql.WINDOW[len(sql.KEPT):], f"select source_id, encounter_id, combatant, other, swings, hits, crits, max_hit, total, total::double/greatest(duration_s,1)::double as enc_dps, {_SHARE.format(w='partition by source_id, encounter_id, combatant')} from (select source_id, encounter_id, combatant, other, {_DRILL} from f where bucket='Outgoing Damage' group by 1,2,3,4) join w using (source_id, encounter_id)")
+on_kept("drill_abilities", lambda k: reports.drill_abilities(stats.bucket_fanout(k), window(k), "Outgoing Damage"), _FANNED_WINDOW + ", " + _ALL, f"select * exclude (duration_s), case when max(total) filter (ability='All') over p>0 then total::double/(max(total) filter (ability='All') over p)::double else 0.0 end as share, total::double/greatest(1,duration_s)::double as dps from (select source_id, encounter_id, combatant, ability, {_DRILL.replace('amount<>-10)', 'amount<>-10 or ability=' + chr(39) + 'Killing' + chr(39) + ')')}, coalesce(array_to_string(list_sort(list(distinct damage_type) filter (damage_type not in ('','avoided','death','none','heal'))), ','),'') as types from fa where bucket='Outgoing Damage' group by 1,2,3,4) join (select source_id, encounter_id, duration_s from w) using (source_id, encounter_id) window p as (partition by source_id, encounter_id, combatant)")
+on_kept("breakdown_by_other", lambda k: reports.breakdown_by_other(stats.bucket_fanout(k), window(k), "Outgoing Damage"), _FANNED_WINDOW, f"select source_id, encounter_id, combatant, other, swings, hits, crits, max_hit, total, total::double/greatest(duration_s,1)::double as enc_dps, {_SHARE.format(w='partition by source_id, encounter_id, combatant')} from (select source_id, encounter_id, combatant, other, {_DRILL} from f where bucket='Outgoing Damage' group by 1,2,3,4) join w using (source_id, encounter_id)")
 on_kept("combatant_breakdown", lambda k: reports.combatant_breakdown(stats.bucket_fanout(k)), sql.FANNED, f"select *, {_SHARE.format(w='partition by combatant')} from (select combatant, ability, sum(amount)::bigint as total, count(*) as hits from f where bucket='Outgoing Damage' and amount>0 group by 1,2)")
 on_kept("auto_attack_groups", reports.auto_attack_groups, sql.KEPT, "select source_id, encounter_id, combatant, kind, count(*) as swings, count(*) filter (amount>=0) as hits, coalesce(sum(amount) filter (amount>0),0)::bigint as total from (select source_id, encounter_id, attacker as combatant, amount, unnest(['All', case when special='None' then 'Normal' else special end]) as kind from k where category=1 and ability='Auto-Attack') group by 1,2,3,4")
 on_kept("drill_swings", lambda k: k.where("ability = 'Skill 2' and category = 2").select("source_id", "encounter_id", "time_sorter", "ts", "attacker", "victim", "amount", "critical"), sql.KEPT, "select source_id, encounter_id, time_sorter, ts, attacker, victim, amount, critical from k where ability='Skill 2' and category=2")
-on_kept("special_report", reports.special_report, sql.KEPT, "select *, multi::double/hits::double as multi_rate, flurry::double/hits::double as flurry_rate, aoe::double/hits::double as aoe_rate, crits::double/hits::double as crits_rate from (select source_id, attacker as combatant, count(*) as hits, count(*) filter (special='None') as normal, count(*) filter (special='Multi Attack') as multi, count(*) filter (special='Flurry') as flurry, count(*) filter (special='AoE Attack') as aoe, count(*) filter (critical) as crits from k where category=1 and ability='Auto-Attack' and amount>=0 group by 1,2)")
-on_kept("top_slices", lambda k: reports.top_slices(stats.combatant_stats(k), ("source_id", "encounter_id"), "combatant", "damage", 3), sql.COMBATANTS, "select source_id, encounter_id, slice, sum(damage)::bigint as damage from (select *, case when row_number() over (partition by source_id, encounter_id order by damage desc, combatant)<=3 then combatant else 'Other' end as slice from c) group by 1,2,3")
-on_kept("metric_bars", lambda k: reports.metric_bars(stats.combatant_stats(k), "damage"), sql.COMBATANTS, "select source_id, encounter_id, combatant, damage, case when sum(damage) over p>0 then damage::double/(sum(damage) over p)::double else 0.0 end as of_total, case when max(damage) over p>0 then damage::double/(max(damage) over p)::double else 0.0 end as of_top from c window p as (partition by source_id, encounter_id)")
-on_kept("mini_parse", lambda k: reports.mini_parse(stats.combatant_stats(k), window(k), ally), sql.COMBATANTS, "select source_id, encounter_id, rank, combatant, damage, damage::double/greatest(duration_s,1)::double as rate, of_top, raid_rate from (select c.*, duration_s, row_number() over (partition by source_id, encounter_id order by damage desc, combatant) as rank, damage::double/(max(damage) over (partition by source_id, encounter_id))::double as of_top, (sum(damage) over (partition by source_id, encounter_id))::double/greatest(duration_s,1)::double as raid_rate from c join w using (source_id, encounter_id) where combatant not like 'a mob%' and damage>0) where rank<=6")
-on_kept("zone_summary", lambda k: reports.zone_summary(reports.fights(k, ally), k, ally), sql.TITLED, "select source_id, encounter_id, zone, title, damage, coalesce(d.deaths,0) as deaths, coalesce(d.kills,0) as kills, case when max(damage) over (partition by source_id, zone)>0 then damage::double/(max(damage) over (partition by source_id, zone))::double else 0.0 end as bar from fights left join (select source_id, encounter_id, count(*) filter (v_ally) as deaths, count(*) filter (not v_ally) as kills from k where amount=-10 group by 1,2) d using (source_id, encounter_id)")
-on_kept("death_report", reports.death_report, sql.KEPT, "select * exclude (sq) from (select d.source_id, d.encounter_id, d.victim as combatant, d.attacker as killer, d.ts as death_ts, d.seq as death_seq, row_number() over (partition by d.source_id, d.seq order by i.seq desc) as back, i.attacker, i.ability, i.amount, d.ts-i.ts as before_s, i.seq as sq from k d join k i on d.source_id=i.source_id and d.encounter_id=i.encounter_id and d.victim=i.victim and i.ts<=d.ts and i.seq<d.seq where d.amount=-10 and i.amount<>0 and i.amount<>-10) where back<=6")
-on_kept("death_timeline", lambda k: reports.death_timeline(k, window(k)), sql.WINDOW, "select source_id, encounter_id, ts-start_ts as at_s, sum(n) over (partition by source_id, encounter_id order by ts)::bigint as deaths from (select source_id, encounter_id, ts, count(*) as n from k where amount=-10 group by 1,2,3) join w using (source_id, encounter_id)")
+_RATE = "case when {b}>0 then {a}::double/{b}::double else 0.0 end as {n}"
+on_kept("special_report", reports.special_report, sql.KEPT, f"select *, {_RATE.format(a='multi', b='swings', n='multi_rate')}, {_RATE.format(a='flurry', b='swings', n='flurry_rate')}, {_RATE.format(a='crits', b='hits', n='crit_rate')} from (select source_id, encounter_id, combatant, count(*) as swings, count(*) filter (special='None') as normal, count(*) filter (special='Multi Attack') as multi, count(*) filter (special='Flurry') as flurry, count(*) filter (special='AoE Attack') as aoe, count(*) filter (amount>=0) as hits, count(*) filter (amount>=0 and critical) as crits from (select *, unnest([attacker, 'TOTAL']) as combatant from k where category=1 and ability<>'Killing' and a_ally and not selfd) group by 1,2,3)")
+on_kept("top_slices", lambda k: reports.top_slices(combatants(k), ("source_id", "encounter_id"), "combatant", "damage", 3), sql.COMBATANTS, "select source_id, encounter_id, slice, sum(damage)::bigint as damage from (select *, case when row_number() over (partition by source_id, encounter_id order by damage desc, combatant)<=3 then combatant else 'Other' end as slice from c) group by 1,2,3")
+on_kept("metric_bars", lambda k: reports.metric_bars(combatants(k), "damage"), sql.COMBATANTS, "select source_id, encounter_id, combatant, damage, case when sum(damage) over p>0 then damage::double/(sum(damage) over p)::double else 0.0 end as of_total, case when max(damage) over p>0 then damage::double/(max(damage) over p)::double else 0.0 end as of_top from c window p as (partition by source_id, encounter_id)")
+on_kept("mini_parse", lambda k: reports.mini_parse(combatants(k), window(k)), sql.COMBATANTS, "select source_id, encounter_id, rank, combatant, damage, damage::double/greatest(duration_s,1)::double as rate, of_top, raid_rate from (select c.*, duration_s, row_number() over (partition by source_id, encounter_id order by damage desc, combatant) as rank, damage::double/(max(damage) over (partition by source_id, encounter_id))::double as of_top, (sum(damage) over (partition by source_id, encounter_id))::double/greatest(duration_s,1)::double as raid_rate from c join w using (source_id, encounter_id) where combatant not like 'a mob%' and damage>0) where rank<=6")
+on_kept("zone_summary", lambda k: reports.zone_summary(combatants(k)), sql.TITLED, "select source_id, encounter_id, zone, title, fights.damage, d.deaths, d.kills, fights.damage::double/greatest(1, max(fights.damage) over (partition by source_id, zone))::double as bar from fights join (select source_id, encounter_id, coalesce(sum(deaths) filter (ally),0)::bigint as deaths, coalesce(sum(deaths) filter (not ally),0)::bigint as kills from c group by 1,2) d using (source_id, encounter_id)")
+on_kept("death_report", reports.death_report, sql.KEPT, "select * exclude (sq) from (select d.source_id, d.encounter_id, d.victim as combatant, d.attacker as killer, d.ts as death_ts, d.seq as death_seq, row_number() over (partition by d.source_id, d.seq order by i.ts desc, i.time_sorter desc) as back, i.attacker, i.ability, i.amount, d.ts-i.ts as before_s, i.seq as sq from k d join k i on d.source_id=i.source_id and d.encounter_id=i.encounter_id and d.victim=i.victim and i.ts<=d.ts where d.amount=-10 and d.extra is distinct from 'pet-death' and i.amount<>0 and i.amount<>-10) where back<=6")
+on_kept("death_timeline", lambda k: reports.death_timeline(k, window(k)), sql.WINDOW, "select source_id, encounter_id, at_s, sum(n) over (partition by source_id, encounter_id order by at_s)::bigint as deaths from (select source_id, encounter_id, least(greatest(0, ts-start_ts), greatest(1,duration_s)) as at_s, count(*) as n from k join w using (source_id, encounter_id) where amount=-10 and extra is distinct from 'pet-death' group by 1,2,3)")
+on_kept("rollup_timeline", lambda k: reports.rollup_timeline(k, reports.fights(k)), sql.TITLED, "select source_id, zone, at_s, sum(n) over (partition by source_id, zone order by at_s)::bigint as deaths from (select k.source_id, x.zone, (x.off + least(greatest(0, ts-x.start_ts), x.duration_s))::bigint as at_s, count(*) as n from k join (select *, coalesce(sum(duration_s) over (partition by source_id, zone order by start_ts, encounter_id rows between unbounded preceding and 1 preceding),0) as off from fights) x on x.source_id=k.source_id and x.encounter_id=k.encounter_id where amount=-10 and extra is distinct from 'pet-death' group by 1,2,3)")
 _WARDS = ", zh as (select * from k where category in (1,2) and amount=0), ab as (select * from k where category=3), nr as (select a.source_id, a.seq as aseq, a.amount as absorbed, z.seq as hit_seq, row_number() over (partition by a.source_id, a.seq order by z.time_sorter) as r from ab a join zh z on a.source_id=z.source_id and a.encounter_id=z.encounter_id and a.victim=z.victim and z.time_sorter-a.time_sorter between 1 and 6 and abs(z.ts-a.ts)<=3), wp as (select zh.source_id, zh.encounter_id, zh.seq as hit_seq, zh.victim as combatant, coalesce(sum(absorbed),0)::bigint as absorbed, count(absorbed) as wards, case when sum(absorbed)>0 then 'warded' else 'stoneskin' end as verdict from zh left join (select * from nr where r=1) n on n.source_id=zh.source_id and n.hit_seq=zh.seq group by 1,2,3,4)"
 _absorb = lambda: F.col("category") == 3  # noqa: E731  the adapter has no wards of its own: its heals stand in, within 3 seconds
 on_kept("ward_pairing", lambda k: reports.ward_pairing(k, _absorb(), seconds=3), sql.KEPT + _WARDS, "select * from wp")
-on_kept("avoidance_report", lambda k: reports.avoidance_report(k, reports.ward_pairing(k, _absorb(), seconds=3), enemy), sql.KEPT + _WARDS, "select source_id, encounter_id, combatant, attempts, landed, warded, stoneskin, miss, resist, parry, riposte, block, (aa+sa)::double/attempts::double as avoided_share, (case when ah>0 then (aa*ad)//ah else 0 end + case when sh>0 then (sa*sd)//sh else 0 end)::bigint as est_avoided from (select k.source_id, k.encounter_id, victim as combatant, count(*) as attempts, count(*) filter (amount>0) as landed, count(*) filter (verdict='warded') as warded, count(*) filter (verdict='stoneskin') as stoneskin, count(*) filter (amount=-1) as miss, count(*) filter (amount=-2) as resist, count(*) filter (amount=-3) as parry, count(*) filter (amount=-4) as riposte, count(*) filter (amount=-5) as block, count(*) filter (ability='Auto-Attack' and amount<0) as aa, count(*) filter (ability<>'Auto-Attack' and amount<0) as sa, coalesce(sum(amount) filter (ability='Auto-Attack' and amount>0),0)::bigint as ad, count(*) filter (ability='Auto-Attack' and amount>0) as ah, coalesce(sum(amount) filter (ability<>'Auto-Attack' and amount>0),0)::bigint as sd, count(*) filter (ability<>'Auto-Attack' and amount>0) as sh from k left join wp on wp.source_id=k.source_id and wp.hit_seq=k.seq where category in (1,2) and ability<>'Killing' and not a_ally group by 1,2,3)")
-on_kept("compare_fights", lambda k: reports.compare_fights(reports.fights(k, ally), stats.combatant_stats(k), ally), sql.TITLED + ", pr as (select source_id, encounter_id as a, b from (select *, lag(encounter_id) over p as b, lag(duration_s) over p as bs from fights where title is not null window p as (partition by source_id, title, zone order by start_ts, encounter_id)) where b is not null and 4*least(duration_s,bs)>=greatest(duration_s,bs)), ca as (select * from c where combatant not like 'a mob%'), one as (select pr.*, combatant, damage from pr join ca on ca.source_id=pr.source_id and ca.encounter_id=a), two as (select pr.*, combatant, damage from pr join ca on ca.source_id=pr.source_id and ca.encounter_id=b)", "select source_id, a, b, combatant, one.damage as damage_a, two.damage as damage_b, coalesce(one.damage,0)-coalesce(two.damage,0) as delta from one full outer join two using (source_id, a, b, combatant)")
-on_kept("rollup_fights", lambda k: reports.rollup_fights(reports.fights(k, ally), stats.combatant_stats(k)), sql.TITLED, "select source_id, zone, combatant, damage, healed, damage_taken, present, seconds, fights, damage::double/greatest(seconds,1)::double as enc_dps from (select source_id, zone, combatant, sum(c.damage)::bigint as damage, sum(healed)::bigint as healed, sum(damage_taken)::bigint as damage_taken, count(*) as present from c join fights using (source_id, encounter_id) group by 1,2,3) join (select source_id, zone, sum(duration_s)::bigint as seconds, count(*) as fights from fights group by 1,2) using (source_id, zone)")
-on_kept("fights_table", lambda k: reports.fights(k, ally), sql.TITLED, "select * from fights")
-on_kept("comparable_fights", lambda k: reports.fights(k, ally).where("title is not null").orderBy(F.desc("start_ts"), "source_id").limit(10).select("source_id", "encounter_id", "title", "zone", "duration_s"), sql.TITLED, "select source_id, encounter_id, title, zone, duration_s from fights where title is not null order by start_ts desc, source_id limit 10")
-on_kept("lookup_combatant", lambda k: reports.rates(stats.combatant_stats(k), window(k)).where("combatant = 'P1'").join(reports.fights(k, ally).select("source_id", "encounter_id", "title", "start_ts"), ["source_id", "encounter_id"]).select("source_id", "encounter_id", "title", "start_ts", "damage", "enc_dps"), sql.TITLED, "select source_id, encounter_id, title, start_ts, c.damage, c.damage::double/greatest(duration_s,1)::double as enc_dps from c join fights using (source_id, encounter_id) where combatant='P1'")
-on_kept("success_ingredients", lambda k: reports.fights(k, ally).join(k.where("amount = -10").groupBy("source_id", "encounter_id", F.col("victim").alias("title")).agg(F.count("*").alias("title_deaths")), ["source_id", "encounter_id", "title"], "left").where("duration_s >= 20").orderBy(F.desc("damage"), "source_id", "encounter_id").limit(8).select("source_id", "encounter_id", "title", "damage", F.coalesce("title_deaths", F.lit(0)).alias("title_deaths")), sql.TITLED, "select source_id, encounter_id, title, damage, coalesce(title_deaths,0) as title_deaths from fights left join (select source_id, encounter_id, victim as title, count(*) as title_deaths from k where amount=-10 group by 1,2,3) using (source_id, encounter_id, title) where duration_s>=20 order by damage desc, source_id, encounter_id limit 8")
+_CHOSEN = ", ch as (select source_id, arg_max(encounter_id, (start_ts, encounter_id)) as encounter_id from fights where title is not null group by source_id, lower(title), lower(zone)), pr as (select * from (select a.source_id, a.encounter_id as a, b.encounter_id as b, row_number() over (partition by a.source_id, a.encounter_id order by b.start_ts desc, b.encounter_id desc) as rank from fights a join ch on ch.source_id=a.source_id and ch.encounter_id=a.encounter_id join fights b on b.source_id=a.source_id and lower(b.title)=lower(a.title) and lower(b.zone)=lower(a.zone) and b.encounter_id<>a.encounter_id and 4*b.duration_s>=a.duration_s and (a.success in (0,2) or b.success in (0,2) or a.success=b.success)) where rank<=10)"
+_comparable = lambda f: reports.comparable_fights(f, reports.latest_fights(f))
+on_kept("comparable_fights", lambda k: _comparable(reports.fights(k)), sql.TITLED + _CHOSEN, "select * from pr")
+
+
+def _compare(k):
+    s = combatants(k)
+    f = stats.fight_totals(s)
+    return reports.compare_fights(_comparable(f).where("rank = 1"), s, f)
+
+
+on_kept("compare_fights", _compare, sql.TITLED + _CHOSEN + ", sd as (select source_id, encounter_id, combatant, c.damage::double/greatest(1,duration_s)::double as dps, c.healed::double/greatest(1,duration_s)::double as hps, c.deaths from c join w using (source_id, encounter_id) where ally and (c.damage>0 or c.healed>0)), one as (select pr.source_id, a, b, combatant, dps, hps, deaths from pr join sd on sd.source_id=pr.source_id and sd.encounter_id=a where rank=1), two as (select pr.source_id, a, b, combatant, dps, hps, deaths from pr join sd on sd.source_id=pr.source_id and sd.encounter_id=b where rank=1)", "select source_id, a, b, combatant, one.dps as dps_a, two.dps as dps_b, one.hps as hps_a, two.hps as hps_b, one.deaths as deaths_a, two.deaths as deaths_b, one.dps-two.dps as delta, case when two.dps>0 then (one.dps-two.dps)/two.dps end as delta_share from one full outer join two using (source_id, a, b, combatant)")
+on_kept("fights_table", reports.fights, sql.TITLED, "select * from fights")
+on_kept("lookup_combatant", lambda k: (lambda s: reports.lookup_combatant(s, stats.fight_totals(s), "p1"))(combatants(k)), sql.TITLED, "select source_id, encounter_id, title, zone, start_ts, success, c.damage, c.healed, c.damage_taken, c.deaths, c.damage::double/greatest(duration_s,1)::double as enc_dps, c.healed::double/greatest(duration_s,1)::double as enc_hps from c join fights using (source_id, encounter_id) where combatant='P1' and (c.damage>0 or c.healed>0 or damage_taken>0)")
+on_kept("success_ingredients", lambda k: (lambda s: reports.success_ingredients(s, stats.fight_totals(s), 20))(combatants(k)), sql.TITLED, "select source_id, encounter_id, title, duration_s, fights.damage, success, n.allies, n.deathless, coalesce(title_deaths,0) as title_deaths from fights left join (select source_id, encounter_id, title_deaths from t) using (source_id, encounter_id) join (select source_id, encounter_id, count(*) filter (ally) as allies, count(*) filter (ally and deaths=0) as deathless from c group by 1,2) n using (source_id, encounter_id) where duration_s>=20 order by fights.damage desc, source_id, encounter_id limit 8")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grammar, scalars
-from ..operators import archive, chat, classify, correlate, mining, reports, rules, stats, timers
+from ..operators import archive, chat, classify, mining, reports, rules, sessions, stats, timers
 from ..sources import adapter, files
 from ..streaming import live
 from . import sql
-from .registry import ally, enemy, kept, on_kept, on_swings, register
-from .registry_more import mirrored, rule_lines, rule_table, seen
+from .registry import kept, on_kept, on_swings, register
+from .registry_more import _matches
 
 # Invented definitions for the adapter's abilities (timers.DEFINITION).
 TIMERS = (
@@ -33,7 +33,7 @@ def definitions(spark):
 
 
 def requests(spark, d):
-    matches = rules.match_rules(rule_lines(spark, d), rule_table(spark)).join(adapter.swings(spark, d).select("source_id", "seq", "zone"), ["source_id", "seq"])
+    matches = _matches(spark, d).join(adapter.swings(spark, d).select("source_id", "seq", "zone"), ["source_id", "seq"])
     return timers.linked_requests(matches, spark.createDataFrame(list(ASKING), "rule string, starts_timer boolean, timer_name string, zone string, category string"))
 
 
@@ -58,7 +58,7 @@ register("linked_timers", lambda spark, d: _chosen(requests(spark, d), spark), s
 register("recast_timers", bars)
 register("timer_mods", lambda spark, d: timers.timer_mods(bars(spark, d)))
 register("timer_events", lambda spark, d: timers.timer_events(bars(spark, d)))
-register("timer_board", lambda spark, d: timers.timer_board(bars(spark, d), adapter.swings(spark, d).where("seq % 10 = 0").select("source_id", F.col("ts").alias("at_ts")).distinct()))
+register("timer_board", lambda spark, d: timers.timer_board(bars(spark, d), adapter.swings(spark, d).select("source_id", F.col("ts").alias("at_ts")).distinct()))
 
 
 # --- chat -------------------------------------------------------------------
@@ -81,9 +81,9 @@ register("scripted_win_flag", lambda spark, d: chat.scripted_win_flag(adapter.sw
 
 # --- predicates and names -----------------------------------------------------
 on_swings("is_self_damage", lambda s: s.groupBy("attacker").agg(stats.count_if(scalars.is_self_damage()).alias("n")), "select attacker, count(*) filter (category in (1,2) and upper(attacker)=upper(victim)) as n from s group by 1")
-on_kept("is_boss_title", lambda k: reports.fights(k, ally).select("source_id", "encounter_id", scalars.is_boss_title(F.when(F.col("encounter_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("The "), "title"))).alias("boss")), sql.TITLED, "select source_id, encounter_id, encounter_id%2=1 and title is not null as boss from fights")
+on_kept("is_boss_title", lambda k: reports.fights(k).select("source_id", "encounter_id", scalars.is_boss_title(F.when(F.col("encounter_id") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("The "), "title"))).alias("boss")), sql.TITLED, "select source_id, encounter_id, encounter_id%2=1 and title is not null as boss from fights")
 on_swings("is_pet_name", lambda s: s.select("attacker").distinct().select("attacker", classify.is_pet_name(F.col("attacker")).alias("pet")), "select distinct attacker, contains(attacker, ' ') as pet from s")
-on_swings("pet_owner", lambda s: s.groupBy(classify.pet_owner(F.concat("attacker", F.lit("'s pet"))).alias("owner_name")).agg(F.count("*").alias("n")), "select case when not contains(attacker, ' ') then attacker end as owner_name, count(*) as n from s group by 1")
+on_swings("pet_owner", lambda s: s.groupBy(classify.pet_owner(F.concat("attacker", F.when(F.col("seq") % 3 == 0, "'s hawk").when(F.col("seq") % 3 == 1, "' warder").otherwise(""))).alias("owner_name")).agg(F.count("*").alias("n")), "select case when seq%3<2 then attacker end as owner_name, count(*) as n from s group by 1")
 on_swings("strip_instance_no", lambda s: s.groupBy(scalars.strip_instance_no(F.col("zone")).alias("zone")).agg(F.count("*").alias("n")), "select regexp_replace(zone, ' [0-9]+$', '') as zone, count(*) as n from s group by 1")
 on_swings("avoid_actor", lambda s: s.where("damage_type = 'avoided'").groupBy("victim", scalars.avoid_actor(F.when(F.col("seq") % 3 == 1, F.concat(F.lit("by="), "attacker")).when(F.col("seq") % 3 == 2, F.concat(F.lit("by="), "victim", F.lit("'s hammer"))), F.col("victim")).alias("actor")).agg(F.count("*").alias("n")), "select victim, case when seq%3=1 and upper(attacker)<>upper(victim) then attacker when seq%3=2 then '(weapon)' else 'self' end as actor, count(*) as n from s where damage_type='avoided' group by 1,2")
 on_swings("parse_amount", lambda s: s.where("amount > 0").select("seq", grammar.parse_amount(scalars.grouped(F.col("amount"))).alias("plain"), grammar.parse_amount(F.concat((F.col("amount") / 10).cast("decimal(20,1)").cast("string"), F.lit("K"))).alias("thousands")), "select seq, amount as plain, amount*100 as thousands from s where amount>0")
@@ -113,7 +113,38 @@ def travel_line():
 register("parse_ward", lambda spark, d: told(spark, d, ward_line()).where("family = 'ward'").select("seq", "attacker", "ability", "amount", "victim", "damage_type", "extra"), sql.SWINGS, "select seq, attacker, ability, amount, victim, 'Ward (Absorb)' as damage_type, 'remaining=' || seq as extra from s where category=3")
 register("parse_zone", lambda spark, d: told(spark, d, travel_line()).where("family = 'zone'").select("source_id", "seq", "zone_entered"), sql.SWINGS, "select source_id, seq, zone as zone_entered from s where seq%100=0")
 register("parse_lockout", lambda spark, d: told(spark, d, travel_line()).where("family = 'lockout'").select("source_id", "seq", "lockout_s"), sql.SWINGS, "select source_id, seq, ((seq%7+1)*86400+5*3600)::bigint as lockout_s from s where seq%200=3")
-register("zone_seed", lambda spark, d: files.zone_seed(told(spark, d, travel_line()), 900), sql.SWINGS, "select source_id, arg_max(zone, seq) as zone, arg_max_null(case when seq%200=0 and exists (select 1 from s t where t.source_id=z.source_id and t.seq=z.seq+3) then (((z.seq+3)%7+1)*86400+5*3600)::bigint end, seq) as lockout_s from s z where seq%100=0 and seq<900 group by 1")
+# Seeds before the last fight of each log, and what holds during the fights after travel.
+def travels(spark, d):
+    return told(spark, d, travel_line())
+
+
+def _last_start(k):
+    return k.groupBy("source_id").agg(F.max("encounter_id").alias("before_seq"))
+
+
+_TRAVEL = ", tv as (select source_id, seq, ts, zone from s where seq%100=0), lo as (select source_id, seq, ts, ts+((seq%7+1)*86400+5*3600)::bigint as expiry from s where seq%200=3)"
+register("zone_seed", lambda spark, d: files.zone_seed(travels(spark, d), _last_start(kept(spark, d))), sql.KEPT + _TRAVEL, "select tv.source_id, arg_max(tv.zone, tv.seq) as zone, arg_max_null(lo.expiry, tv.seq) as instance_expiry from tv join (select source_id, max(encounter_id) as b from k group by 1) using (source_id) left join lo on lo.source_id=tv.source_id and lo.seq=tv.seq+3 where tv.seq<b group by 1")
+
+
+def carried(spark, d):
+    """The adapter's actions, their zone and instance from the lines of travel."""
+    lines = sessions.carry_zones(travels(spark, d), part_rows=1000).select("source_id", "seq", "zone", "instance_expiry")
+    return sessions.segment(adapter.swings(spark, d).drop("zone").join(lines, ["source_id", "seq"]))
+
+
+_CARRIED = ", zc as (select *, max(case when seq%100=0 then seq end) over (partition by source_id order by seq) as zseq from s), zd as (select zc.source_id, zc.seq, coalesce(z.zone,'') as zone, (select arg_max(lo.expiry, lo.seq) from lo where lo.source_id=zc.source_id and lo.seq>zc.zseq and lo.seq<=zc.seq and lo.ts-z.ts between 0 and 10) as instance_expiry from zc left join s z on z.source_id=zc.source_id and z.seq=zc.zseq)"
+_FIRST = ", fz as (select k.source_id, encounter_id, zd.zone, instance_expiry, ts as start_ts from k join zd on zd.source_id=k.source_id and zd.seq=k.seq where k.seq=encounter_id)"
+register("carry_zones", lambda spark, d: sessions.carry_zones(travels(spark, d), part_rows=1000).select("source_id", "seq", "zone", "instance_expiry"), sql.SWINGS + _TRAVEL + _CARRIED, "select source_id, seq, zone, instance_expiry from zd")
+register("encounter_instance", lambda spark, d: sessions.encounter_instance(carried(spark, d)), sql.KEPT + _TRAVEL + _CARRIED + _FIRST, "select source_id, encounter_id, zone, instance_expiry from fz")
+
+
+def _instance_runs(spark, d):
+    k = carried(spark, d)
+    starts = k.groupBy("source_id", "encounter_id").agg(F.min_by("ts", "seq").alias("start_ts"))
+    return sessions.instance_runs(sessions.zone_runs(sessions.encounter_instance(k).join(starts, ["source_id", "encounter_id"]))).select("source_id", "encounter_id", "zone", "run", "instance")
+
+
+register("instance_runs", _instance_runs)
 register("read_log_window", lambda spark, d: files.read_log_window(told(spark, d, travel_line()), 1_700_000_500, 300, 200, 5).select("source_id", "seq"), sql.SWINGS, "select source_id, seq from (select source_id, seq, row_number() over (partition by source_id, ts>=1700000500 order by case when ts>=1700000500 then seq else -seq end) as r from s where ts between 1700000200 and 1700000700) where r<=5")
 
 
@@ -127,10 +158,45 @@ on_swings("merge_rule_sets", lambda s: rules.merge_rule_sets(_pack(s), _pack(s.w
 on_swings("ensure_linked_timers", lambda s: rules.ensure_linked_timers(s.select(F.col("ability").alias("timer_name"), (F.col("category") > 1).alias("starts_timer")), s.where("category = 1").select(F.col("ability").alias("name"), F.lit("General").alias("category"), F.lit(20).alias("duration_s")).distinct()), "select distinct ability as name, 'General' as category, 20::bigint as duration_s from s where category=1 union all select distinct ability, '', 30::bigint from s where category>1 and ability not in (select ability from s where category=1)")
 
 # --- reports and archive -------------------------------------------------------
-on_kept("enemy_keys", lambda k: k.select("source_id", "encounter_id", F.explode(F.array("attacker", "victim")).alias("name")).where(enemy(F.col("name"))).distinct(), sql.KEPT, "select distinct source_id, encounter_id, name from (select source_id, encounter_id, unnest([attacker, victim]) as name from k) where name like 'a mob%'")
-on_kept("fight_metric_columns", lambda k: reports.fight_metric_columns(reports.fights(k, ally)), sql.TITLED, "select source_id, zone, encounter_id, damage, (sum(damage) over p)::double/(count(*) over p)::double as average from fights window p as (partition by source_id, zone)")
-on_kept("avoidance_by_actor", lambda k: reports.avoidance_by_actor(k, enemy), sql.KEPT, "select source_id, encounter_id, victim as combatant, case amount when -1 then 'miss' when -2 then 'resist' when -3 then 'parry' when -4 then 'riposte' else 'block' end as kind, 'self' as actor, count(*) as n, count(*)::double/any_value(attempts)::double as of_swings, count(*)::double/(sum(count(*)) over (partition by source_id, encounter_id, victim))::double as of_avoids from (select *, count(*) over (partition by source_id, encounter_id, victim) as attempts from k where category in (1,2) and ability<>'Killing' and not a_ally) where amount between -5 and -1 group by 1,2,3,4")
-register("collapse_mirrors", lambda spark, d: (lambda k: archive.collapse_mirrors(reports.fights(k, ally), correlate.merged_fight(correlate.correlate_fights(seen(k)), reports.fights(k, ally))).select("source_id", "encounter_id", "title", "duration_s"))(mirrored(spark, d)))
-on_kept("find_encounter", lambda k: archive.find_encounter(reports.fights(k, ally).join(k.select("source_id", "encounter_id", "owner").distinct(), ["source_id", "encounter_id"]), k.select("source_id", "encounter_id", "owner").distinct().join(reports.fights(k, ally), ["source_id", "encounter_id"]).where("encounter_id % 2 = 0").select("source_id", "owner", "start_ts", "end_ts", "title")).select("source_id", "encounter_id"), sql.TITLED, "select source_id, encounter_id from fights f where exists (select 1 from fights g where g.encounter_id%2=0 and g.source_id=f.source_id and g.start_ts=f.start_ts and g.end_ts=f.end_ts and g.title is not distinct from f.title)")
-on_kept("idempotent_upload", lambda k: live.idempotent_upload(reports.fights(k, ally).select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid")), reports.fights(k, ally).where("encounter_id % 3 = 0").select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid"))), sql.TITLED, "select distinct source_id || '/' || (encounter_id//100) as encid from fights where source_id || '/' || (encounter_id//100) not in (select source_id || '/' || (encounter_id//100) from fights where encounter_id%3=0)")
-on_kept("infer_caster", lambda k: mining.infer_caster(k.where("category in (1, 2)").withColumn("attacker", F.when(F.col("seq") % 5 == 0, "Unknown").otherwise(F.col("attacker"))), reports.fights(k, ally)).groupBy("source_id", "encounter_id", F.col("attacker").alias("caster"), "inferred").agg(F.count("*").alias("n")), sql.TITLED, "select source_id, encounter_id, case when seq%5=0 then coalesce(title,'Unknown') else attacker end as caster, seq%5=0 and title is not null as inferred, count(*)::bigint as n from k join fights using (source_id, encounter_id) where category in (1,2) group by 1,2,3,4")
+on_kept("find_encounter", lambda k: archive.find_encounter(reports.fights(k).join(k.select("source_id", "encounter_id", "owner").distinct(), ["source_id", "encounter_id"]), k.select("source_id", "encounter_id", "owner").distinct().join(reports.fights(k), ["source_id", "encounter_id"]).where("encounter_id % 2 = 0").select("source_id", "owner", "start_ts", "end_ts", "title")).select("source_id", "encounter_id"), sql.TITLED, "select source_id, encounter_id from fights f where exists (select 1 from fights g where g.encounter_id%2=0 and g.source_id=f.source_id and g.start_ts=f.start_ts and g.end_ts=f.end_ts and g.title is not distinct from f.title)")
+on_kept("idempotent_upload", lambda k: live.idempotent_upload(reports.fights(k).select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid")), reports.fights(k).where("encounter_id % 3 = 0").select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid"))), sql.TITLED, "select distinct source_id || '/' || (encounter_id//100) as encid from fights where source_id || '/' || (encounter_id//100) not in (select source_id || '/' || (encounter_id//100) from fights where encounter_id%3=0)")
+on_kept("infer_caster", lambda k: mining.infer_caster(k.where("category in (1, 2)").withColumn("attacker", F.when(F.col("seq") % 5 == 0, "Unknown").otherwise(F.col("attacker"))), reports.fights(k)).groupBy("source_id", "encounter_id", F.col("attacker").alias("caster"), "inferred").agg(F.count("*").alias("n")), sql.TITLED, "select source_id, encounter_id, case when seq%5=0 then coalesce(title,'Unknown') else attacker end as caster, seq%5=0 and title is not null as inferred, count(*)::bigint as n from k join fights using (source_id, encounter_id) where category in (1,2) group by 1,2,3,4")
+
+
+# --- from a swing back to its line --------------------------------------------------
+def _focus(spark, d):
+    lines = adapter.lines(spark, d)
+    wanted = adapter.swings(spark, d).where("category in (1, 2, 3) and amount > 0").select("source_id", "seq", "ts", "amount", "ability")
+    return files.swing_log_focus(wanted, grammar.parse_header(lines).select("source_id", "seq", "ts", "raw"))
+
+
+register("swing_log_focus", _focus, sql.SWINGS, "select source_id, seq, seq as line_seq from s where category in (1,2,3) and amount>0")
+
+
+# --- dimension files, written out and read --------------------------------------------
+def _folder(spark):
+    import uuid
+
+    return f"{files.shared_folder(spark)}/dims-{uuid.uuid4().hex}"
+
+
+def _class_file(spark, d):
+    """A map of the adapter's abilities to classes, as a file."""
+    pairs = adapter.swings(spark, d).where("category in (1, 2)").select("ability", F.concat(F.lit("Class "), (F.length("attacker") % 3).cast("string")).alias("c"))
+    listed = pairs.groupBy("ability").agg(F.sort_array(F.collect_set("c")).alias("classes"))
+    one = listed.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("ability", "classes")))).alias("spells"))
+    path = _folder(spark)
+    one.withColumn("effects", F.map_filter("spells", lambda k, v: F.size(v) > 1)).coalesce(1).write.json(path)
+    return files.read_class_map(spark, path)
+
+
+def _override_file(spark, d):
+    rows = adapter.swings(spark, d).where("category = 2").groupBy("ability").agg(F.count("*").alias("n"))
+    entry = F.struct(F.concat("ability", F.lit(" IV")).alias("ability"), F.when(F.col("n") % 2 == 0, F.array(F.lit("Wizard"))).alias("classes"), F.when(F.length("ability") > 0, "Item").alias("source"), F.lit("a note").alias("note"), F.array(F.lit("Bard")).alias("grantedBy"), F.lit(True).alias("pet"))
+    path = _folder(spark)
+    rows.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("overrides")).coalesce(1).write.json(path)
+    return files.read_overrides(spark, path).withColumns({"classes": F.array_join("classes", ","), "granted_by": F.array_join("granted_by", ",")})
+
+
+register("read_dims", lambda spark, d: _class_file(spark, d).withColumn("classes", F.array_join("classes", ",")), sql.SWINGS + ", am as (select ability, string_agg(distinct 'Class ' || (length(attacker)%3), ',' order by 'Class ' || (length(attacker)%3)) as classes from s where category in (1,2) group by 1)", "select 'spells' as layer, ability, classes from am union all select 'effects', ability, classes from am where contains(classes, ',')")
+register("read_overrides", _override_file, sql.SWINGS, "select lower(ability) as ability, (row_number() over (order by ability || ' IV')-1)::int as rank, case when count(*)%2=0 then 'Wizard' end as classes, 'item' as source, count(*)%2=0 as pet, 'Bard' as granted_by from s where category=2 group by ability")

@@ -16,7 +16,8 @@ s as (select 'log-' || (event_id % 3) as source_id, 'P' || (event_id % 3) as own
  case when event_type='purchase' then 'P' || ((user_id+k) % 8) when user_id%3=0 then 'P' || ((user_id+k) % 8) else 'a mob ' || (k % 2) end as victim,
  case when event_type='purchase' then 'heal' when event_type='error' and k%10=0 then 'death' when event_type='error' then 'avoided' when event_type='view' and k%11=0 then 'none'
       when event_type='signup' then case k%6 when 1 then 'power' when 2 then 'power' when 3 then 'threat' when 4 then 'Effect ' || (k%3) when 5 then 'applied' else '' end
-      else ['crushing','slashing','piercing','heat','cold','magic'][1 + k%6] end as damage_type from e)"""
+      else ['crushing','slashing','piercing','heat','cold','magic'][1 + k%6] end as damage_type,
+ case when event_type='error' and k%10=0 and (case when user_id%3=0 then 'P' || ((user_id+k) % 8) else '' end) = 'P' || (event_id % 3) then 'pet-death' end as extra from e)"""
 
 #: Actions within encounters, from running aggregates over each whole source.
 KEPT = SWINGS + """,
@@ -31,7 +32,7 @@ k as (select *, row_number() over (partition by source_id, encounter_id order by
 
 WINDOW = KEPT + """,
 w0 as (select source_id, encounter_id, min(case when not selfd then ts end) as start_ts,
- case when max(a_ally::int)=1 then max(case when category in (1,2) and not selfd and a_ally then ts end) else max(case when category in (1,2) and not selfd then ts end) end as e from k group by all),
+ case when max((a_ally or v_ally)::int)=1 then max(case when category in (1,2) and not selfd and a_ally then ts end) else max(case when category in (1,2) and not selfd then ts end) end as e from k group by all),
 w as (select source_id, encounter_id, start_ts, greatest(start_ts, coalesce(e, start_ts)) as end_ts, greatest(start_ts, coalesce(e, start_ts)) - start_ts as duration_s from w0)"""
 
 FANNED = KEPT + """,
@@ -41,28 +42,31 @@ f as (select k.*, attacker as combatant, victim as other, 'out' as direction, un
   when category=16 then ['Threat (Inc)','All Incoming (Ref)'] when category=20 then ['Cure/Dispel (Inc)','All Incoming (Ref)'] else ['All Incoming (Ref)'] end) from k)"""
 
 COMBATANTS = WINDOW + """,
-side as (select *, attacker as combatant, not selfd as o, false as i from k union all select *, victim, false, true from k),
-c as (select source_id, encounter_id, combatant,
+side as (select *, attacker as combatant, victim as other, not selfd as o, false as i, a_ally as al, seq*2 as pos from k union all select *, victim, attacker, false, true, v_ally, seq*2+1 from k),
+c0 as (select source_id, encounter_id, combatant, bool_or(al) as ally,
  coalesce(sum(amount) filter (o and category in (1,2) and amount>0),0)::bigint as damage, coalesce(sum(amount) filter (o and category=3 and amount>0),0)::bigint as healed,
  coalesce(sum(amount) filter (i and category in (1,2) and amount>0),0)::bigint as damage_taken, coalesce(sum(amount) filter (i and category=3 and amount>0),0)::bigint as heals_taken,
  coalesce(sum(amount) filter (o and category=10 and amount>0),0)::bigint as drained, coalesce(sum(amount) filter (o and category=13 and amount>0),0)::bigint as replenished,
- count(*) filter (o and category=20) as cures, count(*) as observed, min(ts) filter (o and category in (1,2)) as first_ts, max(ts) filter (o and category in (1,2)) as last_ts
- from side where o or i group by all)"""
+ count(*) filter (o and category=20 and amount<>-10) as cures, count(*) as observed, min(ts) filter (o) as first_ts, max(ts) filter (o) as last_ts, max(ts) filter (o and category in (1,2)) as damage_ts,
+ count(*) filter (o and category in (1,2) and amount<>-10) as swings, count(*) filter (o and category in (1,2) and amount>=0) as hits, count(*) filter (o and category in (1,2) and amount>=0 and critical) as crits,
+ count(*) filter (o and category in (1,2) and amount=-1) as misses, count(*) filter (o and category in (1,2) and amount<-1 and amount<>-10) as avoids,
+ count(*) filter (o and category=3 and amount<>-10) as heals, count(*) filter (o and category=3 and amount>=0 and critical) as crit_heals,
+ count(*) filter (i and ability='Killing') as killed, count(*) filter (i and ability='Killing' and extra='pet-death') as pet_deaths, count(*) filter (i and amount=-10) as dead,
+ count(*) filter (o and amount=-10 and extra is distinct from 'pet-death' and (al or other not like '% %')) as kills,
+ bool_or(category in (1,2,3,10,13,16) and upper(combatant)<>upper(other)) as linked, min(pos) as first_seen
+ from side where o or i group by all),
+c as (select * exclude (killed, dead), case when killed>0 then killed-pet_deaths else dead end as deaths from c0)"""
 
 TITLED = COMBATANTS + """,
-tk as (select source_id, encounter_id, victim as name, coalesce(sum(amount) filter (amount>0),0)::bigint as taken, count(*) filter (amount=-10) as died from k where category in (1,2) and not v_ally group by all),
-fs as (select source_id, encounter_id, name, min(pos) as first_seen from (select source_id, encounter_id, attacker as name, seq*2 as pos from k union all select source_id, encounter_id, victim, seq*2+1 from k) group by all),
-t as (select source_id, encounter_id, name as title, score from (select tk.*, first_seen, taken // greatest(died,1) as score, row_number() over (partition by tk.source_id, tk.encounter_id order by taken // greatest(died,1) desc, first_seen) as r
-  from tk join fs using (source_id, encounter_id, name)) where r=1),
+al as (select source_id, encounter_id, bool_or(ally) as has_ally, coalesce(bool_or(ally and deaths=0 and combatant not like '% %'), false) as sv, count(*) as n_combatants,
+  coalesce(sum(damage) filter (ally),0)::bigint as damage, coalesce(sum(healed) filter (ally),0)::bigint as healed, coalesce(sum(kills) filter (ally),0)::bigint as kills, coalesce(sum(deaths) filter (ally and combatant not like '% %'),0)::bigint as deaths from c group by 1,2),
+t as (select source_id, encounter_id, combatant as title, score, died as title_deaths from (select source_id, encounter_id, combatant, deaths as died, damage_taken // greatest(deaths,1) as score, row_number() over (partition by source_id, encounter_id order by damage_taken // greatest(deaths,1) desc, first_seen) as r
+  from c where not ally) join al using (source_id, encounter_id) where r=1 and has_ally),
 z as (select source_id, encounter_id, arg_min(zone, seq) as zone from k group by all),
-nm as (select distinct source_id, encounter_id, unnest([attacker, victim]) as name from k),
-dd as (select source_id, encounter_id, victim as name, count(*) as died from k where amount=-10 group by all),
-lv as (select source_id, encounter_id, max((name not like 'a mob%')::int) as allies, max((name like 'a mob%')::int) as enemies, max((name like 'a mob%' and coalesce(died,0)>0)::int) as ed,
-  max((name not like 'a mob%' and name not like '% %' and coalesce(died,0)=0)::int) as sv from nm left join dd using (source_id, encounter_id, name) group by all),
-fights as (select w.*, t.title, z.zone, case when allies=0 or enemies=0 then 0 when ed=1 and sv=1 then 1 when ed=1 or sv=1 then 2 else 3 end as success,
-  (select coalesce(sum(damage),0)::bigint from c where c.source_id=w.source_id and c.encounter_id=w.encounter_id and combatant not like 'a mob%') as damage
-  from w left join t using (source_id, encounter_id) join z using (source_id, encounter_id) join lv using (source_id, encounter_id))"""
+nm as (select source_id, encounter_id, combatant as name from c),
+fights as (select w.*, t.title, t.score, z.zone, case when not has_ally or t.title is null then 0 when title_deaths>0 and sv then 1 when title_deaths>0 or sv then 2 else 3 end as success, n_combatants, damage, healed, kills, deaths
+  from w left join t using (source_id, encounter_id) join z using (source_id, encounter_id) join al using (source_id, encounter_id))"""
 
 
 def query(prefix: str, body: str) -> str:
-    return f"with {prefix.strip()}\n{body}"
+    return f"with {'recursive ' if ' union all select nx.' in prefix or ' union all select sn.' in prefix else ''}{prefix.strip()}\n{body}"

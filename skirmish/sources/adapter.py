@@ -46,7 +46,7 @@ def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount.cast("long").alias("amount"),
         victim.alias("victim"),
         damage_type.alias("damage_type"),
-        F.lit(None).cast("string").alias("extra"),
+        F.when(killing & (victim == text("P", seq % 3)), "pet-death").alias("extra"),
     )
 
 

@@ -101,7 +101,14 @@ def test_machines_by_example():
     assert rules.accept_spaced([0, 1, 2, 3, 6], 2)[0] == [True, False, True, False, True]
     assert rules.callouts([(0, "a"), (1, "b"), (2, "c"), (3, "d"), (10, "a"), (11, "b"), (12, "c"), (16, "a"), (17, "b"), (18, "c")]) == [(2.9, 3), (18.9, 3)]
     assert rules.uses([(0, "a"), (1, "b"), (1, "a"), (9, "b")]) == [0, 1, 9]
-    assert rules.pair_status([(0, "x", True), (1, "y", True), (2, "any", False), (3, "x", False), (4, "x", False)]) == [("y", 1, 2), ("x", 0, 3)]
+    rows = [(1, 0, "x", True), (2, 1, "y", True), (3, 2, "any", False), (4, 3, "X", False), (5, 4, "x", False), (6, 5, "x", False), (7, 5, "x", True), (8, 9, "z", True)]
+    # A release of the same second closes an apply that the log tells after it.
+    assert rules.pair_status(rows) == [(1, 0, "x", 3), (2, 1, "y", 1), (7, 5, "x", 0), (8, 9, "z", None)]
+    # A wave that has ebbed when it would be told isn't told, and the next one isn't muted.
+    ebb = [(0, "a"), (3.9, "b"), (4, "c"), (6, "d"), (7, "e"), (7.5, "f")]
+    assert rules.callouts(ebb) == [(8.4, 3)]
+    # One victim again and again is one victim; all that count at the telling are told.
+    assert rules.callouts([(0, "a"), (1, "A"), (2, "b"), (3, "c"), (3.5, "d")]) == [(3.9, 4)]
 
 
 LINES = [
@@ -159,9 +166,7 @@ def test_log_files(spark, tmp_path):
 def test_rule_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<Config><Triggers><Trigger R="x+" C="Boss" T="T" TN="t1" /><Trigger Regex="y" Active="False" Zone="Keep" /><Trigger C="none" /></Triggers></Config>')
     got = sorted(map(tuple, files.read_rule_xml(spark, str(tmp_path / "a.xml")).select("regex", "category", "starts_timer", "timer_name", "zone", "enabled").collect()))
-    assert got == [("x+", "Boss", True, "t1", "", True), ("y", "General", False, "", "Keep", False)]
-    (tmp_path / "p.json").write_text('{"zones": [{"name": "Z", "encounters": [{"name": "Mob", "triggers": [{"regex": "a", "cooldown": 9999}, {"regex": " "}]}]}]}')
-    assert [tuple(r) for r in files.read_rule_pack(spark, str(tmp_path / "p.json")).collect()] == [("Z", "Mob", "a", 3600.0, None)]
+    assert got == [("x+", "Boss", True, "t1", "", True)]
 
 
 def test_scalars(spark):

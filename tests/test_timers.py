@@ -103,10 +103,10 @@ def test_board_and_events(spark):
 
 def test_chat(spark):
     say = lambda who, rule: rf'\aPC -1 {who}:{who}\/a says, "{rule}"'
-    rows = [say("Ann", '<Trigger R="x+" C="Boss" Z="Lair" />'), 'You say, "<Trigger Regex="y" />"', r'\aNPC 5 Rat:Rat\/a says, "<Trigger R="z" />"', say("Bob", "<Trigger oops"), say("Bob", "<Trigger C='none' />"), "plain", None]
+    rows = [say("Ann", '<Trigger R="x+" C="Boss" Z="Lair" />'), 'You say, "<Trigger Regex="y" Category="Sea" />"', r'\aNPC 5 Rat:Rat\/a says, "<Trigger R="z" />"', say("Bob", "<Trigger oops"), say("Bob", "<Trigger C='none' />"), "plain", None]
     df = spark.createDataFrame([("a", i, 10 + i, m) for i, m in enumerate(rows)], "source_id string, seq long, ts long, message string")
     shares = chat.chat_rule_shares(df)
-    assert sorted((r["seq"], r["sharer"], r["is_self"], r["regex"], r["category"], r["zone"]) for r in shares.collect()) == [(0, "Ann", False, "x+", "Boss", "Lair"), (1, "You", True, "y", "General", "")]
+    assert sorted((r["seq"], r["sharer"], r["is_self"], r["regex"], r["category"], r["zone"]) for r in shares.collect()) == [(0, "Ann", False, "x+", "Boss", "Lair"), (1, "You", True, "y", "Sea", "")]
     twice = shares.unionByName(shares.withColumn("source_id", F.lit("b"))).unionByName(shares.withColumn("ts", F.col("ts") + 10))
     none = spark.createDataFrame([], "zone string, category string, regex string")
     assert sorted((r["source_id"], r["ts"]) for r in chat.shared_rule_feed(twice, none).collect()) == [("a", 10), ("a", 20)]
