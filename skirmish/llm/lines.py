@@ -2,10 +2,14 @@
 
 A text is split at \\n.  There are two forms.
 
-dedup_passages: every two neighbouring visible lines are a chunk, with the blank
-lines between them.  A chunk that occurs anywhere before (by doc_id, then place)
-is removed, so a repeated passage of two or more visible lines goes whole,
-whatever surrounds it.  Chunks are compared by 128-bit BLAKE2b digests.  The
+dedup_passages: the finest boundaries, one after every visible line, with windows
+of two: every two neighbouring visible lines are a chunk, with the blank lines
+between them.  A chunk that occurs anywhere before (by doc_id, then place) is
+removed, so a repeated passage of two or more visible lines goes whole, whatever
+surrounds it; sparser boundaries leave the ends of passages, and short ones whole,
+where texts have few lines.  Chunks are brought together by 128-bit BLAKE2b
+digests, and the bytes of all chunks of a digest are compared, in their tasks
+first, before any is removed; a digest whose bytes differ removes nothing.  The
 first place of every visible line stays: a chunk that covers it can't occur
 before.  Lines of the first copy itself stay where a later copy overlaps it.
 
@@ -202,47 +206,73 @@ def line_pairs(docs: DataFrame) -> DataFrame:
 
 
 def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_line, lines, skip, low): every pair that occurs earlier;
-    its first skip lines belong to the first copy."""
+    """(doc_id, first_line, lines, skip, high, low): every pair that occurs twice or
+    more; the first skip lines of a later one belong to the first copy.  skip is
+    null for the first copy itself."""
     pairs = stored(line_pairs(docs))
     first = stored(pairs.groupBy("high", "low").agg(F.min(F.struct("doc_id", "first_line")).alias("kept"), F.count("*").alias("n")).where("n > 1"))
     total = first.agg(F.sum("n")).first()[0] or 0
     hot = first.where(F.col("n") > total / HOT_SHARE).select("high", "low", "kept")  # fewer than HOT_SHARE rows
     rest = first.where(F.col("n") <= total / HOT_SHARE).select("high", "low", "kept")
     marked = pairs.join(F.broadcast(hot.withColumnRenamed("kept", "hot_kept")), ["high", "low"], "left")
-    keep = ("doc_id", "first_line", "lines", "low", "kept")
+    keep = ("doc_id", "first_line", "lines", "high", "low", "kept")
     found = marked.where("hot_kept is not null").withColumnRenamed("hot_kept", "kept").select(*keep).unionByName(marked.where("hot_kept is null").join(rest, ["high", "low"]).select(*keep))
-    later = found.where("doc_id != kept.doc_id or first_line != kept.first_line")
+    later = (F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first_line") != F.col("kept.first_line"))
     skip = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.first_line") + F.col("lines") - F.col("first_line"))).otherwise(0)
-    return later.select("doc_id", "first_line", "lines", skip.alias("skip"), "low")
+    return found.select("doc_id", "first_line", "lines", F.when(later, skip).alias("skip"), "high", "low")
+
+
+BYTES = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("bytes", T.BinaryType())])
+
+
+def _pairs_of(text: str | None, found, digest) -> list[tuple[dict, list[str]]]:
+    """The repeated pairs of a row with their lines; a row with the same doc_id and
+    another text has none of them."""
+    if text is None or not found:
+        return []
+    lines = text.split("\n")
+    at = [(g, lines[g["first_line"] : g["first_line"] + g["lines"]]) for g in found]
+    return [(g, x) for g, x in at if len(x) == g["lines"] and digest(x) == (g["high"], g["low"])]
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage of two or more visible lines removed from
     text; adds n_removed (lines)."""
-    gone = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(F.struct("first_line", "lines", "skip", "low")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    pair = F.struct("first_line", "lines", "skip", "high", "low")
+    found = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(pair).alias("__found")).withColumnRenamed("doc_id", "__doc")
+    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     at = joined.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
     small_batches(docs.sparkSession)
 
+    def told(batches):
+        for batch in batches:
+            out = {}
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                for g, x in _pairs_of(text, found, pair_digest):
+                    out.setdefault((g["high"], g["low"]), set()).add("\n".join(x).encode())
+            rows = [(high, low, b) for (high, low), several in out.items() for b in several]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=BYTES.names)
+
+    # All columns go in, so that the join's shuffle serves this and the removal.
+    compared = joined.mapInArrow(told, BYTES).groupBy("high", "low").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a <> b")
+    differ = compared.groupBy().agg(F.collect_list(F.struct("high", "low")).alias("d")).scalar()  # digests that collide: none is known
+
     def run(batches):
         for batch in batches:
             texts, counts = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, found, apart in zip(*(batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1)), strict=True):
+                kept_apart = {(d["high"], d["low"]) for d in apart or ()}
                 out = set()
-                if text is not None and gone:
-                    lines = text.split("\n")
-                    for g in gone:
-                        a, b = g["first_line"], g["first_line"] + g["lines"]
-                        # A row with the same doc_id and another text isn't touched.
-                        if b <= len(lines) and pair_digest(lines[a:b])[1] == g["low"]:
-                            out.update(range(a + g["skip"], b))
-                    text = "\n".join(line for i, line in enumerate(lines) if i not in out)
+                for g, _ in _pairs_of(text, found, pair_digest):
+                    if g["skip"] is not None and (g["high"], g["low"]) not in kept_apart:
+                        out.update(range(g["first_line"] + g["skip"], g["first_line"] + g["lines"]))
+                if out:
+                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in out)
                 texts.append(text)
                 counts.append(len(out))
-            columns = batch.columns[:-1]
+            columns = batch.columns[:-2]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.withColumn("__apart", differ).mapInArrow(run, schema)

@@ -50,6 +50,19 @@ def test_passages_match_a_sequential_pass(spark, monkeypatch):
     assert lines.dedup_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_colliding_digests_remove_nothing(spark, monkeypatch):
+    import hashlib
+
+    def weak(x):  # tells lines apart by their first letters only
+        d = hashlib.blake2b("\n".join(line[:1] for line in x).encode(), digest_size=16).digest()
+        return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+    monkeypatch.setattr(lines, "pair_digest", weak)
+    rows = [(1, "alpha\nbeta\ncc\ndd", "en", "s", 0), (2, "any\nbeta\nx", "en", "s", 0), (3, "q\ncc\ndd", "en", "s", 0)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_passages(frame(spark, rows)).collect()}
+    assert got == {1: "alpha\nbeta\ncc\ndd", 2: "any\nbeta\nx", 3: "q"}
+
+
 def test_no_chunk_of_one_line():
     text = [f"line {i}" for i in range(500)]
     assert all(b - a > 1 for n in range(2, 500) for a, b in lines.chunk_bounds(text[:n]))

@@ -6,7 +6,7 @@ from skirmish.llm import language, packing
 from .helpers import SCHEMA, clashing, frame
 from .test_jaccard import brute as near
 from .test_language import texts
-from .test_lines import brute as deduped
+from .test_passages import passages as deduped
 
 
 def rows():
