@@ -56,12 +56,12 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
 CHUNK_LINES = 10_000_000
 
 
-def stream_log_text(spark: SparkSession, path: str, max_bytes: str = "256m") -> DataFrame:
+def stream_log_text(spark: SparkSession, path: str, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """(source_id, owner, server, seq, ts, message) of logs that land in chunks,
     eq2log_<Owner>.<number>.txt: the chunks of a name are one source, and lines are
     numbered through them.  A chunk is read as a whole, so that its lines keep their
     places; the checkpoint is the resume point."""
-    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").option("wholetext", "true").option("maxBytesPerTrigger", max_bytes).load(path)
+    raw = spark.readStream.format("text").option("recursiveFileLookup", "true").option("wholetext", "true").option("maxBytesPerTrigger", str(max_bytes)).load(path)
     file = F.col("_metadata.file_path")
     lines = raw.select(F.regexp_replace(file, r"\.\d+\.txt$", ".txt").alias("source_id"), F.regexp_extract(file, r"\.(\d+)\.txt$", 1).alias("_chunk"), F.posexplode(F.split("value", "\r?\n")).alias("_at", "raw"))
     number = F.coalesce(F.expr("try_cast(_chunk as bigint)"), F.lit(0)) * CHUNK_LINES + F.col("_at") + 1

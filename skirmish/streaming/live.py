@@ -8,14 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_hostile
 from ..operators import timers
+from ..operators.allies import walk
 from ..operators.rules import accept_spaced, match_rules
 from ..operators.sessions import IDLE
+from ..operators.stats import POLARITY
 
 ENCOUNTER = "source_id string, encounter_id long, start_ts long, end_ts long, actions long"
 _STATE = "open boolean, encounter_id long, start_ts long, end_ts long, actions long"
 
 
+def _gathered(batches, *order: str) -> pd.DataFrame | None:
+    """The rows of a step in order; none if there are none."""
+    parts = [b for b in batches if len(b)]
+    return pd.concat(parts).sort_values(list(order)) if parts else None
+
+
 def advance(state: tuple, rows, idle: int = IDLE) -> tuple[tuple, list[tuple]]:
     """One source's rows (seq, ts, hostile, action) in order -> the new state
     (open, encounter_id, start, last hostile, actions) and closed encounters."""
@@ -35,14 +44,15 @@ def advance(state: tuple, rows, idle: int = IDLE) -> tuple[tuple, list[tuple]]:
 
 
 def stream_encounters(swings: DataFrame, idle: int = IDLE) -> DataFrame:
-    """Encounters of a stream of swings, emitted when a later line of their
-    source closes them.  State per source: one open encounter."""
-    rows = swings.select("source_id", "seq", "ts", (F.col("category").isin(1, 2) & (F.col("ability") != "Killing") & (F.upper("attacker") != F.upper("victim"))).alias("hostile"), (F.col("category") != 0).alias("action"))
+    """Encounters of a stream of swings, emitted when a later line of their source
+    closes them, as a log tells no other end.  State per source: one open encounter."""
+    rows = swings.select("source_id", "seq", "ts", is_hostile().alias("hostile"), (F.col("category") != 0).alias("action"))
 
     def step(key, batches, state):
         held = state.get if state.exists else (False, 0, 0, 0, 0)
-        parts = list(batches)
-        pdf = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame(columns=["seq", "ts", "hostile", "action"])
+        pdf = _gathered(batches, "seq")
+        if pdf is None:
+            return
         held, closed = advance(held, pdf[["seq", "ts", "hostile", "action"]].itertuples(index=False), idle)
         state.update(tuple(int(x) if i else bool(x) for i, x in enumerate(held)))
         yield pd.DataFrame([(key[0], *map(int, c)) for c in closed], columns=["source_id", "encounter_id", "start_ts", "end_ts", "actions"], dtype=object)
@@ -61,7 +71,9 @@ def stream_rate_limit(matches: DataFrame, cooldown_s: float = 1.0) -> DataFrame:
 
     def step(key, batches, state):
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values("seq")
+        pdf = _gathered(batches, "seq")
+        if pdf is None:
+            return
         ok, last = accept_spaced(pdf["ts"], cooldown_s, last)
         state.update((float(last),))
         yield pdf[ok][["source_id", "seq", "ts", "rule"]]
@@ -75,7 +87,9 @@ def stream_recast_timers(steps: DataFrame, debuffs: dict = timers.DEBUFFS) -> Da
 
     def step(key, batches, state):
         held = json.loads(state.get[0]) if state.exists else {}
-        pdf = pd.concat(list(batches)).sort_values(["seq", "step"])
+        pdf = _gathered(batches, "seq", "step")
+        if pdf is None:
+            return
         held, over = timers.advance(held, pdf.itertuples(index=False), debuffs)
         state.update((json.dumps(held),))
         yield timers.frame(key[0], over)
@@ -83,10 +97,69 @@ def stream_recast_timers(steps: DataFrame, debuffs: dict = timers.DEBUFFS) -> Da
     return steps.groupBy("source_id").applyInPandasWithState(step, timers.BARS, "held string", "append", "NoTimeout")
 
 
-def stream_mini_parse(swings: DataFrame) -> DataFrame:
-    """Running damage by attacker and minute of a log, late lines up to a minute."""
-    timed = swings.where("category in (1, 2) and amount > 0").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "1 minute")
-    return timed.groupBy(F.window("at", "1 minute"), "source_id", "attacker").agg(F.sum("amount").alias("damage"), F.count("*").alias("hits"))
+METER = "source_id string, encounter_id long, open boolean, rank long, combatant string, damage long, rate double, of_top double, raid_rate double"
+
+
+def measure(fight: dict, rows, idle: int = IDLE) -> dict:
+    """One source's actions in order (seq, ts, hostile, category, attacker, victim,
+    amount) added to its fight: what each name dealt, when it last did, and who
+    acted on whom.  A new fight forgets the one before."""
+    for seq, ts, hostile, category, attacker, victim, amount in rows:
+        if fight.get("open") and ts - fight["last"] > idle:
+            fight["open"] = False
+        if hostile:
+            if not fight.get("open"):
+                fight = {"open": True, "encounter_id": int(seq), "start": None, "dealt": {}, "until": {}, "names": {}, "edges": {}}
+            fight["last"] = int(ts)
+        if not fight.get("open") or not category:
+            continue
+        a, v = attacker.upper(), victim.upper()
+        fight["names"].setdefault(a, attacker)
+        fight["names"].setdefault(v, victim)
+        if a == v and category in (1, 2):
+            continue
+        fight["start"] = int(ts) if fight["start"] is None else min(fight["start"], int(ts))
+        if category in (1, 2):
+            fight["dealt"][a] = fight["dealt"].get(a, 0) + max(0, int(amount))
+            fight["until"][a] = max(fight["until"].get(a, int(ts)), int(ts))
+        sign = POLARITY.get(category, 0)
+        if sign and a != v and "UNKNOWN" not in (a, v):
+            for x, y in ((a, v), (v, a)):
+                near = fight["edges"].setdefault(x, {})
+                near[y] = near.get(y, 0) + sign
+    return fight
+
+
+def meter_rows(fight: dict, owner: str, n: int = 6) -> list[tuple]:
+    """(encounter_id, open, rank, combatant, damage, rate, of_top, raid_rate) of the
+    n best allies: the feature is a top list."""
+    if owner.upper() not in fight.get("names", {}):
+        return []
+    friends = walk(owner.upper(), fight["edges"])
+    ends = [t for name, t in fight["until"].items() if name in friends]
+    seconds = max(1, max(ends, default=fight["start"]) - fight["start"])
+    dealt = sorted(((-d, fight["names"][x]) for x, d in fight["dealt"].items() if x in friends and d > 0))
+    total, top = -sum(d for d, _ in dealt), -dealt[0][0] if dealt else 0
+    return [(fight["encounter_id"], fight["open"], i, name, -d, -d / seconds, -d / top, total / seconds) for i, (d, name) in enumerate(dealt[:n], 1)]
+
+
+def stream_mini_parse(swings: DataFrame, n: int = 6, idle: int = IDLE) -> DataFrame:
+    """The meter of each log's open fight, else of its last one, after every batch
+    that brings lines of the log (output mode update): the best allies by damage.
+    State per source: one fight's sums, as JSON; logs don't wait for each other."""
+    rows = swings.select("source_id", "owner", "seq", "ts", is_hostile().alias("hostile"), "category", "attacker", "victim", "amount")
+
+    def step(key, batches, state):
+        fight = json.loads(state.get[0]) if state.exists else {}
+        pdf = _gathered(batches, "seq")
+        if pdf is None:
+            return
+        fight = measure(fight, pdf[["seq", "ts", "hostile", "category", "attacker", "victim", "amount"]].itertuples(index=False), idle)
+        state.update((json.dumps(fight),))
+        told = meter_rows(fight, pdf["owner"].iloc[0], n)
+        yield pd.DataFrame([(key[0], *r) for r in told], columns=[c.split()[0] for c in METER.split(", ")], dtype=object)
+
+    return rows.groupBy("source_id").applyInPandasWithState(step, METER, "held string", "update", "NoTimeout")
 
 
 def idempotent_upload(payloads: DataFrame, seen: DataFrame) -> DataFrame:
