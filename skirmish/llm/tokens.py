@@ -8,8 +8,11 @@ size that needs no memory and is the same in every run.  Shard s holds slots
 [s R, (s + 1) R) as records of a fixed stride, so the record of slot t starts at
 (t mod R) x stride of shard t div R, and reading can resume anywhere.
 
-Documents are numbered in the order of a hash of doc_id and text, so slots follow
-from the documents and the key alone, however the input is split or ordered.
+Sequences are numbered as the documents are read, by task and row, and the table
+of tokenized documents fixes that for a run.  The same table read with the same
+splits gives the same slots; documents sorted by a key (repartitionByRange and
+sortWithinPartitions) give the same slots however the input is split or ordered.
+Numbering by content instead would move all ids once more, beyond the disk budget.
 Each task gets a range of shards and sorts its records by slot; padding is added
 there, so it doesn't travel.  Ids travel compressed.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +42,8 @@ ROUNDS = 4
 TASK_SHARDS = 8
 #: Records that leave a task's memory at a time.
 CUT_RECORDS = 10_000
-#: Documents that are numbered in one window.
-CELL_DOCUMENTS = 50_000
+#: Up to this many tasks, the table of their first numbers (a row each) is broadcast.
+BROADCAST_TASKS = 1_000_000
 KEY = 0x5EED
 
 
@@ -67,9 +71,10 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
-    T.StructField("sig", T.LongType()),  # of the text
     T.StructField("sequences", T.LongType()),
     T.StructField("ids", T.BinaryType()),  # compressed
+    T.StructField("task", T.LongType()),
+    T.StructField("before", T.LongType()),  # sequences of the task's rows before this one
 ])
 
 
@@ -80,25 +85,23 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, length: int = LENG
 
     def run(batches):
         encode, compress = encoder(where), zstandard.ZstdCompressor(level=1).compress
+        task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(2).to_pylist()]
+            ids = [np.array([*encode(text or ""), END_ID], "<u2") for text in batch.column(1).to_pylist()]
             sequences = -(-np.array([len(x) for x in ids], np.int64) // length)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequences), pa.array([compress(x.tobytes()) for x in ids], pa.binary())], names=DOCUMENTS.names)
+            before = done + np.cumsum(sequences) - sequences
+            done += int(sequences.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequences), pa.array([compress(x.tobytes()) for x in ids], pa.binary()), pa.array(np.full(len(ids), task, np.int64)), pa.array(before)], names=DOCUMENTS.names)
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "xxhash64(text) as sig", "text").mapInArrow(run, DOCUMENTS)
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, DOCUMENTS)
 
 
 def numbered(held: DataFrame) -> DataFrame:
-    """(doc_id, sig, copies, first): the number of the first sequence of the rows
-    of each document and text; equal rows follow each other."""
-    rows = stored(held.groupBy("doc_id", "sig").agg(F.count("*").alias("copies"), F.sum("sequences").alias("own")))
-    cells = max(1, rows.count() // CELL_DOCUMENTS)
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "sig"), F.lit(cells)))
-    of_cells = Window.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row a cell
-    before = rows.groupBy("cell").agg(F.sum("own").alias("n")).select("cell", F.coalesce(F.sum("n").over(of_cells), F.lit(0)).alias("before"))
-    within = Window.partitionBy("cell").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("ahead", F.coalesce(F.sum("own").over(within), F.lit(0))).join(before, "cell")
-    return ranked.select("doc_id", "sig", "copies", (F.col("ahead") + F.col("before")).cast("long").alias("first"))
+    """(doc_id, ids, first): with the number of each document's first sequence."""
+    ahead = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    offsets = stored(held.groupBy("task").agg(F.sum("sequences").alias("s")).select("task", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset")))
+    small = F.broadcast(offsets) if offsets.count() <= BROADCAST_TASKS else offsets
+    return held.join(small, "task").select("doc_id", "ids", (F.col("before") + F.col("offset")).cast("long").alias("first"))
 
 
 SHARDS = T.StructType([
@@ -120,9 +123,6 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
     holds the k-th range of shards, in order."""
     held = stored(tokenized(docs, vocabulary, length))
     total = held.agg(F.sum("sequences")).first()[0] or 0
-    numbers = stored(numbered(held)).withColumnsRenamed({"doc_id": "n_doc", "sig": "n_sig"})
-    once = held if numbers.where("copies > 1").isEmpty() else held.dropDuplicates(["doc_id", "sig"])  # equal rows have equal ids
-    placed = once.join(numbers, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("sig") == F.col("n_sig"))).select("doc_id", "ids", "first", "copies")
     parts = max(1, -(-total // (per_shard * TASK_SHARDS)))
 
     def cut(batches):
@@ -138,16 +138,15 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for doc, packed, first, copies in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for doc, packed, first in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 ids = expand(packed)
                 n = -(-len(ids) // (2 * length))
-                for copy in range(copies):
-                    slots.append(permute(np.arange(first + copy * n, first + copy * n + n), total, key))
-                    ids_of.extend([doc] * n)
-                    starts.extend(range(0, n * length, length))
-                    data.extend(compress(ids[2 * length * k : 2 * length * (k + 1)]) for k in range(n))
-                    if len(data) >= CUT_RECORDS:
-                        yield flush()
+                slots.append(permute(np.arange(first, first + n), total, key))
+                ids_of.extend([doc] * n)
+                starts.extend(range(0, n * length, length))
+                data.extend(compress(ids[2 * length * k : 2 * length * (k + 1)]) for k in range(n))
+                if len(data) >= CUT_RECORDS:
+                    yield flush()
         if data:
             yield flush()
 
@@ -173,7 +172,7 @@ def shards(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
         if records:
             yield shard(records)
 
-    return placed.mapInArrow(cut, _RECORDS).repartitionById(parts, "part").sortWithinPartitions("slot").mapInArrow(assemble, SHARDS)
+    return numbered(held).mapInArrow(cut, _RECORDS).repartitionById(parts, "part").sortWithinPartitions("slot").mapInArrow(assemble, SHARDS)
 
 
 def write_shards(shard_rows: DataFrame, path: str) -> DataFrame:
