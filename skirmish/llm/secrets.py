@@ -9,8 +9,11 @@ version, so it is applied to old blobs too.
 Everything is DataFrame expressions.  A match's place follows from the lengths
 of the pieces between matches, counted in code points.
 
-Cases: a null text counts as empty and has no findings; repeated rows each get
-their row; an empty table gives empty results; other columns are left out; a
+A first scan starts with an empty ledger; pass the ledger and the findings of the
+step before, as stored tables, for the next one.
+
+Cases: a null text counts as empty and has no findings; a very long text is
+scanned whole; repeated rows each get their row; an empty table gives empty results; other columns are left out; a
 blob with very many paths is joined in salted parts.
 """
 
@@ -22,7 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+#: Parts in which a blob's paths are joined: a blob that a third of all rows share
+#: still spreads over that many tasks.
+SALTS = 64
 
 
 @dataclass(frozen=True)

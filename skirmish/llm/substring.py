@@ -18,10 +18,14 @@ surroundings make it the first chunk of its kind.  Rows with the same doc_id and
 of one document.
 
 Digests that a thousandth of all chunks share are at most a thousand; they are
-broadcast.  All others are joined by a shuffle, where no key is hot.
+broadcast.  All others are joined by a shuffle; where one of them still fills a
+task, Spark's own handling of skewed joins splits its rows, as nothing but a
+further shuffle follows.
+
+Repeats within one document aren't spans: they are no copies between documents.
 
 Cases: null and empty texts have no chunks; a text without a cut is one chunk;
-rows that repeat a doc_id count as one document; a row without a doc_id is left
+a very long text is cut whole; rows that repeat a doc_id count as one document; a row without a doc_id is left
 out; an empty table gives an empty result; other columns are left out.
 """
 
