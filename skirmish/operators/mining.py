@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
+
 VOLLEY_GAP, CAST_GAP = 2, 12
 KEY = ("source_id", "encounter_id", "attacker", "ability")
 MOB = ("zone", "attacker", "ability")
@@ -95,15 +97,15 @@ def mine_abilities(hits: DataFrame, zones: DataFrame, debuffs: DataFrame, applie
     cast, whether it is melee, a detriment (nine tenths of its hits without damage)
     or inferred (half its hits), its damage types and the effect that comes with it.
     hits: of mob_hits; zones(fight, zone); debuffs: of debuff_windows."""
-    of_zone = lambda rows: rows.join(zones.select("source_id", "encounter_id", "zone"), ["source_id", "encounter_id"])
-    hits = hits.drop("zone")
-    volleys = cast_volleys(hits)
-    cast_rows = casts(volleys)
+    of_zone = lambda rows: rows.join(zones, ["source_id", "encounter_id"])
+    hits = stored(hits.drop("zone"))
+    zones = stored(zones.select("source_id", "encounter_id", "zone"))
+    cast_rows = stored(casts(cast_volleys(hits)))
     # A fight's ability counts as inferred as a whole.
     some = hits.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum((F.col("amount") <= 0).cast("int")).alias("zero"), F.min((F.col("category") == 1).cast("int")).alias("melee"), F.max("inferred").alias("inferred"))
     told = of_zone(some).groupBy(*MOB).agg(F.sum("n").alias("_hits"), F.sum("zero").alias("_zero"), F.min("melee").alias("_melee"), F.sum(F.when(F.col("inferred"), F.col("n")).otherwise(0)).alias("_inferred"))
     sums = of_zone(cast_rows).groupBy(*MOB).agg(F.countDistinct("source_id", "encounter_id").alias("fights"), F.count("*").alias("casts"), F.sum("volleys").cast("long").alias("volleys"), F.sum("hits").cast("long").alias("hits"), F.sum("damage").cast("long").alias("damage"))
-    covered = of_zone(covered_intervals(cast_rows, debuffs))
+    covered = stored(of_zone(covered_intervals(cast_rows, debuffs)))
     raw = upper_median_of(covered, MOB, "gap").select(*MOB, F.col("median").alias("median_s"))
     base = upper_median_of(covered, MOB, "base_s").select(*MOB, F.col("median").alias("base_s"))
     least = covered.groupBy(*MOB).agg(F.min("gap").alias("least_s"), F.sum("covered_s").alias("_covered"), F.sum("gap").alias("_time"))
