@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mixing, oracle, packing, quality, secrets, substring, tokens
+from . import compression, jaccard, language, lines, media, mixing, oracle, packing, quality, secrets, substring, tokens
 from .common import documents, new_path
 
 
@@ -48,6 +48,11 @@ def op10_mixing(spark, sf_dir):
     return mixing.Mix(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken", "n_shards", "first_shard", "first_position")
 
 
+def op11_compression(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return compression.score_texts(docs, compression.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def queries():
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -60,6 +65,7 @@ def queries():
         "op8_substring": op8_substring,
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
+        "op11_compression": op11_compression,
     }
 
 
