@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compression, jaccard, language, lines, media, mixing, oracle, packing, quality, ranked, secrets, substring, tokens
+from . import compression, jaccard, language, lines, media, mixing, oracle, packing, quality, ranked, secrets, spelling, substring, tokens
 from .common import documents, new_path
 
 
@@ -53,6 +53,10 @@ def op11_compression(spark, sf_dir):
     return compression.score_texts(docs, compression.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 def op13_ranked_search(spark, sf_dir):
     return ranked.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -70,6 +74,7 @@ def queries():
         "op9_media": op9_media,
         "op10_mixing": op10_mixing,
         "op11_compression": op11_compression,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_ranked_search": op13_ranked_search,
     }
 
