@@ -8,8 +8,8 @@ combinations by non-negative least squares, rounds them down, and packs what is
 left greedily.  The plan is a list of runs "pieces of length l with ranks r to
 r + n go to sequences s to s + n"; the executors look their pieces up in it.
 
-Cases: a null text counts as empty and still has its end id; a very long text
-is tokenized whole and gives as many windows as it fills; repeated rows are
+Cases: a null text counts as empty and still has its end id; a very long text,
+one of white space too, is tokenized whole and gives as many windows as it fills; repeated rows are
 packed as often as they occur; an empty table gives an empty result; other
 columns are left out.
 """
@@ -17,6 +17,7 @@ columns are left out.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from itertools import combinations_with_replacement
 
@@ -41,6 +42,15 @@ _encoders: dict[str, object] = {}
 SPECIAL = {"<|endoftext|>": 50256}
 
 
+#: Fixed value: the characters that the pattern's \\s stands for.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of white space from this length on go past the pattern: its look-ahead runs out
+#: of stack on very long ones.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile(BLANK + f"{{{LONG_RUN},}}")
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
+
+
 def encoder(path: str):
     """A function from a text to its ids: byte-level BPE from a file of ranks, the
     same vocabulary and the same ids as the tokenizer file that lies beside it, at
@@ -53,10 +63,24 @@ def encoder(path: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
+        def pieces(text: str) -> list[int]:
+            # The pattern makes one piece of a run of white space, but for its last
+            # character where something follows; what stands around it doesn't matter.
+            out, at = [], 0
+            for m in _LONG_RUN.finditer(text):
+                end = m.end() if m.end() == len(text) else m.end() - 1
+                out += bpe.encode_ordinary(text[at : m.start()])
+                out += bpe._encode_single_piece(text[m.start() : end])
+                at = end
+            return out + bpe.encode_ordinary(text[at:])
+
         def encode(text: str) -> list[int]:
-            if any(s in text for s in SPECIAL):
-                return bpe.encode(text, allowed_special="all")
-            return bpe.encode_ordinary(text)
+            if not _LONG_RUN.search(text):
+                return bpe.encode(text, allowed_special="all") if _SPECIAL.search(text) else bpe.encode_ordinary(text)
+            out = []
+            for part in _SPECIAL.split(text):
+                out += [SPECIAL[part]] if part in SPECIAL else pieces(part)
+            return out
 
         _encoders[path] = encode
     return _encoders[path]

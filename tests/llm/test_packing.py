@@ -77,3 +77,17 @@ def test_nnls_against_a_known_solution():
     rng = np.random.default_rng(0)
     a, x = rng.random((30, 10)), np.maximum(0, rng.normal(size=10))
     assert np.allclose(packing.nnls(a, a @ x, 5000), x, atol=1e-3)
+
+
+@pytest.mark.parametrize("blank", (" ", "\n", " \n", "\u3000", "\t\x85 "))
+def test_long_runs_of_white_space(spark, tokenizer, blank):
+    """Ids are those of the unchanged tokenizer; the query doesn't fail on them."""
+    n = packing.LONG_RUN
+    encode = packing.encoder(packing.default_vocabulary())
+    for text in (blank * n, "a" + blank * n, blank * n + "word", "a b" + blank * n + "<|endoftext|>" + blank * n, f"{blank * (n // 2)}\x1c{blank * n}1 x\n{blank * n}!", blank * (n // len(blank) - 1) + "x"):
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_query_over_very_long_white_space(spark, tokenizer):
+    rows = [(1, " " * 5_000_000, None, None, None), (2, "\n" * 1_000_000 + "word", None, None, None), (3, "a" + " \n\t" * 400_000 + "<|endoftext|>", None, None, None), (4, "plain", None, None, None), (5, "x" + " " * 500_000 + "y", None, None, None)]
+    hold(rows, packing.pack_documents(frame(spark, rows)).collect(), tokenizer)
