@@ -1,34 +1,32 @@
 """Line dedup by content-defined line chunks.
 
-A text is split at \\n.  There are two forms.
-
-dedup_passages: the finest boundaries, one after every visible line, with windows
-of two: every two neighbouring visible lines are a chunk, with the blank lines
-between them.  A chunk that occurs anywhere before (by doc_id, then place) is
-removed, so a repeated passage of two or more visible lines goes whole, whatever
-surrounds it; sparser boundaries leave the ends of passages, and short ones whole,
-where texts have few lines.  Chunks are brought together by 128-bit BLAKE2b
-digests, and the bytes of all chunks of a digest are compared, in their tasks
-first, before any is removed; a digest whose bytes differ removes nothing.  The
-first place of every visible line stays: a chunk that covers it can't occur
-before.  Lines of the first copy itself stay where a later copy overlaps it.
-
-dedup_lines: a rolling hash over the hashes of the last lines marks chunk ends,
-so boundaries follow the content and survive shifts; of ends after neighbouring
-lines the one with the least hash counts, so that a chunk has two lines at
-least.  Chunks that occur before are removed, after a comparison of their bytes;
-what a repeated passage has outside whole chunks stays.
-
-Only digests are shuffled for all chunks; the texts of chunks travel only where
-the digest repeats.  Equal digests are brought together by pre-aggregation, and
-the join back is salted, so a chunk that a third of all rows share is no
-trouble.
-
-Cases: a null text stays null and has no chunks; an empty text is one empty
-line; chunks without a visible character, and single lines, are never removed;
-rows without a doc_id are left as they are; identical rows (doc_id and text)
-count as one place; an empty table gives an empty result; other columns are
-kept as they are.
+A text is split at \\n.  A rolling hash over the hashes of the last two visible lines
+(blank lines between them stay with them) chooses boundaries: one falls after every
+line where it isn't 0 modulo DIVISOR.  The choice depends on those lines alone, so it
+is the same wherever they stand, whatever was inserted before.  The lines of a
+boundary's window are its chunk; chunks that occur before (by doc_id, then place) are
+removed, after a comparison of their bytes, and each match grows: the windows between a
+chunk and the next boundary to either side go too, as long as they equal those beside
+the first copy.  So a repeated passage goes whole from its first line to its last,
+wherever at least one boundary falls in it.
+
+What the choice costs: a passage in which no boundary falls stays, which is one in
+DIVISOR of those of two lines, one in DIVISOR squared of those of three, and so on.
+All that is removed occurs before, and the first place of every visible line stays.
+Lines of the first copy itself stay where a later copy overlaps it.
+
+Chunks are brought together by 128-bit BLAKE2b digests, and the bytes of all windows of
+a digest are compared, in their tasks first, before any is removed; a digest whose
+bytes differ removes nothing.  Only digests are shuffled: a chunk carries its own and
+those of the windows up to the next boundaries, up to REACH of them.  First copies come
+from an aggregation; digests that more than a thousandth of all repeated chunks share
+are joined by broadcast, fewer than a thousand rows.
+
+Cases: a null text stays null and has no chunks; an empty text is one empty line; lines
+without a visible character, and single lines, are never removed; rows without a doc_id
+are left as they are; identical rows (doc_id and text) count as one place, different
+texts of one doc_id as several, in the order of a hash; a very long text is cut whole;
+an empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -44,203 +42,144 @@ from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
-WINDOW_LINES = 2
-DIVISOR = 2
-SALTS = 32
+#: One window in this many has no boundary.
+DIVISOR = 12
+#: Windows that a match may grow by from a chunk, to either side: more lie between two
+#: boundaries only where lines recur with a period.
+REACH = 32
 HOT_SHARE = 1000
 
 CHUNKS = T.StructType([
     T.StructField("doc_id", T.LongType()),
+    T.StructField("sig", T.LongType()),
     T.StructField("first_line", T.IntegerType()),
     T.StructField("lines", T.IntegerType()),
     T.StructField("high", T.LongType()),
     T.StructField("low", T.LongType()),
+    T.StructField("before", T.BinaryType()),
+    T.StructField("after", T.BinaryType()),
 ])
 
 
-def chunk_bounds(lines: list[str], window: int = WINDOW_LINES, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """[start, end) of the chunks.  A chunk ends after a line where the hash of
-    the last `window` lines is 0 modulo divisor and less than at a neighbouring
-    line that qualifies as well; only a text of one line gives a chunk of one."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-    rolled = np.zeros(len(lines), np.uint64)
-    for back in range(min(window, len(lines))):
-        rolled[back:] += hashes[: len(lines) - back] * np.uint64(2 * back + 0x9E3779B97F4A7C15)
-    rolled ^= rolled >> np.uint64(33)
-    rolled *= np.uint64(0xFF51AFD7ED558CCD)
-    ends = np.flatnonzero((rolled >> np.uint64(32)) % np.uint64(divisor) == 0) + 1
-    at = rolled[ends - 1]
-    apart, less = np.diff(ends) > 1, at[:-1] < at[1:]
-    after, before = np.ones(len(ends), bool), np.ones(len(ends), bool)
-    after[:-1], before[1:] = apart | less, apart | ~less
-    ends = ends[after & before & (ends > 1) & (ends != len(lines) - 1)]
-    cuts = [0, *ends.tolist()]
-    if cuts[-1] != len(lines):
-        cuts.append(len(lines))
-    return list(zip(cuts, cuts[1:]))
-
-
-def _multi_line(text: str):
-    """(first line, number of lines, chunk) of the chunks that may be removed."""
-    lines = text.split("\n")
-    for a, b in chunk_bounds(lines):
-        if b - a > 1:
-            chunk = "\n".join(lines[a:b])
-            if chunk.strip():
-                yield a, b - a, chunk
-
-
-def spark_hash(text: str) -> int:
-    """What Spark's xxhash64 gives for a string."""
-    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def line_chunks(docs: DataFrame) -> DataFrame:
-    """Places and 128-bit digests of multi-line chunks."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at, n, chunk in _multi_line(text or ""):
-                    digest = xxhash.xxh3_128_digest(chunk.encode())
-                    for column, x in zip(out, (doc, at, n, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)), strict=True):
-                        column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=CHUNKS.names)
-
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(run, CHUNKS)
-
-
-def _salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first_line"), F.lit(SALTS)).cast("int"))
-
+def line_digest(lines: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(lines).encode(), digest_size=16).digest()
 
-def _every_salt(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
+def halves(told: bytes) -> tuple[int, int]:
+    return int.from_bytes(told[:8], "big", signed=True), int.from_bytes(told[8:], "big", signed=True)
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_line, lines, key): every chunk whose bytes occur earlier;
-    key is a hash of the bytes."""
-    chunks = stored(line_chunks(docs))
-    twice = chunks.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
-    candidates = _salt(chunks).join(_every_salt(twice), ["high", "low", "salt"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first_line", "lines"))).alias("at"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(candidates, "doc_id")
-    # The bytes of the candidates.
-    line = F.explode(F.transform("at", lambda c: F.struct(c["first_line"].alias("first_line"), c["lines"].alias("lines"), F.array_join(F.slice("split", c["first_line"] + 1, c["lines"]), "\n").alias("bytes"))))
-    placed = stored(texts.select("doc_id", "at", F.split("text", "\n").alias("split")).select("doc_id", line.alias("c")).select("doc_id", "c.*"))
-    # Equality of the text itself decides; the digest of its bytes only spreads the groups.
-    first = placed.groupBy("bytes").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    key = F.xxhash64("bytes")
-    keepers = first.join(placed.select("doc_id", "first_line", "bytes").withColumnRenamed("doc_id", "keeper"), ["keeper", "bytes"]).groupBy("bytes", "keeper").agg(F.min("first_line").alias("kept_line"))
-    both = _salt(placed).withColumn("key", key).join(_every_salt(keepers.withColumn("key", key)), ["key", "salt", "bytes"])
-    return both.where((F.col("doc_id") != F.col("keeper")) | (F.col("first_line") != F.col("kept_line"))).select("doc_id", "first_line", "lines", "key").distinct()
 
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """[start, end) of every two neighbouring visible lines."""
+    visible = [i for i, line in enumerate(lines) if line.strip()]
+    return [(a, b + 1) for a, b in zip(visible, visible[1:])]
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed from text; adds n_removed (lines)."""
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_line", "lines", "key"))).alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    at = joined.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
-    small_batches(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            texts, counts = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is None or not gone:
-                    texts.append(text)
-                    counts.append(0)
-                    continue
-                lines, n = text.split("\n"), 0
-                for g in reversed(gone):
-                    place = slice(g["first_line"], g["first_line"] + g["lines"])
-                    # A row with the same doc_id and another text isn't touched.
-                    if len(lines) >= place.stop and spark_hash("\n".join(lines[place])) == g["key"]:
-                        del lines[place]
-                        n += g["lines"]
-                texts.append("\n".join(lines))
-                counts.append(n)
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+def boundaries(lines: list[str], at: list[tuple[int, int]], divisor: int = DIVISOR) -> np.ndarray:
+    """Which windows have a boundary: the rolling hash over their line hashes decides."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in ([a for a, _ in at] + [at[-1][1] - 1] if at else [])], np.uint64)
+    rolled = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    rolled ^= rolled >> np.uint64(33)
+    rolled *= np.uint64(0xFF51AFD7ED558CCD)
+    return (rolled >> np.uint64(32)) % np.uint64(divisor) != 0
 
 
-PAIRS = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("first_line", T.IntegerType()),
-    T.StructField("lines", T.IntegerType()),
-    T.StructField("high", T.LongType()),
-    T.StructField("low", T.LongType()),
-])
+def chunks_of(text: str, divisor: int = DIVISOR, digest=line_digest):
+    """(first line, number of lines, digest, digests before, digests after) of a text's
+    chunks; the digests of the windows up to the boundaries beside it, nearest first."""
+    lines = text.split("\n")
+    at = windows(lines)
+    chosen = np.flatnonzero(boundaries(lines, at, divisor)).tolist() if at else []
+    told = {}
 
+    def of(i: int) -> bytes:
+        if i not in told:
+            told[i] = digest(lines[at[i][0] : at[i][1]])
+        return told[i]
 
-def pair_digest(lines: list[str]) -> tuple[int, int]:
-    digest = hashlib.blake2b("\n".join(lines).encode(), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+    for k, i in enumerate(chosen):
+        low = chosen[k - 1] if k else -1
+        high = chosen[k + 1] if k + 1 < len(chosen) else len(at)
+        before = b"".join(of(j) for j in range(i - 1, max(low, i - 1 - REACH), -1))
+        after = b"".join(of(j) for j in range(i + 1, min(high, i + 1 + REACH)))
+        yield at[i][0], at[i][1] - at[i][0], of(i), before, after
 
 
-def line_pairs(docs: DataFrame) -> DataFrame:
-    """Places and digests of every two neighbouring visible lines."""
+def line_chunks(docs: DataFrame, divisor: int = DIVISOR, digest=line_digest) -> DataFrame:
+    """Places and digests of the chunks of every text."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                visible = [i for i, line in enumerate(lines) if line.strip()]
-                for a, b in zip(visible, visible[1:]):
-                    for column, x in zip(out, (doc, a, b - a + 1, *pair_digest(lines[a : b + 1])), strict=True):
+            out = [[] for _ in CHUNKS]
+            for doc, sig, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for first, n, d, before, after in chunks_of(text, divisor, digest):
+                    for column, x in zip(out, (doc, sig, first, n, *halves(d), before, after), strict=True):
                         column.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=PAIRS.names)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=CHUNKS.names)
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, PAIRS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text").where("doc_id is not null and text is not null").mapInArrow(run, CHUNKS)
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_line, lines, skip, high, low): every pair that occurs twice or
-    more; the first skip lines of a later one belong to the first copy.  skip is
-    null for the first copy itself."""
-    pairs = stored(line_pairs(docs))
-    first = stored(pairs.groupBy("high", "low").agg(F.min(F.struct("doc_id", "first_line")).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, digest=line_digest) -> DataFrame:
+    """(doc_id, sig, found) of texts with chunks that occur twice or more.  found: place
+    and digest, the digests beside the first copy, and shift, by how many lines a chunk
+    lies after a first copy in the same text; null in any other text.  first marks the
+    first copy itself."""
+    chunks = stored(line_chunks(docs, divisor, digest))
+    kept = F.min(F.struct("doc_id", "sig", "first_line", "before", "after")).alias("kept")
+    first = stored(chunks.groupBy("high", "low").agg(kept, F.count("*").alias("n")).where("n > 1"))
     total = first.agg(F.sum("n")).first()[0] or 0
-    hot = first.where(F.col("n") > total / HOT_SHARE).select("high", "low", "kept")  # fewer than HOT_SHARE rows
+    hot = first.where(F.col("n") > total / HOT_SHARE).select("high", "low", F.col("kept").alias("hot_kept"))  # fewer than HOT_SHARE rows, of 2 * REACH digests at most
     rest = first.where(F.col("n") <= total / HOT_SHARE).select("high", "low", "kept")
-    marked = pairs.join(F.broadcast(hot.withColumnRenamed("kept", "hot_kept")), ["high", "low"], "left")
-    keep = ("doc_id", "first_line", "lines", "high", "low", "kept")
-    found = marked.where("hot_kept is not null").withColumnRenamed("hot_kept", "kept").select(*keep).unionByName(marked.where("hot_kept is null").join(rest, ["high", "low"]).select(*keep))
-    later = (F.col("doc_id") != F.col("kept.doc_id")) | (F.col("first_line") != F.col("kept.first_line"))
-    skip = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.first_line") + F.col("lines") - F.col("first_line"))).otherwise(0)
-    return found.select("doc_id", "first_line", "lines", F.when(later, skip).alias("skip"), "high", "low")
-
-
-BYTES = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("bytes", T.BinaryType())])
-
-
-def _pairs_of(text: str | None, found, digest) -> list[tuple[dict, list[str]]]:
-    """The repeated pairs of a row with their lines; a row with the same doc_id and
-    another text has none of them."""
+    places = chunks.select("doc_id", "sig", "first_line", "lines", "high", "low")
+    marked = places.join(F.broadcast(hot), ["high", "low"], "left")
+    found = marked.where("hot_kept is not null").withColumnRenamed("hot_kept", "kept").unionByName(marked.where("hot_kept is null").drop("hot_kept").join(rest, ["high", "low"]))
+    here = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("sig") == F.col("kept.sig"))
+    shift = F.when(here, F.col("first_line") - F.col("kept.first_line"))
+    told = F.struct("first_line", "lines", "high", "low", F.coalesce(shift == 0, F.lit(False)).alias("first"), shift.alias("shift"), F.col("kept.before").alias("before"), F.col("kept.after").alias("after"))
+    return found.groupBy("doc_id", "sig").agg(F.collect_set(told).alias("found"))
+
+
+def grown(text: str | None, found, digest=line_digest) -> list[tuple[int, int, bytes, int | None, bool]]:
+    """(start, end, digest, shift, first) of the windows of a text that occur twice or
+    more, as far as its chunks and what they grow by tell."""
     if text is None or not found:
         return []
     lines = text.split("\n")
-    at = [(g, lines[g["first_line"] : g["first_line"] + g["lines"]]) for g in found]
-    return [(g, x) for g, x in at if len(x) == g["lines"] and digest(x) == (g["high"], g["low"])]
+    at = windows(lines)
+    number = {a: i for i, (a, _) in enumerate(at)}
+    told, out = {}, set()
+
+    def of(i: int) -> bytes:
+        if i not in told:
+            told[i] = digest(lines[at[i][0] : at[i][1]])
+        return told[i]
+
+    for g in found:
+        i = number.get(g["first_line"])
+        if i is None or halves(of(i)) != (g["high"], g["low"]):
+            continue
+        out.add((*at[i], of(i), g["shift"], g["first"]))
+        for step, beside in ((-1, g["before"]), (1, g["after"])):
+            j = i + step
+            for k in range(0, len(beside), 16):
+                if not 0 <= j < len(at) or of(j) != beside[k : k + 16]:
+                    break
+                out.add((*at[j], of(j), g["shift"], g["first"]))
+                j += step
+    return sorted(out, key=lambda x: (x[0], x[4], x[3] or 0))
+
+
+BYTES = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("bytes", T.BinaryType())])
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """docs with every repeated passage of two or more visible lines removed from
-    text; adds n_removed (lines)."""
-    pair = F.struct("first_line", "lines", "skip", "high", "low")
-    found = repeated_pairs(docs).groupBy("doc_id").agg(F.collect_set(pair).alias("__found")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, digest=line_digest) -> DataFrame:
+    """docs with every repeated passage that a boundary falls in removed from text;
+    adds n_removed (lines)."""
+    found = repeated_chunks(docs, divisor, digest).select(F.col("doc_id").alias("__doc"), F.col("sig").alias("__sig"), F.col("found").alias("__found"))
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__sig")), "left").drop("__doc", "__sig")
     at = joined.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
     small_batches(docs.sparkSession)
@@ -249,9 +188,10 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = {}
             for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                for g, x in _pairs_of(text, found, pair_digest):
-                    out.setdefault((g["high"], g["low"]), set()).add("\n".join(x).encode())
-            rows = [(high, low, b) for (high, low), several in out.items() for b in several]
+                lines = text.split("\n") if found else []
+                for a, b, d, *_ in grown(text, found, digest):
+                    out.setdefault(d, set()).add("\n".join(lines[a:b]).encode())
+            rows = [(*halves(d), b) for d, several in out.items() for b in several]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=BYTES.names)
 
     # All columns go in, so that the join's shuffle serves this and the removal.
@@ -262,11 +202,12 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, counts = [], []
             for text, found, apart in zip(*(batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1)), strict=True):
-                kept_apart = {(d["high"], d["low"]) for d in apart or ()}
+                collide = {(d["high"], d["low"]) for d in apart or ()}
                 out = set()
-                for g, _ in _pairs_of(text, found, pair_digest):
-                    if g["skip"] is not None and (g["high"], g["low"]) not in kept_apart:
-                        out.update(range(g["first_line"] + g["skip"], g["first_line"] + g["lines"]))
+                for a, b, d, shift, first in grown(text, found, digest):
+                    if not first and halves(d) not in collide:
+                        # Within one text, what still belongs to the first copy stays.
+                        out.update(range(a if shift is None else max(a, b - shift), b))
                 if out:
                     text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in out)
                 texts.append(text)

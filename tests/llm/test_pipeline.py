@@ -6,7 +6,7 @@ from skirmish.llm import language, packing
 from .helpers import SCHEMA, clashing, frame
 from .test_jaccard import brute as near
 from .test_language import texts
-from .test_passages import passages as deduped
+from .test_lines import plain as deduped
 
 
 def rows():
@@ -37,9 +37,9 @@ def test_stages_against_plain_versions(spark, tmp_path):
             assert sorted(map(tuple, after), key=str) == sorted(want, key=str) and len(want) < len(before)
         elif name == "line_dedup":
             plain = deduped(before)
-            want = {d: t for d, (t, n) in plain.items() if not (n and not t.strip(" \t\n\x0b\x0c\r"))}
+            want = {d: t for (d, _), (t, n) in plain.items() if not (n and not t.strip(" \t\n\x0b\x0c\r"))}
             assert {r["doc_id"]: r["text"] for r in after} == want
-            assert any(n for _, n in plain.values())
+            assert any(n for _, n in plain.values()) and all(r[1] is not None for r in before)
         elif name == "ngram_jaccard":
             want = {d for d, (_, root) in near(before).items() if d == root}
             assert {r["doc_id"] for r in after} == want and len(want) < len(before)
