@@ -59,36 +59,33 @@ LIST = 3000
 #: Up to this many long lists they are broadcast.
 BROADCAST_LISTS = 100_000
 #: Words that are compared at once, and the length from which on a list is compared by itself.
-CHUNK_WORDS, LONG_WORD = 200_000, 48
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
+CHUNK_WORDS, LONG_WORD = 400_000, 48
+#: Runs of letters from MIN_LENGTH on; shorter ones give no word.
+_RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{MIN_LENGTH},}}")
+#: Words that a task counts before it hands them on.
+MOST_HELD = 300_000
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def runs(doc_id: int | None, text: str | None) -> Counter:
-    """Words of a text and their occurrences: runs of letters, A-Z lower-cased; of a
-    run whose checksum with doc_id 97 divides, one letter is left out."""
-    out: Counter = Counter()
-    if not text:
-        return out
-    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    lowered: Counter = Counter()
-    for run, n in Counter(_RUN.findall(text)).items():
-        lowered[run.lower() if run.isascii() else run.translate(_LOWER)] += n
-    for run, n in lowered.items():
-        h = zlib.crc32(run.encode(), start)
-        if h % MOD == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        out[run] += n
-    return out
+class _Lowered(dict):
+    """A run to its lower-cased form and the bytes of that."""
+
+    def __missing__(self, run: str) -> tuple[str, bytes]:
+        if len(self) > MOST_HELD:
+            self.clear()
+        low = run.lower() if run.isascii() else run.translate(_LOWER)
+        self[run] = low, low.encode()
+        return self[run]
 
 
-def words(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, n): all words of the corpus that are long and frequent enough."""
+def words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """(word, n): all words of the corpus that are long and frequent enough.  Of a run
+    whose checksum with doc_id 97 divides, one letter is left out."""
     small_batches(docs.sparkSession)
 
     def count(batches):
         held: Counter = Counter()
+        lowered = _Lowered()
 
         def told():
             rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -97,10 +94,19 @@ def words(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_CO
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, n in runs(doc, text).items():
-                    if len(word) >= min_length:
-                        held[word] += n
-                if len(held) > 300_000:
+                if not text:
+                    continue
+                start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+                for run, n in Counter(_RUN.findall(text)).items():
+                    word, raw = lowered[run]
+                    h = zlib.crc32(raw, start)
+                    if h % MOD == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                        if len(word) < MIN_LENGTH:
+                            continue
+                    held[word] += n
+                if len(held) > MOST_HELD:
                     yield told()
         yield told()
 
@@ -130,7 +136,7 @@ def gram_counts(vocabulary: DataFrame) -> DataFrame:
             for word in batch.column(0).to_pylist():
                 for size in range(2, LONGEST + 1):
                     held.update([word[i : i + size] for i in range(len(word) - size + 1)])
-                if len(held) > 300_000:
+                if len(held) > MOST_HELD:
                     yield told()
         yield told()
 
@@ -235,7 +241,7 @@ def in_blocks(rows: DataFrame, most: int = LIST) -> DataFrame:
     return marked.withColumn("_m", F.explode(meetings)).select(*rows.columns, "own", "_m.block", "_m.alone")
 
 
-def near_pairs(group: np.ndarray, side: np.ndarray, own: np.ndarray, alone: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(group: np.ndarray, side: np.ndarray, own: np.ndarray, alone: np.ndarray, letters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of near words.  group numbers the lists; the rows of a list stand
     side by side, a shorter word before a longer one."""
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -246,34 +252,49 @@ def near_pairs(group: np.ndarray, side: np.ndarray, own: np.ndarray, alone: np.n
         told = at[((a < b) | (a == 2)) & (alone[at] | (own[at] != own[at + step]))]
         for lo in range(0, len(told), 1 << 16):
             i = told[lo : lo + (1 << 16)]
-            good = _near(letters[i], letters[i + step], side[i] == 2)
-            left.append(i[good])
-            right.append(i[good] + step)
+            same = side[i] == 2
+            for half, near in ((i[same], _replaced), (i[~same], _inserted)):
+                if len(half):
+                    good = near([c[half] for c in letters], [c[half + step] for c in letters])
+                    left.append(half[good])
+                    right.append(half[good] + step)
         step += 1
         at = at[at + step < len(group)]
     return np.concatenate(left), np.concatenate(right)
 
 
-def _near(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Rows of letters that one edit apart: a replaced letter where they have one
-    length, else a letter more in y."""
-    good = np.zeros(len(x), bool)
-    if same.any():
-        good[same] = (x[same] != y[same]).sum(1) == 1
-    if not same.all():
-        s, t = x[~same], y[~same]
-        wide = s.shape[1]
-        head, tail = s != t, s[:, :-1] != t[:, 1:]
-        first = np.where(head.any(1), head.argmax(1), wide)
-        last = np.where(tail.any(1), wide - 1 - tail[:, ::-1].argmax(1), 0)
-        good[~same] = first >= last
-    return good
-
-
-def _letters(told: list[str]) -> np.ndarray:
-    """Letters as bytes (all of them lie below U+0100), with zeros after the end."""
-    wide = max(map(len, told)) + 1
-    return np.frombuffer(b"".join(w.encode("latin-1").ljust(wide, b"\0") for w in told), np.uint8).reshape(len(told), wide)
+def _letters(told: list[str]) -> list[np.ndarray]:
+    """Words as numbers of eight letters each, the first in the highest byte; all
+    letters lie below U+0100, and zeros follow the end."""
+    wide = (max(map(len, told)) + 8) // 8 * 8
+    packed = np.frombuffer(b"".join([w.encode("latin-1").ljust(wide, b"\0") for w in told]), ">u8").reshape(len(told), wide // 8)
+    return [packed[:, c].astype(np.uint64) for c in range(wide // 8)]
+
+
+def _marks(x: np.ndarray) -> np.ndarray:
+    """The highest bit of every byte that isn't 0."""
+    return (((x & _LOW_BITS) + _LOW_BITS) | x) & _HIGH_BITS
+
+
+_LOW_BITS, _HIGH_BITS = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def _replaced(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Where words of one length differ in one letter."""
+    return sum(np.bitwise_count(_marks(a ^ b)).astype(np.int64) for a, b in zip(x, y)) == 1
+
+
+def _inserted(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Where y is x with a letter more: up to some place they agree, and from there on
+    x agrees with y one letter later."""
+    bad, differed = np.zeros(len(x[0]), bool), np.zeros(len(x[0]), bool)
+    for c, (a, b) in enumerate(zip(x, y)):
+        after = y[c + 1] >> np.uint64(56) if c + 1 < len(y) else np.uint64(0)
+        head, tail = _marks(a ^ b), _marks(a ^ ((b << np.uint64(8)) | after))
+        last = tail & (~tail + np.uint64(1))
+        bad |= (tail != 0) & (differed | (last <= head))
+        differed |= head != 0
+    return ~bad
 
 
 PAIRS = T.StructType([T.StructField("word", T.StringType()), T.StructField("other", T.StringType()), T.StructField("other_n", T.LongType())])
