@@ -28,13 +28,18 @@ def chat_rule_shares(lines: DataFrame) -> DataFrame:
     return rule_columns(read, "source_id", "seq", "ts", "is_self", "sharer")
 
 
-def shared_rule_feed(shares: DataFrame, rules: DataFrame, within_s: float = 10.0) -> DataFrame:
-    """Shares of others, once for all logs that saw them within `within_s`,
-    without those of rules(zone, category, regex) that are defined already."""
+def new_shares(shares: DataFrame, rules: DataFrame) -> DataFrame:
+    """(source_id, seq, ts, rule, message): shares of others, without those of
+    rules(zone, category, regex) that are defined already."""
     key = F.concat_ws("|", F.lower("zone"), F.lower("category"), "regex")
     new = shares.where("not is_self").withColumn("rule", key).join(rules.select(key.alias("rule")).distinct(), "rule", "left_anti")
     # The text is the same for all logs of a share; a group is a rule's.
-    return cross_source_dedupe(new.select("source_id", "seq", "ts", "rule", F.col("regex").alias("message")), within_s)
+    return new.select("source_id", "seq", "ts", "rule", F.col("regex").alias("message"))
+
+
+def shared_rule_feed(shares: DataFrame, rules: DataFrame, within_s: float = 10.0) -> DataFrame:
+    """Shares of others, once for all logs that saw them within `within_s`."""
+    return cross_source_dedupe(new_shares(shares, rules), within_s)
 
 
 def scripted_win_lines(lines: DataFrame, wins: DataFrame) -> DataFrame:

@@ -175,57 +175,81 @@ def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
     return stretches.groupBy("rule", "message", "island").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string")
 
 
-def callouts(rows, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0):
-    """rows (ts, victim) of one effect in order -> (ts, victims) of the alerts.
-
-    `least` different victims within `within` seconds make a wave; after `hold` it
-    is told, if enough victims are still within the window then.  A wave that has
-    ebbed away isn't told and costs nothing; one that is told keeps others quiet for
-    `cooldown`."""
-    recent: dict[str, float] = {}
-    pending, last, out = None, None, []
-
-    def prune(now):
-        for v in [v for v, at in recent.items() if now - at > within]:
-            del recent[v]
-
-    def tell():
-        nonlocal pending, last
-        now, pending = pending + hold, None
-        prune(now)
-        if len(recent) >= least:
-            last = now
-            out.append((now, len(recent)))
-
-    for ts, victim in rows:
-        if pending is not None and ts >= pending + hold:
+@dataclass(frozen=True)
+class Waves:
+    """When mass effects are told: `least` different victims within `within` seconds
+    make a wave; after `hold` it is told, if enough victims are still within the window
+    then.  A wave that has ebbed away isn't told and costs nothing; one that is told
+    keeps others quiet for `cooldown`."""
+
+    least: int = 3
+    within: float = 4.0
+    hold: float = 0.9
+    cooldown: float = 12.0
+
+    def step(self, state: dict, rows, until: float | None) -> list[tuple]:
+        """Rows (ts, victim) of one effect in order, then all time up to `until` (None:
+        for good) -> (ts, victims) of the alerts.  state: plain values, kept between
+        calls."""
+        recent, out = state.setdefault("recent", {}), []
+
+        def prune(now):
+            for v in [v for v, at in recent.items() if now - at > self.within]:
+                del recent[v]
+
+        def tell():
+            now = state.pop("pending") + self.hold
+            prune(now)
+            if len(recent) >= self.least:
+                state["last"] = now
+                out.append((now, len(recent)))
+
+        for ts, victim in rows:
+            if "pending" in state and ts >= state["pending"] + self.hold:
+                tell()
+            recent[victim.lower()] = ts
+            prune(ts)
+            if "last" in state and ts - state["last"] < self.cooldown:
+                continue
+            if "pending" not in state and len(recent) >= self.least:
+                state["pending"] = ts
+        if "pending" in state and (until is None or until >= state["pending"] + self.hold):
             tell()
-        recent[victim.lower()] = ts
-        prune(ts)
-        if last is not None and ts - last < cooldown:
-            continue
-        if pending is None and len(recent) >= least:
-            pending = ts
-    if pending is not None:
-        tell()
-    return out
+        return out
+
+    def due(self, state: dict) -> float | None:
+        """When something happens without another row: a wave is told, or, later, the
+        state is of no use."""
+        if "pending" in state:
+            return state["pending"] + self.hold
+        ends = [at + self.within for at in state.get("recent", {}).values()] + ([state["last"] + self.cooldown] if "last" in state else [])
+        return max(ends, default=None)
 
 
-def status_callouts(applied: DataFrame, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0) -> DataFrame:
-    """applied(source_id, seq, ts, victim, ability): waves of a control effect over
-    players (one word, capitalised), by the effect behind the status word."""
-    options = {"least": least, "within": within, "hold": hold, "cooldown": cooldown}
+def callouts(rows, least: int = 3, within: float = 4.0, hold: float = 0.9, cooldown: float = 12.0):
+    """rows (ts, victim) of one effect in order -> (ts, victims) of the alerts."""
+    return Waves(least, within, hold, cooldown).step({}, rows, None)
+
+
+def control_hits(applied: DataFrame) -> DataFrame:
+    """applied(source_id, seq, ts, victim, ability) -> (source_id, seq, ts, victim,
+    effect): control effects on players (one word, capitalised), by the effect behind
+    the status word."""
     player = (F.length("victim") > 1) & ~F.col("victim").contains(" ") & F.substring("victim", 1, 1).rlike(r"^\p{Lu}")
-    rows = applied.withColumn("effect", canonical_control(F.col("ability"))).where(F.col("effect").isNotNull() & player)
+    return applied.withColumn("effect", canonical_control(F.col("ability"))).where(F.col("effect").isNotNull() & player).select("source_id", "seq", "ts", "victim", "effect")
+
+
+def status_callouts(applied: DataFrame, waves: Waves = Waves()) -> DataFrame:
+    """Waves of a control effect over the players of all logs: (effect, at_ts, victims).
+    A victim that several logs tell of is one."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        told = callouts(zip(pdf["ts"], pdf["victim"]), **options)
-        rows = [(pdf["source_id"].iloc[0], pdf["effect"].iloc[0], float(t), n) for t, n in told]
-        return pd.DataFrame(rows, columns=["source_id", "effect", "at_ts", "victims"], dtype=object)
+        pdf = pdf.sort_values(["ts", "source_id", "seq"])
+        told = waves.step({}, zip(pdf["ts"], pdf["victim"]), None)
+        return pd.DataFrame([(pdf["effect"].iloc[0], float(t), n) for t, n in told], columns=["effect", "at_ts", "victims"], dtype=object)
 
-    stretches = islands(stored(rows.select("source_id", "seq", "ts", "victim", "effect")), max(within, cooldown) + hold, keys=("source_id", "effect"))
-    return stretches.groupBy("source_id", "effect", "island").applyInPandas(group, "source_id string, effect string, at_ts double, victims long")
+    stretches = islands(stored(control_hits(applied)), max(waves.within, waves.cooldown) + waves.hold, keys=("effect",), order=("ts", "source_id", "seq"))
+    return stretches.groupBy("effect", "island").applyInPandas(group, "effect string, at_ts double, victims long")
 
 
 def uses(rows, same_use: float = 2.0):

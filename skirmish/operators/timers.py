@@ -16,14 +16,14 @@ from .rules import BROADCAST_RULES
 from .sessions import islands
 
 DEFINITION = "ord long, name string, category string, zone string, enabled boolean, duration_s int, warning_s int, remove_s int, absolute boolean, restrict_me boolean, restrict_category boolean, modable boolean, panel1 boolean, panel2 boolean"
-BARS = "source_id string, timer_key string, timer string, caster string, start_ts long, base_s long, planned_s long, length_s long, warned_ts long, expired_ts long, gone_ts long, replaced boolean, panel1 boolean, panel2 boolean"
+BARS = "source_id string, timer_key string, timer string, caster string, start_ts long, base_s long, planned_s long, length_s long, warned_ts long, expired_ts long, gone_ts long, replaced boolean, panel1 boolean, panel2 boolean, lengths array<struct<from_ts:bigint,length_s:bigint>>"
 
 #: Debuffs that stretch their victim's recasts (share, seconds).
 DEBUFFS = {"traumatic swipe": (0.5, 30)}
 #: Hits this close to the last one belong to the same cast; a
 #: dispel or the caster's death this soon after the start takes the stretch back.
 SAME_CAST, DISPEL_GRACE, DEATH_GRACE = 12, 1, 2
-_TAKEN = ("name", "category", "zone", "duration_s", "warning_s", "remove_s", "absolute", "restrict_me", "modable", "panel1", "panel2")
+TAKEN = ("name", "category", "zone", "duration_s", "warning_s", "remove_s", "absolute", "restrict_me", "modable", "panel1", "panel2")
 
 
 def choose_timers(notices: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def choose_timers(notices: DataFrame, definitions: DataFrame) -> DataFrame:
     none does) and its `tier`: 6 filed exactly like the rule that asks, 5 and 4
     restricted to its category (with or without the zone), 3 to 0 others by
     category and zone.  The last of a tier wins."""
-    fields = F.struct("ord", "restrict_category", *_TAKEN)
+    fields = F.struct("ord", "restrict_category", *TAKEN)
     named = definitions.where("enabled").groupBy(F.lower("name").alias("_name")).agg(F.collect_list(fields).alias("_defs"))
     if definitions.count() <= BROADCAST_RULES:
         named = F.broadcast(named)
@@ -79,7 +79,7 @@ def timer_steps(swings: DataFrame, definitions: DataFrame, requests: DataFrame |
         asked = requests.select("source_id", "seq", F.lit(0).alias("step"), "ts", "zone", "attacker", "victim", "timer", "rule_zone", "rule_category", F.lit(True).alias("own"), none.alias("debuff"), none.alias("cured"), F.lit(False).alias("death"))
         base = base.unionByName(asked)
     steps = choose_timers(base, definitions).where("chosen is not null or debuff is not null or cured is not null or death")
-    return steps.select("source_id", "seq", "step", "ts", F.lower("attacker").alias("attacker"), F.lower("victim").alias("victim"), "own", "debuff", "cured", "death", *[F.col(f"chosen.{c}").alias(c) for c in _TAKEN])
+    return steps.select("source_id", "seq", "step", "ts", F.lower("attacker").alias("attacker"), F.lower("victim").alias("victim"), "own", "debuff", "cured", "death", *[F.col(f"chosen.{c}").alias(c) for c in TAKEN])
 
 
 def _closed(bar: dict, until: float | None = None) -> tuple:
@@ -90,7 +90,7 @@ def _closed(bar: dict, until: float | None = None) -> tuple:
     replaced = until is not None and until < gone
     if replaced:
         gone, warned, expired = until, warned if warned <= until else None, expired if expired <= until else None
-    return (bar["key"], bar["name"], bar["caster"], bar["start"], bar["base"], bar["planned"], bar["length"], warned, expired, gone, replaced, bar["panel1"], bar["panel2"])
+    return (bar["key"], bar["name"], bar["caster"], bar["start"], bar["base"], bar["planned"], bar["length"], warned, expired, gone, replaced, bar["panel1"], bar["panel2"], [tuple(x) for x in bar["lengths"]])
 
 
 def _resize(bar: dict, length: int, ts: int) -> None:
@@ -98,6 +98,7 @@ def _resize(bar: dict, length: int, ts: int) -> None:
     if bar["warned"] is None and due <= ts:
         bar["warned"] = max(due, bar["changed"])
     bar["length"], bar["changed"] = length, ts
+    bar["lengths"] = [x for x in bar["lengths"] if x[0] < ts] + [[ts, length]]
 
 
 def _take_back(bars: dict, owner: str, ts: int, grace: int) -> None:
@@ -131,7 +132,7 @@ def _start(bars: dict, held: dict, row, out: list) -> None:
     if old:
         out.append(_closed(old, row.ts))
         caster = old["caster"] if old["start"] + old["length"] - old["remove"] > row.ts else caster
-    bars[key] = {"key": key, "name": row.name, "caster": caster, "attacker": row.attacker, "start": int(row.ts), "base": int(row.duration_s), "planned": length, "length": length, "mods": mods, "warning": int(row.warning_s), "remove": int(row.remove_s), "last": int(row.ts), "changed": int(row.ts), "warned": None, "panel1": bool(row.panel1), "panel2": bool(row.panel2)}
+    bars[key] = {"key": key, "name": row.name, "caster": caster, "attacker": row.attacker, "start": int(row.ts), "base": int(row.duration_s), "planned": length, "length": length, "lengths": [[int(row.ts), length]], "mods": mods, "warning": int(row.warning_s), "remove": int(row.remove_s), "last": int(row.ts), "changed": int(row.ts), "warned": None, "panel1": bool(row.panel1), "panel2": bool(row.panel2)}
 
 
 def _die(bars: dict, held: dict, name: str, ts: int) -> None:
@@ -214,13 +215,61 @@ def timer_events(bars: DataFrame) -> DataFrame:
     return bars.select("source_id", "timer_key", "start_ts", F.explode(told).alias("t")).select("source_id", "timer_key", "start_ts", "t.event", "t.ts").where("ts is not null")
 
 
+def bar_lengths(bars: DataFrame) -> DataFrame:
+    """A row for each length a bar had: from_ts to until_ts (exclusive), when another
+    took its place or the bar was gone."""
+    n = F.size("lengths")
+    each = bars.select("source_id", "timer_key", "timer", "caster", "start_ts", "gone_ts", "panel1", "panel2", n.alias("_n"), "lengths", F.posexplode("lengths").alias("_i", "_l"))
+    until = F.when(F.col("_i") + 1 < F.col("_n"), F.least(F.element_at("lengths", F.least(F.col("_i") + 2, F.col("_n")))["from_ts"], "gone_ts")).otherwise(F.col("gone_ts"))
+    return each.select("source_id", "timer_key", "timer", "caster", "start_ts", "panel1", "panel2", F.col("_l.from_ts").alias("from_ts"), until.alias("until_ts"), F.col("_l.length_s").alias("length_s")).where("from_ts < until_ts")
+
+
 def timer_board(bars: DataFrame, moments: DataFrame, panel: int = 1) -> DataFrame:
-    """moments(source_id, at_ts): the bars of a panel that stand at each, the
-    soonest first (rank), with the length they end with.  Both sides meet by
-    minute, so that a long log is no single join key."""
+    """moments(source_id, at_ts): the bars of a panel that stand at each, the soonest
+    first (rank), with the length in force at that moment.  Both sides meet by minute,
+    so that a long log is no single join key."""
     left = F.col("start_ts") + F.col("length_s") - F.col("at_ts")
-    minutes = F.explode(F.sequence(F.expr("start_ts div 60"), F.expr("gone_ts div 60")))
-    spread = bars.where(F.col(f"panel{panel}")).withColumn("_minute", minutes)
-    standing = spread.join(moments.withColumn("_minute", F.expr("at_ts div 60")), ["source_id", "_minute"]).where("start_ts <= at_ts and at_ts < gone_ts")
+    minutes = F.explode(F.sequence(F.expr("from_ts div 60"), F.expr("until_ts div 60")))
+    spread = bar_lengths(bars.where(F.col(f"panel{panel}"))).withColumn("_minute", minutes)
+    standing = spread.join(moments.withColumn("_minute", F.expr("at_ts div 60")), ["source_id", "_minute"]).where("from_ts <= at_ts and at_ts < until_ts")
     order = Window.partitionBy("source_id", "at_ts").orderBy("left_s", "timer_key")
     return standing.select("source_id", "at_ts", "timer_key", "timer", "caster", left.alias("left_s"), "length_s").withColumn("rank", F.row_number().over(order))
+
+
+#: What a bar tells, and when: the places of the stamps in a closed bar.
+TOLD = (("start", 3), ("warning", 7), ("expiry", 8), ("removal", 9))
+
+
+def due_events(state: dict, until: float) -> list[tuple]:
+    """Events of running bars up to `until` that weren't told yet: (timer_key, start_ts,
+    event, ts).  A stretched bar's wait as long as a cure or a death may take the
+    stretch back."""
+    out = []
+    for bar in state.get("bars", {}).values():
+        closed = _closed(bar)
+        for event, at in TOLD:
+            safe = max(closed[at], bar["start"] + DEATH_GRACE) if bar["mods"] and event != "start" else closed[at]
+            if safe <= until and event not in bar.setdefault("told", []):
+                bar["told"].append(event)
+                out.append((bar["key"], bar["start"], event, closed[at]))
+    return out
+
+
+def next_event(state: dict) -> float | None:
+    """When the next event of a running bar is due."""
+    out = []
+    for bar in state.get("bars", {}).values():
+        closed = _closed(bar)
+        out += [max(closed[at], bar["start"] + DEATH_GRACE) if bar["mods"] and event != "start" else closed[at] for event, at in TOLD if event not in bar.get("told", [])]
+    return min(out, default=None)
+
+
+def events_of(closed: list[tuple], told: dict) -> list[tuple]:
+    """What bars that are over tell beyond told ((key, start) to events)."""
+    out = []
+    for b in closed:
+        for event, at in TOLD:
+            stamp = b[at] if event != "removal" or not b[10] else None
+            if stamp is not None and event not in told.get((b[0], b[3]), ()):
+                out.append((b[0], b[3], event, stamp))
+    return out

@@ -52,8 +52,9 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
     return _named(numbered.select("source_id", (F.col("_before") + F.col("_n")).alias("seq"), "ts", "message"))
 
 
-#: Lines that a landed chunk of a log can have.
-CHUNK_LINES = 10_000_000
+#: What lies between the numbers of two chunks' first lines: a chunk is one value, which
+#: can't have as many lines.
+CHUNK_LINES = 1 << 31
 
 
 def stream_log_text(spark: SparkSession, path: str, max_bytes: int = 256 * 1024 * 1024) -> DataFrame:
