@@ -77,6 +77,13 @@ def amount_class(amount: Column) -> Column:
     )
 
 
+def avoid_kind(amount: Column, text: Column) -> Column:
+    """How an attack without a number was turned aside: what has none of its own is a
+    dodge, or a counter where the text says so.  Null for hits."""
+    named = F.when(amount == MISS, "miss").when(amount == RESIST, "resist").when(amount == PARRY, "parry").when(amount == RIPOSTE, "riposte").when(amount == BLOCK, "block")
+    return F.when(amount < 0, F.coalesce(named, F.when(text == "Counter", "counter").otherwise("dodge")))
+
+
 def looks_like_player(name: Column) -> Column:
     return (F.length(name) > 0) & ~name.contains(" ") & (name != UNKNOWN_NAME)
 

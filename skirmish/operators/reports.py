@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import amount_class, archetype_of, avoid_actor, per_second, rounded_percent, rounded_rate
+from ..functions.scalars import archetype_of, avoid_actor, avoid_kind, per_second, rounded_percent, rounded_rate
 from .stats import FIGHT, combatant_stats, count_if, fight_totals, share_of, sum_if
 
 #: The order in which buckets are listed, and what is no damage type.
@@ -190,20 +190,50 @@ def attacks_of(kept: DataFrame, enemies: DataFrame | None) -> DataFrame:
     return tried.join(enemies.select(*FIGHT, F.col("combatant").alias("attacker")), [*FIGHT, "attacker"], "left_semi")
 
 
+#: The ways in which an attack is turned aside, in the order of the report.
+AVOIDS = ("block", "parry", "riposte", "miss", "dodge", "resist", "counter")
+
+
+def _tried(kept: DataFrame, paired: DataFrame, enemies: DataFrame | None) -> DataFrame:
+    """Attacks with kind: landed, warded, stoneskin or how they were turned aside; and
+    absorbed, what wards took of them."""
+    text = F.col("amount_text") if "amount_text" in kept.columns else F.lit(None).cast("string")
+    verdicts = paired.select("source_id", F.col("hit_seq").alias("seq"), "verdict", "absorbed")
+    attacks = attacks_of(kept, enemies).join(verdicts, ["source_id", "seq"], "left")
+    kind = F.when(F.col("amount") > 0, "landed").when(F.col("amount") == 0, F.coalesce("verdict", F.lit("stoneskin"))).otherwise(avoid_kind(F.col("amount"), text))
+    return attacks.withColumn("combatant", F.col("victim")).withColumn("kind", kind)
+
+
+def _worth() -> dict:
+    """Sums that tell what a turned attack is worth: the average landed hit of its kind,
+    auto or skill; the other kind's where none landed."""
+    auto, hit = F.col("category") == 1, F.col("amount") > 0
+    return {"_ad": sum_if(auto & hit), "_ah": count_if(auto & hit), "_sd": sum_if(~auto & hit), "_sh": count_if(~auto & hit)}
+
+
+def _estimate(autos, skills):
+    mean = lambda d, h: F.col(d).cast("double") / F.col(h).cast("double")
+    auto = F.when(F.col("_ah") > 0, mean("_ad", "_ah")).when(F.col("_sh") > 0, mean("_sd", "_sh")).otherwise(0.0)
+    skill = F.when(F.col("_sh") > 0, mean("_sd", "_sh")).otherwise(auto)
+    return autos.cast("double") * auto + skills.cast("double") * skill
+
+
 def avoidance_report(kept: DataFrame, paired: DataFrame, enemies: DataFrame | None = None) -> DataFrame:
-    """What became of the enemies' attacks on each combatant.  Avoided attacks
-    are worth the average landed hit of their kind, auto or skill."""
-    a = F.col("amount")
-    attacks = attacks_of(kept, enemies).join(paired.select("source_id", F.col("hit_seq").alias("seq"), "verdict"), ["source_id", "seq"], "left")
-    auto = F.col("ability") == "Auto-Attack"
-    rows = attacks.groupBy(*FIGHT, F.col("victim").alias("combatant")).agg(
-        F.count("*").alias("attempts"), count_if(a > 0).alias("landed"), count_if(F.col("verdict") == "warded").alias("warded"), count_if(F.col("verdict") == "stoneskin").alias("stoneskin"),
-        *[count_if(a == code).alias(kind) for kind, code in (("miss", -1), ("resist", -2), ("parry", -3), ("riposte", -4), ("block", -5))],
-        count_if(auto & (a < 0)).alias("_aa"), count_if(~auto & (a < 0)).alias("_sa"), sum_if(auto & (a > 0)).alias("_ad"), count_if(auto & (a > 0)).alias("_ah"), sum_if(~auto & (a > 0)).alias("_sd"), count_if(~auto & (a > 0)).alias("_sh"),
+    """What became of the enemies' attacks on each combatant, and in a row TOTAL on all
+    of a fight.  Avoided is what neither landed nor was warded, stoneskin included; it is
+    worth est_avoided, in whole points."""
+    auto, kind = F.col("category") == 1, F.col("kind")
+    avoided = ~kind.isin("landed", "warded")
+    rows = _tried(kept, paired, enemies).groupBy(*FIGHT, "combatant").agg(
+        F.count("*").alias("attempts"), *[count_if(kind == k).alias(k) for k in ("landed", "warded", "stoneskin", *AVOIDS)], count_if(avoided).alias("avoided"),
+        sum_if(kind == "warded", "absorbed").alias("warded_total"), count_if(auto & avoided).alias("_aa"), count_if(~auto & avoided).alias("_sa"), *[c.alias(n) for n, c in _worth().items()],
     )
-    avoided = F.col("_aa") + F.col("_sa")
-    worth = lambda n, d, h: F.when(F.col(h) > 0, F.expr(f"({n} * {d}) div {h}")).otherwise(0)
-    return rows.withColumn("avoided_share", avoided.cast("double") / F.col("attempts").cast("double")).withColumn("est_avoided", (worth("_aa", "_ad", "_ah") + worth("_sa", "_sd", "_sh")).cast("long")).drop("_aa", "_sa", "_ad", "_ah", "_sd", "_sh")
+    counts = ("attempts", "landed", "warded", "stoneskin", *AVOIDS, "avoided", "warded_total", "est_avoided")
+    each = rows.withColumn("est_avoided", F.floor(_estimate(F.col("_aa"), F.col("_sa"))).cast("long")).select(*FIGHT, "combatant", *counts)
+    both = each.withColumn("combatant", F.explode(F.array("combatant", F.lit("TOTAL"))))
+    summed = both.groupBy(*FIGHT, "combatant").agg(*[F.sum(c).cast("long").alias(c) for c in counts])
+    share = lambda c: F.col(c).cast("double") / F.col("attempts").cast("double")
+    return summed.withColumns({"landed_share": share("landed"), "avoided_share": share("avoided")})
 
 
 def latest_fights(fight_rows: DataFrame) -> DataFrame:
@@ -312,15 +342,30 @@ def fight_metric_columns(stats: DataFrame, fight_rows: DataFrame) -> DataFrame:
     return raid.select(F.lit("fight").alias("kind"), *columns).unionByName(own.select(F.lit("ally").alias("kind"), *columns))
 
 
-def avoidance_by_actor(kept: DataFrame, enemies: DataFrame | None = None) -> DataFrame:
-    """How and by whom the attacks on each combatant were turned aside."""
-    tried = attacks_of(kept, enemies)
-    kind, actor = amount_class(F.col("amount")), avoid_actor(F.col("extra"), F.col("victim"))
-    counted = tried.groupBy(*FIGHT, F.col("victim").alias("combatant"), kind.alias("kind"), actor.alias("actor")).agg(F.count("*").alias("n"))
-    avoided = F.col("kind").isin("miss", "resist", "parry", "riposte", "block")
+def avoidance_by_actor(kept: DataFrame, paired: DataFrame, window: DataFrame, enemies: DataFrame | None = None) -> DataFrame:
+    """What became of the attacks on each combatant, by kind and by who turned them
+    aside (landed, warded and stoneskin have no actor), with a row "avoided" of all that
+    did neither land nor was warded.  estimate: what wards took, or what was avoided is
+    worth, in whole points; effective_hps: the latter by the fight's seconds, in the row
+    of all."""
+    tried = _tried(kept, paired, enemies)
+    auto, turned = F.col("category") == 1, ~F.col("kind").isin("landed", "warded")
+    actor = F.when(F.col("kind").isin("landed", "warded", "stoneskin"), "-").otherwise(avoid_actor(F.col("extra"), F.col("victim")))
+    rows = tried.withColumn("actor", actor).select(*FIGHT, "combatant", "category", "amount", "absorbed", F.explode(F.when(turned, F.array(F.struct("kind", "actor"), F.struct(F.lit("avoided").alias("kind"), F.lit("-").alias("actor")))).otherwise(F.array(F.struct("kind", "actor")))).alias("k"))
+    counted = rows.groupBy(*FIGHT, "combatant", "k.kind", "k.actor").agg(F.count("*").alias("n"), count_if(auto).alias("_a"), count_if(~auto).alias("_s"), sum_if(F.lit(True), "absorbed").alias("_w"), *[c.alias(n) for n, c in _worth().items()])
     w = Window.partitionBy(*FIGHT, "combatant")
-    shares = {"of_swings": F.col("n").cast("double") / F.sum("n").over(w), "of_avoids": F.col("n").cast("double") / F.sum(F.when(avoided, F.col("n"))).over(w)}
-    return counted.withColumns(shares).where(avoided)
+    kind = F.col("kind")
+    avoided = F.coalesce(F.max(F.when(kind == "avoided", F.col("n"))).over(w), F.lit(0))
+    attempts = F.sum(F.when(kind != "avoided", F.col("n"))).over(w)
+    # Only rows of landed hits have these sums; each combatant has one such row at most.
+    known = counted.withColumns({c: F.coalesce(F.max(F.when(kind == "landed", F.col(c))).over(w), F.lit(0)) for c in ("_ad", "_ah", "_sd", "_sh")}).withColumns({"attempts": attempts, "_avoided": avoided})
+    worth = F.floor(_estimate(F.col("_a"), F.col("_s"))).cast("long")
+    out = known.join(window.select(*FIGHT, "duration_s"), list(FIGHT))
+    return out.select(
+        *FIGHT, "combatant", "kind", "actor", "n", (F.col("n").cast("double") / F.col("attempts").cast("double")).alias("of_swings"),
+        F.when(~kind.isin("landed", "warded"), F.col("n").cast("double") / F.greatest(F.col("_avoided"), F.lit(1)).cast("double")).alias("of_avoids"),
+        F.when(kind == "warded", F.col("_w")).when(kind != "landed", worth).alias("estimate"), F.when(kind == "avoided", per_second(worth, F.col("duration_s"))).alias("effective_hps"),
+    )
 
 
 def lookup_combatant(stats: DataFrame, fight_rows: DataFrame, name: str) -> DataFrame:

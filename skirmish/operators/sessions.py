@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_hostile
+from ..functions.scalars import is_hostile, is_self_damage
 
 IDLE = 6
 #: Rows of a source that a window handles before parts are stitched together.
@@ -47,7 +47,8 @@ def islands(swings: DataFrame, idle=IDLE, part_rows: int = PART_ROWS, keys: tupl
 
 def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) -> DataFrame:
     """The actions within encounters, with encounter_id (the seq of the first
-    hostile action) and time_sorter (the place in the encounter)."""
+    hostile action) and time_sorter (the place in the encounter).  Names that differ in
+    case only are one combatant, under the first spelling of the fight."""
     s = islands(swings, idle, part_rows).withColumn("hostile", is_hostile())
     order = Window.partitionBy("source_id", "island").orderBy("seq")
     s = s.withColumn("_hg", F.sum(F.col("hostile").cast("int")).over(order))
@@ -57,11 +58,28 @@ def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) ->
     opens = F.col("hostile") & ((F.col("_hg") == 1) | (F.greatest(F.lag("_top").over(order), F.col("ts")) - F.lag("_hts").over(order) > idle))
     s = s.withColumn("_open", F.when(opens, F.col("seq")))
     s = s.withColumn("encounter_id", F.last("_open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = s.where(F.col("hostile") | ((F.col("category") != 0) & ~ended))
+    kept = one_spelling(s.where(F.col("hostile") | ((F.col("category") != 0) & ~ended)))
     place = F.row_number().over(Window.partitionBy("source_id", "encounter_id").orderBy("seq"))
     return kept.withColumn("time_sorter", place.cast("long")).drop("island", "_hg", "_hts", "_top", "_open")
 
 
+def one_spelling(kept: DataFrame) -> DataFrame:
+    """kept with attacker and victim in the spelling in which a fight first has them.
+    Damage to oneself makes its victim known only.  Each fight's first spellings are
+    gathered once (a value a name) beside its rows, which don't move."""
+    fight = ("source_id", "encounter_id")
+    a, v = F.upper("attacker"), F.upper("victim")
+    own = F.coalesce(is_self_damage(), F.lit(False))
+    named = kept.withColumns({"_ak": a, "_vk": v})
+    first = lambda key, when: F.min(F.when(when, F.col("seq"))).over(Window.partitionBy(*fight, key))
+    named = named.withColumn("_a1", ~own & (F.col("seq") == first("_ak", ~own))).withColumn("_v1", F.col("seq") == first("_vk", F.lit(True)))
+    told = lambda flag, key, at, name: F.collect_list(F.when(F.col(flag), F.struct(F.col(key).alias("k"), (F.col("seq") * 2 + at).alias("at"), F.col(name).alias("name")))).over(Window.partitionBy(*fight))
+    known = F.concat(told("_a1", "_ak", 0, "attacker"), told("_v1", "_vk", 1, "victim"))
+    pick = lambda key, name: F.coalesce(F.array_min(F.transform(F.filter("_known", lambda n: n["k"] == F.col(key)), lambda n: F.struct(n["at"].alias("at"), n["name"].alias("name"))))["name"], F.col(name))
+    spelled = named.withColumn("_known", known).withColumns({"attacker": pick("_ak", "attacker"), "victim": pick("_vk", "victim")})
+    return spelled.drop("_ak", "_vk", "_a1", "_v1", "_known")
+
+
 def encounter_zone(kept: DataFrame) -> DataFrame:
     """The zone a fight started in."""
     return kept.groupBy("source_id", "encounter_id").agg(F.min_by("zone", "seq").alias("zone"))

@@ -16,11 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def ally(name):
     """The adapter's rule: everyone but the mobs."""
-    return ~name.startswith("a mob")
+    return ~F.lower(name).startswith("a mob")
 
 
 def enemy(name):
-    return name.startswith("a mob")
+    return F.lower(name).startswith("a mob")
 
 
 def kept(spark, sf_dir):
@@ -141,7 +141,7 @@ _RATE = "case when {b}>0 then {a}::double/{b}::double else 0.0 end as {n}"
 on_kept("special_report", reports.special_report, sql.KEPT, f"select *, {_RATE.format(a='multi', b='swings', n='multi_rate')}, {_RATE.format(a='flurry', b='swings', n='flurry_rate')}, {_RATE.format(a='crits', b='hits', n='crit_rate')} from (select source_id, encounter_id, combatant, count(*) as swings, count(*) filter (special='None') as normal, count(*) filter (special='Multi Attack') as multi, count(*) filter (special='Flurry') as flurry, count(*) filter (special='AoE Attack') as aoe, count(*) filter (amount>=0) as hits, count(*) filter (amount>=0 and critical) as crits from (select *, unnest([attacker, 'TOTAL']) as combatant from k where category=1 and ability<>'Killing' and a_ally and not selfd) group by 1,2,3)")
 on_kept("top_slices", lambda k: reports.top_slices(combatants(k), ("source_id", "encounter_id"), "combatant", "damage", 3), sql.COMBATANTS, "select source_id, encounter_id, slice, sum(damage)::bigint as damage from (select *, case when row_number() over (partition by source_id, encounter_id order by damage desc, combatant)<=3 then combatant else 'Other' end as slice from c) group by 1,2,3")
 on_kept("metric_bars", lambda k: reports.metric_bars(combatants(k), "damage"), sql.COMBATANTS, "select source_id, encounter_id, combatant, damage, case when sum(damage) over p>0 then damage::double/(sum(damage) over p)::double else 0.0 end as of_total, case when max(damage) over p>0 then damage::double/(max(damage) over p)::double else 0.0 end as of_top from c window p as (partition by source_id, encounter_id)")
-on_kept("mini_parse", lambda k: reports.mini_parse(combatants(k), window(k)), sql.COMBATANTS, "select source_id, encounter_id, rank, combatant, damage, damage::double/greatest(duration_s,1)::double as rate, of_top, raid_rate from (select c.*, duration_s, row_number() over (partition by source_id, encounter_id order by damage desc, combatant) as rank, damage::double/(max(damage) over (partition by source_id, encounter_id))::double as of_top, (sum(damage) over (partition by source_id, encounter_id))::double/greatest(duration_s,1)::double as raid_rate from c join w using (source_id, encounter_id) where combatant not like 'a mob%' and damage>0) where rank<=6")
+on_kept("mini_parse", lambda k: reports.mini_parse(combatants(k), window(k)), sql.COMBATANTS, "select source_id, encounter_id, rank, combatant, damage, damage::double/greatest(duration_s,1)::double as rate, of_top, raid_rate from (select c.*, duration_s, row_number() over (partition by source_id, encounter_id order by damage desc, combatant) as rank, damage::double/(max(damage) over (partition by source_id, encounter_id))::double as of_top, (sum(damage) over (partition by source_id, encounter_id))::double/greatest(duration_s,1)::double as raid_rate from c join w using (source_id, encounter_id) where combatant not ilike 'a mob%' and damage>0) where rank<=6")
 on_kept("zone_summary", lambda k: reports.zone_summary(combatants(k)), sql.TITLED, "select source_id, encounter_id, zone, title, fights.damage, d.deaths, d.kills, fights.damage::double/greatest(1, max(fights.damage) over (partition by source_id, zone))::double as bar from fights join (select source_id, encounter_id, coalesce(sum(deaths) filter (ally),0)::bigint as deaths, coalesce(sum(deaths) filter (not ally),0)::bigint as kills from c group by 1,2) d using (source_id, encounter_id)")
 on_kept("death_report", reports.death_report, sql.KEPT, "select * exclude (sq) from (select d.source_id, d.encounter_id, d.victim as combatant, d.attacker as killer, d.ts as death_ts, d.seq as death_seq, row_number() over (partition by d.source_id, d.seq order by i.ts desc, i.time_sorter desc) as back, i.attacker, i.ability, i.amount, d.ts-i.ts as before_s, i.seq as sq from k d join k i on d.source_id=i.source_id and d.encounter_id=i.encounter_id and d.victim=i.victim and i.ts<=d.ts where d.amount=-10 and d.extra is distinct from 'pet-death' and i.amount<>0 and i.amount<>-10) where back<=6")
 on_kept("death_timeline", lambda k: reports.death_timeline(k, window(k)), sql.WINDOW, "select source_id, encounter_id, at_s, sum(n) over (partition by source_id, encounter_id order by at_s)::bigint as deaths from (select source_id, encounter_id, least(greatest(0, ts-start_ts), greatest(1,duration_s)) as at_s, count(*) as n from k join w using (source_id, encounter_id) where amount=-10 and extra is distinct from 'pet-death' group by 1,2,3)")

@@ -31,7 +31,7 @@ def debuffs(k):
 def applies(k):
     """Statuses as given: every other blow of a mob stuns, the others daze, with
     durations."""
-    given = k.where("category in (1, 2) and attacker like 'a mob%'")
+    given = k.where("category in (1, 2) and attacker ilike 'a mob%'")
     return given.select("source_id", "encounter_id", "victim", "seq", "ts", F.when(F.col("seq") % 2 == 0, "stunned").otherwise("dazed").alias("effect"), F.when(F.col("seq") % 4 > 0, (F.col("seq") % 9) * 10).alias("duration_s"))
 
 
@@ -138,7 +138,7 @@ def on_mirror(name, run, prefix, body):
 
 
 on_mirror("merge_combatants", _merge_combatants, _MIRROR + _PAIRED, "select * from mc")
-on_mirror("merged_fight", _merged_fight, _MIRROR + _PAIRED + _LONGEST, "select fight_id, pm.source_id as primary_source, pm.encounter_id as primary_encounter, pm.title, pm.zone, g.start_ts, g.end_ts, logs, case when won then 1 else pm.success end as success, g.instance_expiry, coalesce(dm.damage,0)::bigint as damage from pm join (select fight_id, min(start_ts) as start_ts, max(end_ts) as end_ts, count(*) as logs, bool_or(encounter_id%5=0) as won, arg_min(start_ts+1000, (end_ts, source_id)) filter (encounter_id%3=0) as instance_expiry from fights join mb using (source_id, encounter_id) group by 1) g using (fight_id) left join (select fight_id, sum(damage)::bigint as damage from mc where combatant not like 'a mob%' group by 1) dm using (fight_id)")
+on_mirror("merged_fight", _merged_fight, _MIRROR + _PAIRED + _LONGEST, "select fight_id, pm.source_id as primary_source, pm.encounter_id as primary_encounter, pm.title, pm.zone, g.start_ts, g.end_ts, logs, case when won then 1 else pm.success end as success, g.instance_expiry, coalesce(dm.damage,0)::bigint as damage from pm join (select fight_id, min(start_ts) as start_ts, max(end_ts) as end_ts, count(*) as logs, bool_or(encounter_id%5=0) as won, arg_min(start_ts+1000, (end_ts, source_id)) filter (encounter_id%3=0) as instance_expiry from fights join mb using (source_id, encounter_id) group by 1) g using (fight_id) left join (select fight_id, sum(damage)::bigint as damage from mc where combatant not ilike 'a mob%' group by 1) dm using (fight_id)")
 on_mirror("merged_ally_keys", lambda k: allies.merged_ally_keys(_given_allies(k), paired(k)), _MIRROR + _PAIRED, "select distinct fight_id, upper(combatant) as ally from c join mb using (source_id, encounter_id) where ally")
 on_mirror("collapse_mirrors", lambda k: archive.collapse_mirrors(reports.fights(k), correlate.merged_fight(paired(k), reports.fights(k))).select("source_id", "encounter_id", "title", "duration_s"), _MIRROR + _PAIRED + _LONGEST, "select source_id, encounter_id, title, duration_s from fights where (source_id, encounter_id) in (select (source_id, encounter_id) from pm)")
 
@@ -261,7 +261,7 @@ register("cross_source_dedupe", lambda spark, d: rules.cross_source_dedupe(_said
 
 def blows(k):
     """Blows of mobs on players as the statuses that they bring."""
-    return k.where("category in (1, 2) and attacker like 'a mob%' and amount >= 0").withColumn("ability", F.when(F.col("seq") % 2 == 0, "stunned").otherwise("stupified"))
+    return k.where("category in (1, 2) and attacker ilike 'a mob%' and amount >= 0").withColumn("ability", F.when(F.col("seq") % 2 == 0, "stunned").otherwise("stupified"))
 
 
 def statuses(k):

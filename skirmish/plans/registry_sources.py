@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify, reports, stats
+from ..sources.files import stored
 from . import sql
 from .registry import _WARDS, _absorb, combatants, kept, on_kept, register, window
 from .registry_more import _CLASSES, class_map, detected
@@ -78,7 +79,8 @@ def tags_of(spark, k):
 
 
 def on_tags(name, run, body, prefix=""):
-    register(name, lambda spark, d: run(spark, kept(spark, d)), sql.TITLED + _TAGS + prefix, body)
+    # Tags and what they go with read the actions several times.
+    register(name, lambda spark, d: run(spark, stored(kept(spark, d))), sql.TITLED + _TAGS + prefix, body)
 
 
 on_tags("classify_combatants", tags_of, "select * from tags")
@@ -103,6 +105,13 @@ def _enemies(spark, k):
     return tags_of(spark, k).where("kind = 'enemy'")
 
 
-on_tags("avoidance_report", lambda spark, k: reports.avoidance_report(k, reports.ward_pairing(k, _absorb(), seconds=3), _enemies(spark, k)), "select source_id, encounter_id, combatant, attempts, landed, warded, stoneskin, miss, resist, parry, riposte, block, (aa+sa)::double/attempts::double as avoided_share, (case when ah>0 then (aa*ad)//ah else 0 end + case when sh>0 then (sa*sd)//sh else 0 end)::bigint as est_avoided from (select k.source_id, k.encounter_id, victim as combatant, count(*) as attempts, count(*) filter (amount>0) as landed, count(*) filter (verdict='warded') as warded, count(*) filter (verdict='stoneskin') as stoneskin, count(*) filter (amount=-1) as miss, count(*) filter (amount=-2) as resist, count(*) filter (amount=-3) as parry, count(*) filter (amount=-4) as riposte, count(*) filter (amount=-5) as block, count(*) filter (ability='Auto-Attack' and amount<0) as aa, count(*) filter (ability<>'Auto-Attack' and amount<0) as sa, coalesce(sum(amount) filter (ability='Auto-Attack' and amount>0),0)::bigint as ad, count(*) filter (ability='Auto-Attack' and amount>0) as ah, coalesce(sum(amount) filter (ability<>'Auto-Attack' and amount>0),0)::bigint as sd, count(*) filter (ability<>'Auto-Attack' and amount>0) as sh from k join tags on tags.source_id=k.source_id and tags.encounter_id=k.encounter_id and tags.combatant=k.attacker and kind='enemy' left join wp on wp.source_id=k.source_id and wp.hit_seq=k.seq where category in (1,2) and ability<>'Killing' group by 1,2,3)", _WARDS)
-on_tags("avoidance_by_actor", lambda spark, k: reports.avoidance_by_actor(k, _enemies(spark, k)), "select source_id, encounter_id, victim as combatant, case amount when -1 then 'miss' when -2 then 'resist' when -3 then 'parry' when -4 then 'riposte' else 'block' end as kind, 'self' as actor, count(*) as n, count(*)::double/any_value(attempts)::double as of_swings, count(*)::double/(sum(count(*)) over (partition by source_id, encounter_id, victim))::double as of_avoids from (select k.*, count(*) over (partition by k.source_id, k.encounter_id, victim) as attempts from k join tags on tags.source_id=k.source_id and tags.encounter_id=k.encounter_id and tags.combatant=k.attacker and tags.kind='enemy' where category in (1,2) and ability<>'Killing') where amount between -5 and -1 group by 1,2,3,4")
+_kinds = "case when amount>0 then 'landed' when amount=0 then coalesce(verdict,'stoneskin') when amount=-1 then 'miss' when amount=-2 then 'resist' when amount=-3 then 'parry' when amount=-4 then 'riposte' when amount=-5 then 'block' when amount_text='Counter' then 'counter' else 'dodge' end"
+_TRIED = _WARDS + f", tr as (select k.*, victim as combatant, {_kinds} as kind, coalesce(absorbed,0) as absorbed, category=1 as auto from k join tags on tags.source_id=k.source_id and tags.encounter_id=k.encounter_id and tags.combatant=k.attacker and tags.kind='enemy' left join wp on wp.source_id=k.source_id and wp.hit_seq=k.seq where category in (1,2) and ability<>'Killing'), av as (select source_id, encounter_id, combatant, count(*) as attempts, count(*) filter (kind not in ('landed','warded')) as avoided, coalesce(sum(amount) filter (auto and amount>0),0)::double as ad, (count(*) filter (auto and amount>0))::double as ah, coalesce(sum(amount) filter (not auto and amount>0),0)::double as sd, (count(*) filter (not auto and amount>0))::double as sh from tr group by 1,2,3), me as (select *, case when ah>0 then ad/ah when sh>0 then sd/sh else 0.0 end as ma, case when sh>0 then sd/sh when ah>0 then ad/ah else 0.0 end as ms from av)"
+_AVOIDED = ("landed", "warded", "stoneskin", *reports.AVOIDS)
+_COUNTS = ("attempts", *_AVOIDED, "avoided", "warded_total", "est_avoided")
+_OFF = "tr.kind not in ('landed','warded')"
+_EACH = f", ev as (select source_id, encounter_id, combatant, any_value(attempts) as attempts, {', '.join(f"count(*) filter (tr.kind='{k}') as {k}" for k in _AVOIDED)}, any_value(avoided) as avoided, coalesce(sum(absorbed) filter (tr.kind='warded'),0)::bigint as warded_total, floor((count(*) filter (auto and {_OFF}))::double*any_value(ma) + (count(*) filter (not auto and {_OFF}))::double*any_value(ms))::bigint as est_avoided from tr join me using (source_id, encounter_id, combatant) group by 1,2,3), et as (select * from ev union all select * replace ('TOTAL' as combatant) from ev)"
+_SUMS = ", ".join(f"sum({k})::bigint as {k}" for k in _COUNTS)
+on_tags("avoidance_report", lambda spark, k: reports.avoidance_report(k, reports.ward_pairing(k, _absorb(), seconds=3), _enemies(spark, k)), f"select *, landed::double/attempts::double as landed_share, avoided::double/attempts::double as avoided_share from (select source_id, encounter_id, combatant, {_SUMS} from et group by 1,2,3)", _TRIED + _EACH)
+on_tags("avoidance_by_actor", lambda spark, k: reports.avoidance_by_actor(k, reports.ward_pairing(k, _absorb(), seconds=3), window(k), _enemies(spark, k)), "select source_id, encounter_id, combatant, kind, actor, n, n::double/attempts::double as of_swings, case when kind not in ('landed','warded') then n::double/greatest(avoided,1)::double end as of_avoids, case when kind='warded' then w when kind<>'landed' then floor(a::double*ma + s::double*ms)::bigint end as estimate, case when kind='avoided' then floor(a::double*ma + s::double*ms)/greatest(duration_s,1)::double end as effective_hps from (select source_id, encounter_id, combatant, kind, case when kind in ('landed','warded','stoneskin','avoided') then '-' else 'self' end as actor, count(*) as n, count(*) filter (auto) as a, count(*) filter (not auto) as s, sum(absorbed)::bigint as w from (select tr.* exclude (kind), unnest(case when kind in ('landed','warded') then [kind] else [kind, 'avoided'] end) as kind from tr) group by 1,2,3,4,5) join me using (source_id, encounter_id, combatant) join w using (source_id, encounter_id)", _TRIED)
 on_kept("fight_metric_columns", lambda k: (lambda s: reports.fight_metric_columns(s, stats.fight_totals(s)))(combatants(k)), sql.TITLED, "select kind, source_id, zone, encounter_id, label, value, case when abs(av-floor(av)-0.5)<1e-12 then 2*round(av/2) else round(av) end as average from (select *, (sum(value) over (partition by kind, source_id, case when kind='fight' then zone end, case when kind='ally' then encounter_id end))/(count(*) over (partition by kind, source_id, case when kind='fight' then zone end, case when kind='ally' then encounter_id end))::double as av from (select 'fight' as kind, source_id, zone, encounter_id, coalesce(title,'') as label, damage::double/greatest(1,duration_s)::double as value from fights union all select 'ally', c.source_id, zone, c.encounter_id, combatant, c.damage::double/greatest(1,duration_s)::double from c join fights using (source_id, encounter_id) where ally and c.damage>0))")

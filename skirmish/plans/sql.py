@@ -10,16 +10,18 @@ s as (select 'log-' || (event_id % 3) as source_id, 'P' || (event_id % 3) as own
       when event_type='click' then 1 when event_type='view' then 2 when event_type='purchase' then 3 else 1 end as category,
  (k % 4 = 0 and event_type in ('click','view','purchase')) as critical,
  case when event_type='click' and k%5=1 then 'Multi Attack' when event_type='click' and k%5=2 then 'Flurry' when event_type='click' and k%5=3 then 'AoE Attack' else 'None' end as special,
- case when event_type<>'purchase' and user_id%3=0 then 'a mob ' || (user_id % 2) else 'P' || (user_id % 8) end as attacker,
+ case when event_type<>'purchase' and user_id%3=0 then case when k%3=1 then 'A mob ' else 'a mob ' end || (user_id % 2) else 'P' || (user_id % 8) end as attacker,
  case when event_type='click' then 'Auto-Attack' when event_type='error' and k%10=0 then 'Killing' when event_type='error' then 'Auto-Attack' when event_type='signup' and k%6=5 then 'stunned' else 'Skill ' || (k % 6) end as ability,
- case when event_type='error' and k%10=0 then -10 when event_type='error' then -1-(k%5) when event_type='view' and k%11=0 then 0 when event_type='signup' and k%6 in (0,4,5) then 0 else amt end as amount,
+ case when event_type='error' and k%10=0 then -10 when event_type='error' and k%7=3 then -9 when event_type='error' then -1-(k%5) when event_type='view' and k%11=0 then 0 when event_type='signup' and k%6 in (0,4,5) then 0 else amt end as amount,
  case when event_type='purchase' then 'P' || ((user_id+k) % 8) when user_id%3=0 then 'P' || ((user_id+k) % 8) else 'a mob ' || (k % 2) end as victim,
  case when event_type='purchase' then 'heal' when event_type='error' and k%10=0 then 'death' when event_type='error' then 'avoided' when event_type='view' and k%11=0 then 'none'
       when event_type='signup' then case k%6 when 1 then 'power' when 2 then 'power' when 3 then 'threat' when 4 then 'Effect ' || (k%3) when 5 then 'applied' else '' end
       else ['crushing','slashing','piercing','heat','cold','magic'][1 + k%6] end as damage_type,
- case when event_type='error' and k%10=0 and (case when user_id%3=0 then 'P' || ((user_id+k) % 8) else '' end) = 'P' || (event_id % 3) then 'pet-death' end as extra from e)"""
+ case when event_type='error' and k%10=0 and (case when user_id%3=0 then 'P' || ((user_id+k) % 8) else '' end) = 'P' || (event_id % 3) then 'pet-death' end as extra,
+ case when event_type='error' and k%10<>0 and k%7=3 then case when k%2=0 then 'Dodge' else 'Counter' end end as amount_text from e)"""
 
-#: Actions within encounters, from running aggregates over each whole source.
+#: Actions within encounters, from running aggregates over each whole source; a name has
+#: its first spelling of the fight.
 KEPT = SWINGS + """,
 h0 as (select *, (category in (1,2) and ability<>'Killing' and upper(attacker)<>upper(victim)) as hostile from s),
 h1 as (select *, sum(hostile::int) over (partition by source_id order by seq) as hg from h0),
@@ -27,8 +29,10 @@ h2 as (select *, first(ts) over (partition by source_id, hg order by seq) as hts
 h3 as (select *, lag(rmax) over (partition by source_id order by seq) as prmax, lag(hts) over (partition by source_id order by seq) as phts from h2),
 h4 as (select *, (hg=0 or rmax-hts>6) as ended, (hostile and (hg=1 or greatest(prmax,ts)-phts>6)) as opens from h3),
 h5 as (select *, max(case when opens then seq end) over (partition by source_id order by seq) as encounter_id from h4),
-k as (select *, row_number() over (partition by source_id, encounter_id order by seq) as time_sorter, attacker not like 'a mob%' as a_ally, victim not like 'a mob%' as v_ally,
- category in (1,2) and upper(attacker)=upper(victim) as selfd from h5 where hostile or (category<>0 and not ended))"""
+h6 as (select *, category in (1,2) and upper(attacker)=upper(victim) as selfd from h5 where hostile or (category<>0 and not ended)),
+sp as (select source_id, encounter_id, upper(name) as key, arg_min(name, pos) as name from (select source_id, encounter_id, attacker as name, 2*seq as pos from h6 where not selfd union all select source_id, encounter_id, victim, 2*seq+1 from h6) group by 1,2,3),
+k as (select h6.* exclude (attacker, victim, selfd), sa.name as attacker, sv.name as victim, row_number() over (partition by h6.source_id, h6.encounter_id order by seq) as time_sorter, sa.name not ilike 'a mob%' as a_ally, sv.name not ilike 'a mob%' as v_ally, selfd
+ from h6 join sp sa on sa.source_id=h6.source_id and sa.encounter_id=h6.encounter_id and sa.key=upper(attacker) join sp sv on sv.source_id=h6.source_id and sv.encounter_id=h6.encounter_id and sv.key=upper(victim))"""
 
 WINDOW = KEPT + """,
 w0 as (select source_id, encounter_id, min(case when not selfd then ts end) as start_ts,

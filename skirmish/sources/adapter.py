@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of a swing; category 0 is a plain line of text that carries no action.
-SWING_COLUMNS = ("source_id", "owner", "zone", "seq", "ts", "category", "critical", "special", "attacker", "ability", "amount", "victim", "damage_type", "extra")
+SWING_COLUMNS = ("source_id", "owner", "zone", "seq", "ts", "category", "critical", "special", "attacker", "ability", "amount", "victim", "damage_type", "extra", "amount_text")
 
 SCHOOLS = ("crushing", "slashing", "piercing", "heat", "cold", "magic")
 
@@ -25,8 +25,9 @@ def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     special = F.when((kind == "click") & (k % 5).isin(1, 2, 3), F.element_at(F.array(*map(F.lit, ("Multi Attack", "Flurry", "AoE Attack"))), (k % 5).cast("int"))).otherwise("None")
     mob = user % 3 == 0
     killing = (kind == "error") & (k % 10 == 0)
+    turned = (kind == "error") & (k % 7 == 3)  # dodged or countered: no number of their own
     ability = F.when(killing, "Killing").when(kind.isin("click", "error"), "Auto-Attack").when((kind == "signup") & (k % 6 == 5), "stunned").otherwise(text("Skill ", k % 6))
-    amount = F.when(killing, -10).when(kind == "error", -1 - k % 5).when((kind == "view") & (k % 11 == 0), 0).when((kind == "signup") & (k % 6).isin(0, 4, 5), 0).otherwise(amt)
+    amount = F.when(killing, -10).when(turned, -9).when(kind == "error", -1 - k % 5).when((kind == "view") & (k % 11 == 0), 0).when((kind == "signup") & (k % 6).isin(0, 4, 5), 0).otherwise(amt)
     victim = F.when((kind == "purchase") | mob, text("P", (user + k) % 8)).otherwise(text("a mob ", k % 2))
     signup_type = F.when((k % 6).isin(1, 2), "power").when(k % 6 == 3, "threat").when(k % 6 == 4, text("Effect ", k % 3)).when(k % 6 == 5, "applied").otherwise("")
     school = F.element_at(F.array(*map(F.lit, SCHOOLS)), (k % 6 + 1).cast("int"))
@@ -41,12 +42,14 @@ def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
         category.cast("int").alias("category"),
         ((k % 4 == 0) & kind.isin("click", "view", "purchase")).alias("critical"),
         special.alias("special"),
-        F.when((kind != "purchase") & mob, text("a mob ", user % 2)).otherwise(text("P", user % 8)).alias("attacker"),
+        # At the start of a line a mob's article is a capital, here of every third.
+        F.when((kind != "purchase") & mob, F.concat(F.when(k % 3 == 1, "A mob ").otherwise("a mob "), (user % 2).cast("string"))).otherwise(text("P", user % 8)).alias("attacker"),
         ability.alias("ability"),
         amount.cast("long").alias("amount"),
         victim.alias("victim"),
         damage_type.alias("damage_type"),
         F.when(killing & (victim == text("P", seq % 3)), "pet-death").alias("extra"),
+        F.when(~killing & turned, F.when(k % 2 == 0, "Dodge").otherwise("Counter")).alias("amount_text"),
     )
 
 
@@ -62,7 +65,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.concat(F.lit(""), F.col("victim"), F.lit(" for "), crit, amount, F.lit(" "), F.col("damage_type"), F.lit(" damage."))
     message = (
         F.when(F.col("damage_type") == "death", F.concat("attacker", F.lit(" has killed "), "victim", F.lit(".")))
-        .when(F.col("damage_type") == "avoided", F.concat("attacker", F.lit(" tries to crush "), "victim", F.lit(", but "), F.when(F.col("amount") == -1, F.lit("")).otherwise(F.concat("victim", F.lit(" "))), F.when(F.col("amount").between(-5, -1), outcome), F.lit(".")))
+        .when(F.col("damage_type") == "avoided", F.concat("attacker", F.lit(" tries to crush "), "victim", F.lit(", but "), F.when(F.col("amount") == -1, F.lit("")).otherwise(F.concat("victim", F.lit(" "))), F.when(F.col("amount").between(-5, -1), outcome).when(F.col("amount_text") == "Dodge", "dodges").otherwise("counters"), F.lit(".")))
         .when(F.col("damage_type") == "none", F.concat(by, F.lit(" hits "), "victim", F.lit(" but fails to inflict any damage.")))
         .when(F.col("category") == 1, F.concat(F.col("attacker"), verb, hit))
         .when(F.col("category") == 2, F.concat(by, F.lit(" hits "), hit))
