@@ -92,14 +92,22 @@ def granting_classes(class_map: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def raid_buff_credit(raid_damage: DataFrame, granting: DataFrame, ally_classes: DataFrame) -> DataFrame:
-    """raid_damage(fight, ability, damage), ally_classes(fight, combatant,
-    class): each granter's even part, in whole numbers."""
+    """raid_damage(fight, ability, damage), ally_classes(fight, combatant, class): a row
+    a granter with an even part, in whole numbers; several share by estimate.  Damage
+    that no ally of a granting class accounts for stays, in one row without granter
+    and credit."""
     keyed = raid_damage.withColumn("_key", normalize_ability(F.col("ability"))).join(granting.withColumnRenamed("ability", "_key"), "_key", "left")
-    by_class = keyed.withColumn("class", F.explode_outer(F.array_distinct(F.transform(F.coalesce("granted_by", F.array().cast("array<string>")), F.lower)))).drop("granted_by", "_key")
+    classes = F.array_distinct(F.transform(F.coalesce("granted_by", F.array().cast("array<string>")), F.lower))
+    by_class = keyed.select(*FIGHT, "ability", "damage", F.explode_outer(classes).alias("class"))
     named = ally_classes.select(*FIGHT, F.col("combatant").alias("granter"), F.lower("class").alias("class"))
-    found = by_class.join(named, [*FIGHT, "class"])
-    n = F.count("*").over(Window.partitionBy(*FIGHT, "ability"))
-    return found.select(*FIGHT, "ability", "granter", n.alias("granters"), F.expr("damage div count(1) over (partition by source_id, encounter_id, ability)").alias("credit"), (n > 1).alias("estimated"))
+    found = by_class.join(named, [*FIGHT, "class"], "left")
+    per = Window.partitionBy(*FIGHT, "ability")
+    # Of an ability that nobody grants, or by several classes that are all absent, one row.
+    n = F.count("granter").over(per)
+    first = F.row_number().over(per.orderBy(F.col("granter").isNull(), "granter"))
+    rows = found.withColumns({"granters": n, "_r": first}).where("granter is not null or (granters = 0 and _r = 1)")
+    credit = F.when(F.col("granters") > 0, F.expr("damage div greatest(granters, 1)"))
+    return rows.select(*FIGHT, "ability", "damage", "granter", "granters", credit.alias("credit"), (F.col("granters") > 1).alias("estimated"))
 
 
 def padded_attacks(kept: DataFrame, classes: DataFrame, least: int = 5) -> DataFrame:

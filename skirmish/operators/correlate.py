@@ -54,13 +54,41 @@ def join_fights(rows: list[tuple], tolerance: int = TOLERANCE) -> list[int]:
     return out
 
 
+def components(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """(source_id, encounter_id, component): encounters that may end up in one fight.
+
+    In a zone, those that share a witness and follow each other within the tolerance
+    are together; a component counts as one encounter with the window and the witnesses
+    of all its members, until nothing more comes together.  So whatever a fight can
+    grow to, in window and witnesses, lies in one component.  Each round is a window
+    over the encounters of a witness in parts, and a hop over labels; no pairs are
+    made, however common a witness is."""
+    key = F.concat("source_id", F.lit("/"), F.col("encounter_id").cast("string"))
+    rows = stored(seen.select("source_id", "encounter_id", key.alias("component"), F.lower("zone").alias("zone"), "start_ts", "end_ts", "names"))
+    members = rows.select("source_id", "encounter_id", "component")
+    nodes = rows.select("component", "zone", F.col("start_ts").alias("ts"), "end_ts", F.explode("names").alias("name"))
+    while True:
+        near = islands(nodes, tolerance, keys=("zone", "name"), order=("ts", "component"), until="end_ts")
+        least = F.min("component").over(Window.partitionBy("zone", "name", "island"))
+        labels = stored(near.withColumn("_to", least).groupBy("component").agg(F.min("_to").alias("to")))
+        if labels.where("to <> component").isEmpty():
+            return members
+        # Twice along the labels, so that chains shrink faster.
+        for _ in range(2):
+            labels = labels.join(labels.select(F.col("component").alias("to"), F.col("to").alias("_next")), "to").select("component", F.col("_next").alias("to"))
+        labels = stored(labels)
+        members = stored(members.join(labels, "component", "left").select("source_id", "encounter_id", F.coalesce("to", "component").alias("component")))
+        moved = nodes.join(labels, "component").drop("component").withColumnRenamed("to", "component")
+        whole = Window.partitionBy("component")
+        nodes = stored(moved.withColumns({"ts": F.min("ts").over(whole), "end_ts": F.max("end_ts").over(whole)}).select("component", "zone", "ts", "end_ts", "name").distinct())
+
+
 def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(source_id, encounter_id, fight_id).  Nothing merges across a stretch in
-    which a zone is quiet for longer than the tolerance, so each stretch of a
-    zone is replayed by itself."""
-    columns = ("source_id", "encounter_id", "start_ts", "end_ts", "names")
-    rows = stored(seen.select(F.lower("zone").alias("_zone"), F.col("start_ts").alias("ts"), *columns))
-    blocks = islands(rows, tolerance, keys=("_zone",), order=("start_ts", "source_id", "encounter_id"), until="end_ts")
+    """(source_id, encounter_id, fight_id).  What may end up together (see components)
+    is replayed in closing order; other fights of a zone, however busy, aren't in the
+    way."""
+    rows = stored(seen.select("source_id", "encounter_id", "start_ts", "end_ts", "names"))
+    found = rows.join(components(seen, tolerance), ["source_id", "encounter_id"])
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end_ts", "source_id", "encounter_id"])
@@ -69,7 +97,7 @@ def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
         ids = (first["source_id"] + "/" + first["encounter_id"].astype(str)).to_dict()
         return pd.DataFrame({"source_id": pdf["source_id"], "encounter_id": pdf["encounter_id"], "fight_id": [ids[n] for n in joined]})
 
-    return blocks.groupBy("_zone", "island").applyInPandas(replay, "source_id string, encounter_id long, fight_id string")
+    return found.groupBy("component").applyInPandas(replay, "source_id string, encounter_id long, fight_id string")
 
 
 def merge_combatants(members: DataFrame, stats: DataFrame, owners: DataFrame) -> DataFrame:

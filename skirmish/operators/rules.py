@@ -9,6 +9,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,22 +17,20 @@ from ..functions.scalars import canonical_control
 from ..sources.files import stored
 from .sessions import islands
 
-#: Rules are typed or imported by people; their patterns become part of the plan,
-#: so many at a time, and more than this are refused.
+#: Rules are typed or imported by people and go with every task; more are refused.
 MOST_RULES = 20_000
 #: Up to this many definitions of timers or rules are broadcast.
 BROADCAST_RULES = 20_000
-RULES_AT_ONCE = 100
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """A rule's pattern with its named groups as plain ones: Java wants no
-    underscore in names, and groups are read by number."""
+    """A rule's pattern with its named groups as plain ones: they are written in two
+    ways, and templates number plain groups before named ones."""
 
-    java: str
-    names: dict[str, int]  # number of each named group in java
-    numbers: list[int]  # java's number of $0, $1, ...: plain groups count before named ones
+    text: str
+    names: dict[str, int]  # number of each named group in text
+    numbers: list[int]  # text's number of $0, $1, ...: plain groups count before named ones
 
     @staticmethod
     def of(regex: str) -> Pattern:
@@ -60,58 +59,160 @@ class Pattern:
                     plain.append(n)
             out.append(regex[i : i + step])
             i += step
-        return Pattern("(?dU)" + "".join(out), names, [0, *plain, *named])
-
-
-def _expanded(template: str, pattern: Pattern, group):
+        return Pattern("".join(out), names, [0, *plain, *named])
+
+
+def required_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds, outside
+    groups and classes; empty if there is none to be sure of."""
+    if "(?i" in pattern or "(?x" in pattern:
+        return ""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, step, plain = pattern[i], 1, ""
+        if c == "\\":
+            after = pattern[i + 1 : i + 2]
+            step, plain = 2, "" if after.isalnum() or after in ("", "_") else after
+            if after in ("p", "P", "x", "u", "k", "c", "N", "g", "Q", "E") or after.isdigit():
+                return ""  # longer escapes: not worth reading
+        elif c == "[":
+            end = i + 1 + (pattern[i + 1 : i + 2] == "^")
+            end = end + 1 if pattern[end : end + 1] == "]" else end
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            step = end + 1 - i
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            return ""
+        elif c not in "^$.*+?{}|":
+            plain = c
+        if pattern[i + step : i + step + 1] in ("*", "?", "{"):
+            plain = ""
+        if c in "*+?":
+            plain = ""
+        elif c == "{":
+            step = max(1, pattern.find("}", i) + 1 - i)
+        if plain and not depth:
+            run += plain
+            if pattern[i + step : i + step + 1] == "+":
+                runs, run = [*runs, run], ""
+        else:
+            runs, run = [*runs, run], ""
+        i += step
+    return max([*runs, run], key=len)
+
+
+class _Rules:
+    """Rules compiled as they are needed, found by their literals."""
+
+    def __init__(self, held: list[dict], budget_s: float):
+        self.held, self.budget_s, self.off = held, budget_s, set()
+        self.compiled: dict[int, tuple[Pattern, object]] = {}
+        needed = {n: [x for x in (r.get("literal"), required_literal(r["regex"])) if x] for n, r in enumerate(held)}
+        self.always = [n for n, x in needed.items() if not x]
+        by_literal: dict[str, list[int]] = {}
+        for n, literals in needed.items():
+            if literals:
+                by_literal.setdefault(max(literals, key=len), []).append(n)
+        self.index = _literal_index(by_literal)
+
+    def rule(self, n: int) -> tuple[Pattern, object]:
+        if n not in self.compiled:
+            import regex
+
+            p = Pattern.of(self.held[n]["regex"])
+            self.compiled[n] = p, regex.compile(p.text)
+        return self.compiled[n]
+
+    def hits(self, message: str, zone: str, owner: str | None):
+        """(rule, attacker, victim, text, cooldown) of the rules that a line matches."""
+        for n in sorted({*self.always, *self.index(message)} - self.off):
+            r = self.held[n]
+            if r.get("literal") and r["literal"] not in message or r.get("zone") and r["zone"].lower() not in zone:
+                continue
+            p, compiled = self.rule(n)
+            try:
+                m = compiled.search(message, timeout=self.budget_s)
+            except TimeoutError:
+                self.off.add(n)  # it would stall every line from here on
+                continue
+            if not m:
+                continue
+            group = lambda i: m[i] or ""
+            if "YOU" in p.names and owner != "" and (you := group(p.names["YOU"])) and (owner is None or owner.lower() not in you.lower()):
+                continue
+            name = lambda g: (group(p.names[g]) if g in p.names else "") or "None"
+            told = _expanded(r["sound_data"], p, group) if r.get("sound_data") and r.get("sound_type") == 3 else None
+            yield r["rule"], name("attacker"), name("victim"), told, float(r["cooldown_s"]) if r.get("cooldown_s") is not None else 1.0
+
+
+def _literal_index(by_literal: dict[str, list[int]]):
+    """A function from a line to the rules whose literal it holds; the line is read
+    once for all of them."""
+    if not by_literal:
+        return lambda message: ()
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda message: [n for literal, rules in by_literal.items() if literal in message for n in rules]
+    found = ahocorasick.Automaton()
+    for literal, rules in by_literal.items():
+        found.add_word(literal, rules)
+    found.make_automaton()
+    return lambda message: [n for _, rules in found.iter(message) for n in rules]
+
+
+def _expanded(template: str, pattern: Pattern, group) -> str:
     """A template's text: $1, ${1} and ${name} stand for groups, $$ for a dollar."""
     parts = []
     for text, one, braced in re.findall(r"([^$]+|\$\$|\$(?![\d{]))|\$(\d+)|\$\{(\w+)\}", template):
         ref = one or braced
         if not ref:
-            parts.append(F.lit("$" if text == "$$" else text))
+            parts.append("$" if text == "$$" else text)
             continue
         at = pattern.names.get(ref, pattern.numbers[int(ref)] if ref.isdigit() and int(ref) < len(pattern.numbers) else None)
-        parts.append(F.lit(f"${{{braced}}}" if braced else f"${one}") if at is None else group(at))
-    return F.concat(*parts) if parts else F.lit("")
+        parts.append((f"${{{braced}}}" if braced else f"${one}") if at is None else group(at))
+    return "".join(parts)
+
+
+#: Seconds that a pattern may take for one line.
+BUDGET_S = 0.1
+MATCHES = "source_id string, seq long, ts long, message string, rule string, attacker string, victim string, text string, cooldown_s double"
 
 
-def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(lines: DataFrame, rules: DataFrame, budget_s: float = BUDGET_S) -> DataFrame:
     """lines(source_id, seq, ts, zone, message, owner) x rules(rule, regex, literal,
     zone, enabled; sound_type, sound_data, cooldown_s as far as given): every match
     in the rule's zone, with attacker and victim (groups of these names, else
     "None"), the sound's text with its groups filled in, and the cooldown.  A group
     named YOU must hold the log's owner.
 
-    Patterns are compiled once, as literals of the plan; a rule's own literal is
-    looked for before its pattern runs.  Lines are read once for RULES_AT_ONCE rules."""
-    held = rules.where("enabled").limit(MOST_RULES + 1).collect()
+    Lines are read once, whatever the number of rules: an automaton over the rules'
+    literals (given, or what the pattern can't match without) tells which patterns a
+    line may match, and only those run.  A pattern that takes longer than budget_s for
+    a line is switched off for the rest of the task, as it would stall every line."""
+    held = [r.asDict() for r in rules.where("enabled").limit(MOST_RULES + 1).collect()]
     if len(held) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    message, zone = F.col("message"), F.lower(F.coalesce("zone", F.lit("")))
-
-    def hit(r):
-        given, p = r.asDict(), Pattern.of(r["regex"])
-        group = lambda n: F.regexp_extract(message, p.java, n)
-        on = message.contains(r["literal"]) if given.get("literal") else F.lit(True)
-        if given.get("zone"):
-            on = on & zone.contains(r["zone"].lower())
-        on = on & message.rlike(p.java)
-        if "YOU" in p.names and "owner" in lines.columns:
-            you = group(p.names["YOU"])
-            on = on & ((you == "") | F.lower(you).contains(F.lower("owner")))
-        name = lambda g: F.coalesce(F.nullif(group(p.names[g]), F.lit("")), F.lit("None")) if g in p.names else F.lit("None")
-        text = _expanded(given["sound_data"], p, group) if given.get("sound_data") and given.get("sound_type") == 3 else F.lit(None).cast("string")
-        cooldown = float(given["cooldown_s"]) if given.get("cooldown_s") is not None else 1.0
-        return F.when(on, F.struct(F.lit(r["rule"]).alias("rule"), name("attacker").alias("attacker"), name("victim").alias("victim"), text.alias("text"), F.lit(cooldown).alias("cooldown_s")))
-
-    none = "rule string, attacker string, victim string, text string, cooldown_s double"
-    out = None
-    for i in range(0, max(1, len(held)), RULES_AT_ONCE):
-        hits = [hit(r) for r in held[i : i + RULES_AT_ONCE]] or [F.lit(None).cast(f"struct<{none.replace(' ', ':').replace(',:', ',')}>")]
-        found = lines.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))).select("source_id", "seq", "ts", "message", "_hit.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    names = [c.split()[0] for c in MATCHES.split(", ")]
+    owner = F.col("owner") if "owner" in lines.columns else F.lit("")
+
+    def run(batches):
+        known = _Rules(held, budget_s)
+        for batch in batches:
+            out = [[] for _ in names]
+            for source, seq, ts, message, zone, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for hit in known.hits(message, zone, who):
+                    for column, x in zip(out, (source, seq, ts, message, *hit), strict=True):
+                        column.append(x)
+            kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    told = lines.where("message is not null").select("source_id", F.col("seq").cast("long"), F.col("ts").cast("long"), "message", F.lower(F.coalesce("zone", F.lit(""))).alias("zone"), owner.cast("string").alias("owner"))
+    return told.mapInArrow(run, MATCHES)
 
 
 def merge_rule_sets(pack: DataFrame, user: DataFrame, overrides: DataFrame) -> DataFrame:

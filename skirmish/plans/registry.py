@@ -88,7 +88,9 @@ register("grammar_coverage", lambda spark, d: grammar.grammar_coverage(parsed(sp
 # --- sessions ---------------------------------------------------------------
 on_kept("segment_encounters", lambda k: k.select("source_id", "seq", "encounter_id", "time_sorter", "hostile"), sql.KEPT, "select source_id, seq, encounter_id, time_sorter, hostile from k")
 on_kept("encounter_zone", sessions.encounter_zone, sql.TITLED, "select source_id, encounter_id, zone from z")
-on_kept("zone_asof", lambda k: k.join(sessions.encounter_zone(k).withColumnRenamed("zone", "fight_zone"), ["source_id", "encounter_id"]).where("zone <> fight_zone").select("source_id", "seq", "zone", "fight_zone"), sql.TITLED, "select k.source_id, seq, k.zone, z.zone as fight_zone from k join z using (source_id, encounter_id) where k.zone<>z.zone")
+# The adapter's zones change between fights only; here they change every 7 lines too.
+_moving = lambda k: k.withColumn("zone", F.concat(F.lit("Zone "), F.expr("seq div 7 % 3").cast("string")))
+on_kept("zone_asof", lambda k: (lambda m: m.join(sessions.encounter_zone(m).withColumnRenamed("zone", "fight_zone"), ["source_id", "encounter_id"]).where("zone <> fight_zone").select("source_id", "seq", "zone", "fight_zone"))(_moving(k)), sql.KEPT + ", mv as (select source_id, encounter_id, seq, 'Zone ' || ((seq//7)%3) as zone from k), mz as (select source_id, encounter_id, arg_min(zone, seq) as fight_zone from mv group by all)", "select source_id, seq, zone, fight_zone from mv join mz using (source_id, encounter_id) where zone<>fight_zone")
 on_kept("encounter_window", window, sql.WINDOW, "select * from w")
 on_kept("zone_runs", lambda k: sessions.zone_runs(reports.fights(k)).select("source_id", "encounter_id", "zone", "run"), sql.TITLED, "select source_id, encounter_id, zone, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)")
 on_kept("day_sections", lambda k: sessions.day_sections(sessions.zone_runs(reports.fights(k))), sql.TITLED, "select source_id, run, zone, count(*) as fights, strftime(make_timestamp(max(start_ts)*1000000), '%Y-%m-%d') as day from (select *, sum(ch) over (partition by source_id order by start_ts, encounter_id)::bigint as run from (select *, (zone is distinct from lag(zone) over (partition by source_id order by start_ts, encounter_id))::int as ch from fights)) group by 1,2,3")

@@ -103,9 +103,9 @@ def seen(k):
     return correlate.witnesses(k, reports.fights(k))
 
 
-_S2 = "s2 as (select * from s union all select source_id || '-m', 'P' || ((seq%3+1)%8), zone, seq, ts+1, category, critical, special, attacker, ability, amount, victim, damage_type, extra from s where seq%7<>0)"
+_S2 = "s2 as (select * from s union all select source_id || '-m', 'P' || ((seq%3+1)%8), zone, seq, ts+1, category, critical, special, attacker, ability, amount, victim, damage_type, extra, amount_text from s where seq%7<>0)"
 _MIRROR = sql.TITLED.replace("h0 as (select *, (category", _S2 + ",\nh0 as (select *, (category").replace("as hostile from s)", "as hostile from s2)")
-register("correlate_pairs", lambda spark, d: correlate.correlate_pairs(seen(mirrored(spark, d))), _MIRROR + ", ow as (select distinct owner from s2), wn as (select distinct source_id, encounter_id, name from nm where name not in (select owner from ow))", "select distinct x.source_id as source_a, x.encounter_id as a, y.source_id as source_b, y.encounter_id as b from fights x join fights y on lower(x.zone)=lower(y.zone) and x.source_id<y.source_id and x.end_ts>=y.start_ts-30 and y.end_ts>=x.start_ts-30 where exists (select 1 from wn p join wn q on p.name=q.name where p.source_id=x.source_id and p.encounter_id=x.encounter_id and q.source_id=y.source_id and q.encounter_id=y.encounter_id)")
+register("correlate_pairs", lambda spark, d: correlate.correlate_pairs(seen(mirrored(spark, d))), _MIRROR + ", ow as (select distinct owner from s2), wn as (select distinct source_id, encounter_id, upper(name) as name from nm where upper(name) not in (select upper(owner) from ow))", "select distinct x.source_id as source_a, x.encounter_id as a, y.source_id as source_b, y.encounter_id as b from fights x join fights y on lower(x.zone)=lower(y.zone) and x.source_id<y.source_id and x.end_ts>=y.start_ts-30 and y.end_ts>=x.start_ts-30 where exists (select 1 from wn p join wn q on p.name=q.name where p.source_id=x.source_id and p.encounter_id=x.encounter_id and q.source_id=y.source_id and q.encounter_id=y.encounter_id)")
 register("correlate_fights", lambda spark, d: correlate.correlate_fights(seen(mirrored(spark, d))))
 
 

@@ -63,7 +63,16 @@ def _credit(spark, k):
     return classify.raid_buff_credit(raid, classify.granting_classes(maps, over), present)
 
 
-on_sources("raid_buff_credit", _credit, "select source_id, encounter_id, ability, combatant as granter, granters, damage//granters as credit, granters>1 as estimated from (select r.*, p.combatant, count(*) over (partition by source_id, encounter_id, ability) as granters from (select source_id, encounter_id, ability, sum(damage)::bigint as damage from tg where source='raid' group by 1,2,3) r join gr using (ability) join (select distinct source_id, encounter_id, attacker as combatant, lower(class) as class from k join bc on bc.combatant=k.attacker and bc.source_id=k.source_id and bc.encounter_id=k.encounter_id where a_ally) p using (source_id, encounter_id, class))".replace("select distinct source_id, encounter_id, attacker", "select distinct k.source_id, k.encounter_id, attacker"))
+_GRANTED = ", rd as (select source_id, encounter_id, ability, sum(damage)::bigint as damage from tg where source='raid' group by 1,2,3), pc as (select distinct k.source_id, k.encounter_id, attacker as combatant, lower(class) as class from k join bc on bc.combatant=k.attacker and bc.source_id=k.source_id and bc.encounter_id=k.encounter_id where a_ally), gd as (select rd.*, pc.combatant from rd join gr using (ability) join pc on pc.source_id=rd.source_id and pc.encounter_id=rd.encounter_id and pc.class=gr.class)"
+on_sources("raid_buff_credit", _credit, "select source_id, encounter_id, ability, damage, combatant as granter, granters, damage//granters as credit, granters>1 as estimated from (select *, count(*) over (partition by source_id, encounter_id, ability) as granters from gd) union all select source_id, encounter_id, ability, damage, null, 0, null, false from rd where (source_id, encounter_id, ability) not in (select (source_id, encounter_id, ability) from gd)", sql.KEPT + _TAG + _GRANTED)
+
+
+def _drill(spark, k):
+    tags = sourced(spark, k).select("source_id", "encounter_id", "combatant", "ability", "source")
+    return reports.drill_abilities(stats.bucket_fanout(k), window(k), "Outgoing Damage", tags)
+
+
+register("drill_sources", lambda spark, d: _drill(spark, stored(kept(spark, d))).select("source_id", "encounter_id", "combatant", "ability", "total", "source"), sql.KEPT + _TAG, "select source_id, encounter_id, combatant, ability, total, source from (select source_id, encounter_id, combatant, ability, coalesce(sum(amount) filter (amount>0),0)::bigint as total from (select source_id, encounter_id, attacker as combatant, unnest([ability, 'All']) as ability, amount from k where category in (1,2) and not selfd) group by all) left join (select source_id, encounter_id, combatant, ability, source from tg) using (source_id, encounter_id, combatant, ability)")
 register("granting_classes", lambda spark, d: tagged(spark, d).select(F.lower("ability").alias("ability")).distinct().join(classify.granting_classes(*dims(spark)[:2]), "ability").select("ability", F.array_join(F.array_sort("granted_by"), ",").alias("granted_by")), sql.KEPT + _TAG, "select lower(ability) as ability, case ability when 'Skill 5' then 'Guardian,Templar' else string_agg(class, ',' order by class) end as granted_by from cm where ability in (select ability from us2) group by ability")
 on_sources("padding_alarm", lambda spark, k: classify.padding_alarm(sourced(spark, k), padded(spark, k)), "select source_id, encounter_id, combatant, sum(damage)::bigint as damage, 'pet ability' as reason from tg where source='pet' group by 1,2,3 union all select source_id, encounter_id, combatant, damage, 'impossible school' from pd")
 
