@@ -7,9 +7,9 @@ language, the logistic loss of the predicted margins against its codeword, each
 bit weighted by how reliable it is for that language, and takes the least loss.
 A small lead over the runner-up is flagged as ambiguous.
 
-Only training fits in memory by a bound: of each of the MAX_LANGUAGES most
-frequent languages about `sample` labelled documents, chosen by a hash of
-doc_id, are read whole.  Counts come back as one table of languages x buckets.
+Only training fits in memory by a bound: of each language about `sample` labelled
+documents, chosen by a hash of doc_id, are read whole; more than MAX_LANGUAGES
+languages are an error.  Counts come back as one table of languages x buckets.
 
 Cases: a null text, or one without a letter (Unicode class L), gets `und` and score 0; without
 training rows every document does; null and repeated rows are predicted each for
@@ -33,7 +33,7 @@ from .common import small_batches
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE = 3000
-#: The most frequent languages, this many, are learned; bounds what training sends to the driver.
+#: More languages are an error: this bounds what training sends to the driver.
 MAX_LANGUAGES = 1000
 AMBIGUOUS_LEAD = 0.05
 UNDETERMINED = "und"
@@ -125,7 +125,9 @@ def held_out(doc_id):
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows(key, lang, text).  About `sample` documents a language are used."""
     small_batches(rows.sparkSession)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang to learn from")
     languages = sorted(sizes)
     if not languages:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32), np.zeros((0, 1)))

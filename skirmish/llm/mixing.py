@@ -47,8 +47,6 @@ BROADCAST_SOURCES = 10_000
 BROADCAST_RANGES = 200_000
 #: Levels of the tree after which its nodes are spread anew.
 SPREAD_LEVELS = 8
-#: Up to this spread a node draws from the exact distribution, beyond it from the normal one.
-EXACT_SPREAD = 30.0
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -79,13 +77,13 @@ def _uniform(*key) -> Column:
 
 
 def _hypergeometric(total: Column, good: Column, drawn: Column, *key) -> Column:
-    """How many of `good` among `total` are in a draw of `drawn`."""
+    """How many of `good` among `total` are in a draw of `drawn`: by inversion over the
+    counts within 8 standard deviations of the mean, beyond which doubles hold no mass.
+    The higher a node, the more counts there are, and the fewer such nodes."""
     n, g, m = (x.cast("double") for x in (total, good, drawn))
     mean = F.when(n > 0, g * m / n).otherwise(0.0)
     spread = F.sqrt(F.when(n > 1, m * (g / n) * (1 - g / n) * (n - m) / (n - 1)).otherwise(0.0))
     low, high = F.greatest(F.lit(0), drawn - (total - good)), F.least(good, drawn)
-    normal = F.sqrt(-2 * F.log(_uniform(F.lit(1), *key))) * F.cos(2 * math.pi * _uniform(F.lit(2), *key))
-    about = F.greatest(low, F.least(high, F.rint(mean + spread * normal).cast("long")))
     counts = F.sequence(F.greatest(low, F.floor(mean - 8 * spread - 1)), F.least(high, F.ceil(mean + 8 * spread + 1)))
 
     def following(w, k):  # the weight of k + 1, from that of k
@@ -105,8 +103,7 @@ def _hypergeometric(total: Column, good: Column, drawn: Column, *key) -> Column:
 
     one = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")]
     whole = F.aggregate(counts, F.struct(*one), step, lambda acc: acc.sum)
-    exact = F.aggregate(counts, F.struct(*one, whole.alias("whole"), F.lit(None).cast("long").alias("pick")), chosen, lambda acc: F.coalesce(acc.pick, high))
-    return F.when(spread <= EXACT_SPREAD, exact).otherwise(about)
+    return F.aggregate(counts, F.struct(*one, whole.alias("whole"), F.lit(None).cast("long").alias("pick")), chosen, lambda acc: F.coalesce(acc.pick, high))
 
 
 def _left_quotas(quotas: Column, *key) -> Column:

@@ -124,3 +124,11 @@ def test_training_and_decoding_against_a_plain_version(spark):
         best = min(loss, key=loss.get)
         got, score, *_ = model.predict(text)
         assert got == best and abs(score - 1 / sum(np.exp(loss[best] - x) for x in loss.values())) < 1e-3
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language.train(language.training_rows(frame(spark, texts(40))))

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -133,3 +134,18 @@ def test_empty_and_repeated(spark):
     rows = [(1, "a b c", None, "x", 5)] * 3 + [(None, "d e", None, None, None)]
     got = mixing.Mix(frame(spark, rows), block_words=1).taken().collect()
     assert len(got) == 4 and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_large_draws_are_exact_too(spark):
+    """Chi-square of draws with a spread of 50 against the distribution itself."""
+    import numpy as np
+
+    total, good, drawn, times = 40_000, 20_000, 20_000, 3000
+    got = np.array([r[0] for r in spark.range(times).select(mixing._hypergeometric(F.lit(total).cast("long"), F.lit(good).cast("long"), F.lit(drawn).cast("long"), F.col("id"))).collect()])
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    at = np.arange(9_500, 10_500)
+    mass = np.exp([choose(good, int(k)) + choose(total - good, drawn - int(k)) - choose(total, drawn) for k in at])
+    cuts = at[np.searchsorted(np.cumsum(mass), np.arange(1, 10) / 10)]
+    expected = times * np.diff(np.r_[0, np.cumsum(mass)[np.searchsorted(at, cuts)], 1])
+    seen = np.diff(np.r_[0, [(got <= c).sum() for c in cuts], times])
+    assert abs(mass.sum() - 1) < 1e-6 and ((seen - expected) ** 2 / expected).sum() < 30
