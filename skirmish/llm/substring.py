@@ -43,6 +43,8 @@ from .common import small_batches, stored
 MASK_BITS = 5
 LEAST_CHUNK = 8
 LEAST_SPAN = 80
+#: Windows of hot texts up to these bytes are broadcast, beyond them spread by salts.
+BROADCAST_BYTES, SALTS = 64 << 20, 32
 HOT_SHARE = 1000
 #: Bytes before a cut that decide on it.
 REACH = 16 + LEAST_CHUNK
@@ -179,6 +181,30 @@ def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
     return left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys).unionByName(left.join(few, keys, "left_anti").join(right, keys))
 
 
+def _window(size: str):
+    """As many bytes of k_data beside k_at as the gap has, or as there are."""
+    n, at = F.col(size), F.col("k_at")
+    return F.when(F.col("left"), F.substring("k_data", F.greatest(F.lit(0), at - n).cast("int") + 1, F.least(n, at).cast("int"))).otherwise(F.substring("k_data", at.cast("int") + 1, n.cast("int")))
+
+
+def _hot_windows(edges: DataFrame, others: DataFrame) -> DataFrame:
+    """edges with window, where many meet few texts.  The places that are asked for are
+    gathered first, once each, and cut out of the texts; only these windows, no longer
+    than a chunk and its surroundings, are sent or spread to the edges."""
+    keys = ["k_doc", "k_sig", "left", "k_at"]
+    asked = edges.groupBy(*keys).agg(F.max(F.length("gap")).alias("size"))
+    cut = stored(asked.join(others, ["k_doc", "k_sig"]).select(*keys, _window("size").alias("whole")))
+    total = cut.agg(F.sum(F.length("whole") + 40)).first()[0] or 0
+    if total <= BROADCAST_BYTES:
+        met = edges.join(F.broadcast(cut), keys)
+    else:
+        salted = edges.withColumn("salt", F.pmod(F.xxhash64("doc_id", "sig", "start"), F.lit(SALTS)).cast("int"))
+        met = salted.join(cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"])
+    n = F.length("gap")
+    near = F.when(F.col("left"), F.substring("whole", F.greatest(F.lit(0), F.length("whole") - n) + 1, n)).otherwise(F.substring("whole", F.lit(1), n))
+    return met.withColumn("window", near)
+
+
 def decided_spans(docs: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
     """(doc_id, start, end, n_chunks, first_doc_id, is_first): byte spans whose
     chunks occur in another document too, all to keep (is_first: each chunk is
@@ -224,9 +250,10 @@ def decided_spans(docs: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
     n_grow = to_grow.count()
     k_hot = to_grow.groupBy("k_doc", "k_sig").agg(F.count("*").alias("k")).where(F.col("k") > n_grow / HOT_SHARE).select("k_doc", "k_sig")  # fewer than HOT_SHARE rows
     others = texts.select(F.col("doc_id").alias("k_doc"), F.col("sig").alias("k_sig"), F.encode("text", "utf-8").alias("k_data"))
+    keys = ["k_doc", "k_sig"]
     size = F.length("gap")
-    window = F.when(F.col("left"), F.substring("k_data", F.greatest(F.lit(0), F.col("k_at") - size).cast("int") + 1, F.least(size, F.col("k_at")).cast("int"))).otherwise(F.substring("k_data", F.col("k_at").cast("int") + 1, size))
-    compared = _hot_join(to_grow, others, ["k_doc", "k_sig"], k_hot).select(*EDGES.names[:9], window.alias("window"))
+    rest = to_grow.join(F.broadcast(k_hot), keys, "left_anti").withColumn("size", size).join(others, keys).select(*EDGES.names[:9], _window("size").alias("window"))
+    compared = rest.unionByName(_hot_windows(to_grow.join(F.broadcast(k_hot), keys, "left_semi"), others).select(*EDGES.names[:9], "window"))
 
     def grow(batches):
         for batch in batches:

@@ -40,8 +40,9 @@ def check(rows, got):
 
 def test_first_places_stay_and_the_others_go(spark, monkeypatch):
     rows, *_ = rows_with_passages()
-    for share in (substring.HOT_SHARE, 1):
+    for share, sent in ((substring.HOT_SHARE, substring.BROADCAST_BYTES), (substring.HOT_SHARE, -1), (1, 0)):
         monkeypatch.setattr(substring, "HOT_SHARE", share)
+        monkeypatch.setattr(substring, "BROADCAST_BYTES", sent)
         check(rows, collected(substring.decided_spans(clashing(frame(spark, rows)), least=1)))
 
 
