@@ -15,9 +15,22 @@ MOB = ("zone", "attacker", "ability")
 def mob_hits(kept: DataFrame, fights: DataFrame) -> DataFrame:
     """What enemies did to others by name of an ability, marked inferred where the
     log named nobody and the fight's title stands in; without a title such hits
-    are left out.  Auto-attacks and kills are no abilities to time."""
+    are left out.  Auto-attacks and kills are no abilities to time.  A mob has one
+    spelling over all fights."""
     acts = kept.where("category in (1, 2) and not a_ally and ability not in ('Killing', 'Auto-Attack', '')")
-    return infer_caster(acts, fights).where("attacker <> 'Unknown'")
+    return one_name(stored(infer_caster(acts, fights).where("attacker <> 'Unknown'")))
+
+
+#: Up to this many names in several spellings they are broadcast.
+BROADCAST_NAMES = 100_000
+
+
+def one_name(rows: DataFrame, name: str = "attacker") -> DataFrame:
+    """rows with the least spelling of each name, whatever fight it comes from; only
+    names that have several are looked up."""
+    several = stored(rows.groupBy(F.upper(name).alias("_key")).agg(F.min(name).alias("_least"), F.max(name).alias("_most")).where("_least <> _most").drop("_most"))
+    few = F.broadcast(several) if several.count() <= BROADCAST_NAMES else several
+    return rows.join(few, F.upper(name) == F.col("_key"), "left").withColumn(name, F.coalesce("_least", name)).drop("_key", "_least")
 
 
 def cast_volleys(hits: DataFrame) -> DataFrame:
@@ -153,8 +166,8 @@ def covered_intervals(cast_rows: DataFrame, windows: DataFrame) -> DataFrame:
     and its length without the debuff's slowing.  Windows of a victim don't
     overlap, so seconds add up."""
     gaps = cast_gaps(cast_rows).select(*KEY, "prev_ts", "cast_ts", "gap")
-    w = windows.withColumnRenamed("victim", "attacker")
-    hit = gaps.join(w, ["source_id", "encounter_id", "attacker"]).where("from_ts < cast_ts and to_ts > prev_ts")
+    w = windows.select("source_id", "encounter_id", F.upper("victim").alias("_key"), "from_ts", "to_ts", "fraction")
+    hit = gaps.withColumn("_key", F.upper("attacker")).join(w, ["source_id", "encounter_id", "_key"]).where("from_ts < cast_ts and to_ts > prev_ts")
     over = hit.groupBy(*KEY, "prev_ts", "cast_ts").agg(F.sum(F.least("cast_ts", "to_ts") - F.greatest("prev_ts", "from_ts")).cast("long").alias("covered_s"), F.max("fraction").alias("fraction"))
     covered, slow = F.coalesce("covered_s", F.lit(0)), F.coalesce("fraction", F.lit(0.5))
     base = (F.col("gap") - covered).cast("double") + covered.cast("double") / (1 + slow)

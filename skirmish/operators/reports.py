@@ -73,8 +73,11 @@ def share_by_archetype(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def combatant_breakdown(fanned: DataFrame) -> DataFrame:
-    """Damage by ability of each combatant over all fights."""
-    rows = fanned.where("bucket = 'Outgoing Damage' and amount > 0").groupBy("combatant", "ability").agg(F.sum("amount").cast("long").alias("total"), F.count("*").alias("hits"))
+    """Damage by ability of each combatant over all fights, under the least spelling of
+    its name."""
+    told = fanned.where("bucket = 'Outgoing Damage' and amount > 0").groupBy("combatant", "ability").agg(F.sum("amount").cast("long").alias("total"), F.count("*").alias("hits"))
+    named = told.withColumn("combatant", F.min("combatant").over(Window.partitionBy(F.upper("combatant"))))
+    rows = named.groupBy("combatant", "ability").agg(F.sum("total").cast("long").alias("total"), F.sum("hits").cast("long").alias("hits"))
     return share_of(rows, "total", ("combatant",))
 
 
@@ -278,7 +281,7 @@ def rollup_fights(fight_rows: DataFrame, stats: DataFrame, tags: DataFrame | Non
     if tags is not None:
         rows = rows.join(tags.select(*FIGHT, "combatant", "kind", "class", "mapped"), [*FIGHT, "combatant"]).where("kind not in ('system', 'bystander')")
         best = [F.max_by(F.struct("kind", "class"), F.struct("mapped", (-F.col("encounter_id")).alias("first"))).alias("_tag")]
-    sums = rows.groupBy("source_id", "zone", "combatant").agg(*[F.sum(c).cast("long").alias(c) for c in ("damage", "healed", "damage_taken", "deaths")], F.sum("_own").cast("long").alias("personal_s"), F.count("*").alias("present"), *best)
+    sums = rows.groupBy("source_id", "zone", F.upper("combatant").alias("_key")).agg(F.min("combatant").alias("combatant"), *[F.sum(c).cast("long").alias(c) for c in ("damage", "healed", "damage_taken", "deaths")], F.sum("_own").cast("long").alias("personal_s"), F.count("*").alias("present"), *best).drop("_key")
     out = sums.join(seconds, ["source_id", "zone"]).withColumn("enc_dps", per_second(F.col("damage"), F.col("seconds"))).withColumn("enc_hps", per_second(F.col("healed"), F.col("seconds")))
     return out if tags is None else out.select("*", "_tag.kind", "_tag.class").drop("_tag")
 

@@ -136,7 +136,7 @@ _DRILL = "count(*) filter (amount<>-10) as swings, count(*) filter (amount>=0) a
 _SHARE = "case when sum(total) over ({w})>0 then total::double/(sum(total) over ({w}))::double else 0.0 end as share"
 on_kept("drill_abilities", lambda k: reports.drill_abilities(stats.bucket_fanout(k), window(k), "Outgoing Damage"), _FANNED_WINDOW + ", " + _ALL, f"select * exclude (duration_s), case when max(total) filter (ability='All') over p>0 then total::double/(max(total) filter (ability='All') over p)::double else 0.0 end as share, total::double/greatest(1,duration_s)::double as dps from (select source_id, encounter_id, combatant, ability, {_DRILL.replace('amount<>-10)', 'amount<>-10 or ability=' + chr(39) + 'Killing' + chr(39) + ')')}, coalesce(array_to_string(list_sort(list(distinct damage_type) filter (damage_type not in ('','avoided','death','none','heal'))), ','),'') as types from fa where bucket='Outgoing Damage' group by 1,2,3,4) join (select source_id, encounter_id, duration_s from w) using (source_id, encounter_id) window p as (partition by source_id, encounter_id, combatant)")
 on_kept("breakdown_by_other", lambda k: reports.breakdown_by_other(stats.bucket_fanout(k), window(k), "Outgoing Damage"), _FANNED_WINDOW, f"select source_id, encounter_id, combatant, other, swings, hits, crits, max_hit, total, total::double/greatest(duration_s,1)::double as enc_dps, {_SHARE.format(w='partition by source_id, encounter_id, combatant')} from (select source_id, encounter_id, combatant, other, {_DRILL} from f where bucket='Outgoing Damage' group by 1,2,3,4) join w using (source_id, encounter_id)")
-on_kept("combatant_breakdown", lambda k: reports.combatant_breakdown(stats.bucket_fanout(k)), sql.FANNED, f"select *, {_SHARE.format(w='partition by combatant')} from (select combatant, ability, sum(amount)::bigint as total, count(*) as hits from f where bucket='Outgoing Damage' and amount>0 group by 1,2)")
+on_kept("combatant_breakdown", lambda k: reports.combatant_breakdown(stats.bucket_fanout(k)), sql.FANNED, f"select *, {_SHARE.format(w='partition by combatant')} from (select combatant, ability, sum(amount)::bigint as total, count(*) as hits from (select ability, amount, min(combatant) over (partition by upper(combatant)) as combatant from f where bucket='Outgoing Damage' and amount>0) group by 1,2)")
 on_kept("auto_attack_groups", reports.auto_attack_groups, sql.KEPT, "select source_id, encounter_id, combatant, kind, count(*) as swings, count(*) filter (amount>=0) as hits, coalesce(sum(amount) filter (amount>0),0)::bigint as total from (select source_id, encounter_id, attacker as combatant, amount, unnest(['All', case when special='None' then 'Normal' else special end]) as kind from k where category=1 and ability='Auto-Attack') group by 1,2,3,4")
 on_kept("drill_swings", lambda k: k.where("ability = 'Skill 2' and category = 2").select("source_id", "encounter_id", "time_sorter", "ts", "attacker", "victim", "amount", "critical"), sql.KEPT, "select source_id, encounter_id, time_sorter, ts, attacker, victim, amount, critical from k where ability='Skill 2' and category=2")
 _RATE = "case when {b}>0 then {a}::double/{b}::double else 0.0 end as {n}"

@@ -13,7 +13,7 @@ from .registry import _TWO, ally, enemy, kept, on_kept, on_swings, register
 
 # --- mining -----------------------------------------------------------------
 # The adapter names every attacker, so nothing is inferred here.
-_HITS = ", mh as (select k.* exclude (zone), fights.zone from k join fights using (source_id, encounter_id) where category in (1,2) and not a_ally and ability not in ('Killing','Auto-Attack','')), v1 as (select *, (lag(ts) over p is null or ts-lag(ts) over p>2)::int as nv from mh window p as (partition by source_id, encounter_id, attacker, ability order by ts, seq)), v2 as (select *, sum(nv) over (partition by source_id, encounter_id, attacker, ability order by ts, seq)::bigint as volley from v1), v3 as (select source_id, encounter_id, attacker, ability, volley, min(ts) as volley_ts, count(*) as hits, count(distinct victim) as targets, coalesce(sum(amount) filter (amount>0),0)::bigint as damage from v2 group by 1,2,3,4,5), v4 as (select *, (lag(volley_ts) over p is null or volley_ts-lag(volley_ts) over p>12)::int as nc from v3 window p as (partition by source_id, encounter_id, attacker, ability order by volley_ts)), vo as (select * exclude (nc), sum(nc) over (partition by source_id, encounter_id, attacker, ability order by volley_ts)::bigint as \"cast\" from v4), ca as (select source_id, encounter_id, attacker, ability, \"cast\", min(volley_ts) as cast_ts, count(*) as volleys, sum(hits)::bigint as hits, max(targets) as targets, sum(damage)::bigint as damage from vo group by 1,2,3,4,5)"
+_HITS = ", mh0 as (select k.* exclude (zone), fights.zone from k join fights using (source_id, encounter_id) where category in (1,2) and not a_ally and ability not in ('Killing','Auto-Attack','')), mh as (select * replace (min(attacker) over (partition by upper(attacker)) as attacker) from mh0), v1 as (select *, (lag(ts) over p is null or ts-lag(ts) over p>2)::int as nv from mh window p as (partition by source_id, encounter_id, attacker, ability order by ts, seq)), v2 as (select *, sum(nv) over (partition by source_id, encounter_id, attacker, ability order by ts, seq)::bigint as volley from v1), v3 as (select source_id, encounter_id, attacker, ability, volley, min(ts) as volley_ts, count(*) as hits, count(distinct victim) as targets, coalesce(sum(amount) filter (amount>0),0)::bigint as damage from v2 group by 1,2,3,4,5), v4 as (select *, (lag(volley_ts) over p is null or volley_ts-lag(volley_ts) over p>12)::int as nc from v3 window p as (partition by source_id, encounter_id, attacker, ability order by volley_ts)), vo as (select * exclude (nc), sum(nc) over (partition by source_id, encounter_id, attacker, ability order by volley_ts)::bigint as \"cast\" from v4), ca as (select source_id, encounter_id, attacker, ability, \"cast\", min(volley_ts) as cast_ts, count(*) as volleys, sum(hits)::bigint as hits, max(targets) as targets, sum(damage)::bigint as damage from vo group by 1,2,3,4,5)"
 
 
 def mob_hits(k):
@@ -41,7 +41,7 @@ def mined(k):
 
 _GAPS = ", gp as (select *, cast_ts-lag(cast_ts) over (partition by source_id, encounter_id, attacker, ability order by cast_ts) as gap from ca), iv as (select attacker, ability, count(*) as gaps, list_sort(list(gap))[count(*)//2+1] as median_s, min(gap) as least_s from gp where gap is not null group by 1,2)"
 _DEBUFF = ", to1 as (select *, max(ts+30) over (partition by source_id, encounter_id, victim order by ts, seq rows between unbounded preceding and 1 preceding) as reach from k where ability='Skill 1' and category=2), to2 as (select *, sum((reach is null or ts>reach)::int) over (partition by source_id, encounter_id, victim order by ts, seq)::bigint as run from to1), dw as (select source_id, encounter_id, victim, run, min(ts) as from_ts, max(ts)+30 as to_ts, 0.5::double as fraction from to2 group by 1,2,3,4)"
-_COVER = ", gg as (select source_id, encounter_id, attacker, ability, lag(cast_ts) over (partition by source_id, encounter_id, attacker, ability order by cast_ts) as prev_ts, cast_ts from ca), cv as (select gg.source_id, gg.encounter_id, attacker, ability, prev_ts, cast_ts, cast_ts-prev_ts as gap, coalesce(sum(least(cast_ts,to_ts)-greatest(prev_ts,from_ts)) filter (from_ts is not null),0)::bigint as covered_s from gg left join dw on dw.source_id=gg.source_id and dw.encounter_id=gg.encounter_id and dw.victim=gg.attacker and from_ts<cast_ts and to_ts>prev_ts where prev_ts is not null group by 1,2,3,4,5,6), cb as (select *, (gap-covered_s)::double+covered_s::double/1.5::double as base_s from cv)"
+_COVER = ", gg as (select source_id, encounter_id, attacker, ability, lag(cast_ts) over (partition by source_id, encounter_id, attacker, ability order by cast_ts) as prev_ts, cast_ts from ca), cv as (select gg.source_id, gg.encounter_id, attacker, ability, prev_ts, cast_ts, cast_ts-prev_ts as gap, coalesce(sum(least(cast_ts,to_ts)-greatest(prev_ts,from_ts)) filter (from_ts is not null),0)::bigint as covered_s from gg left join dw on dw.source_id=gg.source_id and dw.encounter_id=gg.encounter_id and upper(dw.victim)=upper(gg.attacker) and from_ts<cast_ts and to_ts>prev_ts where prev_ts is not null group by 1,2,3,4,5,6), cb as (select *, (gap-covered_s)::double+covered_s::double/1.5::double as base_s from cv)"
 _EFFECT = ", ap as (select source_id, encounter_id, victim, seq as aseq, ts as ats, case when seq%2=0 then 'stunned' else 'dazed' end as effect, case when seq%4>0 then (seq%9)*10 end as duration_s from k where category in (1,2) and not a_ally), att as (select zone, attacker, ability, effect, duration_s from (select mh.zone, mh.attacker, mh.ability, effect, duration_s, row_number() over (partition by mh.source_id, mh.seq order by aseq) as r from mh join ap on ap.source_id=mh.source_id and ap.encounter_id=mh.encounter_id and ap.victim=mh.victim and ats-ts between 0 and 2) where r=1), ec as (select zone, attacker, ability, effect, count(*) as n from att group by 1,2,3,4), cz as (select zone, attacker, ability, count(*) as casts from ca join fights using (source_id, encounter_id) group by 1,2,3), de as (select zone, attacker, ability, effect, effect_s from (select ec.*, row_number() over (partition by zone, attacker, ability order by n desc, effect) as r from ec) join cz using (zone, attacker, ability) left join (select zone, attacker, ability, effect, list_sort(list(duration_s))[count(*)//2+1] as effect_s from att where duration_s>0 and duration_s<120 group by 1,2,3,4) using (zone, attacker, ability, effect) where r=1 and n>=greatest(2, casts//4))"
 _MINED = _DEBUFF + _COVER + _EFFECT + """, sm as (select zone, attacker, ability, count(distinct (source_id, encounter_id)) as fights, count(*) as casts, sum(volleys)::bigint as volleys, sum(hits)::bigint as hits, sum(ca.damage)::bigint as damage from ca join fights using (source_id, encounter_id) group by 1,2,3),
 hz as (select zone, attacker, ability, count(*) as n, count(*) filter (amount<=0) as zero, bool_and(category=1) as melee from mh group by 1,2,3),
@@ -274,4 +274,4 @@ on_swings("status_callouts", lambda s: rules.status_callouts(blows(s)), None)
 on_kept("ability_frequency", lambda k: rules.ability_frequency(k.where("category in (1, 2) and ability <> 'Killing'")), None, None)
 on_kept("status_pairing", lambda k: rules.status_pairing(statuses(k)), None, None)
 _TIMERS = (("Skill 1", "a mob 0| a mob 1", "Zone 1", 20), ("Skill 2", "a mob 1", "zone 2", 40))
-register("missing_timers", lambda spark, d: rules.missing_timers(mined(kept(spark, d)).select("zone", "attacker", "ability", "casts"), spark.createDataFrame(list(_TIMERS), "name string, category string, zone string, duration_s int")), sql.TITLED + _HITS + _MINED, "select zone, attacker, ability, casts from mi where not (ability='Skill 1' and zone='Zone 1' or (ability='Skill 2' and attacker='a mob 1' and zone='Zone 2'))")
+register("missing_timers", lambda spark, d: rules.missing_timers(mined(kept(spark, d)).select("zone", "attacker", "ability", "casts"), spark.createDataFrame(list(_TIMERS), "name string, category string, zone string, duration_s int")), sql.TITLED + _HITS + _MINED, "select zone, attacker, ability, casts from mi where not (ability='Skill 1' and zone='Zone 1' or (ability='Skill 2' and lower(attacker)='a mob 1' and zone='Zone 2'))")

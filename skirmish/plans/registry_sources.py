@@ -107,7 +107,7 @@ def _rollup(spark, k):
     return reports.rollup_fights(stats.fight_totals(s), s, tags_of(spark, k))
 
 
-on_tags("rollup_fights", _rollup, "select source_id, zone, combatant, damage, healed, damage_taken, deaths, personal_s, present, tag.kind as kind, tag.class as class, seconds, fights, damage::double/greatest(seconds,1)::double as enc_dps, healed::double/greatest(seconds,1)::double as enc_hps from (select source_id, zone, combatant, sum(c.damage)::bigint as damage, sum(c.healed)::bigint as healed, sum(damage_taken)::bigint as damage_taken, sum(c.deaths)::bigint as deaths, sum(coalesce(last_ts-first_ts,0))::bigint as personal_s, count(*) as present, arg_max({'kind': kind, 'class': class}, (mapped, -encounter_id)) as tag from c join fights using (source_id, encounter_id) join tags using (source_id, encounter_id, combatant) where kind not in ('system','bystander') and (c.damage>0 or c.healed>0 or damage_taken>0) group by 1,2,3) join (select source_id, zone, sum(duration_s)::bigint as seconds, count(*) as fights from fights group by 1,2) using (source_id, zone)")
+on_tags("rollup_fights", _rollup, "select source_id, zone, combatant, damage, healed, damage_taken, deaths, personal_s, present, tag.kind as kind, tag.class as class, seconds, fights, damage::double/greatest(seconds,1)::double as enc_dps, healed::double/greatest(seconds,1)::double as enc_hps from (select source_id, zone, min(combatant) as combatant, sum(c.damage)::bigint as damage, sum(c.healed)::bigint as healed, sum(damage_taken)::bigint as damage_taken, sum(c.deaths)::bigint as deaths, sum(coalesce(last_ts-first_ts,0))::bigint as personal_s, count(*) as present, arg_max({'kind': kind, 'class': class}, (mapped, -encounter_id)) as tag from c join fights using (source_id, encounter_id) join tags using (source_id, encounter_id, combatant) where kind not in ('system','bystander') and (c.damage>0 or c.healed>0 or damage_taken>0) group by source_id, zone, upper(combatant)) join (select source_id, zone, sum(duration_s)::bigint as seconds, count(*) as fights from fights group by 1,2) using (source_id, zone)")
 
 
 def _enemies(spark, k):
