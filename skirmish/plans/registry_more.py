@@ -204,7 +204,7 @@ def documents(k):
 
 def _written(spark, d):
     """Written twice, the second time to no effect, and read back."""
-    docs, path = documents(kept(spark, d)), new_archive(spark)
+    docs, path = stored(documents(stored(kept(spark, d)))), new_archive(spark)
     for _ in range(2):
         archive.write_payloads(docs, path)
     return spark.read.schema(docs.drop("source_id", "encounter_id").schema).json(path)
