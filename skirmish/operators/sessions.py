@@ -58,16 +58,18 @@ def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) ->
     opens = F.col("hostile") & ((F.col("_hg") == 1) | (F.greatest(F.lag("_top").over(order), F.col("ts")) - F.lag("_hts").over(order) > idle))
     s = s.withColumn("_open", F.when(opens, F.col("seq")))
     s = s.withColumn("encounter_id", F.last("_open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = one_spelling(s.where(F.col("hostile") | ((F.col("category") != 0) & ~ended)))
-    place = F.row_number().over(Window.partitionBy("source_id", "encounter_id").orderBy("seq"))
+    # Fights lie within islands: windows keyed by both leave the rows where they are.
+    fight = ("source_id", "island", "encounter_id")
+    kept = one_spelling(s.where(F.col("hostile") | ((F.col("category") != 0) & ~ended)), fight)
+    place = F.row_number().over(Window.partitionBy(*fight).orderBy("seq"))
     return kept.withColumn("time_sorter", place.cast("long")).drop("island", "_hg", "_hts", "_top", "_open")
 
 
-def one_spelling(kept: DataFrame) -> DataFrame:
+def one_spelling(kept: DataFrame, fight: tuple[str, ...] = ("source_id", "encounter_id")) -> DataFrame:
     """kept with attacker and victim in the spelling in which a fight first has them.
     Damage to oneself makes its victim known only.  Each fight's first spellings are
-    gathered once (a value a name) beside its rows, which don't move."""
-    fight = ("source_id", "encounter_id")
+    gathered once (a value a name) beside its rows, which don't move if they are
+    partitioned by some of the columns of `fight`."""
     a, v = F.upper("attacker"), F.upper("victim")
     own = F.coalesce(is_self_damage(), F.lit(False))
     named = kept.withColumns({"_ak": a, "_vk": v})

@@ -9,7 +9,7 @@ from ..operators import allies, archive, classify, correlate, mining, reports, r
 from ..sources import adapter, files
 from ..sources.files import shared_folder, stored
 from . import sql
-from .registry import _TWO, ally, enemy, kept, on_kept, on_swings, register
+from .registry import _TWO, ally, enemy, kept, on_kept, on_stored, on_swings, register
 
 # --- mining -----------------------------------------------------------------
 # The adapter names every attacker, so nothing is inferred here.
@@ -48,14 +48,14 @@ hz as (select zone, attacker, ability, count(*) as n, count(*) filter (amount<=0
 iz as (select zone, attacker, ability, list_sort(list(gap))[count(*)//2+1] as median_s, min(gap) as least_s, list_sort(list(base_s))[count(*)//2+1] as base_s, sum(covered_s)::double/sum(gap)::double as coverage from cb join fights using (source_id, encounter_id) group by 1,2,3),
 ty as (select zone, attacker, ability, string_agg(t, ', ' order by n desc, t) as types from (select *, sum(n) over (partition by zone, attacker, ability) as alln from (select zone, attacker, ability, lower(damage_type) as t, count(*) as n from mh where amount>0 and damage_type not in ('','none','avoided') group by 1,2,3,4)) where 10*n>=alln group by 1,2,3),
 mi as (select sm.*, median_s, least_s, base_s, coalesce(coverage,0.0) as coverage, hits::double/volleys::double as avg_targets, volleys::double/sm.casts::double as ticks, melee, 10*zero>=9*n as detriment, false as inferred, coalesce(types,'') as types, effect, effect_s from sm join hz using (zone, attacker, ability) left join iz using (zone, attacker, ability) left join ty using (zone, attacker, ability) left join de using (zone, attacker, ability))"""
-on_kept("cast_volleys", lambda k: mining.cast_volleys(mob_hits(k)), sql.TITLED + _HITS, "select * from vo")
-on_kept("cast_intervals", lambda k: mining.cast_intervals(casts(k)), sql.TITLED + _HITS + _GAPS, "select * from iv")
+on_stored("cast_volleys", lambda k: mining.cast_volleys(mob_hits(k)), sql.TITLED + _HITS, "select * from vo")
+on_stored("cast_intervals", lambda k: mining.cast_intervals(casts(k)), sql.TITLED + _HITS + _GAPS, "select * from iv")
 on_kept("debuff_windows", debuffs, sql.KEPT + _DEBUFF, "select * from dw")
-on_kept("debuff_coverage", lambda k: mining.covered_intervals(casts(k), debuffs(k)), sql.TITLED + _HITS + _DEBUFF + _COVER, "select * from cb")
-on_kept("dominant_effect", lambda k: (lambda h, z: mining.dominant_effect(mining.status_attributions(h, applies(k)).join(z, ["source_id", "encounter_id"]), mining.casts(mining.cast_volleys(h)).join(z, ["source_id", "encounter_id"]).groupBy("zone", "attacker", "ability").agg(F.count("*").alias("casts"))))(mob_hits(k), reports.fights(k).select("source_id", "encounter_id", "zone")), sql.TITLED + _HITS + _EFFECT, "select * from de")
-on_kept("mine_abilities", mined, sql.TITLED + _HITS + _MINED, "select * from mi")
-on_kept("mined_top", lambda k: mining.mined_top(mined(k), 3).select("zone", "attacker", "ability", "detriment", "rank", "casts", "damage"), sql.TITLED + _HITS + _MINED, "select * from (select zone, attacker, ability, detriment, row_number() over (partition by zone, attacker, detriment order by case when detriment then casts else damage end desc, ability) as rank, casts, damage from mi) where rank<=3")
-on_kept("mined_to_timers", lambda k: mining.mined_to_timers(mined(k)), sql.TITLED + _HITS + _MINED, "select ability as name, attacker as category, zone, greatest(5, d) as duration_s, least(10, greatest(3, d//4)) as warning_s, not inferred as restrict_category, true as only_master, types as damage_type from (select *, case when coalesce(base_s, median_s, 30)-floor(coalesce(base_s, median_s, 30))=0.5 then 2*round(coalesce(base_s, median_s, 30)/2) else round(coalesce(base_s, median_s, 30)) end::bigint as d from mi)")
+on_stored("debuff_coverage", lambda k: mining.covered_intervals(casts(k), debuffs(k)), sql.TITLED + _HITS + _DEBUFF + _COVER, "select * from cb")
+on_stored("dominant_effect", lambda k: (lambda h, z: mining.dominant_effect(mining.status_attributions(h, applies(k)).join(z, ["source_id", "encounter_id"]), mining.casts(mining.cast_volleys(h)).join(z, ["source_id", "encounter_id"]).groupBy("zone", "attacker", "ability").agg(F.count("*").alias("casts"))))(mob_hits(k), reports.fights(k).select("source_id", "encounter_id", "zone")), sql.TITLED + _HITS + _EFFECT, "select * from de")
+on_stored("mine_abilities", mined, sql.TITLED + _HITS + _MINED, "select * from mi")
+on_stored("mined_top", lambda k: mining.mined_top(mined(k), 3).select("zone", "attacker", "ability", "detriment", "rank", "casts", "damage"), sql.TITLED + _HITS + _MINED, "select * from (select zone, attacker, ability, detriment, row_number() over (partition by zone, attacker, detriment order by case when detriment then casts else damage end desc, ability) as rank, casts, damage from mi) where rank<=3")
+on_stored("mined_to_timers", lambda k: mining.mined_to_timers(mined(k)), sql.TITLED + _HITS + _MINED, "select ability as name, attacker as category, zone, greatest(5, d) as duration_s, least(10, greatest(3, d//4)) as warning_s, not inferred as restrict_category, true as only_master, types as damage_type from (select *, case when coalesce(base_s, median_s, 30)-floor(coalesce(base_s, median_s, 30))=0.5 then 2*round(coalesce(base_s, median_s, 30)/2) else round(coalesce(base_s, median_s, 30)) end::bigint as d from mi)")
 #: Invented: which classes know the adapter's abilities.
 CLASS_MAP = (("Skill 0", ["Wizard"]), ("Skill 1", ["Wizard", "Warlock"]), ("Skill 2", ["Templar"]), ("Skill 3", ["Templar", "Warden"]), ("Skill 4", ["Guardian"]), ("Skill 5", ["Guardian", "Wizard"]))
 _CLASSES = """, cm(ability, class) as (values ('Skill 0','Wizard'),('Skill 1','Wizard'),('Skill 1','Warlock'),('Skill 2','Templar'),('Skill 3','Templar'),('Skill 3','Warden'),('Skill 4','Guardian'),('Skill 5','Guardian'),('Skill 5','Wizard')),
@@ -77,7 +77,7 @@ register("class_votes", lambda spark, d: detected(spark, kept(spark, d)).select(
 
 
 def _by_archetype(spark, d):
-    k = kept(spark, d)
+    k = stored(kept(spark, d))
     return reports.share_by_archetype(stats.combatant_stats(k).select("source_id", "encounter_id", "combatant", F.col("damage").alias("total")), detected(spark, k).select("source_id", "encounter_id", "combatant", "class"))
 
 
@@ -85,10 +85,10 @@ _ARCHETYPE = "case class when 'Wizard' then 'Mage' when 'Warlock' then 'Mage' wh
 register("share_by_archetype", _by_archetype, sql.COMBATANTS + _CLASSES, f"select *, case when sum(total) over (partition by source_id, encounter_id)>0 then total::double/(sum(total) over (partition by source_id, encounter_id))::double else 0.0 end as share from (select source_id, encounter_id, coalesce({_ARCHETYPE}, 'Other') as archetype, sum(damage)::bigint as total from c left join (select source_id, encounter_id, combatant, class from dt) using (source_id, encounter_id, combatant) group by 1,2,3)")
 
 # --- allies (order-exact walk: no SQL) and what builds on it ------------------
-on_kept("resolve_allies", lambda k: allies.resolve_allies(k, stats.ally_edges(k)), None, None)
+on_stored("resolve_allies", lambda k: allies.resolve_allies(k, stats.ally_edges(k)), None, None)
 
 
-on_kept("walked_fights", lambda k: reports.fights(allies.mark(k.drop("a_ally", "v_ally"), allies.resolve_allies(k, stats.ally_edges(k)))), None, None)
+on_stored("walked_fights", lambda k: reports.fights(allies.mark(k.drop("a_ally", "v_ally"), allies.resolve_allies(k, stats.ally_edges(k)))), None, None)
 
 
 # --- the same fights seen by two logs ------------------------------------------
@@ -175,7 +175,7 @@ register("write_archive", lambda spark, d: _round_trip(spark, d)[0].select("sour
 register("load_swings", lambda spark, d: _round_trip(spark, d)[2].select("source_id", "encounter_id", "time_sorter", "attacker", "victim", "amount"), sql.KEPT, "select source_id, encounter_id, time_sorter, attacker, victim, amount from k")
 register("load_combatants", lambda spark, d: _round_trip(spark, d)[1].select("source_id", "encounter_id", "combatant", "damage", "damage_taken"), sql.COMBATANTS, "select source_id, encounter_id, combatant, damage, damage_taken from c")
 register("restore_encounter", _restored, sql.TITLED, "select * replace (case when encounter_id%4=0 then 1 else success end as success) from fights")
-on_kept("unique_swings", lambda k: k.where(~scalars.is_self_damage()).select("source_id", "encounter_id", "seq").union(k.where(scalars.is_self_damage()).select("source_id", "encounter_id", "seq")).groupBy("source_id", "encounter_id").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("unique_n")), sql.KEPT, "select source_id, encounter_id, count(*) as n, count(distinct seq) as unique_n from k group by 1,2")
+on_stored("unique_swings", lambda k: k.where(~scalars.is_self_damage()).select("source_id", "encounter_id", "seq").union(k.where(scalars.is_self_damage()).select("source_id", "encounter_id", "seq")).groupBy("source_id", "encounter_id").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("unique_n")), sql.KEPT, "select source_id, encounter_id, count(*) as n, count(distinct seq) as unique_n from k group by 1,2")
 
 
 def versions(k, copies=1):
@@ -187,14 +187,14 @@ def versions(k, copies=1):
 
 
 _VERSIONS = sql.TITLED + ", f1 as (select encounter_id as id, source_id, owner, start_ts, end_ts, title, zone, n_swings from fights join (select source_id, encounter_id, count(*) as n_swings, any_value(owner) as owner from k group by 1,2) using (source_id, encounter_id)), f2 as (select id+1000000 as id, source_id, owner, start_ts, end_ts, title, zone, n_swings+(id+1000000)%2 as n_swings from f1 where id%3=0)"
-on_kept("dedupe_encounters", lambda k: archive.dedupe_encounters(versions(k)[0].unionByName(versions(k)[1])), _VERSIONS, "select id, source_id, owner, start_ts, end_ts, title, zone, n_swings from f1 qualify row_number() over (partition by source_id, owner, start_ts, end_ts, title order by id)=1")
-on_kept("upsert_encounter", lambda k: archive.upsert_encounters(*versions(k)).select("id", "source_id", "n_swings"), _VERSIONS, "select coalesce(case when f2.n_swings>f1.n_swings then f2.id end, f1.id) as id, f1.source_id, greatest(f1.n_swings, coalesce(f2.n_swings,0)) as n_swings from f1 left join f2 on f2.id=f1.id+1000000")
+on_stored("dedupe_encounters", lambda k: archive.dedupe_encounters(versions(k)[0].unionByName(versions(k)[1])), _VERSIONS, "select id, source_id, owner, start_ts, end_ts, title, zone, n_swings from f1 qualify row_number() over (partition by source_id, owner, start_ts, end_ts, title order by id)=1")
+on_stored("upsert_encounter", lambda k: archive.upsert_encounters(*versions(k)).select("id", "source_id", "n_swings"), _VERSIONS, "select coalesce(case when f2.n_swings>f1.n_swings then f2.id end, f1.id) as id, f1.source_id, greatest(f1.n_swings, coalesce(f2.n_swings,0)) as n_swings from f1 left join f2 on f2.id=f1.id+1000000")
 on_kept("prune_trash", lambda k: archive.prune_trash(archived(k), 1_700_000_400).select("source_id", "encounter_id", "title"), sql.TITLED, "select source_id, encounter_id, title from fights where coalesce(length(title)>0 and not starts_with(lower(title),'a ') and not starts_with(lower(title),'an '), false) or start_ts>=1700000400")
-on_kept("delete_encounter", lambda k: archive.delete_encounters(stats.combatant_stats(k), archived(k).where("zone = 'Zone 0'")).select("source_id", "encounter_id", "combatant"), sql.TITLED, "select source_id, encounter_id, combatant from c join fights using (source_id, encounter_id) where zone<>'Zone 0'")
+on_stored("delete_encounter", lambda k: archive.delete_encounters(stats.combatant_stats(k), archived(k).where("zone = 'Zone 0'")).select("source_id", "encounter_id", "combatant"), sql.TITLED, "select source_id, encounter_id, combatant from c join fights using (source_id, encounter_id) where zone<>'Zone 0'")
 on_kept("archived_zones", lambda k: archive.archived_zones(archived(k).withColumn("title", F.concat(F.lit("Lord "), "title"))), sql.TITLED, "select distinct zone from fights where title is not null")
 on_kept("search_archive", lambda k: archive.search_archive(archived(k), text="MOB 1", zone="Zone 1", since=1_700_000_300, limit=20).select("source_id", "encounter_id", "title", "start_ts"), sql.TITLED, "select source_id, encounter_id, title, start_ts from fights where (contains(lower(title),'mob 1') or contains(lower(zone),'mob 1')) and zone='Zone 1' and start_ts>=1700000300 order by start_ts desc, source_id, encounter_id limit 20")
 on_kept("recent_restore", lambda k: archive.recent_restore(archived(k).where("title is not null"), 1_700_000_000, 1_700_000_200).select("source_id", "encounter_id"), sql.TITLED, "select source_id, encounter_id from fights where title is not null and start_ts>=1700000200 order by start_ts desc, source_id, encounter_id limit 150")
-on_kept("mining_feed", lambda k: k.join(archived(k).where("zone = 'Zone 2' and title is not null").select("source_id", "encounter_id", "title"), ["source_id", "encounter_id"]).groupBy("source_id", "encounter_id", "title").agg(F.count("*").alias("n_swings"), F.array_join(F.array_sort(F.collect_set(F.when(enemy(F.col("attacker")), F.col("attacker")))), ",").alias("enemies")), sql.TITLED, "select source_id, encounter_id, title, count(*) as n_swings, coalesce(array_to_string(list_sort(list(distinct attacker) filter (not a_ally)), ','),'') as enemies from k join fights using (source_id, encounter_id) where fights.zone='Zone 2' and title is not null group by 1,2,3")
+on_stored("mining_feed", lambda k: k.join(archived(k).where("zone = 'Zone 2' and title is not null").select("source_id", "encounter_id", "title"), ["source_id", "encounter_id"]).groupBy("source_id", "encounter_id", "title").agg(F.count("*").alias("n_swings"), F.array_join(F.array_sort(F.collect_set(F.when(enemy(F.col("attacker")), F.col("attacker")))), ",").alias("enemies")), sql.TITLED, "select source_id, encounter_id, title, count(*) as n_swings, coalesce(array_to_string(list_sort(list(distinct attacker) filter (not a_ally)), ','),'') as enemies from k join fights using (source_id, encounter_id) where fights.zone='Zone 2' and title is not null group by 1,2,3")
 
 
 def documents(k):
@@ -216,9 +216,9 @@ _FIG = "coalesce(sum(amount) filter (amount>0),0)::bigint as damage, coalesce(li
 _PAYLOAD = sql.TITLED + sql.FANNED[len(sql.KEPT):] + _HEAD
 register("write_payload", lambda spark, d: _written(spark, d).select("logger_name", "logger_server", "encounter.*", F.size("combatants").alias("n_combatants"), F.size("damage_types").alias("n_damage_types"), F.size("attack_types").alias("n_attack_types")), _PAYLOAD, f"select owner as logger_name, 'server' as logger_server, encid, title, zone, {_UTC.format(t='start_ts')} as starttime, {_UTC.format(t='end_ts')} as endtime, duration_s as duration, damage, case when duration_s>0 then damage::double/duration_s::double else 0.0 end as encdps, kills, deaths, success, n_combatants::int as n_combatants, (select count(distinct (combatant, bucket)) from f where f.source_id=hd.source_id and f.encounter_id=hd.encounter_id and direction='out' and bucket<>'All Outgoing (Ref)')::int as n_damage_types, (select count(distinct (combatant, ability)) from f where f.source_id=hd.source_id and f.encounter_id=hd.encounter_id and bucket='All Outgoing (Ref)')::int as n_attack_types from hd")
 _OWN = "coalesce(last_ts-first_ts,0)"
-on_kept("payload_combatants", lambda k: documents(k).select("encounter.encid", F.posexplode("combatants").alias("place", "c")).select("encid", F.col("place").cast("long").alias("place"), "c.*"), _PAYLOAD, f"select encid, row_number() over (partition by c.source_id, c.encounter_id order by c.damage desc, first_seen)-1 as place, combatant as name, case when ally then 'T' else 'F' end as ally, {_UTC.format(t='coalesce(first_ts,start_ts)')} as starttime, {_UTC.format(t='coalesce(last_ts,first_ts,start_ts)')} as endtime, {_OWN} as duration, c.damage, c.kills, c.healed, crit_heals as critheals, heals, cures as curedispels, drained as powerdrain, replenished as powerreplenish, {_TWO.format(n='c.damage', s=_OWN)} as dps, {_TWO.format(n='c.damage', s='duration_s')} as encdps, {_TWO.format(n='c.healed', s='duration_s')} as enchps, hits, crits as crithits, avoids as blocked, misses, swings, heals_taken as healstaken, damage_taken as damagetaken, c.deaths, {_TWO.format(n='100*hits', s='swings')} as tohit from c join hd on hd.source_id=c.source_id and hd.encounter_id=c.encounter_id")
-on_kept("payload_damage_types", lambda k: documents(k).select("encounter.encid", F.explode("damage_types").alias("c")).select("encid", "c.*"), _PAYLOAD, f"select encid, combatant, type, {_UTC.format(t='first_ts')} as starttime, {_UTC.format(t='last_ts')} as endtime, x.damage, {_TWO.format(n='x.damage', s='duration_s')} as encdps, median, minhit, maxhit, hits, crithits, blocked, misses, swings from (select source_id, encounter_id, combatant, bucket as type, min(ts) as first_ts, max(ts) as last_ts, {_FIG}, count(*) filter (amount<>-10) as swings from f where direction='out' and bucket<>'All Outgoing (Ref)' group by 1,2,3,4) x join hd using (source_id, encounter_id)")
-on_kept("payload_attack_types", lambda k: documents(k).select("encounter.encid", F.explode("attack_types").alias("c")).select("encid", "c.*"), _PAYLOAD, f"select encid, attacker, type, swingtype, x.damage, {_TWO.format(n='x.damage', s='duration_s')} as encdps, median, minhit, maxhit, hits, crithits, blocked, misses, swings from (select source_id, encounter_id, combatant as attacker, ability as type, arg_min(category, seq) as swingtype, {_FIG}, count(*) filter (amount<>-10 or ability='Killing') as swings from f where bucket='All Outgoing (Ref)' group by 1,2,3,4) x join hd using (source_id, encounter_id)")
+on_stored("payload_combatants", lambda k: documents(k).select("encounter.encid", F.posexplode("combatants").alias("place", "c")).select("encid", F.col("place").cast("long").alias("place"), "c.*"), _PAYLOAD, f"select encid, row_number() over (partition by c.source_id, c.encounter_id order by c.damage desc, first_seen)-1 as place, combatant as name, case when ally then 'T' else 'F' end as ally, {_UTC.format(t='coalesce(first_ts,start_ts)')} as starttime, {_UTC.format(t='coalesce(last_ts,first_ts,start_ts)')} as endtime, {_OWN} as duration, c.damage, c.kills, c.healed, crit_heals as critheals, heals, cures as curedispels, drained as powerdrain, replenished as powerreplenish, {_TWO.format(n='c.damage', s=_OWN)} as dps, {_TWO.format(n='c.damage', s='duration_s')} as encdps, {_TWO.format(n='c.healed', s='duration_s')} as enchps, hits, crits as crithits, avoids as blocked, misses, swings, heals_taken as healstaken, damage_taken as damagetaken, c.deaths, {_TWO.format(n='100*hits', s='swings')} as tohit from c join hd on hd.source_id=c.source_id and hd.encounter_id=c.encounter_id")
+on_stored("payload_damage_types", lambda k: documents(k).select("encounter.encid", F.explode("damage_types").alias("c")).select("encid", "c.*"), _PAYLOAD, f"select encid, combatant, type, {_UTC.format(t='first_ts')} as starttime, {_UTC.format(t='last_ts')} as endtime, x.damage, {_TWO.format(n='x.damage', s='duration_s')} as encdps, median, minhit, maxhit, hits, crithits, blocked, misses, swings from (select source_id, encounter_id, combatant, bucket as type, min(ts) as first_ts, max(ts) as last_ts, {_FIG}, count(*) filter (amount<>-10) as swings from f where direction='out' and bucket<>'All Outgoing (Ref)' group by 1,2,3,4) x join hd using (source_id, encounter_id)")
+on_stored("payload_attack_types", lambda k: documents(k).select("encounter.encid", F.explode("attack_types").alias("c")).select("encid", "c.*"), _PAYLOAD, f"select encid, attacker, type, swingtype, x.damage, {_TWO.format(n='x.damage', s='duration_s')} as encdps, median, minhit, maxhit, hits, crithits, blocked, misses, swings from (select source_id, encounter_id, combatant as attacker, ability as type, arg_min(category, seq) as swingtype, {_FIG}, count(*) filter (amount<>-10 or ability='Killing') as swings from f where bucket='All Outgoing (Ref)' group by 1,2,3,4) x join hd using (source_id, encounter_id)")
 
 # --- rules ----------------------------------------------------------------------
 RULES = (
@@ -272,6 +272,6 @@ def statuses(k):
 
 on_swings("status_callouts", lambda s: rules.status_callouts(blows(s)), None)
 on_kept("ability_frequency", lambda k: rules.ability_frequency(k.where("category in (1, 2) and ability <> 'Killing'")), None, None)
-on_kept("status_pairing", lambda k: rules.status_pairing(statuses(k)), None, None)
+on_stored("status_pairing", lambda k: rules.status_pairing(statuses(k)), None, None)
 _TIMERS = (("Skill 1", "a mob 0| a mob 1", "Zone 1", 20), ("Skill 2", "a mob 1", "zone 2", 40))
-register("missing_timers", lambda spark, d: rules.missing_timers(mined(kept(spark, d)).select("zone", "attacker", "ability", "casts"), spark.createDataFrame(list(_TIMERS), "name string, category string, zone string, duration_s int")), sql.TITLED + _HITS + _MINED, "select zone, attacker, ability, casts from mi where not (ability='Skill 1' and zone='Zone 1' or (ability='Skill 2' and lower(attacker)='a mob 1' and zone='Zone 2'))")
+register("missing_timers", lambda spark, d: rules.missing_timers(mined(stored(kept(spark, d))).select("zone", "attacker", "ability", "casts"), spark.createDataFrame(list(_TIMERS), "name string, category string, zone string, duration_s int")), sql.TITLED + _HITS + _MINED, "select zone, attacker, ability, casts from mi where not (ability='Skill 1' and zone='Zone 1' or (ability='Skill 2' and lower(attacker)='a mob 1' and zone='Zone 2'))")

@@ -39,7 +39,7 @@ def sourced(spark, k):
 
 
 def tagged(spark, sf_dir):
-    return sourced(spark, kept(spark, sf_dir))
+    return sourced(spark, stored(kept(spark, sf_dir)))
 
 
 def padded(spark, k):
@@ -47,7 +47,7 @@ def padded(spark, k):
 
 
 def on_sources(name, run, body, prefix=None):
-    register(name, lambda spark, d: run(spark, kept(spark, d)), prefix or sql.KEPT + _TAG, body)
+    register(name, lambda spark, d: run(spark, stored(kept(spark, d))), prefix or sql.KEPT + _TAG, body)
 
 
 register("classify_source", lambda spark, d: tagged(spark, d).select("source_id", "encounter_id", "combatant", "ability", "damage", "source"), sql.KEPT + _TAG, "select source_id, encounter_id, combatant, ability, damage, source from tg")

@@ -9,7 +9,7 @@ from ..operators import archive, chat, classify, mining, reports, rules, session
 from ..sources import adapter, files
 from ..streaming import live
 from . import sql
-from .registry import kept, on_kept, on_swings, register
+from .registry import kept, on_kept, on_stored, on_swings, register
 from .registry_more import _matches
 
 # Invented definitions for the adapter's abilities (timers.DEFINITION).
@@ -158,9 +158,9 @@ on_swings("merge_rule_sets", lambda s: rules.merge_rule_sets(_pack(s), _pack(s.w
 on_swings("ensure_linked_timers", lambda s: rules.ensure_linked_timers(s.select(F.col("ability").alias("timer_name"), (F.col("category") > 1).alias("starts_timer")), s.where("category = 1").select(F.col("ability").alias("name"), F.lit("General").alias("category"), F.lit(20).alias("duration_s")).distinct()), "select distinct ability as name, 'General' as category, 20::bigint as duration_s from s where category=1 union all select distinct ability, '', 30::bigint from s where category>1 and ability not in (select ability from s where category=1)")
 
 # --- reports and archive -------------------------------------------------------
-on_kept("find_encounter", lambda k: archive.find_encounter(reports.fights(k).join(k.select("source_id", "encounter_id", "owner").distinct(), ["source_id", "encounter_id"]), k.select("source_id", "encounter_id", "owner").distinct().join(reports.fights(k), ["source_id", "encounter_id"]).where("encounter_id % 2 = 0").select("source_id", "owner", "start_ts", "end_ts", "title")).select("source_id", "encounter_id"), sql.TITLED, "select source_id, encounter_id from fights f where exists (select 1 from fights g where g.encounter_id%2=0 and g.source_id=f.source_id and g.start_ts=f.start_ts and g.end_ts=f.end_ts and g.title is not distinct from f.title)")
-on_kept("idempotent_upload", lambda k: live.idempotent_upload(reports.fights(k).select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid")), reports.fights(k).where("encounter_id % 3 = 0").select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid"))), sql.TITLED, "select distinct source_id || '/' || (encounter_id//100) as encid from fights where source_id || '/' || (encounter_id//100) not in (select source_id || '/' || (encounter_id//100) from fights where encounter_id%3=0)")
-on_kept("infer_caster", lambda k: mining.infer_caster(k.where("category in (1, 2)").withColumn("attacker", F.when(F.col("seq") % 5 == 0, "Unknown").otherwise(F.col("attacker"))), reports.fights(k)).groupBy("source_id", "encounter_id", F.col("attacker").alias("caster"), "inferred").agg(F.count("*").alias("n")), sql.TITLED, "select source_id, encounter_id, case when seq%5=0 then coalesce(title,'Unknown') else attacker end as caster, seq%5=0 and title is not null as inferred, count(*)::bigint as n from k join fights using (source_id, encounter_id) where category in (1,2) group by 1,2,3,4")
+on_stored("find_encounter", lambda k: archive.find_encounter(reports.fights(k).join(k.select("source_id", "encounter_id", "owner").distinct(), ["source_id", "encounter_id"]), k.select("source_id", "encounter_id", "owner").distinct().join(reports.fights(k), ["source_id", "encounter_id"]).where("encounter_id % 2 = 0").select("source_id", "owner", "start_ts", "end_ts", "title")).select("source_id", "encounter_id"), sql.TITLED, "select source_id, encounter_id from fights f where exists (select 1 from fights g where g.encounter_id%2=0 and g.source_id=f.source_id and g.start_ts=f.start_ts and g.end_ts=f.end_ts and g.title is not distinct from f.title)")
+on_stored("idempotent_upload", lambda k: live.idempotent_upload(reports.fights(k).select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid")), reports.fights(k).where("encounter_id % 3 = 0").select(F.concat("source_id", F.lit("/"), F.expr("encounter_id div 100")).alias("encid"))), sql.TITLED, "select distinct source_id || '/' || (encounter_id//100) as encid from fights where source_id || '/' || (encounter_id//100) not in (select source_id || '/' || (encounter_id//100) from fights where encounter_id%3=0)")
+on_stored("infer_caster", lambda k: mining.infer_caster(k.where("category in (1, 2)").withColumn("attacker", F.when(F.col("seq") % 5 == 0, "Unknown").otherwise(F.col("attacker"))), reports.fights(k)).groupBy("source_id", "encounter_id", F.col("attacker").alias("caster"), "inferred").agg(F.count("*").alias("n")), sql.TITLED, "select source_id, encounter_id, case when seq%5=0 then coalesce(title,'Unknown') else attacker end as caster, seq%5=0 and title is not null as inferred, count(*)::bigint as n from k join fights using (source_id, encounter_id) where category in (1,2) group by 1,2,3,4")
 
 
 # --- from a swing back to its line --------------------------------------------------
