@@ -134,29 +134,30 @@ def payload_combatants(stats: DataFrame, fights: DataFrame) -> DataFrame:
     )
 
 
-def _figures(rows: DataFrame, keys: list[str], fights: DataFrame) -> DataFrame:
-    amounts = F.sort_array(F.collect_list(F.when(F.col("amount") >= 0, F.col("amount"))))
-    median = F.coalesce(F.get(amounts, F.floor(F.size(amounts) / 2).cast("int")), F.lit(0))
-    c = stat_columns()
-    out = rows.groupBy(*KEY, *keys).agg(*[x.alias(k) for k, x in c.items()], median.alias("median"), F.min(F.struct("seq", "category"))["category"].alias("swingtype"), F.min("seq").alias("_seen"))
-    out = out.join(fights.select(*KEY, "duration_s"), list(KEY))
-    return out.withColumns({"encdps": rounded_rate(F.col("damage"), F.col("duration_s")), "starttime": _utc("first_ts"), "endtime": _utc("last_ts")}).withColumnsRenamed({"min_hit": "minhit", "max_hit": "maxhit", "crits": "crithits", "avoids": "blocked"})
-
-
 _FIGURES = ("damage", "encdps", "median", "minhit", "maxhit", "hits", "crithits", "blocked", "misses", "swings")
 
 
-def payload_damage_types(fanned: DataFrame, fights: DataFrame) -> DataFrame:
-    """A row for each outgoing bucket of a combatant."""
-    rows = fanned.where((F.col("direction") == "out") & (F.col("bucket") != OUT_REF)).withColumn("ability", F.lit("All"))
-    out = _figures(rows, ["combatant", "bucket", "ability"], fights)
-    return out.select(*KEY, "_seen", "combatant", F.col("bucket").alias("type"), "starttime", "endtime", *_FIGURES)
+def payload_figures(fanned: DataFrame, fights: DataFrame) -> DataFrame:
+    """A row for each outgoing bucket of a combatant (ability All), and in the bucket of
+    everything outgoing one for each ability, so that every action counts once there.
+    The upper median comes from counts of values, which tasks combine before they
+    send anything."""
+    sides = fanned.where("direction = 'out'").withColumn("ability", F.when(F.col("bucket") == OUT_REF, F.col("ability")).otherwise("All"))
+    median = F.expr("percentile_disc(0.5) within group (order by case when amount >= 0 then amount end desc)").cast("long")
+    out = sides.groupBy(*KEY, "combatant", "bucket", "ability").agg(*[x.alias(k) for k, x in stat_columns().items()], F.coalesce(median, F.lit(0).cast("long")).alias("median"), F.min(F.struct("seq", "category"))["category"].alias("swingtype"), F.min("seq").alias("_seen"))
+    out = out.join(fights.select(*KEY, "duration_s"), list(KEY))
+    return out.withColumns({"encdps": rounded_rate(F.col("damage"), F.col("duration_s")), "starttime": _utc("first_ts"), "endtime": _utc("last_ts")}).withColumnsRenamed({"min_hit": "minhit", "max_hit": "maxhit", "crits": "crithits", "avoids": "blocked"})
 
 
-def payload_attack_types(fanned: DataFrame, fights: DataFrame) -> DataFrame:
-    """A row for each ability of a combatant, every action counted once."""
-    out = _figures(fanned.where(F.col("bucket") == OUT_REF), ["combatant", "ability"], fights)
-    return out.select(*KEY, "_seen", F.col("combatant").alias("attacker"), F.col("ability").alias("type"), "swingtype", *_FIGURES)
+def _typed(figures: DataFrame) -> DataFrame:
+    """Both lists of each fight, damage types and attack types, in one grouping."""
+    damage = F.struct("_seen", "combatant", F.col("bucket").alias("type"), "starttime", "endtime", *_FIGURES)
+    attack = F.struct("_seen", F.col("combatant").alias("attacker"), F.col("ability").alias("type"), "swingtype", *_FIGURES)
+    whole = F.col("bucket") == OUT_REF
+    bare = lambda rows: F.transform(F.sort_array(rows), lambda x: x.dropFields("_seen"))
+    lists = figures.groupBy(*KEY).agg(F.collect_list(F.when(~whole, damage)).alias("d"), F.collect_list(F.when(whole, attack)).alias("a"))
+    none = lambda rows: F.when(F.size(rows) > 0, rows)
+    return lists.select(*KEY, none(bare("d")).alias("damage_types"), none(bare("a")).alias("attack_types"))
 
 
 def payloads(kept: DataFrame, fanned: DataFrame, fights: DataFrame, stats: DataFrame, server: str = "") -> DataFrame:
@@ -168,11 +169,7 @@ def payloads(kept: DataFrame, fanned: DataFrame, fights: DataFrame, stats: DataF
     n = F.col("duration_s")
     rate = F.when(n > 0, F.col("damage").cast("double") / n.cast("double")).otherwise(0.0)
     encounter = F.struct(payload_id().alias("encid"), "title", F.nullif("zone", F.lit("")).alias("zone"), _utc("start_ts").alias("starttime"), _utc("end_ts").alias("endtime"), n.alias("duration"), "damage", rate.alias("encdps"), "kills", "deaths", "success")
-    parts = [
-        _listed(payload_combatants(stats, titled), "combatants"),
-        _listed(payload_damage_types(fanned, titled), "damage_types"),
-        _listed(payload_attack_types(fanned, titled), "attack_types"),
-    ]
+    parts = [_listed(payload_combatants(stats, titled), "combatants"), _typed(payload_figures(fanned, titled))]
     out = head.select(*KEY, F.col("owner").alias("logger_name"), F.lit(server).alias("logger_server"), encounter.alias("encounter"))
     for part in parts:
         out = out.join(part, list(KEY), "left")
