@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import in_order
+
 
 def walk(owner: str, around: dict[str, dict[str, int]]) -> set[str]:
     """around[a][b]: the signed sum of what passed between a and b, seen from a.
@@ -34,15 +35,15 @@ def resolve_allies(kept: DataFrame, edges: DataFrame) -> DataFrame:
     present = kept.where((F.upper("attacker") == owner) | (F.upper("victim") == owner)).select("source_id", "encounter_id", owner.alias("owner")).distinct()
     keyed = present.join(edges, ["source_id", "encounter_id"], "left")
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(rows):
         around: dict[str, dict[str, int]] = {}
-        for a, b, value in pdf[["src", "dst", "value"]].dropna().itertuples(index=False):
-            near = around.setdefault(a.upper(), {})
-            near[b.upper()] = near.get(b.upper(), 0) + int(value)
-        allies = sorted(walk(pdf["owner"].iloc[0], around))
-        return pd.DataFrame({"source_id": pdf["source_id"].iloc[0], "encounter_id": pdf["encounter_id"].iloc[0], "ally": allies})
+        for r in rows:
+            if None not in (r.src, r.dst, r.value):
+                near = around.setdefault(r.src.upper(), {})
+                near[r.dst.upper()] = near.get(r.dst.upper(), 0) + r.value
+        return [(rows[0].source_id, rows[0].encounter_id, name) for name in sorted(walk(rows[0].owner, around))]
 
-    return keyed.groupBy("source_id", "encounter_id").applyInPandas(group, "source_id string, encounter_id long, ally string")
+    return in_order(keyed, ("source_id", "encounter_id"), ("src", "dst"), group, "source_id string, encounter_id long, ally string")
 
 
 def merged_ally_keys(allies: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
+from .ordered import in_order
 from .sessions import islands
 
 TOLERANCE = 30
@@ -90,14 +90,14 @@ def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     rows = stored(seen.select("source_id", "encounter_id", "start_ts", "end_ts", "names"))
     found = rows.join(components(seen, tolerance), ["source_id", "encounter_id"])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["end_ts", "source_id", "encounter_id"])
-        joined = join_fights(list(zip(pdf["source_id"], pdf["start_ts"], pdf["end_ts"], pdf["names"], strict=True)), tolerance)
-        first = pdf.assign(n=joined).groupby("n").first()
-        ids = (first["source_id"] + "/" + first["encounter_id"].astype(str)).to_dict()
-        return pd.DataFrame({"source_id": pdf["source_id"], "encounter_id": pdf["encounter_id"], "fight_id": [ids[n] for n in joined]})
+    def replay(rows):
+        joined = join_fights([(r.source_id, r.start_ts, r.end_ts, r.names) for r in rows], tolerance)
+        ids: dict[int, str] = {}
+        for r, n in zip(rows, joined):
+            ids.setdefault(n, f"{r.source_id}/{r.encounter_id}")
+        return [(r.source_id, r.encounter_id, ids[n]) for r, n in zip(rows, joined)]
 
-    return found.groupBy("component").applyInPandas(replay, "source_id string, encounter_id long, fight_id string")
+    return in_order(found, ("component",), ("end_ts", "source_id", "encounter_id"), replay, "source_id string, encounter_id long, fight_id string")
 
 
 def merge_combatants(members: DataFrame, stats: DataFrame, owners: DataFrame) -> DataFrame:

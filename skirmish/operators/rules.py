@@ -8,13 +8,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_control
 from ..sources.files import stored
+from .ordered import in_order
 from .sessions import islands
 
 #: Rules are typed or imported by people and go with every task; more are refused.
@@ -256,24 +256,24 @@ def rate_limit(matches: DataFrame, cooldown_s: float | None = None) -> DataFrame
     own cooldown_s or the one given.  After a pause beyond the cooldown the past
     doesn't matter: a group is a stretch between pauses."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        return pdf.assign(fires=accept_spaced(pdf["ts"], pdf["cooldown_s"].iloc[0])[0]).drop(columns=["island", "cooldown_s"])
+    def group(rows):
+        fires = accept_spaced([r.ts for r in rows], rows[0].cooldown_s)[0]
+        return [(r.source_id, r.seq, r.ts, r.rule, r.message, f) for r, f in zip(rows, fires)]
 
     cooldown = F.col("cooldown_s") if cooldown_s is None else F.lit(float(cooldown_s))
     stretches = islands(stored(matches.select("source_id", "seq", "ts", "rule", "message", cooldown.alias("cooldown_s"))), F.col("cooldown_s"), keys=("source_id", "rule"))
-    return stretches.groupBy("source_id", "rule", "island").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
+    return in_order(stretches, ("source_id", "rule", "island"), ("seq",), group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
 
 
 def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
     """The same rule and text from several logs announces once."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="island").sort_values(["ts", "source_id", "seq"])
-        return pdf[accept_spaced(pdf["ts"], within_s)[0]]
+    def group(rows):
+        fires = accept_spaced([r.ts for r in rows], within_s)[0]
+        return [(r.source_id, r.seq, r.ts, r.rule, r.message) for r, f in zip(rows, fires) if f]
 
     stretches = islands(stored(fired.select("source_id", "seq", "ts", "rule", "message")), within_s, keys=("rule", "message"), order=("ts", "source_id", "seq"))
-    return stretches.groupBy("rule", "message", "island").applyInPandas(group, "source_id string, seq long, ts long, rule string, message string")
+    return in_order(stretches, ("rule", "message", "island"), ("ts", "source_id", "seq"), group, "source_id string, seq long, ts long, rule string, message string")
 
 
 @dataclass(frozen=True)
@@ -344,13 +344,11 @@ def status_callouts(applied: DataFrame, waves: Waves = Waves()) -> DataFrame:
     """Waves of a control effect over the players of all logs: (effect, at_ts, victims).
     A victim that several logs tell of is one."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "source_id", "seq"])
-        told = waves.step({}, zip(pdf["ts"], pdf["victim"]), None)
-        return pd.DataFrame([(pdf["effect"].iloc[0], float(t), n) for t, n in told], columns=["effect", "at_ts", "victims"], dtype=object)
+    def group(rows):
+        return [(rows[0].effect, float(t), n) for t, n in waves.step({}, [(r.ts, r.victim) for r in rows], None)]
 
     stretches = islands(stored(control_hits(applied)), max(waves.within, waves.cooldown) + waves.hold, keys=("effect",), order=("ts", "source_id", "seq"))
-    return stretches.groupBy("effect", "island").applyInPandas(group, "effect string, at_ts double, victims long")
+    return in_order(stretches, ("effect", "island"), ("ts", "source_id", "seq"), group, "effect string, at_ts double, victims long")
 
 
 def uses(rows, same_use: float = 2.0):
@@ -369,14 +367,13 @@ def ability_frequency(hits: DataFrame, longest: int = 300) -> DataFrame:
     """The mean gap between uses of an ability; gaps up to 300 s count, so
     stretches between longer ones are summed apart."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        starts = uses(zip(pdf["ts"], pdf["victim"]))
+    def group(rows):
+        starts = uses([(r.ts, r.victim) for r in rows])
         gaps = [b - a for a, b in zip(starts, starts[1:]) if 0 < b - a <= longest]
-        return pd.DataFrame({"source_id": [pdf["source_id"].iloc[0]], "attacker": [pdf["attacker"].iloc[0]], "ability": [pdf["ability"].iloc[0]], "uses": [len(starts)], "gaps": [len(gaps)], "gap_s": [sum(gaps)]})
+        return [(*rows[0][:3], len(starts), len(gaps), sum(gaps))]
 
     stretches = islands(stored(hits.select("source_id", "seq", "ts", "attacker", "ability", "victim")), longest, keys=("source_id", "attacker", "ability"))
-    parts = stretches.groupBy("source_id", "attacker", "ability", "island").applyInPandas(group, "source_id string, attacker string, ability string, uses long, gaps long, gap_s long")
+    parts = in_order(stretches, ("source_id", "attacker", "ability", "island"), ("seq",), group, "source_id string, attacker string, ability string, uses long, gaps long, gap_s long")
     mean = F.when(F.sum("gaps") > 0, F.sum("gap_s") / F.sum("gaps")).otherwise(0.0)
     return parts.groupBy("source_id", "attacker", "ability").agg(F.sum("uses").alias("uses"), mean.alias("mean_gap_s"))
 
@@ -400,11 +397,9 @@ def status_pairing(status: DataFrame) -> DataFrame:
     """status(source_id, encounter_id, seq, ts, victim, ability, damage_type) ->
     every apply with its seconds, null if nothing released it."""
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        found = pair_status(list(zip(pdf["seq"], pdf["ts"], pdf["ability"], pdf["damage_type"] == "applied")))
-        head = pdf.iloc[0]
-        rows = [(head["source_id"], head["encounter_id"], head["victim"], *f) for f in found]
-        return pd.DataFrame(rows, columns=["source_id", "encounter_id", "victim", "seq", "ts", "effect", "duration_s"], dtype=object)
+    def group(rows):
+        found = pair_status([(r.seq, r.ts, r.ability, r.damage_type == "applied") for r in rows])
+        return [(*rows[0][:3], *f) for f in found]
 
-    return status.select("source_id", "encounter_id", "seq", "ts", "victim", "ability", "damage_type").groupBy("source_id", "encounter_id", "victim").applyInPandas(group, "source_id string, encounter_id long, victim string, seq long, ts long, effect string, duration_s long")
+    rows = status.select("source_id", "encounter_id", "seq", "ts", "victim", "ability", "damage_type")
+    return in_order(rows, ("source_id", "encounter_id", "victim"), ("seq",), group, "source_id string, encounter_id long, victim string, seq long, ts long, effect string, duration_s long")

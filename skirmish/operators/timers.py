@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
+from .ordered import in_order
 from .rules import BROADCAST_RULES
 from .sessions import islands
 
@@ -196,11 +197,10 @@ def recast_timers(swings: DataFrame, definitions: DataFrame, requests: DataFrame
     lasts = definitions.agg(F.max(F.ceil(F.col("duration_s") * most) + F.greatest(-F.col("remove_s"), F.lit(0)))).first()[0]
     idle = int(max([lasts or 0, SAME_CAST, *[s for _, s in debuffs.values()]])) + DEATH_GRACE
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "step"])
-        return frame(pdf["source_id"].iloc[0], advance({}, pdf.itertuples(index=False), debuffs, flush=True)[1])
+    def group(rows):
+        return [(rows[0].source_id, *bar) for bar in advance({}, rows, debuffs, flush=True)[1]]
 
-    return islands(stored(steps), idle).groupBy("source_id", "island").applyInPandas(group, BARS)
+    return in_order(islands(stored(steps), idle), ("source_id", "island"), ("seq", "step"), group, BARS)
 
 
 def timer_mods(bars: DataFrame) -> DataFrame:
