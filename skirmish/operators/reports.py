@@ -332,7 +332,10 @@ def metric_columns(rows: DataFrame, by: tuple[str, ...], metric: str) -> DataFra
     """The columns of a chart: each row's metric beside the average of its group,
     to the nearest whole number (halves to the even one)."""
     w = Window.partitionBy(*by)
-    return rows.withColumn("average", F.bround(F.sum(metric).over(w).cast("double") / F.count("*").over(w).cast("double"), 0))
+    mean = F.sum(metric).over(w).cast("double") / F.count("*").over(w).cast("double")
+    # A sum of quotients lies beside the half by a few last bits, by the order of its rows.
+    half = F.abs(F.col("average") - F.floor("average") - 0.5) < F.greatest(F.lit(1e-12), F.abs("average") * 1e-14)
+    return rows.withColumn("average", mean).withColumn("average", F.when(half, 2 * F.round(F.col("average") / 2)).otherwise(F.round("average")))
 
 
 def fight_metric_columns(stats: DataFrame, fight_rows: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
+import itertools
+
 from pyspark.sql import functions as F
 
-from skirmish.operators import rules
+from skirmish.operators import reports, rules
 
 
 def test_many_small_groups_share_a_pass(spark):
@@ -15,3 +17,11 @@ def test_many_small_groups_share_a_pass(spark):
 def test_a_missing_key_is_a_group(spark):
     rows = spark.createDataFrame([("log", 1, 1, 5, None, "stunned", "applied"), ("log", 1, 2, 8, None, "any", "released"), ("log", 1, 3, 9, "P", "dazed", "applied")], "source_id string, encounter_id long, seq long, ts long, victim string, ability string, damage_type string")
     assert sorted((r["seq"], r["victim"], r["duration_s"]) for r in rules.status_pairing(rows).collect()) == [(1, None, 3), (3, "P", None)]
+
+
+def test_halves_go_to_even_whatever_the_order(spark):
+    """Together 12339 / 54 = 228.5."""
+    values = [1940 / 18, 9061 / 18, 1338 / 18]
+    rows = [(g, v) for g, order in enumerate(itertools.permutations(values)) for v in order]
+    got = reports.metric_columns(spark.createDataFrame(rows, "g int, v double").coalesce(1), ("g",), "v")
+    assert {r["average"] for r in got.collect()} == {228.0}
