@@ -175,10 +175,15 @@ def agreement(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """left join right on keys; those in hot (a few rows) by a broadcast."""
-    few = F.broadcast(hot)
-    return left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys).unionByName(left.join(few, keys, "left_anti").join(right, keys))
+def _hot_join(pieces: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame:
+    """pieces with `kept` of the shared digest each has; others drop out.  What hot
+    digests (a few rows) keep is broadcast and written beside every piece, as each has
+    one at most; the rest is joined by a shuffle."""
+    keys = ["high", "low"]
+    few = F.broadcast(shared.join(F.broadcast(hot), keys, "left_semi").withColumnRenamed("kept", "hot_kept"))
+    marked = pieces.join(few, keys, "left")
+    told = marked.where("hot_kept is not null").withColumnRenamed("hot_kept", "kept").select(*pieces.columns, "kept")
+    return told.unionByName(marked.where("hot_kept is null").join(shared, keys).select(*pieces.columns, "kept"))
 
 
 def _window(size: str):
@@ -235,7 +240,7 @@ def decided_spans(docs: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
     shared = stored(counted.where("kept.doc_id < last").select("high", "low", "n", "kept"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = shared.where(F.col("n") > total / HOT_SHARE).select("high", "low")  # fewer than HOT_SHARE rows
-    found = _hot_join(pieces, shared.select("high", "low", "kept"), ["high", "low"], hot)
+    found = _hot_join(pieces, shared.select("high", "low", "kept"), hot)
     chunk = F.struct("start", "length", F.col("kept.doc_id").alias("doc"), F.col("kept.sig").alias("text"), F.col("kept.start").alias("at"))
     by_text = found.groupBy("doc_id", "sig").agg(F.collect_set(chunk).alias("shared"))
 
