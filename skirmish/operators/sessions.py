@@ -15,6 +15,8 @@ from ..functions.scalars import is_hostile, is_self_damage
 IDLE = 6
 #: Rows of a source that a window handles before parts are stitched together.
 PART_ROWS = 100_000
+#: Rows that a task of `segment` sorts; with its windows they take some 4 KB each.
+TASK_ROWS = 150_000
 
 
 def _beside(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -48,8 +50,14 @@ def islands(swings: DataFrame, idle=IDLE, part_rows: int = PART_ROWS, keys: tupl
 def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) -> DataFrame:
     """The actions within encounters, with encounter_id (the seq of the first
     hostile action) and time_sorter (the place in the encounter).  Names that differ in
-    case only are one combatant, under the first spelling of the fight."""
+    case only are one combatant, under the first spelling of the fight.  Where the
+    session's number of partitions would give a task more than TASK_ROWS, islands and
+    fights are dealt to more of them, so that a task's memory doesn't grow with the log."""
     s = islands(swings, idle, part_rows).withColumn("hostile", is_hostile())
+    tasks = -(-swings.count() // TASK_ROWS)
+    many = tasks > int(swings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if many:
+        s = s.repartition(tasks, "source_id", "island")
     order = Window.partitionBy("source_id", "island").orderBy("seq")
     s = s.withColumn("_hg", F.sum(F.col("hostile").cast("int")).over(order))
     run = Window.partitionBy("source_id", "island", "_hg").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +70,9 @@ def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) ->
     fight = ("source_id", "island", "encounter_id")
     kept = one_spelling(s.where(F.col("hostile") | ((F.col("category") != 0) & ~ended)), fight)
     place = F.row_number().over(Window.partitionBy(*fight).orderBy("seq"))
-    return kept.withColumn("time_sorter", place.cast("long")).drop("island", "_hg", "_hts", "_top", "_open")
+    out = kept.withColumn("time_sorter", place.cast("long")).drop("island", "_hg", "_hts", "_top", "_open")
+    # Dealt by fight once more, what is grouped by fight next stays in as many tasks.
+    return out.repartition(tasks, "source_id", "encounter_id") if many else out
 
 
 def one_spelling(kept: DataFrame, fight: tuple[str, ...] = ("source_id", "encounter_id")) -> DataFrame:

@@ -16,17 +16,20 @@ OUT_REF, IN_REF = "All Outgoing (Ref)", "All Incoming (Ref)"
 POLARITY = {1: -1, 2: -1, 3: 1, 10: -1, 13: 1, 16: -1, 20: 0, 30: 0}
 
 
-def _buckets(table: dict[int, tuple[str, ...]], ref: str) -> Column:
+def _sides(table: dict[int, tuple[str, ...]], ref: str, combatant: str, other: str, direction: str, counts: Column) -> Column:
+    """A struct for each bucket that an action feeds on one side."""
     pairs = [F.lit(x) if not isinstance(x, tuple) else F.array(*[F.lit(b) for b in x]) for k, names in table.items() for x in (k, (*names, ref))]
-    return F.create_map(*pairs)[F.col("category")]
+    fed = F.when(counts, F.create_map(*pairs)[F.col("category")])
+    told = F.transform(fed, lambda b: F.struct(F.col(combatant).alias("combatant"), F.col(other).alias("other"), F.lit(direction).alias("direction"), b.alias("bucket")))
+    return F.coalesce(told, F.array().cast("array<struct<combatant:string,other:string,direction:string,bucket:string>>"))
 
 
 def bucket_fanout(kept: DataFrame) -> DataFrame:
-    """A row for each (combatant, bucket) that an action counts in.  Damage to
-    oneself counts as taken only."""
-    out = kept.where(~is_self_damage()).withColumn("combatant", F.col("attacker")).withColumn("other", F.col("victim")).withColumn("direction", F.lit("out")).withColumn("bucket", F.explode(_buckets(OUT, OUT_REF)))
-    into = kept.withColumn("combatant", F.col("victim")).withColumn("other", F.col("attacker")).withColumn("direction", F.lit("in")).withColumn("bucket", F.explode(_buckets(IN, IN_REF)))
-    return out.unionByName(into)
+    """A row for each (combatant, bucket) that an action counts in, from one pass over
+    the actions.  Damage to oneself counts as taken only."""
+    out = _sides(OUT, OUT_REF, "attacker", "victim", "out", ~is_self_damage())
+    into = _sides(IN, IN_REF, "victim", "attacker", "in", F.lit(True))
+    return kept.withColumn("_side", F.explode(F.concat(out, into))).select(*kept.columns, "_side.*")
 
 
 def count_if(condition: Column) -> Column:
