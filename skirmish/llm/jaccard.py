@@ -27,8 +27,9 @@ and is counted by itself, and partial overlaps are summed per pair.
 5. The overlap of a pair is counted in each fragment of the global order and
    summed; 7 * overlap >= 3 * (n + m) is the exact condition of a link.
 
-class_links counts the links that were tested; pairs whose classes lie in one
-component already aren't, so it is a lower bound where three or more classes link.
+6. Links never leave a component, so they are counted there, all of them: in blocks
+   of a component, members meet through the n-grams they share, and only the number
+   of links of each member leaves the task.  Those of copies are counted by class.
 
 Shingles are compared as 64-bit hashes, classes as 64-bit hashes of their sets.
 
@@ -73,6 +74,8 @@ SIZE_STEP = 1.34
 #: that hold the n-gram.
 ORDER_CUTS = (3, 9)
 MAX_STARS = 2
+#: N-grams and members of a component in a block in which links are counted.
+COUNT_GRAMS, COUNT_MEMBERS = 500_000, 2048
 #: Longs in the bitmap of a class.
 BITMAP = 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -480,9 +483,63 @@ def class_links(members: DataFrame, max_stars: int | None = None) -> tuple[DataF
     return links, labels
 
 
-def _linked(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+COUNTED = T.StructType([T.StructField("c", T.LongType()), T.StructField("links", T.LongType()), T.StructField("doc_links", T.LongType())])
+
+
+def link_counts(members: DataFrame, labels: DataFrame, copies: DataFrame) -> DataFrame:
+    """(c, links, doc_links) of every class with a link: the classes that it links with,
+    and their rows by copies(class, copies).  labels(node, root): the components, which
+    no link leaves.  A component's members are dealt to blocks, and each pair of blocks
+    is counted by itself; small components share a task's group."""
+    shared = F.col("shared").cast("long")
+    rows = members.join(labels, F.col("class") == F.col("node")).join(copies, "class").select("root", F.col("class").alias("c"), "n", "copies", "shared", "segments")
+    by_root = rows.groupBy("root").agg(F.greatest(F.ceil(F.sum(shared) / COUNT_GRAMS), F.ceil(F.count("*") / COUNT_MEMBERS)).alias("blocks"), F.sum(shared).alias("grams"))
+    parts = max(1, math.ceil((by_root.agg(F.sum(F.col("grams") * F.col("blocks"))).first()[0] or 0) / COUNT_GRAMS))
+    dealt = rows.join(by_root.select("root", "blocks"), "root").withColumn("own", F.pmod(F.xxhash64("c"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.struct("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.withColumn("key", key).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        pair = table.column("key").combine_chunks()
+        root, i, j = (pair.field(x).to_numpy() for x in ("root", "i", "j"))
+        table_order = np.lexsort((j, i, root))
+        root, i, j = root[table_order], i[table_order], j[table_order]
+        c, n, copies_, own = (table.column(x).to_numpy()[table_order] for x in ("c", "n", "copies", "own"))
+        sets = table.column("segments").to_pylist()
+        grams = [np.frombuffer(b"".join(sets[at]), np.uint64) for at in table_order]
+        del sets
+        new = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        links, doc_links = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(c)]):
+            size, weight, side = n[a:b].astype(np.int64), copies_[a:b], own[a:b]
+            across = i[a] != j[a]
+            found, at, spread = np.unique(np.concatenate(grams[a:b]), return_inverse=True, return_counts=True)
+            lengths = np.array([len(g) for g in grams[a:b]])
+            holders = np.repeat(np.arange(b - a), lengths)[np.argsort(at, kind="stable")]  # by n-gram
+            starts = np.cumsum(spread) - spread
+            ends = np.cumsum(lengths)
+            for x in range(b - a):
+                held = at[ends[x] - lengths[x] : ends[x]]
+                overlap = np.zeros(b - a, np.int64)
+                for lo in range(0, len(held), 512):
+                    some = held[lo : lo + 512]
+                    many = spread[some]
+                    place = np.repeat(starts[some] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    overlap += np.bincount(holders[place], minlength=b - a)
+                linked = 7 * overlap >= 3 * (size[x] + size)
+                linked[x] = False
+                if across:
+                    linked &= side != side[x]
+                links[a + x], doc_links[a + x] = linked.sum(), weight[linked].sum()
+        return pa.table([pa.array(c), pa.array(links), pa.array(doc_links)], names=COUNTED.names)
+
+    return dealt.select("part", "key", "c", "n", "copies", "own", "segments").groupBy("part").applyInArrow(run, COUNTED).groupBy("c").agg(F.sum("links").alias("links"), F.sum("doc_links").alias("doc_links"))
+
+
+def _linked(docs: DataFrame, size: int, count: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): every row's set, and every class with the least doc_id
-    that holds it, its component, the component's root and its links."""
+    that holds it, its component, the component's root and, if they are counted, its
+    links to other classes (links) and their rows with its other own ones (doc_links)."""
     sets = stored(document_sets(docs, size))
     classes = stored(sets.where("n_shingles > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
     n, total, copies = classes.agg(F.count("*"), F.sum("n"), F.sum("copies")).first()
@@ -491,25 +548,30 @@ def _linked(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         often = classes.where(F.col("copies") > max(1, copies / HOT_CLASSES)).select("class", "rep").collect()  # fewer than HOT_CLASSES rows
         fragments = to_fragments(docs, parts, size, hot_grams(sets), {r["class"]: r["rep"] for r in often})
         members = stored(linkable(shared_grams(fragments, parts)))
-        links, labels = class_links(members)
+        _, labels = class_links(members)
         if labels is not None:
             rooted = classes.join(labels, F.col("class") == F.col("node"))
             roots = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-            degree = links.select("a", "b").union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links"))
-            classes = classes.join(labels, F.col("class") == F.col("node"), "left").drop("node").join(roots, "root", "left").join(degree, F.col("class") == F.col("a"), "left").select("class", "rep", F.coalesce("root", "class").alias("root"), F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+            counted = link_counts(members, labels, classes.select("class", "copies")) if count else None
+            classes = classes.join(labels, F.col("class") == F.col("node"), "left").drop("node").join(roots, "root", "left").select("class", "rep", "copies", F.coalesce("root", "class").alias("root"), F.coalesce("component", "rep").alias("component"))
+            if count:
+                classes = classes.join(counted, F.col("class") == F.col("c"), "left").drop("c")
     if "component" not in classes.columns:
-        classes = classes.select("class", "rep", F.col("class").alias("root"), F.col("rep").alias("component"), F.lit(0).cast("long").alias("links"))
-    return sets, classes
+        classes = classes.select("class", "rep", "copies", F.col("class").alias("root"), F.col("rep").alias("component"))
+    none = F.lit(0).cast("long")
+    of = lambda c: F.coalesce(c, none) if c in classes.columns else none
+    return sets, classes.select("class", "rep", "root", "component", of("links").alias("links"), (of("doc_links") + F.col("copies") - 1).alias("doc_links"))
 
 
 def link_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Every document with n_shingles, component_id (the least doc_id that links
-    reach), class_id (of equal sets: their least doc_id) and class_links (the
-    links that were tested, see above)."""
-    sets, classes = _linked(docs, size)
+    reach), class_id (of equal sets: their least doc_id), class_links (the other
+    classes that its own links with) and doc_links (the rows that it links with, copies
+    included); both are 0 for a row without a doc_id."""
+    sets, classes = _linked(docs, size, count=True)
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     joined = sets.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce(own, F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"), F.coalesce(own, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("links")).otherwise(0).alias("class_links"))
+    return joined.select("doc_id", "n_shingles", F.coalesce(own, F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"), F.coalesce(own, F.when(F.col("doc_id").isNotNull(), F.col("rep"))).alias("class_id"), *[F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).otherwise(0).alias(name) for c, name in (("links", "class_links"), ("doc_links", "doc_links"))])
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -114,3 +114,37 @@ def test_keep_one_keeps_the_least_of_each_group(spark):
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {r["node"]: r["root"] for r in jaccard.components(edges).collect()} == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
+
+
+def link_numbers(rows):
+    """doc_id: (links to other sets, links to other rows), by all pairs."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    sets = {}
+    for doc, text, *_ in rows:
+        w = word.findall(text.lower())
+        sets[doc] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    meet = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    distinct = set(sets.values())
+    return {d: (sum(meet(s, o) for o in distinct if o != s), sum(meet(s, o) for e, o in sets.items() if e != d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("grams, members", [(500_000, 2048), (300, 2048), (500_000, 3)])
+def test_every_link_within_a_component_counts(spark, monkeypatch, grams, members):
+    """Dense groups, in which stars leave most pairs untested, and copies."""
+    import random
+
+    monkeypatch.setattr(jaccard, "COUNT_GRAMS", grams)
+    monkeypatch.setattr(jaccard, "COUNT_MEMBERS", members)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(500)}"
+            rows += [(len(rows) + i, " ".join(w), "en", "s", 0) for i in range(rng.randint(1, 3))]
+    out = jaccard.link_documents(frame(spark, rows).repartition(3)).collect()
+    want = link_numbers(rows)
+    assert {r["doc_id"]: (r["class_links"], r["doc_links"]) for r in out} == want
+    assert max(n for n, _ in want.values()) > 5
