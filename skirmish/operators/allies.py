@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import stored
 from .ordered import in_order
 
 
@@ -33,7 +34,7 @@ def resolve_allies(kept: DataFrame, edges: DataFrame) -> DataFrame:
     the summed edges of one encounter, at most a few hundred names squared."""
     owner = F.upper("owner")
     present = kept.where((F.upper("attacker") == owner) | (F.upper("victim") == owner)).select("source_id", "encounter_id", owner.alias("owner")).distinct()
-    keyed = present.join(edges, ["source_id", "encounter_id"], "left")
+    keyed = stored(present.join(edges, ["source_id", "encounter_id"], "left"))
 
     def group(rows):
         around: dict[str, dict[str, int]] = {}
@@ -43,7 +44,7 @@ def resolve_allies(kept: DataFrame, edges: DataFrame) -> DataFrame:
                 near[r.dst.upper()] = near.get(r.dst.upper(), 0) + r.value
         return [(rows[0].source_id, rows[0].encounter_id, name) for name in sorted(walk(rows[0].owner, around))]
 
-    return in_order(keyed, ("source_id", "encounter_id"), ("src", "dst"), group, "source_id string, encounter_id long, ally string")
+    return in_order(keyed, ("source_id", "encounter_id"), ("src", "dst"), group, "source_id string, encounter_id long, ally string", keyed.count())
 
 
 def merged_ally_keys(allies: DataFrame, members: DataFrame) -> DataFrame:

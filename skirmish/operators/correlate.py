@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import stored
 from .ordered import in_order
-from .sessions import islands
+from .sessions import dealt, islands
 
 TOLERANCE = 30
 
@@ -68,9 +68,10 @@ def components(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     members = rows.select("source_id", "encounter_id", "component")
     nodes = rows.select("component", "zone", F.col("start_ts").alias("ts"), "end_ts", F.explode("names").alias("name"))
     while True:
-        near = islands(nodes, tolerance, keys=("zone", "name"), order=("ts", "component"), until="end_ts")
+        count = nodes.count()
+        near = islands(nodes, tolerance, keys=("zone", "name"), order=("ts", "component"), until="end_ts", rows=count)
         least = F.min("component").over(Window.partitionBy("zone", "name", "island"))
-        labels = stored(near.withColumn("_to", least).groupBy("component").agg(F.min("_to").alias("to")))
+        labels = stored(dealt(near, count, "zone", "name", "island").withColumn("_to", least).groupBy("component").agg(F.min("_to").alias("to")))
         if labels.where("to <> component").isEmpty():
             return members
         # Twice along the labels, so that chains shrink faster.
@@ -78,7 +79,7 @@ def components(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
             labels = labels.join(labels.select(F.col("component").alias("to"), F.col("to").alias("_next")), "to").select("component", F.col("_next").alias("to"))
         labels = stored(labels)
         members = stored(members.join(labels, "component", "left").select("source_id", "encounter_id", F.coalesce("to", "component").alias("component")))
-        moved = nodes.join(labels, "component").drop("component").withColumnRenamed("to", "component")
+        moved = dealt(nodes.join(labels, "component").drop("component").withColumnRenamed("to", "component"), count, "component")
         whole = Window.partitionBy("component")
         nodes = stored(moved.withColumns({"ts": F.min("ts").over(whole), "end_ts": F.max("end_ts").over(whole)}).select("component", "zone", "ts", "end_ts", "name").distinct())
 
@@ -97,7 +98,7 @@ def correlate_fights(seen: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
             ids.setdefault(n, f"{r.source_id}/{r.encounter_id}")
         return [(r.source_id, r.encounter_id, ids[n]) for r, n in zip(rows, joined)]
 
-    return in_order(found, ("component",), ("end_ts", "source_id", "encounter_id"), replay, "source_id string, encounter_id long, fight_id string")
+    return in_order(found, ("component",), ("end_ts", "source_id", "encounter_id"), replay, "source_id string, encounter_id long, fight_id string", rows.count())
 
 
 def merge_combatants(members: DataFrame, stats: DataFrame, owners: DataFrame) -> DataFrame:

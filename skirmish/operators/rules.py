@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_control
-from ..sources.files import stored
-from .ordered import in_order
-from .sessions import islands
+from .ordered import in_order, in_stretches
 
 #: Rules are typed or imported by people and go with every task; more are refused.
 MOST_RULES = 20_000
@@ -261,8 +259,8 @@ def rate_limit(matches: DataFrame, cooldown_s: float | None = None) -> DataFrame
         return [(r.source_id, r.seq, r.ts, r.rule, r.message, f) for r, f in zip(rows, fires)]
 
     cooldown = F.col("cooldown_s") if cooldown_s is None else F.lit(float(cooldown_s))
-    stretches = islands(stored(matches.select("source_id", "seq", "ts", "rule", "message", cooldown.alias("cooldown_s"))), F.col("cooldown_s"), keys=("source_id", "rule"))
-    return in_order(stretches, ("source_id", "rule", "island"), ("seq",), group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
+    rows = matches.select("source_id", "seq", "ts", "rule", "message", cooldown.alias("cooldown_s"))
+    return in_stretches(rows, F.col("cooldown_s"), ("source_id", "rule"), ("seq",), group, "source_id string, seq long, ts long, rule string, message string, fires boolean")
 
 
 def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
@@ -272,8 +270,8 @@ def cross_source_dedupe(fired: DataFrame, within_s: float = 2.0) -> DataFrame:
         fires = accept_spaced([r.ts for r in rows], within_s)[0]
         return [(r.source_id, r.seq, r.ts, r.rule, r.message) for r, f in zip(rows, fires) if f]
 
-    stretches = islands(stored(fired.select("source_id", "seq", "ts", "rule", "message")), within_s, keys=("rule", "message"), order=("ts", "source_id", "seq"))
-    return in_order(stretches, ("rule", "message", "island"), ("ts", "source_id", "seq"), group, "source_id string, seq long, ts long, rule string, message string")
+    rows = fired.select("source_id", "seq", "ts", "rule", "message")
+    return in_stretches(rows, within_s, ("rule", "message"), ("ts", "source_id", "seq"), group, "source_id string, seq long, ts long, rule string, message string")
 
 
 @dataclass(frozen=True)
@@ -347,8 +345,7 @@ def status_callouts(applied: DataFrame, waves: Waves = Waves()) -> DataFrame:
     def group(rows):
         return [(rows[0].effect, float(t), n) for t, n in waves.step({}, [(r.ts, r.victim) for r in rows], None)]
 
-    stretches = islands(stored(control_hits(applied)), max(waves.within, waves.cooldown) + waves.hold, keys=("effect",), order=("ts", "source_id", "seq"))
-    return in_order(stretches, ("effect", "island"), ("ts", "source_id", "seq"), group, "effect string, at_ts double, victims long")
+    return in_stretches(control_hits(applied), max(waves.within, waves.cooldown) + waves.hold, ("effect",), ("ts", "source_id", "seq"), group, "effect string, at_ts double, victims long")
 
 
 def uses(rows, same_use: float = 2.0):
@@ -372,8 +369,8 @@ def ability_frequency(hits: DataFrame, longest: int = 300) -> DataFrame:
         gaps = [b - a for a, b in zip(starts, starts[1:]) if 0 < b - a <= longest]
         return [(*rows[0][:3], len(starts), len(gaps), sum(gaps))]
 
-    stretches = islands(stored(hits.select("source_id", "seq", "ts", "attacker", "ability", "victim")), longest, keys=("source_id", "attacker", "ability"))
-    parts = in_order(stretches, ("source_id", "attacker", "ability", "island"), ("seq",), group, "source_id string, attacker string, ability string, uses long, gaps long, gap_s long")
+    rows = hits.select("source_id", "seq", "ts", "attacker", "ability", "victim")
+    parts = in_stretches(rows, longest, ("source_id", "attacker", "ability"), ("seq",), group, "source_id string, attacker string, ability string, uses long, gaps long, gap_s long")
     mean = F.when(F.sum("gaps") > 0, F.sum("gap_s") / F.sum("gaps")).otherwise(0.0)
     return parts.groupBy("source_id", "attacker", "ability").agg(F.sum("uses").alias("uses"), mean.alias("mean_gap_s"))
 

@@ -15,10 +15,18 @@ from ..functions.scalars import is_hostile, is_self_damage
 IDLE = 6
 #: Rows of a source that a window handles before parts are stitched together.
 PART_ROWS = 100_000
-#: Rows that a task of `segment` sorts; with its windows they take some 4 KB each.
+#: Rows that a task of a machine or a window sorts; with those of `segment` they take some
+#: 4 KB each.
 TASK_ROWS = 150_000
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by its keys in as many tasks as so many rows need, so that a task's memory
+    doesn't grow with the log; as it is where the session's partitions do."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _beside(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Joins on equal keys, null with null."""
     named = few.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
@@ -26,20 +34,22 @@ def _beside(rows: DataFrame, few: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def islands(swings: DataFrame, idle=IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",), until: str = "ts") -> DataFrame:
+def islands(swings: DataFrame, idle=IDLE, part_rows: int = PART_ROWS, keys: tuple[str, ...] = ("source_id",), order: tuple[str, ...] = ("seq",), until: str = "ts", rows: int | None = None) -> DataFrame:
     """Adds island: the seq of the last line at or before this one that comes
     more than `idle` after every earlier line of its source.  No encounter
     crosses an island, so one giant log is worked on in parallel.  Windows run
     over parts of a source; only a row a part runs over the whole source.
     Other keys and orders do for other machines with a bounded memory; rows
     without a key keep to themselves, as in a group.  Rows that last name the
-    column of their end in `until`.  idle may be a column that is constant by key."""
+    column of their end in `until`.  idle may be a column that is constant by key.
+    rows: how many there are, if that is known; parts are dealt to as many tasks as
+    they need."""
     s = swings.withColumn("_part", F.expr(f"{order[0]} div {int(part_rows)}"))
     by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
     by_source = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tops = s.groupBy(*keys, "_part").agg(F.max(until).alias("_top")).select(*keys, "_part", F.max("_top").over(by_source).alias("_earlier"))
-    s = _beside(s, tops, (*keys, "_part"))
+    s = dealt(_beside(s, tops, (*keys, "_part")), swings.count() if rows is None else rows, *keys, "_part")
     latest = F.greatest(F.max(until).over(before), F.col("_earlier"))
     s = s.withColumn("_cut", F.when(latest.isNull() | (F.col("ts") - latest > idle), F.col(order[0])))
     carried = s.groupBy(*keys, "_part").agg(F.max("_cut").alias("_c")).select(*keys, "_part", F.max("_c").over(by_source).alias("_carried"))
@@ -52,12 +62,9 @@ def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) ->
     hostile action) and time_sorter (the place in the encounter).  Names that differ in
     case only are one combatant, under the first spelling of the fight.  Where the
     session's number of partitions would give a task more than TASK_ROWS, islands and
-    fights are dealt to more of them, so that a task's memory doesn't grow with the log."""
-    s = islands(swings, idle, part_rows).withColumn("hostile", is_hostile())
-    tasks = -(-swings.count() // TASK_ROWS)
-    many = tasks > int(swings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if many:
-        s = s.repartition(tasks, "source_id", "island")
+    fights are dealt to more of them."""
+    rows = swings.count()
+    s = dealt(islands(swings, idle, part_rows, rows=rows).withColumn("hostile", is_hostile()), rows, "source_id", "island")
     order = Window.partitionBy("source_id", "island").orderBy("seq")
     s = s.withColumn("_hg", F.sum(F.col("hostile").cast("int")).over(order))
     run = Window.partitionBy("source_id", "island", "_hg").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +79,7 @@ def segment(swings: DataFrame, idle: int = IDLE, part_rows: int = PART_ROWS) ->
     place = F.row_number().over(Window.partitionBy(*fight).orderBy("seq"))
     out = kept.withColumn("time_sorter", place.cast("long")).drop("island", "_hg", "_hts", "_top", "_open")
     # Dealt by fight once more, what is grouped by fight next stays in as many tasks.
-    return out.repartition(tasks, "source_id", "encounter_id") if many else out
+    return dealt(out, rows, "source_id", "encounter_id")
 
 
 def one_spelling(kept: DataFrame, fight: tuple[str, ...] = ("source_id", "encounter_id")) -> DataFrame:

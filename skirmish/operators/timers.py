@@ -11,10 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import stored
-from .ordered import in_order
+from .ordered import in_stretches
 from .rules import BROADCAST_RULES
-from .sessions import islands
 
 DEFINITION = "ord long, name string, category string, zone string, enabled boolean, duration_s int, warning_s int, remove_s int, absolute boolean, restrict_me boolean, restrict_category boolean, modable boolean, panel1 boolean, panel2 boolean"
 BARS = "source_id string, timer_key string, timer string, caster string, start_ts long, base_s long, planned_s long, length_s long, warned_ts long, expired_ts long, gone_ts long, replaced boolean, panel1 boolean, panel2 boolean, lengths array<struct<from_ts:bigint,length_s:bigint>>"
@@ -200,7 +198,7 @@ def recast_timers(swings: DataFrame, definitions: DataFrame, requests: DataFrame
     def group(rows):
         return [(rows[0].source_id, *bar) for bar in advance({}, rows, debuffs, flush=True)[1]]
 
-    return in_order(islands(stored(steps), idle), ("source_id", "island"), ("seq", "step"), group, BARS)
+    return in_stretches(steps, idle, ("source_id",), ("seq", "step"), group, BARS)
 
 
 def timer_mods(bars: DataFrame) -> DataFrame:

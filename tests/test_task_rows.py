@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from skirmish.operators import sessions, stats
+from skirmish.operators import rules, sessions, stats
 from skirmish.sources import adapter
 
 DIR = "/root/testdata/sf0.001"
@@ -21,3 +21,17 @@ def test_fan_out_reads_the_actions_once(spark):
     fanned = stats.bucket_fanout(sessions.segment(adapter.swings(spark, DIR)))
     assert "Union" not in fanned._jdf.queryExecution().optimizedPlan().toString()
     assert fanned.where(F.col("bucket").isNull()).isEmpty()
+
+
+def test_parts_are_dealt_too(spark, monkeypatch):
+    """The windows over parts of a log, and machines over stretches of it."""
+    rows = adapter.swings(spark, DIR)
+    hits = rows.where("category in (1, 2)").select("source_id", "seq", "ts", "attacker", "ability", "victim")
+    ran = lambda df: sorted(map(str, df.collect()))
+    island, uses = sessions.islands(rows, part_rows=50).select("seq", "island"), rules.ability_frequency(hits)
+    want = ran(island), ran(uses)
+    monkeypatch.setattr(sessions, "TASK_ROWS", rows.count() // 10)
+    island, uses = sessions.islands(rows, part_rows=50).select("seq", "island"), rules.ability_frequency(hits)
+    for df, times in ((island, 1), (uses, 2)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= times
+    assert (ran(island), ran(uses)) == want
