@@ -11,6 +11,9 @@ from ..sources import adapter
 from ..sources.files import stored
 from . import sql
 
+#: How many partitions a shuffle has before adaptive execution puts small ones together.
+FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,8 +35,24 @@ window = sessions.encounter_window
 combatants = stats.combatant_stats
 
 
+def sized(run):
+    """A query whose shuffles begin with as many partitions as its events need: adaptive
+    execution puts small ones together but divides none, so with a fixed number what a
+    task sorts or groups would grow with the log.  The session's own number stays."""
+
+    def query(spark, sf_dir):
+        tasks = -(-adapter.events(spark, sf_dir).count() // sessions.TASK_ROWS)
+        if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            spark.conf.set(FIRST_PARTITIONS, str(tasks))
+        else:
+            spark.conf.unset(FIRST_PARTITIONS)
+        return run(spark, sf_dir)
+
+    return query
+
+
 def register(name, run, prefix=None, body=None):
-    QUERIES[name] = run
+    QUERIES[name] = sized(run)
     if body:
         ORACLES[name] = sql.query(prefix, body)
 

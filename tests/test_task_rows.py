@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from skirmish.operators import rules, sessions, stats
+from skirmish.plans import registry
 from skirmish.sources import adapter
 
 DIR = "/root/testdata/sf0.001"
@@ -35,3 +36,13 @@ def test_parts_are_dealt_too(spark, monkeypatch):
     for df, times in ((island, 1), (uses, 2)):
         assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= times
     assert (ran(island), ran(uses)) == want
+
+
+def test_shuffles_of_a_query_begin_with_enough_partitions(spark, monkeypatch):
+    rows, own = adapter.swings(spark, DIR).count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda: registry.sized(lambda s, d: adapter.swings(s, d).groupBy("ability").count())(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert f", {own})" in dealt()
+    monkeypatch.setattr(sessions, "TASK_ROWS", rows // 10)
+    assert f", {-(-rows // (rows // 10))})" in dealt()
+    monkeypatch.undo()
+    assert f", {own})" in dealt() and int(spark.conf.get("spark.sql.shuffle.partitions")) == own
