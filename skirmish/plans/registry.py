@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from . import sql
 
 #: How many partitions a shuffle has before adaptive execution puts small ones together.
 FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: What a task reads of files, and of a shuffle whose small partitions are put together:
+#: rows take some 20 times as much when they are sorted.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20}
+#: The session's own settings while those of TASK_BYTES hold.
+_OWN_BYTES: dict[str, str] = {}
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,17 +42,31 @@ window = sessions.encounter_window
 combatants = stats.combatant_stats
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark's settings have it: 134217728, 16m, 64MB."""
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)i?b?", text.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def sized(run):
     """A query whose shuffles begin with as many partitions as its events need: adaptive
     execution puts small ones together but divides none, so with a fixed number what a
-    task sorts or groups would grow with the log.  The session's own number stays."""
+    task sorts or groups would grow with the log.  Then a task's bytes are bounded too
+    (TASK_BYTES), as what is read or put together at once would grow up to 128 and 64 MB.
+    The session's own number stays; its bytes come back with a query of few events."""
 
     def query(spark, sf_dir):
         tasks = -(-adapter.events(spark, sf_dir).count() // sessions.TASK_ROWS)
         if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
             spark.conf.set(FIRST_PARTITIONS, str(tasks))
+            for key, most in TASK_BYTES.items():
+                if key not in _OWN_BYTES and _bytes(spark.conf.get(key)) > most:
+                    _OWN_BYTES[key] = spark.conf.get(key)
+                    spark.conf.set(key, f"{most}b")
         else:
             spark.conf.unset(FIRST_PARTITIONS)
+            while _OWN_BYTES:
+                spark.conf.set(*_OWN_BYTES.popitem())
         return run(spark, sf_dir)
 
     return query

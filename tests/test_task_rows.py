@@ -46,3 +46,16 @@ def test_shuffles_of_a_query_begin_with_enough_partitions(spark, monkeypatch):
     assert f", {-(-rows // (rows // 10))})" in dealt()
     monkeypatch.undo()
     assert f", {own})" in dealt() and int(spark.conf.get("spark.sql.shuffle.partitions")) == own
+
+
+def test_bytes_of_a_task_are_bounded_while_events_are_many(spark, monkeypatch):
+    own = {key: spark.conf.get(key) for key in registry.TASK_BYTES}
+    now = lambda: {key: registry._bytes(spark.conf.get(key)) for key in own}
+    query = registry.sized(lambda s, d: now())
+    assert query(spark, DIR) == {key: registry._bytes(x) for key, x in own.items()}
+    monkeypatch.setattr(sessions, "TASK_ROWS", adapter.swings(spark, DIR).count() // 10)
+    assert query(spark, DIR) == query(spark, DIR) == registry.TASK_BYTES
+    monkeypatch.undo()
+    query(spark, DIR)
+    assert {key: spark.conf.get(key) for key in own} == own
+    assert [registry._bytes(x) for x in ("134217728b", "64MB", "16m", "1g", "7")] == [134217728, 64 << 20, 16 << 20, 1 << 30, 7]
