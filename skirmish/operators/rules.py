@@ -178,15 +178,15 @@ def _expanded(template: str, pattern: Pattern, group) -> str:
 
 #: Seconds that a pattern may take for one line.
 BUDGET_S = 0.1
-MATCHES = "source_id string, seq long, ts long, message string, rule string, attacker string, victim string, text string, cooldown_s double"
+MATCHES = "source_id string, seq long, ts long, message string, rule string, attacker string, victim string, text string, cooldown_s double, zone string"
 
 
 def match_rules(lines: DataFrame, rules: DataFrame, budget_s: float = BUDGET_S) -> DataFrame:
     """lines(source_id, seq, ts, zone, message, owner) x rules(rule, regex, literal,
     zone, enabled; sound_type, sound_data, cooldown_s as far as given): every match
     in the rule's zone, with attacker and victim (groups of these names, else
-    "None"), the sound's text with its groups filled in, and the cooldown.  A group
-    named YOU must hold the log's owner.
+    "None"), the sound's text with its groups filled in, the cooldown and the line's
+    zone.  A group named YOU must hold the log's owner.
 
     Lines are read once, whatever the number of rules: an automaton over the rules'
     literals (given, or what the pattern can't match without) tells which patterns a
@@ -202,14 +202,14 @@ def match_rules(lines: DataFrame, rules: DataFrame, budget_s: float = BUDGET_S)
         known = _Rules(held, budget_s)
         for batch in batches:
             out = [[] for _ in names]
-            for source, seq, ts, message, zone, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for hit in known.hits(message, zone, who):
-                    for column, x in zip(out, (source, seq, ts, message, *hit), strict=True):
+            for source, seq, ts, message, told_zone, who in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for hit in known.hits(message, told_zone.lower(), who):
+                    for column, x in zip(out, (source, seq, ts, message, *hit, told_zone), strict=True):
                         column.append(x)
-            kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64())
+            kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    told = lines.where("message is not null").select("source_id", F.col("seq").cast("long"), F.col("ts").cast("long"), "message", F.lower(F.coalesce("zone", F.lit(""))).alias("zone"), owner.cast("string").alias("owner"))
+    told = lines.where("message is not null").select("source_id", F.col("seq").cast("long"), F.col("ts").cast("long"), "message", F.coalesce("zone", F.lit("")).alias("zone"), owner.cast("string").alias("owner"))
     return told.mapInArrow(run, MATCHES)
 
 

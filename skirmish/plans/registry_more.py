@@ -235,8 +235,7 @@ def rule_table(spark):
 
 
 def rule_lines(spark, d):
-    lines = grammar.parse_header(adapter.lines(spark, d)).select("source_id", "seq", "ts", "message")
-    return lines.join(adapter.swings(spark, d).select("source_id", "seq", "zone", "owner"), ["source_id", "seq"])
+    return grammar.parse_header(adapter.lines(spark, d, "zone")).select("source_id", "seq", "ts", "message", "zone", "owner")
 
 
 def _matches(spark, d):

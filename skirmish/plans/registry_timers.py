@@ -33,8 +33,7 @@ def definitions(spark):
 
 
 def requests(spark, d):
-    matches = _matches(spark, d).join(adapter.swings(spark, d).select("source_id", "seq", "zone"), ["source_id", "seq"])
-    return timers.linked_requests(matches, spark.createDataFrame(list(ASKING), "rule string, starts_timer boolean, timer_name string, zone string, category string"))
+    return timers.linked_requests(_matches(spark, d), spark.createDataFrame(list(ASKING), "rule string, starts_timer boolean, timer_name string, zone string, category string"))
 
 
 def bars(spark, d):

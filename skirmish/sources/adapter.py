@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sessions import dealt
+
 #: Columns of a swing; category 0 is a plain line of text that carries no action.
 SWING_COLUMNS = ("source_id", "owner", "zone", "seq", "ts", "category", "critical", "special", "attacker", "ability", "amount", "victim", "damage_type", "extra", "amount_text")
 
@@ -53,10 +55,11 @@ def swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The swings written out as log lines: (source_id, owner, seq, raw).
-    Drains have no line of their own and become noise."""
-    s = swings(spark, sf_dir)
+def lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The swings written out as log lines: (source_id, owner, seq, raw), and more
+    columns of theirs.  Drains have no line of their own and become noise.  Writing and
+    reading text is work: many lines are dealt to as many tasks as they need first."""
+    s = dealt(swings(spark, sf_dir), events(spark, sf_dir).count(), "seq")
     amount = F.col("amount").cast("string")
     crit = F.when(F.col("critical"), "a critical of ").otherwise("")
     by = F.concat(F.col("attacker"), F.lit("'s "), F.col("ability"))
@@ -79,4 +82,4 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format(F.timestamp_seconds("ts"), "EEE MMM dd HH:mm:ss yyyy")
     raw = F.concat(F.lit("("), F.col("ts").cast("string"), F.lit(")["), stamp, F.lit("] "), message)
     # Through a generator the text is a plain value, not an expression copied into every use.
-    return s.select("source_id", "owner", "seq", F.explode(F.array(raw)).alias("raw"))
+    return s.select("source_id", "owner", "seq", *more, F.explode(F.array(raw)).alias("raw"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from skirmish.operators import rules, sessions, stats
-from skirmish.plans import registry
+from skirmish.plans import registry, registry_more, registry_timers
 from skirmish.sources import adapter
 
 DIR = "/root/testdata/sf0.001"
@@ -59,3 +59,21 @@ def test_bytes_of_a_task_are_bounded_while_events_are_many(spark, monkeypatch):
     query(spark, DIR)
     assert {key: spark.conf.get(key) for key in own} == own
     assert [registry._bytes(x) for x in ("134217728b", "64MB", "16m", "1g", "7")] == [134217728, 64 << 20, 16 << 20, 1 << 30, 7]
+
+
+def test_matches_bring_their_zone(spark):
+    """Lines and matches have the zone without a join with the actions."""
+    got = registry_timers.requests(spark, DIR)
+    assert "Join" not in registry_more.rule_lines(spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the rules
+    zones = {(r["source_id"], r["seq"]): r["zone"] for r in adapter.swings(spark, DIR).collect()}
+    rows = got.collect()
+    assert rows and all(zones[r["source_id"], r["seq"]] == r["zone"] for r in rows)
+
+
+def test_lines_are_dealt_before_their_text_is_made(spark, monkeypatch):
+    want = sorted(map(str, registry_more.rule_lines(spark, DIR).collect()))
+    monkeypatch.setattr(sessions, "TASK_ROWS", adapter.swings(spark, DIR).count() // 10)
+    many = registry_more.rule_lines(spark, DIR)
+    assert many.rdd.getNumPartitions() >= 10
+    assert sorted(map(str, many.collect())) == want
