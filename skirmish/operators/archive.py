@@ -140,11 +140,14 @@ _FIGURES = ("damage", "encdps", "median", "minhit", "maxhit", "hits", "crithits"
 def payload_figures(fanned: DataFrame, fights: DataFrame) -> DataFrame:
     """A row for each outgoing bucket of a combatant (ability All), and in the bucket of
     everything outgoing one for each ability, so that every action counts once there.
-    The upper median comes from counts of values, which tasks combine before they
-    send anything."""
+    The upper median is the action in the middle of those in order, so nothing of a
+    group is gathered; where the actions are dealt by fight, they don't move again."""
     sides = fanned.where("direction = 'out'").withColumn("ability", F.when(F.col("bucket") == OUT_REF, F.col("ability")).otherwise("All"))
-    median = F.expr("percentile_disc(0.5) within group (order by case when amount >= 0 then amount end desc)").cast("long")
-    out = sides.groupBy(*KEY, "combatant", "bucket", "ability").agg(*[x.alias(k) for k, x in stat_columns().items()], F.coalesce(median, F.lit(0).cast("long")).alias("median"), F.min(F.struct("seq", "category"))["category"].alias("swingtype"), F.min("seq").alias("_seen"))
+    group = (*KEY, "combatant", "bucket", "ability")
+    hit = F.when(F.col("amount") >= 0, F.col("amount"))
+    sides = sides.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(hit.asc_nulls_last()))).withColumn("_n", F.count(hit).over(Window.partitionBy(*group)))
+    median = F.max(F.when(F.expr("_r = _n div 2 + 1"), hit)).cast("long")
+    out = sides.groupBy(*group).agg(*[x.alias(k) for k, x in stat_columns().items()], F.coalesce(median, F.lit(0).cast("long")).alias("median"), F.min(F.struct("seq", "category"))["category"].alias("swingtype"), F.min("seq").alias("_seen"))
     out = out.join(fights.select(*KEY, "duration_s"), list(KEY))
     return out.withColumns({"encdps": rounded_rate(F.col("damage"), F.col("duration_s")), "starttime": _utc("first_ts"), "endtime": _utc("last_ts")}).withColumnsRenamed({"min_hit": "minhit", "max_hit": "maxhit", "crits": "crithits", "avoids": "blocked"})
 

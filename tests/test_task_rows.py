@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from skirmish.operators import rules, sessions, stats
+from skirmish.operators import archive, rules, sessions, stats
 from skirmish.plans import registry, registry_more, registry_timers
 from skirmish.sources import adapter
 
@@ -71,6 +71,22 @@ def test_matches_bring_their_zone(spark):
     assert rows and all(zones[r["source_id"], r["seq"]] == r["zone"] for r in rows)
 
 
+def test_medians_of_payloads_stay_with_their_fight(spark, monkeypatch):
+    """Fights are dealt once; no exchange of buckets, no sets of values."""
+    kept = registry.kept(spark, DIR).localCheckpoint()
+    fights = stats.fight_totals(stats.combatant_stats(kept)).localCheckpoint()
+    monkeypatch.setattr(sessions, "TASK_ROWS", kept.count() // 10)
+    dealt = sessions.dealt(kept, kept.count(), "source_id", "encounter_id")
+    figures = archive.payload_figures(stats.bucket_fanout(dealt), fights)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(source_id") <= 2 and "percentile" not in plan
+    hits = {}
+    for r in stats.bucket_fanout(kept).where("direction = 'out' and bucket = 'Outgoing Damage' and amount >= 0").collect():
+        hits.setdefault((r["source_id"], r["encounter_id"], r["combatant"]), []).append(r["amount"])
+    got = {(r["source_id"], r["encounter_id"], r["combatant"]): r["median"] for r in figures.where("bucket = 'Outgoing Damage' and hits > 0").collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in hits.items()}
+
+
 def test_lines_are_dealt_before_their_text_is_made(spark, monkeypatch):
     want = sorted(map(str, registry_more.rule_lines(spark, DIR).collect()))
     monkeypatch.setattr(sessions, "TASK_ROWS", adapter.swings(spark, DIR).count() // 10)
