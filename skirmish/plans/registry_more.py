@@ -198,8 +198,6 @@ on_stored("mining_feed", lambda k: k.join(archived(k).where("zone = 'Zone 2' and
 
 
 def documents(k):
-    # All is grouped by fight: dealt so once, the actions and what comes of them stay there.
-    k = sessions.dealt(k, k.count(), "source_id", "encounter_id")
     s = stats.combatant_stats(k)
     return archive.payloads(k, stats.bucket_fanout(k), stats.fight_totals(s), s, "server")
 
