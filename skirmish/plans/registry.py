@@ -15,8 +15,7 @@ from . import sql
 
 #: How many partitions a shuffle has before adaptive execution puts small ones together.
 FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-#: What a task reads of files, and of a shuffle whose small partitions are put together:
-#: rows take some 20 times as much when they are sorted.
+#: What a task reads of files, and of a shuffle whose small partitions are put together.
 TASK_BYTES = {"spark.sql.files.maxPartitionBytes": 16 << 20, "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20}
 #: The session's own settings while those of TASK_BYTES hold.
 _OWN_BYTES: dict[str, str] = {}
